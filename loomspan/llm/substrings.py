@@ -25,7 +25,7 @@ from .common import partitions, table, texts
 from .text import WORD_BASE, Texts, flat, mix, windows
 
 WINDOW = 35
-CHUNKS, SHARDS = 16, 4  # times the number of shuffle partitions
+CHUNKS = 4  # times the number of shuffle partitions; as many shards as partitions
 
 
 def window_hashes(batch: Texts, width: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -117,12 +117,11 @@ def _cut(width: int, shards: int, keep_text: bool) -> Callable[[pa.Table, pa.Tab
 def remove_repeats(docs: DataFrame, width: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text and the removed word intervals."""
     n = partitions(docs.sparkSession)
-    shards = SHARDS * n
     dealt = texts(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(CHUNKS * n)))
-    sent = dealt.groupBy("chunk").applyInArrow(_emit(width, shards), "chunk long, shard long, hashes binary")
+    sent = dealt.groupBy("chunk").applyInArrow(_emit(width, n), "chunk long, shard long, hashes binary")
     answers = sent.groupBy("shard").applyInArrow(_repeated, "chunk long, shard long, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, intervals array<struct<first_word: long, end_word: long>>" * keep_text
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, shards, keep_text), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, n, keep_text), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4_000_000
+STRIP_BYTES = 250_000
 #: Odd multipliers of the polynomial hashes (fixed values).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,7 +75,15 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(windows(self.data.astype(np.uint64) + np.uint64(1), BASE, starts, ends))
+        """Of ascending ranges, strip by strip; a longer range than a strip is a strip of its own."""
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            lo = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, lo + STRIP_BYTES, "right")))
+            part = self.data[lo : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+            out[i:j] = windows(part, BASE, starts[i:j] - lo, ends[i:j] - lo)
+            i = j
+        return mix(out)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> Texts:
