@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substrings
+from . import decontaminate, packing, simhash, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        packing.op2_packing,
         substrings.op5_substring_dedup,
         simhash.op7_simhash,
+        token_files.op8_token_files,
+        decontaminate.op9_decontamination,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
