@@ -30,14 +30,11 @@ LONG = (1 << 63) - 1
 
 
 def matrix(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and floor(256 x) of the vectors that take part, as doubles with integer values."""
+    """Ids and floor(256 x), as doubles with integer values."""
     lists = rows["embedding"].combine_chunks()
-    ids = rows["vec_id"].to_numpy()
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(np.asarray(lists.offsets)), 0)
-    parts = np.split(np.floor(256 * values), np.cumsum(sizes)[:-1]) if len(sizes) else []
-    good = [i for i, x in enumerate(parts) if lists[i].is_valid and np.isfinite(x).all()]
-    return ids[good], [parts[i] for i in good]
+    sizes = np.diff(np.asarray(lists.offsets))
+    values = np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False))
+    return rows["vec_id"].to_numpy(), np.split(values, np.cumsum(sizes)[:-1])
 
 
 def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -54,7 +51,6 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def max_score(query: np.ndarray, own: int, postings: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of one query's k best in a shard. postings: a row for each dimension."""
-    n = postings.shape[1]
     warm = query @ postings[:, :WARM]
     rivals = warm[ids[:WARM] != own]
     threshold = np.sort(rivals)[-k] if len(rivals) >= k else -np.inf
@@ -75,7 +71,6 @@ def max_score(query: np.ndarray, own: int, postings: np.ndarray, low: np.ndarray
             scores = scores + query[probe] @ postings[np.ix_(probe, places)]
         if len(left) > PROBE and len(scores) > k:
             threshold = max(threshold, np.partition(scores, -k)[-k] + lower[left[PROBE:]].sum())
-    assert n or not len(places)
     best = best_of(ids[places], scores, k)
     return places[best], scores[best]
 
@@ -93,19 +88,16 @@ def whole_numbers(queries: list[np.ndarray], own: np.ndarray, vectors: list[np.n
 
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, vectors = matrix(candidates.sort_by("vec_id"))
-        own, asked = matrix(queries)
         out: dict[str, list] = {"query_id": [], "query_hash": [], "vec_id": [], "score": []}
-        hashes = queries["query_hash"].to_numpy()
-        if len(ids) and len(own):
-            kept = {x: i for i, x in enumerate(queries["query_hash"].to_pylist())}
-            assert len(kept) == len(hashes)
+        if candidates.num_rows and queries.num_rows:
+            ids, vectors = matrix(candidates.sort_by("vec_id"))
+            own, asked = matrix(queries)
             width = max(map(len, vectors + asked))
             v, q = padded(vectors, width), padded(asked, width)
-            postings, low, high = np.ascontiguousarray(v.T), v.min(0), v.max(0)
+            postings, low, high = np.ascontiguousarray(v.T), v.min(0, initial=np.inf), v.max(0, initial=-np.inf)
             exact = np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * max(1, width) < 2**53
             found = [max_score(x, i, postings, low, high, ids, k) for x, i in zip(q, own.tolist())] if exact else whole_numbers(asked, own, vectors, ids, k)
-            for name, mark, (places, scores) in zip(own.tolist(), hashes.tolist(), found):
+            for name, mark, (places, scores) in zip(own.tolist(), queries["query_hash"].to_pylist(), found):
                 out["query_id"] += [name] * len(places)
                 out["query_hash"] += [mark] * len(places)
                 out["vec_id"] += ids[places].tolist()
@@ -123,9 +115,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     vectors, queries = usable(vectors), usable(queries).dropDuplicates(["vec_id", "embedding"])
     shards, blocks = (max(1, -(-df.count() // SHARD)) for df in (vectors, queries))
-    deal = F.xxhash64("vec_id", "embedding")
-    dealt = vectors.withColumn("shard", F.pmod(deal, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.withColumn("query_hash", deal).withColumn("block", F.pmod("query_hash", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    deal, zero = F.xxhash64("vec_id", "embedding"), F.lit(0).cast("long")
+    dealt = vectors.withColumn("shard", F.pmod(deal, F.lit(shards))).withColumn("block", F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))))
+    asked = queries.withColumn("query_hash", deal).withColumn("block", F.pmod("query_hash", F.lit(blocks)))
+    asked = asked.withColumn("shard", F.explode(F.sequence(zero, F.lit(shards - 1).cast("long"))))
     found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(k)(b, a), "query_id long, query_hash long, vec_id long, score long")
     merged = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
