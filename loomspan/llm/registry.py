@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, substrings, token_files
+from . import decontaminate, packing, quality, search, secrets, simhash, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        quality.op1_quality,
         packing.op2_packing,
+        toxicity.op4_toxicity,
         substrings.op5_substring_dedup,
+        search.op6_top_k,
         simhash.op7_simhash,
         token_files.op8_token_files,
         decontaminate.op9_decontamination,
+        secrets.op10_secrets,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_top_k": search.OP6_SQL}
