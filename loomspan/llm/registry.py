@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, search, secrets, simhash, substrings, token_files, toxicity
+from . import decontaminate, packing, pii, quality, search, secrets, simhash, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quality.op1_quality,
         packing.op2_packing,
+        pii.op3_pii,
         toxicity.op4_toxicity,
         substrings.op5_substring_dedup,
         search.op6_top_k,
