@@ -1,0 +1 @@
+"""loomspan: card-catalogue, embedding-cluster and deck analytics as Spark DataFrame operators."""
