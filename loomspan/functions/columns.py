@@ -61,7 +61,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 def slug(x: Column) -> Column:
     """Runs of other characters than letters and digits become one underscore; none at the ends; 'format' if nothing is left."""
-    return F.coalesce(F.nullif(F.trim(F.lit("_"), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_")), F.lit("")), F.lit("format"))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("format"))
 
 
 def version_hash(x: Column) -> Column:

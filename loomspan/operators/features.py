@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import combat_stat, has_type, is_extra, safe_int
+from ..shared import saved
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,11 @@ def kv_documents(features: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
-    """Rows numbered from 0 in a global order, without a window over the whole table: ranges by key, and the ranges' counts."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """Rows numbered from 0 in a global order, without a window over the whole table: ranges by key, and the ranges' counts.
+
+    The ranges are written before they are read twice, as a plan that runs again may cut them elsewhere.
+    """
+    ranged = saved(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     below = counts.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
