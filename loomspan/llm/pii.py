@@ -76,6 +76,10 @@ in der {ip:129.38.82.176} und
 from {ip:192.168.300.25} at night
 address {ip:10.0.0.1}:8080 was open
 address {ip:fe80::1ff:fe23:4567:890a} was open
+card {card:6011000990139424}, host {ip:300.1.2.3} and phone {phone:555 0133}
+phone {phone:(415) 555-0126}, card {card:2390409500648960}, ip {ip:10.0.0.1}
+ip {ip:192.0.2.17}, card {card:5105105105105100} or {card:4012 8888 8888 1881}, mail {email:k.m@example.net}
+{card:9807915762804490}, {ip:97.51.17.173}, {phone:+1 (017) 555-7713}
 in 1998 there were 12 of them
 licensed under CC BY-NC 4.0.
 the GNU General Public License, version 3.
@@ -104,7 +108,7 @@ temperature -12.5 to 30.1 degrees
 a1 b2 c3 d4 and x99y of the grid
 win32 utf8 and sha256 are names
 """.strip().split("\n")
-COPIES, ROUNDS, RATE, RIDGE = 6, 80, 0.05, 1e-3
+COPIES, ROUNDS, RATE, RIDGE = 6, 120, 0.05, 1e-3
 
 TOKENS = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))

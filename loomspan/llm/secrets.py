@@ -109,6 +109,10 @@ def _thresholds(tested: DataFrame) -> dict[int, int]:
     return {r["class"]: r["bin"] for r in rejected.groupBy("class").agg(F.min("bin").alias("bin")).collect()}  # 16 rows at most
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind_no"] == kind)).cast("long")
+
+
 def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
@@ -130,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
     random = F.transform(random, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind_no"), x["end"].alias("end"), F.lit(KINDS[3]).alias("kind"))).cast(SPAN)
     every = F.array_sort(F.concat("base", random))
     return first.select(
-        "doc_id", *(F.size(F.filter("base", lambda b, k=k: b["kind_no"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)),
+        "doc_id", *(_count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), every.alias("found"))
 
 
