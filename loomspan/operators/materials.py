@@ -70,7 +70,11 @@ def requirement_tags(cards: DataFrame, key: str = "id", text: str = "descr") ->
         strong += [_hits(head, COUNT, pattern, value, role, True, make), _hits(head, ARTICLE, pattern, value, role, False, make)]
     names = F.transform(named(head), lambda x: F.struct(F.concat(F.lit("card_name:"), x).alias("tag"), F.lit(1).alias("n")))
     bare = [_hits(head, OWN_COUNT, QUOTED + MONSTERS, 1, 0, True, lambda v, r: v), _hits(head, OWN_COUNT, QUOTED, 1, 0, True, lambda v, r: v), _hits(head, "", QUOTED + r"\s+monster", 1, 0, False, lambda v, r: v)]
-    rows = [F.transform(hits, lambda x, i=i: F.struct(x["tag"].alias("tag"), F.lit(i).alias("strength"), x["n"].alias("n"))) for i, hits in ((3, F.concat(*strong, names)), *zip((2, 1, 0), bare))]
+
+    def ranked(hits: Column, strength: int) -> Column:
+        return F.transform(hits, lambda x: F.struct(x["tag"].alias("tag"), F.lit(strength).alias("strength"), x["n"].alias("n")))
+
+    rows = [ranked(hits, i) for i, hits in ((3, F.concat(*strong, names)), *zip((2, 1, 0), bare))]
     tags = heads.select(key, F.inline(F.concat(*rows))).where("tag <> ''")
     return tags.groupBy(key, "tag").agg(F.max(F.struct("strength", "n")).alias("best")).select(key, "tag", F.col("best.n").alias("needed"))
 
