@@ -15,12 +15,15 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 14
-SLOT_BITS = 15
+SLOT_BITS = 13
 #: Segment ends within a block (fixed by the format).
 SEGMENTS = np.array([0, 256, 512, 1024, 2048, 4096, 6144, 8192, 10240, 12288, 14336, BLOCK])
 #: Order-0 gain of an id that occurs; prior of (order 2, order 1, order 0); scale of the weights (fixed by the format).
 GAIN, PRIOR, SCALE_BITS = 32, (6, 6, 8), 12
 STATES = 32
+#: Entries of a cumulative table that one entry of its index stands for, and the steps of a search between them.
+CELL = 128
+HALVES = [CELL >> i for i in range(1, CELL.bit_length())]
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 MAGIC = b"LTC1"
 U16, U48 = np.uint64(16), np.uint64(48)
@@ -59,169 +62,156 @@ def _history(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _steps(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
-    """What the range coder needs for each id of a block: event interval, and the order-0 interval and total."""
+    """What the range coder needs for each id of a block: event interval, whether order 0 codes the id, and its interval."""
     n = len(ids)
     last1, last2 = np.append([0], ids[:-1])[:n], np.append([0, 0], ids[:-2])[:n]
     guess2, trust2 = _history(_slot(last2, last1), ids)
     guess1, trust1 = _history(_slot(last1, last1), ids)
-    state = trust2 * 8 + trust1 * 2 + (guess1 == guess2) * (trust1 > 0)
-    event = np.where((guess2 == ids), 0, np.where((guess1 == ids), 1, 2))
+    state = trust2 * 8 + trust1 * 2 + ((guess1 == guess2) & (trust1 > 0) & (trust2 > 0))
+    event = np.where(guess2 == ids, 0, np.where(guess1 == ids, 1, 2))
     segment = np.searchsorted(SEGMENTS, np.arange(n), "right") - 1
     k = segment[-1] + 1
     seen = np.bincount((segment * STATES + state) * 3 + event, minlength=k * STATES * 3).reshape(k, STATES, 3)
     w = _weights(np.cumsum(seen, 0) - seen)[segment, state]
-    low = np.where(event == 0, 0, np.where(event == 1, w[:, 0], w.sum(1)))
-    width = np.where(event == 0, w[:, 0], np.where(event == 1, w[:, 1], (1 << SCALE_BITS) - w.sum(1)))
-    counts = np.ones(alphabet, np.int64)
-    cum, freq = np.empty(n, np.int64), np.empty(n, np.int64)
+    first, second = w[:, 0], w.sum(1)
+    low = np.where(event == 0, 0, np.where(event == 1, first, second))
+    width = np.where(event == 0, first, np.where(event == 1, second - first, (1 << SCALE_BITS) - second))
+    counts = np.ones(alphabet, np.int32)
+    cum, freq = np.empty(n, np.uint32), np.empty(n, np.uint32)
     for s in range(k):
         part = ids[SEGMENTS[s] : SEGMENTS[s + 1]]
         sums = np.cumsum(counts)
         freq[SEGMENTS[s] : SEGMENTS[s + 1]] = counts[part]
         cum[SEGMENTS[s] : SEGMENTS[s + 1]] = sums[part] - counts[part]
-        counts += GAIN * np.bincount(part, minlength=alphabet)
-    return low, width, event == 2, cum, freq, alphabet + GAIN * SEGMENTS[segment]
+        np.add.at(counts, part, np.int32(GAIN))
+    return low.astype(np.uint16), width.astype(np.uint16), event == 2, cum, freq
 
 
-class _Writer:
-    """Range encoders side by side; the first `n` lanes are active."""
-
-    def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
-        self.out, self.at = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
-
-    def renew(self, n: int) -> None:
-        low, width = self.low[:n], self.range[:n]
-        settled = (low ^ (low + width)) < TOP
-        short = ~settled & (width < BOTTOM)
-        go = np.flatnonzero(settled | short)
-        while len(go):
-            tight = go[short[go]] if len(short) == n else go[short]
-            width[tight] = (np.uint64(0) - low[tight]) & (BOTTOM - np.uint64(1))
-            self.out[go, self.at[go]] = (low[go] >> U48).astype(np.uint16)
-            self.at[go] += 1
-            low[go] <<= U16
-            width[go] <<= U16
-            settled_go = (low[go] ^ (low[go] + width[go])) < TOP
-            short_go = ~settled_go & (width[go] < BOTTOM)
-            keep = settled_go | short_go
-            go, short = go[keep], short_go[keep]
-            n = -1
-
-    def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> U48).astype(np.uint16)
-            self.at += 1
-            self.low <<= U16
-        return [row[:k].astype("<u2").tobytes() for row, k in zip(self.out, self.at)]
+def _moves(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which lanes give out a word now: their first 16 bits are settled, or, cut at the next boundary, they are."""
+    settled = (low ^ (low + width)) < TOP
+    short = ~settled & (width < BOTTOM)
+    if short.any():
+        width[short] = (np.uint64(0) - low[short]) & (BOTTOM - np.uint64(1))
+    return settled | short
 
 
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Blocks of 1 to BLOCK ids below `alphabet`, the longest first."""
-    lens = np.array([len(b) for b in blocks])
-    steps = [_steps(b.astype(np.int64), alphabet) for b in blocks]
-    most = lens[0]
-    low, width, miss, cum, freq, total = (np.zeros((most, len(blocks)), t) for t in (np.uint64, np.uint64, bool, np.uint64, np.uint64, np.uint64))
-    for i, step in enumerate(steps):
-        for into, x in zip((low, width, miss, cum, freq, total), step):
+    lens, lanes = np.array([len(b) for b in blocks]), len(blocks)
+    most = int(lens[0])
+    low_of, width_of, miss, cum, freq = (np.zeros((most, lanes), t) for t in (np.uint16, np.uint16, bool, np.uint32, np.uint32))
+    for i, block in enumerate(blocks):
+        for into, x in zip((low_of, width_of, miss, cum, freq), _steps(block.astype(np.int64), alphabet)):
             into[: lens[i], i] = x
-    coder = _Writer(len(blocks), 3 * most + 16)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
+    out, at = np.zeros((lanes, 3 * most + 16), np.uint16), np.zeros(lanes, np.int64)
+    lane, scale = np.arange(lanes), np.uint64(SCALE_BITS)
     active = np.searchsorted(-lens, -np.arange(most), "left")
-    scale = np.uint64(SCALE_BITS)
+    total = (alphabet + GAIN * SEGMENTS[np.searchsorted(SEGMENTS, np.arange(most), "right") - 1]).astype(np.uint64)
     for t in range(most):
         n = active[t]
-        unit = coder.range[:n] >> scale
-        coder.low[:n] += unit * low[t, :n]
-        coder.range[:n] = unit * width[t, :n]
-        m = np.flatnonzero(miss[t, :n])
-        unit = coder.range[m] // total[t, m]
-        coder.low[m] += unit * cum[t, m]
-        coder.range[m] = unit * freq[t, m]
-        coder.renew(n)
-    return coder.finish()
+        lo, wi = low[:n], width[:n]
+        unit = wi >> scale
+        lo += unit * low_of[t, :n]
+        wi[:] = unit * width_of[t, :n]
+        m = miss[t, :n]
+        unit = wi // total[t]
+        lo += unit * cum[t, :n] * m
+        wi[:] = np.where(m, unit * freq[t, :n], wi)
+        while (go := _moves(lo, wi)).any():
+            own = lane[:n][go]
+            out[own, at[own]] = (lo[go] >> U48).astype(np.uint16)
+            at[own] += 1
+            shift = go * U16
+            lo <<= shift
+            wi <<= shift
+    for _ in range(4):
+        out[lane, at] = (low >> U48).astype(np.uint16)
+        at += 1
+        low <<= U16
+    return [row[:k].astype("<u2").tobytes() for row, k in zip(out, at)]
 
 
 def decode_blocks(codes: list[bytes], lens: np.ndarray, alphabet: int) -> list[np.ndarray]:
     """The blocks again, given their lengths, the longest first."""
     lanes, most = len(codes), int(lens[0])
-    words = np.zeros((lanes, max(map(len, codes)) // 2 + 8), np.uint64)
+    span = max(map(len, codes)) // 2 + 8
+    words = np.zeros((lanes, span), np.uint16)
     for i, code in enumerate(codes):
         words[i, : len(code) // 2] = np.frombuffer(code, "<u2")
-    code, at = np.zeros(lanes, np.uint64), np.full(lanes, 4)
+    code = np.zeros(lanes, np.uint64)
     for k in range(4):
         code = code << U16 | words[:, k]
+    words, at = words.reshape(-1), np.arange(lanes) * span + 4
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
-    ids = np.zeros((most + 2, lanes), np.int64)  # two places before the first id
+    ids = np.zeros((most + 2, lanes), np.uint32)  # two places before the first id
     lane = np.arange(lanes)
-    guess = [np.full((lanes << SLOT_BITS,), -1, np.int32) for _ in range(2)]
-    trust = [np.zeros((lanes << SLOT_BITS,), np.int8) for _ in range(2)]
-    counts = np.ones((lanes, alphabet), np.int32)
-    stride = 1 << 20
-    base = (lane * stride).astype(np.int64)
-    seen = np.zeros((lanes * STATES * 3,), np.int64)
+    tables = [np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2)]  # by lane and slot: guess and, in two bits, trust
+    counts = np.zeros((lanes, alphabet), np.uint16)
+    width_of_row = -(-(alphabet + 1) // CELL) * CELL
+    sums = np.full((lanes, width_of_row), np.uint32(2**32 - 1))  # what lies after a row's end is never reached
+    base = (lane << 20).astype(np.uint32)
+    seen = np.zeros(lanes * STATES * 3, np.int64)
     active = np.searchsorted(-lens, -np.arange(most), "left")
-    scale, one = np.uint64(SCALE_BITS), np.uint64(1)
+    scale, two, three = np.uint64(SCALE_BITS), np.uint32(2), np.uint32(3)
+    top = np.uint64(1 << SCALE_BITS)
     for s in range(len(SEGMENTS) - 1):
         first, end = int(SEGMENTS[s]), min(int(SEGMENTS[s + 1]), most)
         if first >= most:
             break
         w = _weights(seen.reshape(lanes, STATES, 3)).reshape(lanes * STATES, 2)
         w2, w12 = w[:, 0].astype(np.uint64), w.sum(1).astype(np.uint64)
-        m = active[first]
-        sums = np.empty((m, alphabet + 1), np.int64)
-        sums[:, 0] = 0
-        np.cumsum(counts[:m], axis=1, out=sums[:, 1:])
-        sums += base[:m, None]
-        sums = sums.reshape(-1)
+        for i in range(active[first]):
+            np.cumsum(counts[i] * np.uint32(GAIN) + np.uint32(1), out=sums[i, 1 : alphabet + 1])
+            sums[i, 1 : alphabet + 1] += base[i]
+            sums[i, 0] = base[i]
+        flat = sums[: active[first]].reshape(-1)
+        coarse = np.ascontiguousarray(sums[: active[first], ::CELL]).reshape(-1)
         total = np.uint64(alphabet + GAIN * first)
         for t in range(first, end):
             n = active[t]
-            own = lane[:n]
+            own, lo, wi, co = lane[:n], low[:n], width[:n], code[:n]
             c1, c2 = ids[t + 1, :n], ids[t, :n]
-            slot2, slot1 = (own << SLOT_BITS) + _slot(c2, c1), (own << SLOT_BITS) + _slot(c1, c1)
-            g2, g1, t2, t1 = guess[0][slot2], guess[1][slot1], trust[0][slot2].astype(np.int64), trust[1][slot1].astype(np.int64)
-            state = (own * STATES) + t2 * 8 + t1 * 2 + ((g1 == g2) & (t1 > 0))
-            unit = width[:n] >> scale
-            value = (code[:n] - low[:n]) // unit
+            room = own << SLOT_BITS
+            slot2, slot1 = room + _slot(c2, c1), room + _slot(c1, c1)
+            p2, p1 = tables[0][slot2], tables[1][slot1]
+            g2, g1, t2, t1 = p2 >> two, p1 >> two, p2 & three, p1 & three
+            state = own * STATES + (t2 * 8 + t1 * 2 + ((g1 == g2) & (t1 > 0) & (t2 > 0)))
+            unit = wi >> scale
+            value = (co - lo) // unit
             a, b = w2[state], w12[state]
-            event = (value >= a).astype(np.int64) + (value >= b)
-            lo = np.where(event == 0, np.uint64(0), np.where(event == 1, a, b))
-            hi = np.where(event == 0, a, np.where(event == 1, b, np.uint64(1 << SCALE_BITS)))
-            low[:n] += unit * lo
-            width[:n] = unit * (hi - lo)
-            x = np.where(event == 0, g2, g1).astype(np.int64)
-            m = np.flatnonzero(event == 2)
-            if len(m):
-                unit = width[m] // total
-                value = ((code[m] - low[m]) // unit).astype(np.int64)
-                place = np.searchsorted(sums, value + base[m], "right") - 1
-                x[m] = place - m * (alphabet + 1)
-                lo = (sums[place] - base[m]).astype(np.uint64)
-                low[m] += unit * lo
-                width[m] = unit * (sums[place + 1] - sums[place]).astype(np.uint64)
+            past, miss = value >= a, value >= b
+            start = np.where(miss, b, a * past)
+            lo += unit * start
+            wi[:] = unit * (np.where(miss, top, np.where(past, b, a)) - start)
+            x = np.where(past, g1, g2)
+            if miss.any():
+                unit = wi // total
+                value = np.minimum((co - lo) // np.maximum(unit, np.uint64(1)), total - np.uint64(1)).astype(np.uint32) + base[:n]
+                place = (np.searchsorted(coarse, value, "right") - 1) * CELL
+                for step in HALVES:
+                    place += step * (flat[place + step] <= value)
+                here = flat[place]
+                x = np.where(miss, (place - own * width_of_row).astype(np.uint32), x)
+                lo += unit * (here - base[:n]) * miss
+                wi[:] = np.where(miss, unit * (flat[place + 1] - here), wi)
             ids[t + 2, :n] = x
-            seen[state * 3 + event] += 1
-            for g, slot, old, before in ((g2, slot2, t2, 0), (g1, slot1, t1, 1)):
-                guess[before][slot] = x
-                trust[before][slot] = np.where(g == x, np.minimum(old + 1, 3), 1)
-            go = own
-            while True:
-                lg, wg = low[go], width[go]
-                settled = (lg ^ (lg + wg)) < TOP
-                short = ~settled & (wg < BOTTOM)
-                keep = settled | short
-                if not keep.any():
-                    break
-                go, lg, wg, short = go[keep], lg[keep], wg[keep], short[keep]
-                wg = np.where(short, (np.uint64(0) - lg) & (BOTTOM - one), wg)
-                low[go], width[go] = lg << U16, wg << U16
-                code[go] = code[go] << U16 | words[go, at[go]]
-                at[go] += 1
+            seen[state * 3 + past + miss] += 1
+            tables[0][slot2] = x << two | np.where(g2 == x, np.minimum(t2 + np.uint32(1), three), np.uint32(1))
+            tables[1][slot1] = x << two | np.where(g1 == x, np.minimum(t1 + np.uint32(1), three), np.uint32(1))
+            while (go := _moves(lo, wi)).any():
+                shift = go * U16
+                lo <<= shift
+                wi <<= shift
+                co[:] = np.where(go, co << U16 | words[at[:n]], co)
+                at[:n] += go
         n = active[first]
-        flat = (lane[:n, None] * alphabet + ids[first + 2 : end + 2, :n].T).reshape(-1)
-        live = (np.arange(first, end)[None, :] < lens[:n, None]).reshape(-1)
-        np.add.at(counts.reshape(-1), flat[live], np.int32(GAIN))
-    return [ids[2 : 2 + k, i].astype(np.uint32) for i, k in enumerate(lens.tolist())]
+        for i in range(n):
+            stop = min(end, int(lens[i]))
+            if stop > first:
+                np.add.at(counts[i], ids[first + 2 : stop + 2, i], np.uint16(1))
+    return [ids[2 : 2 + k, i].copy() for i, k in enumerate(lens.tolist())]
 
 
 def write_record(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, start: int, alphabet: int) -> bytes:
@@ -234,29 +224,35 @@ def write_record(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids
     return head + struct.pack("<I", zlib.crc32(head)) + body
 
 
-def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """What write_record was given. A wrong checksum raises ValueError and names the block."""
-    fixed = struct.calcsize("<IIIqq")
+def _header(record: bytes) -> tuple[tuple[int, int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[bytes, int]]]:
+    """A record's numbers (alphabet, documents, blocks, ids, start), its documents, and each block's code and checksum."""
     if record[:4] != MAGIC:
         raise ValueError("not a token record")
-    alphabet, docs, blocks, n, start = struct.unpack_from("<IIIqq", record, 4)
-    at = 4 + fixed
-    doc_ids = np.frombuffer(record, "<i8", docs, at)
-    known = np.frombuffer(record, np.uint8, docs, at + 8 * docs).astype(bool)
-    counts = np.frombuffer(record, "<i8", docs, at + 9 * docs)
-    at += 17 * docs
-    if struct.unpack_from("<I", record, at)[0] != zlib.crc32(record[:at]):
+    numbers = alphabet, docs, blocks, n, start = struct.unpack_from("<IIIqq", record, 4)
+    at = 4 + struct.calcsize("<IIIqq")
+    if len(record) < at + 17 * docs + 4 or struct.unpack_from("<I", record, at + 17 * docs)[0] != zlib.crc32(record[: at + 17 * docs]):
         raise ValueError("wrong checksum of a record's header")
-    at += 4
-    codes, sums = [], []
+    rows = np.frombuffer(record, "<i8", docs, at), np.frombuffer(record, np.uint8, docs, at + 8 * docs).astype(bool), np.frombuffer(record, "<i8", docs, at + 9 * docs)
+    at += 17 * docs + 4
+    codes = []
     for _ in range(blocks):
+        if len(record) < at + 8:
+            raise ValueError("a record ends early")
         size, crc = struct.unpack_from("<II", record, at)
-        codes.append(record[at + 8 : at + 8 + size])
-        sums.append(crc)
+        codes.append((record[at + 8 : at + 8 + size], crc))
         at += 8 + size
+    return numbers, rows, codes
+
+
+def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """What write_record was given. A wrong checksum raises ValueError and names the block."""
+    (alphabet, _, blocks, n, start), rows, codes = _header(record)
     lens = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-    parts = decode_blocks(codes, lens, alphabet) if blocks else []
-    for i, (part, code, crc) in enumerate(zip(parts, codes, sums)):
+    try:
+        parts = decode_blocks([c for c, _ in codes], lens, alphabet) if blocks else []
+    except (IndexError, ZeroDivisionError) as e:
+        raise ValueError("a damaged block") from e
+    for i, (part, (code, crc)) in enumerate(zip(parts, codes)):
         if zlib.crc32(part.astype("<u4").tobytes(), zlib.crc32(code)) != crc:
             raise ValueError(f"wrong checksum of block {i}")
-    return doc_ids, known, counts, np.concatenate(parts) if parts else np.zeros(0, np.uint32), start
+    return *rows, np.concatenate(parts) if parts else np.zeros(0, np.uint32), start

@@ -27,7 +27,7 @@ from .text import slices
 from .tokens import crc, encoder, vocabulary, with_end
 
 ALPHABET, END = 49408, 1
-RECORD_BYTES = 8_000_000
+RECORD_BYTES = 16_000_000
 RECORDS = "part int, number int, n_tokens long, record binary"
 
 
@@ -35,8 +35,8 @@ def _records(path: str, end: int, alphabet: int) -> Callable[[Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, number, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for rows, batch_texts in slices(batch, most=RECORD_BYTES):
-                ids, counts = with_end(*tokens.encode(batch_texts), end)
+            for rows, _ in slices(batch, most=RECORD_BYTES):  # many blocks side by side, tokenised a part at a time
+                ids, counts = map(np.concatenate, zip(*(with_end(*tokens.encode(part), end) for _, part in slices(rows))))
                 doc_ids = rows.column("doc_id")
                 record = write_record(doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(zero_copy_only=False), counts, ids, start, alphabet)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([record], pa.binary())], ["part", "number", "n_tokens", "record"])
