@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,7 @@ def syndrome(values: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def patterns(within: int) -> tuple[np.ndarray, np.ndarray]:
     """All error patterns of so many bits or fewer, ordered by syndrome, and where each of the 2^11 syndromes begins."""
-    every = np.arange(1 << 23)
-    light = every[np.bitwise_count(every) <= within]
+    light = np.array([sum(1 << b for b in bits) for n in range(within + 1) for bits in combinations(range(23), n)])
     of = syndrome(light)
     order = np.argsort(of, kind="stable")
     return light[order], np.searchsorted(of[order], np.arange((1 << 11) + 1))

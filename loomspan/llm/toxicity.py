@@ -103,17 +103,25 @@ class Model:
         self.bias -= float(rate * grads[2][0] / np.sqrt(self.seen[2][0]))
 
 
+def bags(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subwords of all rows by passage (passage p has buckets[edges[p]:edges[p + 1]]) and each row's first passage; made a
+    slice at a time, as the training rows' subwords are many times their characters."""
+    parts, sizes, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for _, part in slices(pa.table({"text": pa.array([text for text, _ in rows], pa.string())}), most=SCORE_SLICE // 2):
+        buckets, of, own = subwords(part)
+        parts.append(buckets[np.argsort(of, kind="stable")])
+        sizes.append(np.bincount(of, minlength=int(own[-1])))
+        first.append(own[1:] + first[-1][-1])
+    return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(first)
+
+
 def train(rows: list[tuple[str, int]], seed: int = 0, warm: int = 2, rounds: int = 40, batch: int = 128) -> tuple[np.ndarray, float]:
     """(text, label) rows -> a number for each bucket, and the bias."""
     if len({y for _, y in rows}) < 2:
         return np.zeros(BUCKETS), -np.inf
     draw = np.random.default_rng(seed)
     y = np.array([label for _, label in rows], float)
-    buckets, of, first = subwords(flat(pa.array([text for text, _ in rows], pa.string())))
-    order = np.argsort(of, kind="stable")
-    buckets, of = buckets[order], of[order]
-    edges = np.searchsorted(of, np.arange(first[-1] + 1))
-    of = of.astype(np.int32)
+    buckets, edges, first = bags(rows)
     model = Model(seed)
     full = np.flatnonzero(np.diff(first))
     for epoch in range(warm):
@@ -121,13 +129,13 @@ def train(rows: list[tuple[str, int]], seed: int = 0, warm: int = 2, rounds: int
             model.step([buckets[edges[first[i]] : edges[first[i + 1]]] for i in ids], y[ids], 0.1)
     toxic, calm = full[y[full] == 1], full[y[full] == 0]
     for epoch in range(rounds):
-        scores = passage_scores(model.weights(), model.bias, buckets, of, first[-1])
+        scores = np.add.reduceat(model.weights().astype(np.float32)[buckets], edges[:-1]) / np.diff(edges) if len(buckets) else np.zeros(0)
         best = [first[i] + scores[first[i] : first[i + 1]].argmax() for i in toxic]
         worst = [first[i] + np.argsort(-scores[first[i] : first[i + 1]])[:WORST] for i in calm]
         chosen = np.concatenate([np.array(best, np.int64), *worst])
         for ids in np.array_split(draw.permutation(len(chosen)), max(1, len(chosen) // batch)):
-            bags = [buckets[edges[p] : edges[p + 1]] for p in chosen[ids]]
-            model.step([b[draw.random(len(b)) >= DROP] for b in bags], (ids < len(toxic)).astype(float), 0.1)
+            own = [buckets[edges[p] : edges[p + 1]] for p in chosen[ids]]
+            model.step([b[draw.random(len(b)) >= DROP] for b in own], (ids < len(toxic)).astype(float), 0.1)
     return model.weights(), model.bias
 
 

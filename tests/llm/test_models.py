@@ -56,7 +56,8 @@ def test_odd_rows(spark, odd, module, column, kind):
     docs = odd(odd.rows + plain)
     scores = docs.select("doc_id", "text", module.scorer(docs, spark.createDataFrame(labels, f"doc_id long, {column} int")).alias("s")).collect()
     assert len(scores) == len(odd.rows) + 60 and all(0 <= r.s <= 1 for r in scores)
-    assert odd([]).select(module.scorer(odd([]), spark.createDataFrame(labels, f"doc_id long, {column} int"))).count() == 0
+    none = odd([])
+    assert none.select(module.scorer(none, spark.createDataFrame(labels, f"doc_id long, {column} int"))).count() == 0
 
 
 def test_toxic_rows_go(spark, odd):
