@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op10_secrets,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_top_k": search.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": substrings.OP5_SQL, "op6_top_k": search.OP6_SQL}

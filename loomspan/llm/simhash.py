@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table, texts
-from .components import components
+from ..operators.graph import components
+from ..shared import saved
+from .common import partitions, table, texts
 from .text import LOWER, SPACE, Texts, slices, spread
 
 SHINGLE, SEED, BITS = 4, 42, 4

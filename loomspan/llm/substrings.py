@@ -126,3 +126,25 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, keep_text: bool = True)
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+#: The same rows by grouping the windows' texts.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT rid, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+), s AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM p
+), r AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM s) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 35)) AS i FROM r
+), words AS (
+  SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT words.rid, string_agg(x, ' ' ORDER BY words.i) AS t, count(*) AS n FROM words ANTI JOIN gone ON gone.rid = words.rid AND gone.i = words.i GROUP BY words.rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

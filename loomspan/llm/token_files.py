@@ -12,7 +12,6 @@ raises an error at reading.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path
 from .coder import read_record, write_record
-from .common import partitions, shared_dir, table, texts
+from .common import partitions, table, texts
 from .text import slices
 from .tokens import crc, encoder, vocabulary, with_end
 
@@ -77,6 +77,6 @@ def read(spark: SparkSession, at: str, keep_ids: bool = False) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    at = new_path(spark, "tokens")
     write(table(spark, sf_dir, "documents"), at, vocabulary("word_bpe_49k.json"))
     return read(spark, at)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from loomspan.llm import simhash, substrings
-from loomspan.llm.components import components
+from loomspan.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "a b  c d e"), (None, "one"), (6, "ÄÖ ß " * 400), (7, "x" * 70_000)]
