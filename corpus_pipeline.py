@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import decontaminate, packing, pii, simhash, toxicity
-from loomspan.llm.common import saved, table
+from loomspan.llm.common import table
 from loomspan.llm.tokens import vocabulary
+from loomspan.shared import saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
