@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, dot, doubles, unit
+from .blocks import beside
 
 NOISE = -1
 #: Cluster roles by token, the first that occurs (fixed values).
@@ -99,16 +100,13 @@ def coherence(assign: DataFrame) -> DataFrame:
 
 
 def nearest_clusters(assign: DataFrame) -> DataFrame:
-    """For noise cards the nearest normalised centroid by Euclidean distance (ties to the lesser id) and 1 / (1 + distance).
-
-    Centroids are one row for each cluster; they are packed in one row and sent along only as that.
-    """
+    """For noise cards the nearest normalised centroid by Euclidean distance (ties to the lesser id) and 1 / (1 + distance)."""
     units = assign.withColumn("u", unit(doubles(F.col("embedding"))))
     means = centroids(units.withColumn("embedding", F.col("u")), F.col("embedding")).select("cluster_id", unit(F.col("centroid")).alias("centroid"))
-    packed = means.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("all"))
-    noise = units.where(F.col("cluster_id") == NOISE).join(F.broadcast(packed))
+    noise, blocks = beside(units.where(F.col("cluster_id") == NOISE).select("card_id", "u"), means, F.struct("cluster_id", "centroid"), "all")
     best = F.array_min(F.transform("all", lambda c: F.struct(distance(F.col("u"), c["centroid"]).alias("d"), c["cluster_id"].alias("id"))))
     found = noise.select("card_id", best.alias("best"))
+    found = found if blocks == 1 else found.groupBy("card_id").agg(F.min("best").alias("best"))
     return assign.select("card_id", "cluster_id").join(found, "card_id", "left").select(
         "card_id", "cluster_id", F.col("best.id").alias("nearest_cluster_id"), F.col("best.d").alias("nearest_distance"), (1 / (1 + F.col("best.d"))).alias("nearest_confidence"))
 

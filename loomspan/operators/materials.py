@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import beside
+
 #: Word lists of the rules (fixed values).
 RACES = (
     "aqua", "beast", "beast-warrior", "cyberse", "dinosaur", "divine-beast", "dragon", "fairy", "fiend", "fish", "insect", "machine",
@@ -105,8 +107,6 @@ def matches(tag: Column) -> Column:
 
 
 def tag_matches(tags: DataFrame, cards: DataFrame) -> DataFrame:
-    """(tag, card_id) pairs that match. Distinct tags are few (the grammar's, not the decks'); they are tested card by card
-    from one packed row, so no pairing of decks with cards is made."""
-    packed = tags.select("tag").distinct().agg(F.sort_array(F.collect_list("tag")).alias("all_tags"))
-    monsters = cards.where(F.lower("type").contains("monster")).join(F.broadcast(packed))
+    """(tag, card_id) pairs that match. Only distinct tags, which are few, meet the cards; decks join the pairs later."""
+    monsters, _ = beside(cards.where(F.lower("type").contains("monster")), tags.select("tag").distinct(), F.col("tag"), "all_tags")
     return monsters.select("*", F.explode("all_tags").alias("tag")).where(matches(F.col("tag"))).select("tag", F.col("id").alias("card_id"))

@@ -89,3 +89,22 @@ def test_quota_fill_never_breaks_limits(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     assert sorted(rows) == sorted(sampling.quota_fill(specs, cards, ratios).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_blocks_cover_every_pair(spark):
+    from loomspan.operators.blocks import beside
+
+    rows, small = spark.range(7).toDF("r"), spark.range(23).toDF("s")
+    for most, least in ((100, 1), (5, 5)):
+        out, blocks = beside(rows, small, F.col("s"), "all", most)
+        got = sorted(map(tuple, out.select("r", F.explode("all").alias("s")).collect()))
+        assert blocks == least and got == [(r, s) for r in range(7) for s in range(23)]
+
+
+def test_nearest_clusters_in_several_blocks(spark, monkeypatch):
+    from loomspan.operators import blocks
+
+    rows = spark.createDataFrame([(i, -1 if i % 4 == 0 else i % 4, 0.5, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)], "card_id long, cluster_id int, prob double, embedding array<double>")
+    one = sorted(map(tuple, clusters.nearest_clusters(rows).collect()), key=str)
+    monkeypatch.setattr(blocks.beside, "__defaults__", (1,))
+    assert sorted(map(tuple, clusters.nearest_clusters(rows).collect()), key=str) == one
