@@ -231,6 +231,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    if not twice.take(1):  # then the texts cross the network once, not for each of two joins
+        return kept
     single = kept.join(twice, kept["doc_id"] == twice["id"], "left_anti")
     least = Window.partitionBy("doc_id").orderBy("text")
     rank = next(x for x in map("rank_{}".format, range(len(docs.columns) + 1)) if x not in docs.columns)
