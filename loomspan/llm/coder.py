@@ -15,6 +15,8 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 14
+#: Smaller records have smaller blocks, down to LEAST ids, so that about LANES of them can be walked through side by side.
+LEAST, LANES = 1 << 11, 256
 SLOT_BITS = 13
 #: Segment ends within a block (fixed by the format).
 SEGMENTS = np.array([0, 256, 512, 1024, 2048, 4096, 6144, 8192, 10240, 12288, 14336, BLOCK])
@@ -25,7 +27,7 @@ STATES = 32
 CELL = 128
 HALVES = [CELL >> i for i in range(1, CELL.bit_length())]
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-MAGIC = b"LTC1"
+MAGIC, HEAD = b"LTC1", "<IIIIqq"
 U16, U48 = np.uint64(16), np.uint64(48)
 
 
@@ -216,20 +218,23 @@ def decode_blocks(codes: list[bytes], lens: np.ndarray, alphabet: int) -> list[n
 
 def write_record(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, start: int, alphabet: int) -> bytes:
     """A record: header, the documents' ids (known: not null) and numbers of ids, and the blocks, each with its checksum."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    size = min(BLOCK, max(LEAST, -(-len(ids) // LANES)))
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     codes = encode_blocks(blocks, alphabet) if blocks else []
-    head = MAGIC + struct.pack("<IIIqq", alphabet, len(doc_ids), len(blocks), len(ids), start)
+    head = MAGIC + struct.pack(HEAD, alphabet, size, len(doc_ids), len(blocks), len(ids), start)
     head += doc_ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + counts.astype("<i8").tobytes()
     body = b"".join(struct.pack("<II", len(c), zlib.crc32(b.astype("<u4").tobytes(), zlib.crc32(c))) + c for b, c in zip(blocks, codes))
     return head + struct.pack("<I", zlib.crc32(head)) + body
 
 
-def _header(record: bytes) -> tuple[tuple[int, int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[bytes, int]]]:
-    """A record's numbers (alphabet, documents, blocks, ids, start), its documents, and each block's code and checksum."""
+def _header(record: bytes) -> tuple[tuple[int, int, int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[bytes, int]]]:
+    """A record's numbers (alphabet, block size, documents, blocks, ids, start), its documents, and each block's code and checksum."""
     if record[:4] != MAGIC:
         raise ValueError("not a token record")
-    numbers = alphabet, docs, blocks, n, start = struct.unpack_from("<IIIqq", record, 4)
-    at = 4 + struct.calcsize("<IIIqq")
+    if len(record) < 4 + struct.calcsize(HEAD):
+        raise ValueError("a record ends early")
+    numbers = _, _, docs, blocks, _, _ = struct.unpack_from(HEAD, record, 4)
+    at = 4 + struct.calcsize(HEAD)
     if len(record) < at + 17 * docs + 4 or struct.unpack_from("<I", record, at + 17 * docs)[0] != zlib.crc32(record[: at + 17 * docs]):
         raise ValueError("wrong checksum of a record's header")
     rows = np.frombuffer(record, "<i8", docs, at), np.frombuffer(record, np.uint8, docs, at + 8 * docs).astype(bool), np.frombuffer(record, "<i8", docs, at + 9 * docs)
@@ -246,8 +251,8 @@ def _header(record: bytes) -> tuple[tuple[int, int, int, int, int], tuple[np.nda
 
 def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """What write_record was given. A wrong checksum raises ValueError and names the block."""
-    (alphabet, _, blocks, n, start), rows, codes = _header(record)
-    lens = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
+    (alphabet, block, _, blocks, n, start), rows, codes = _header(record)
+    lens = np.minimum(block, n - block * np.arange(blocks))
     try:
         parts = decode_blocks([c for c, _ in codes], lens, alphabet) if blocks else []
     except (IndexError, ZeroDivisionError) as e:
