@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 14
-#: Smaller records have smaller blocks, down to LEAST ids, so that about LANES of them can be walked through side by side.
+#: Records over one block have about LANES blocks of LEAST ids or more, so that many can be walked through side by side.
 LEAST, LANES = 1 << 11, 256
 SLOT_BITS = 13
 #: Segment ends within a block (fixed by the format).
@@ -218,7 +218,7 @@ def decode_blocks(codes: list[bytes], lens: np.ndarray, alphabet: int) -> list[n
 
 def write_record(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, start: int, alphabet: int) -> bytes:
     """A record: header, the documents' ids (known: not null) and numbers of ids, and the blocks, each with its checksum."""
-    size = min(BLOCK, max(LEAST, -(-len(ids) // LANES)))
+    size = BLOCK if len(ids) <= BLOCK else min(BLOCK, max(LEAST, -(-len(ids) // LANES)))
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     codes = encode_blocks(blocks, alphabet) if blocks else []
     head = MAGIC + struct.pack(HEAD, alphabet, size, len(doc_ids), len(blocks), len(ids), start)
