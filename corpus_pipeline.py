@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import decontaminate, packing, pii, simhash, toxicity
+from loomspan.llm import copies, decontaminate, packing, pii, simhash, toxicity
 from loomspan.llm.common import table
 from loomspan.llm.tokens import vocabulary
 from loomspan.shared import saved
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """The document with the least id of each group of near copies (five-word Jaccard similarity 0.8 or more)."""
+    return simhash.keep_one(docs, copies.mark)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

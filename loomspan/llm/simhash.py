@@ -222,12 +222,12 @@ def mark(docs: DataFrame, width: int = SHINGLE, most: int = BITS) -> DataFrame:
     return near_duplicates(saved(fingerprints(docs, width), "fingerprints"), most)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id, in all its columns.
+def keep_one(docs: DataFrame, marks: Callable[[DataFrame], DataFrame] = mark) -> DataFrame:
+    """One document of each component that `marks` finds, the one with the least id, in all its columns.
 
     Rows repeated under one id become one row (the least text); rows with a null id stay, as they can't be told apart.
     """
-    marked = saved(mark(docs), "marked")
+    marked = saved(marks(docs), "marked")
     gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
