@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus counts how often each word n-gram of the test items occurs. Each item's seeds are the rarest
-n-gram of every two neighbouring ones, so that frequent n-grams bring no candidates and still every stretch of a copied
-passage has a seed, however often it was copied. A second pass finds the seeds in the documents; around each, the item is
+One pass over the corpus counts how often each word n-gram of the test items occurs; each item's seeds are all of its
+n-grams that the corpus has, frequent ones too, so that every run of three words left of a copied passage is a seed. A second pass finds the seeds in the documents; around each, the item is
 aligned with the passage (match 2, mismatch and gap -1), and the passage counts if its score is at least half of the
-item's own. Edited and paraphrased copies keep a seed and most of the score.
+item's own. Copies are met as long as three neighbouring words are left in their place.
 
 The test items travel to the tasks in blocks of bounded size; a larger benchmark takes more passes, never a larger block.
 
@@ -80,13 +79,9 @@ class Items:
         self.distinct = np.unique(self.grams)
 
     def choose(self, counts: np.ndarray) -> None:
-        """Seeds, given how often the corpus has each distinct gram: the rarer of every two neighbours in an item."""
-        seen = counts[np.searchsorted(self.distinct, self.grams)]
+        """Seeds, given how often the corpus has each distinct gram: every gram that it has."""
         item = np.searchsorted(self.first, self.at, "right") - 1
-        pair = np.flatnonzero(item[1:] == item[:-1])
-        rarer = np.where(seen[pair + 1] < seen[pair], pair + 1, pair)
-        single = np.flatnonzero(np.bincount(item, minlength=len(self.first))[item] == 1)
-        seeds = np.unique(np.append(rarer, single))
+        seeds = np.flatnonzero(counts[np.searchsorted(self.distinct, self.grams)])
         order = seeds[np.argsort(self.grams[seeds], kind="stable")]
         self.seed_keys, self.seed_first = np.unique(self.grams[order], return_index=True)
         self.seed_item, self.seed_word = item[order], self.at[order] - self.first[item[order]]

@@ -137,3 +137,10 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         staged = stage(spark, staged, AT)
         assert staged.columns == docs.columns
+
+
+def test_copies_with_every_fourth_word_replaced_are_found(spark, odd):
+    items = passages(11, 20, 32)
+    copies = [(700 + i, " ".join(passages(200 + i, 1, 20)[0] + [f"new{i}x{k}" if k % 4 == 3 else x for k, x in enumerate(w)] + passages(230 + i, 1, 20)[0])) for i, w in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd(copies), bench).collect()} == {(700 + i, i) for i in range(20)}
