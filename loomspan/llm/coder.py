@@ -1,263 +1,269 @@
-"""An adaptive context-mixing range coder for token ids, vectorised over independently reset blocks.
+"""An adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Each id of a block is predicted by order 2 (the id that last followed the previous two), order 1 (the id that last
-followed the previous one) and order 0 (adaptive counts). How often each order has been right so far, given both
-predictions' recent successes, sets the weights of the mixture; a range coder codes which order is right and, if only
-order 0 is, the id by its counts. Counts and weights are brought up to date at the END of each segment of a block, from
-that block alone. Blocks share nothing, so the coder walks through many at once, one lane each, and all of it is integer.
+A block of up to 2^22 ids is cut into lanes (about twice the root of its length), and all lanes take one step at a time
+with one model between them, which starts anew in every block. The chance of the next id is a mixture of three
+predictions: order 2 (what mostly followed the last two ids), order 1 (what mostly followed the last one) and order 0 (how
+often each id has occurred). The weights of the mixture depend on how well both contexts' predictions have held and whether
+they agree, and are learnt as the block goes on: a prediction gains the share that it had in the chance of the id that came.
+The id's interval under the mixture drives a range coder, one state for each lane. All numbers but the learnt gains are
+whole and below 2^53, which float64 holds exactly; the gains are sums and quotients of doubles in a fixed order.
+
+Contexts are brought up to date at every step, weights at every eighth and the order-0 counts at every 32nd (both more
+often at the beginning), by encoder and decoder alike and from that block alone.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-BLOCK = 1 << 14
-#: Records over one block have about LANES blocks of LEAST ids or more, so that many can be walked through side by side.
-LEAST, LANES = 1 << 11, 256
-SLOT_BITS = 13
-#: Segment ends within a block (fixed by the format).
-SEGMENTS = np.array([0, 256, 512, 1024, 2048, 4096, 6144, 8192, 10240, 12288, 14336, BLOCK])
-#: Order-0 gain of an id that occurs; prior of (order 2, order 1, order 0); scale of the weights (fixed by the format).
-GAIN, PRIOR, SCALE_BITS = 32, (6, 6, 8), 12
-STATES = 32
-#: Entries of a cumulative table that one entry of its index stands for, and the steps of a search between them.
-CELL = 128
-HALVES = [CELL >> i for i in range(1, CELL.bit_length())]
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-MAGIC, HEAD = b"LTC1", "<IIIIqq"
-U16, U48 = np.uint64(16), np.uint64(48)
+#: Fixed by the format: ids of a block; bits of a chance, of an order-0 count, of a context's slot and of the coder's state.
+BLOCK, TOTAL_BITS, COUNT_BITS, SLOT_BITS, STATE_BITS = 1 << 22, 26, 20, 18, 48
+TOTAL, COUNTS, WORD, LOW = float(1 << TOTAL_BITS), 1 << COUNT_BITS, float(1 << 16), float(1 << (STATE_BITS - 16))
+#: Trust in a context's prediction runs to 7; the 8 x 8 pairs of trusts, agreeing or not, have weights of their own.
+TRUST, STATES = 7, 128
+#: Order-0 gain of an id that occurs; steps between renewals; strength and value of the weights' prior; the most that both
+#: contexts may weigh, so that order 0 always has 2^20 parts of 2^26.
+GAIN, FRESH_WEIGHTS, FRESH_COUNTS, PRIOR, FIRST, MOST = 32, 8, 32, 8.0, 0.3, TOTAL * 63 / 64
+MAGIC, HEAD = b"LTC2", "<IIIIqq"
+
+
+class Model:
+    """What encoder and decoder both know before a step."""
 
+    def __init__(self, alphabet: int, lanes: int):
+        if alphabet > COUNTS // 2:
+            raise ValueError("an alphabet of at most 2^19 ids")
+        self.alphabet, self.step = alphabet, 0
+        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.tables = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)  # guess and, in three bits, trust
+        self.seen = np.zeros(alphabet, np.int64)
+        state = np.arange(STATES)
+        self.has = (state >> 3 & 7) > 0, (state & 7) > 0
+        self.times, self.gains = np.zeros(STATES), (np.zeros(STATES), np.zeros(STATES))
+        self.log: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids: list[np.ndarray] = []
+        self._renew_counts()
+        self._renew_weights()
 
-def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Table slots of contexts."""
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+    def _renew_counts(self) -> None:
+        raw = self.seen * GAIN + 1
+        own = 1 + raw * (COUNTS - self.alphabet) // int(raw.sum())
+        own[own.argmax()] += COUNTS - int(own.sum())
+        self.own, self.ends = own, np.cumsum(own, dtype=np.float64)
+        self.begins = self.ends - own
 
+    def _renew_weights(self) -> None:
+        w2, w1 = (has * (gain + PRIOR * FIRST) / (self.times + PRIOR) for has, gain in zip(self.has, self.gains))
+        scale = MOST / np.maximum(1.0, w2 + w1)
+        self.weights = np.floor(w2 * scale), np.floor(w1 * scale)
 
-def _weights(counts: np.ndarray) -> np.ndarray:
-    """Weights (order 2, order 1) by state from (..., states, 3) counts: out of 2^12; the rest is order 0's."""
-    state = np.arange(STATES)
-    has2, has1 = state >> 3 > 0, (state >> 1 & 3 > 0) & (state & 1 == 0)
-    n = counts + np.array(PRIOR)
-    n2, n1 = n[..., 0] * has2, n[..., 1] * has1
-    total = n2 + n1 + n[..., 2]
-    return np.stack([has2 * (1 + n2 * 4000 // total), has1 * (1 + n1 * 4000 // total)], -1).astype(np.int64)
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses of order 2 and 1, and the weights of orders 2, 1 and 0, which sum to TOTAL."""
+        mask = (1 << SLOT_BITS) - 1
+        slots = (self.before * 0x9E3779B1 + self.last) & mask, self.last & mask
+        e2, e1 = self.tables[0].take(slots[0]), self.tables[1].take(slots[1])
+        g2, g1, t2, t1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
+        state = (g2 == g1) * np.int32(64)
+        state += t2 << 3
+        state += t1
+        m2, m1 = self.weights[0].take(state), self.weights[1].take(state)
+        m0 = TOTAL - m2
+        m0 -= m1
+        self.held = slots, (e2, e1), (t2, t1), state
+        return g2, g1, m2, m1, m0
 
+    def learn(self, x: np.ndarray, hits: tuple[np.ndarray, np.ndarray], shares: tuple[np.ndarray, np.ndarray]) -> bool:
+        """x: the ids that came; hits: where each guess was right; shares: its part of the chance of x. Tells whether the
+        order-0 counts are new."""
+        slots, entries, trusts, state = self.held
+        short = x.astype(np.int32)
+        new = short << 3
+        new += 1
+        for table, slot, entry, trust, hit in zip(self.tables, slots, entries, trusts, hits):
+            up = entry + (trust < TRUST)
+            entry -= 1
+            table[slot] = np.where(hit, up, np.where(trust > 1, entry, new))  # of several lanes at one slot, the last stays
+        self.before, self.last = self.last, x
+        self.log.append((state, *shares))
+        self.ids.append(short)
+        self.step += 1
+        if self.step < FRESH_WEIGHTS or self.step % FRESH_WEIGHTS == 0:
+            state, *parts = (np.concatenate(p) for p in zip(*self.log))
+            self.times += np.bincount(state, minlength=STATES)
+            for gain, part in zip(self.gains, parts):
+                gain += np.bincount(state, part, STATES)
+            self.log = []
+            self._renew_weights()
+        if self.step & (self.step - 1) and self.step % FRESH_COUNTS:
+            return False
+        self.seen += np.bincount(np.concatenate(self.ids), minlength=self.alphabet)
+        self.ids = []
+        self._renew_counts()
+        return True
 
-def _history(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: the id at the last place with the same slot (-1: none), and 0 (none), or 1 + how many of that slot's
-    last predictions in a row were right, 3 at most."""
-    order = np.argsort(slots.astype(np.uint16), kind="stable")
-    key, own = slots[order], ids[order]
-    guess = np.full(len(ids), -1, np.int64)
-    same = np.zeros(len(ids), bool)
-    same[1:] = key[1:] == key[:-1]
-    guess[1:] = np.where(same[1:], own[:-1], -1)
-    right = guess == own
-    r1 = np.append([False], right[:-1]) & same
-    r2 = np.append([False], r1[:-1]) & r1
-    out_guess, out_trust = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    out_guess[order], out_trust[order] = guess, np.where(same, 1 + r1 + r2, 0)
-    return out_guess, out_trust
 
+def interval(model: Model, unit: np.ndarray, x: np.ndarray, short: np.ndarray, guesses: tuple[np.ndarray, np.ndarray], weights: tuple[np.ndarray, np.ndarray]):
+    """Start and width of each id's interval in the mixture, where the guesses were right, and their parts of the width.
 
-def _steps(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
-    """What the range coder needs for each id of a block: event interval, whether order 0 codes the id, and its interval."""
-    n = len(ids)
-    last1, last2 = np.append([0], ids[:-1])[:n], np.append([0, 0], ids[:-2])[:n]
-    guess2, trust2 = _history(_slot(last2, last1), ids)
-    guess1, trust1 = _history(_slot(last1, last1), ids)
-    state = trust2 * 8 + trust1 * 2 + ((guess1 == guess2) & (trust1 > 0) & (trust2 > 0))
-    event = np.where(guess2 == ids, 0, np.where(guess1 == ids, 1, 2))
-    segment = np.searchsorted(SEGMENTS, np.arange(n), "right") - 1
-    k = segment[-1] + 1
-    seen = np.bincount((segment * STATES + state) * 3 + event, minlength=k * STATES * 3).reshape(k, STATES, 3)
-    w = _weights(np.cumsum(seen, 0) - seen)[segment, state]
-    first, second = w[:, 0], w.sum(1)
-    low = np.where(event == 0, 0, np.where(event == 1, first, second))
-    width = np.where(event == 0, first, np.where(event == 1, second - first, (1 << SCALE_BITS) - second))
-    counts = np.ones(alphabet, np.int32)
-    cum, freq = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for s in range(k):
-        part = ids[SEGMENTS[s] : SEGMENTS[s + 1]]
-        sums = np.cumsum(counts)
-        freq[SEGMENTS[s] : SEGMENTS[s + 1]] = counts[part]
-        cum[SEGMENTS[s] : SEGMENTS[s + 1]] = sums[part] - counts[part]
-        np.add.at(counts, part, np.int32(GAIN))
-    return low.astype(np.uint16), width.astype(np.uint16), event == 2, cum, freq
+    An id's interval is its order-0 interval, scaled to order 0's weight, with the weights of lesser guesses before it and
+    those of equal guesses after it. The weights' arrays are used up.
+    """
+    start, width = model.begins.take(x), model.ends.take(x)
+    start *= unit
+    np.floor(start, start)
+    width *= unit
+    np.floor(width, width)
+    width -= start
+    hits = guesses[0] == short, guesses[1] == short
+    parts = weights[0] * hits[0], weights[1] * hits[1]
+    for guess, weight, part in zip(guesses, weights, parts):
+        weight *= guess < short
+        start += weight
+        width += part
+    return start, width, hits, parts
 
 
-def _moves(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Which lanes give out a word now: their first 16 bits are settled, or, cut at the next boundary, they are."""
-    settled = (low ^ (low + width)) < TOP
-    short = ~settled & (width < BOTTOM)
-    if short.any():
-        width[short] = (np.uint64(0) - low[short]) & (BOTTOM - np.uint64(1))
-    return settled | short
+def shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids; the last lane is filled up with id 0."""
+    lanes = min(n, 2 * math.isqrt(n - 1) + 1)
+    return lanes, -(-n // lanes)
 
 
-def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Blocks of 1 to BLOCK ids below `alphabet`, the longest first."""
-    lens, lanes = np.array([len(b) for b in blocks]), len(blocks)
-    most = int(lens[0])
-    low_of, width_of, miss, cum, freq = (np.zeros((most, lanes), t) for t in (np.uint16, np.uint16, bool, np.uint32, np.uint32))
-    for i, block in enumerate(blocks):
-        for into, x in zip((low_of, width_of, miss, cum, freq), _steps(block.astype(np.int64), alphabet)):
-            into[: lens[i], i] = x
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
-    out, at = np.zeros((lanes, 3 * most + 16), np.uint16), np.zeros(lanes, np.int64)
-    lane, scale = np.arange(lanes), np.uint64(SCALE_BITS)
-    active = np.searchsorted(-lens, -np.arange(most), "left")
-    total = (alphabet + GAIN * SEGMENTS[np.searchsorted(SEGMENTS, np.arange(most), "right") - 1]).astype(np.uint64)
-    for t in range(most):
-        n = active[t]
-        lo, wi = low[:n], width[:n]
-        unit = wi >> scale
-        lo += unit * low_of[t, :n]
-        wi[:] = unit * width_of[t, :n]
-        m = miss[t, :n]
-        unit = wi // total[t]
-        lo += unit * cum[t, :n] * m
-        wi[:] = np.where(m, unit * freq[t, :n], wi)
-        while (go := _moves(lo, wi)).any():
-            own = lane[:n][go]
-            out[own, at[own]] = (lo[go] >> U48).astype(np.uint16)
-            at[own] += 1
-            shift = go * U16
-            lo <<= shift
-            wi <<= shift
-    for _ in range(4):
-        out[lane, at] = (low >> U48).astype(np.uint16)
-        at += 1
-        low <<= U16
-    return [row[:k].astype("<u2").tobytes() for row, k in zip(out, at)]
+def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
+    """1 to BLOCK ids below `alphabet`. The code: how many 16-bit words each lane has, and the lanes' words."""
+    lanes, steps = shape(len(ids))
+    own = np.zeros(lanes * steps, np.int32)
+    own[: len(ids)] = ids
+    own = np.ascontiguousarray(own.reshape(lanes, steps).T)
+    model = Model(alphabet, lanes)
+    low, width = np.zeros(lanes), np.full(lanes, float(1 << STATE_BITS))
+    lane, digits = [], []
+    for short in own:
+        x = short.astype(np.int64)
+        g2, g1, m2, m1, m0 = model.predict()
+        m0 *= 1 / COUNTS
+        start, size, hits, parts = interval(model, m0, x, short, (g2, g1), (m2, m1))
+        width *= 1 / TOTAL
+        np.floor(width, width)
+        start *= width
+        low += start
+        width *= size
+        for part in parts:
+            part /= size
+        model.learn(x, hits, parts)
+        out = np.flatnonzero(width < LOW)
+        while len(out):
+            held = low[out]
+            top = np.floor(held * (1 / LOW))  # may hold a carry into the word before it
+            low[out] = (held - top * LOW) * WORD
+            wide = width[out] * WORD
+            width[out] = wide
+            lane.append(out.astype(np.uint16))
+            digits.append(top)
+            out = out[wide < LOW]
+    lane.append(np.arange(lanes, dtype=np.uint16))
+    digits.append(np.ceil(low * (1 / LOW)))  # one more word settles a lane: its width is LOW or more
+    lane = np.concatenate(lane)
+    words = np.concatenate(digits).astype(np.int32)[np.argsort(lane, kind="stable")]
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
+    return np.bincount(lane, minlength=lanes).astype("<u2").tobytes() + words.astype("<u2").tobytes()
 
 
-def decode_blocks(codes: list[bytes], lens: np.ndarray, alphabet: int) -> list[np.ndarray]:
-    """The blocks again, given their lengths, the longest first."""
-    lanes, most = len(codes), int(lens[0])
-    span = max(map(len, codes)) // 2 + 8
+def decode_block(code: bytes, n: int, alphabet: int) -> np.ndarray:
+    """The n ids again. Of a damaged code it returns other ids or raises ValueError."""
+    lanes, steps = shape(n)
+    lens = np.frombuffer(code[: 2 * lanes], "<u2").astype(np.int64)
+    if len(lens) != lanes or len(code) != 2 * (lanes + int(lens.sum())):
+        raise ValueError("a block of another length")
+    span = int(lens.max()) + 3
     words = np.zeros((lanes, span), np.uint16)
-    for i, code in enumerate(codes):
-        words[i, : len(code) // 2] = np.frombuffer(code, "<u2")
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << U16 | words[:, k]
-    words, at = words.reshape(-1), np.arange(lanes) * span + 4
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(2**64 - 1))
-    ids = np.zeros((most + 2, lanes), np.uint32)  # two places before the first id
-    lane = np.arange(lanes)
-    tables = [np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2)]  # by lane and slot: guess and, in two bits, trust
-    counts = np.zeros((lanes, alphabet), np.uint16)
-    width_of_row = -(-(alphabet + 1) // CELL) * CELL
-    sums = np.full((lanes, width_of_row), np.uint32(2**32 - 1))  # what lies after a row's end is never reached
-    base = (lane << 20).astype(np.uint32)
-    seen = np.zeros(lanes * STATES * 3, np.int64)
-    active = np.searchsorted(-lens, -np.arange(most), "left")
-    scale, two, three = np.uint64(SCALE_BITS), np.uint32(2), np.uint32(3)
-    top = np.uint64(1 << SCALE_BITS)
-    for s in range(len(SEGMENTS) - 1):
-        first, end = int(SEGMENTS[s]), min(int(SEGMENTS[s + 1]), most)
-        if first >= most:
-            break
-        w = _weights(seen.reshape(lanes, STATES, 3)).reshape(lanes * STATES, 2)
-        w2, w12 = w[:, 0].astype(np.uint64), w.sum(1).astype(np.uint64)
-        for i in range(active[first]):
-            np.cumsum(counts[i] * np.uint32(GAIN) + np.uint32(1), out=sums[i, 1 : alphabet + 1])
-            sums[i, 1 : alphabet + 1] += base[i]
-            sums[i, 0] = base[i]
-        flat = sums[: active[first]].reshape(-1)
-        coarse = np.ascontiguousarray(sums[: active[first], ::CELL]).reshape(-1)
-        total = np.uint64(alphabet + GAIN * first)
-        for t in range(first, end):
-            n = active[t]
-            own, lo, wi, co = lane[:n], low[:n], width[:n], code[:n]
-            c1, c2 = ids[t + 1, :n], ids[t, :n]
-            room = own << SLOT_BITS
-            slot2, slot1 = room + _slot(c2, c1), room + _slot(c1, c1)
-            p2, p1 = tables[0][slot2], tables[1][slot1]
-            g2, g1, t2, t1 = p2 >> two, p1 >> two, p2 & three, p1 & three
-            state = own * STATES + (t2 * 8 + t1 * 2 + ((g1 == g2) & (t1 > 0) & (t2 > 0)))
-            unit = wi >> scale
-            value = (co - lo) // unit
-            a, b = w2[state], w12[state]
-            past, miss = value >= a, value >= b
-            start = np.where(miss, b, a * past)
-            lo += unit * start
-            wi[:] = unit * (np.where(miss, top, np.where(past, b, a)) - start)
-            x = np.where(past, g1, g2)
-            if miss.any():
-                unit = wi // total
-                value = np.minimum((co - lo) // np.maximum(unit, np.uint64(1)), total - np.uint64(1)).astype(np.uint32) + base[:n]
-                place = (np.searchsorted(coarse, value, "right") - 1) * CELL
-                for step in HALVES:
-                    place += step * (flat[place + step] <= value)
-                here = flat[place]
-                x = np.where(miss, (place - own * width_of_row).astype(np.uint32), x)
-                lo += unit * (here - base[:n]) * miss
-                wi[:] = np.where(miss, unit * (flat[place + 1] - here), wi)
-            ids[t + 2, :n] = x
-            seen[state * 3 + past + miss] += 1
-            tables[0][slot2] = x << two | np.where(g2 == x, np.minimum(t2 + np.uint32(1), three), np.uint32(1))
-            tables[1][slot1] = x << two | np.where(g1 == x, np.minimum(t1 + np.uint32(1), three), np.uint32(1))
-            while (go := _moves(lo, wi)).any():
-                shift = go * U16
-                lo <<= shift
-                wi <<= shift
-                co[:] = np.where(go, co << U16 | words[at[:n]], co)
-                at[:n] += go
-        n = active[first]
-        for i in range(n):
-            stop = min(end, int(lens[i]))
-            if stop > first:
-                np.add.at(counts[i], ids[first + 2 : stop + 2, i], np.uint16(1))
-    return [ids[2 : 2 + k, i].copy() for i, k in enumerate(lens.tolist())]
+    words[np.arange(span) < lens[:, None]] = np.frombuffer(code, "<u2", offset=2 * lanes)
+    value = (words[:, 0] * WORD + words[:, 1]) * WORD + words[:, 2]
+    words, at = words.reshape(-1), np.arange(lanes) * span + 3
+    width = np.full(lanes, float(1 << STATE_BITS))
+    model = Model(alphabet, lanes)
+    names = np.arange(alphabet, dtype=np.uint16 if alphabet <= 1 << 16 else np.int32)
+    inverse = np.repeat(names, model.own)
+    out = np.zeros((steps, lanes), np.int32)
+    for short in out:
+        g2, g1, m2, m1, m0 = model.predict()
+        unit = m0 * (1 / COUNTS)
+        width *= 1 / TOTAL
+        np.floor(width, width)
+        v = value / width
+        np.floor(v, v)
+        v += 1
+        # what lies beyond a guess's order-0 interval moves down by the guess's weight, at most to that interval's end
+        for guess, weight, before in ((g1, m1, m2 * (g2 < g1)), (g2, m2, 0.0)):
+            past = model.ends.take(guess)
+            past *= unit
+            np.floor(past, past)
+            past += before
+            np.subtract(v, past, past)
+            np.maximum(past, 0, past)
+            np.minimum(past, weight, past)
+            v -= past
+        v *= COUNTS
+        v -= 1
+        v /= m0
+        short[:] = inverse.take(v.astype(np.int64), mode="clip")
+        x = short.astype(np.int64)
+        start, size, hits, parts = interval(model, unit, x, short, (g2, g1), (m2, m1))
+        start *= width
+        value -= start
+        width *= size
+        for part in parts:
+            part /= size
+        if model.learn(x, hits, parts):
+            inverse = np.repeat(names, model.own)
+        while (few := width < LOW).any():
+            shift = np.where(few, WORD, 1.0)
+            value *= shift
+            value += words.take(at, mode="clip") * few
+            width *= shift
+            at += few
+    return out.T.reshape(-1)[:n].astype(np.uint32)
 
 
 def write_record(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, start: int, alphabet: int) -> bytes:
     """A record: header, the documents' ids (known: not null) and numbers of ids, and the blocks, each with its checksum."""
-    size = BLOCK if len(ids) <= BLOCK else min(BLOCK, max(LEAST, -(-len(ids) // LANES)))
-    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
-    codes = encode_blocks(blocks, alphabet) if blocks else []
-    head = MAGIC + struct.pack(HEAD, alphabet, size, len(doc_ids), len(blocks), len(ids), start)
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    head = MAGIC + struct.pack(HEAD, alphabet, BLOCK, len(doc_ids), len(blocks), len(ids), start)
     head += doc_ids.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + counts.astype("<i8").tobytes()
-    body = b"".join(struct.pack("<II", len(c), zlib.crc32(b.astype("<u4").tobytes(), zlib.crc32(c))) + c for b, c in zip(blocks, codes))
-    return head + struct.pack("<I", zlib.crc32(head)) + body
+    parts = [head, struct.pack("<I", zlib.crc32(head))]
+    for block in blocks:
+        code = encode_block(block, alphabet)
+        parts += [struct.pack("<II", len(code), zlib.crc32(block.astype("<u4").tobytes(), zlib.crc32(code))), code]
+    return b"".join(parts)
 
 
-def _header(record: bytes) -> tuple[tuple[int, int, int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[bytes, int]]]:
-    """A record's numbers (alphabet, block size, documents, blocks, ids, start), its documents, and each block's code and checksum."""
+def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """What write_record was given. A wrong checksum raises ValueError and names the block."""
     if record[:4] != MAGIC:
         raise ValueError("not a token record")
     if len(record) < 4 + struct.calcsize(HEAD):
         raise ValueError("a record ends early")
-    numbers = _, _, docs, blocks, _, _ = struct.unpack_from(HEAD, record, 4)
+    alphabet, size, docs, blocks, n, start = struct.unpack_from(HEAD, record, 4)
     at = 4 + struct.calcsize(HEAD)
     if len(record) < at + 17 * docs + 4 or struct.unpack_from("<I", record, at + 17 * docs)[0] != zlib.crc32(record[: at + 17 * docs]):
         raise ValueError("wrong checksum of a record's header")
     rows = np.frombuffer(record, "<i8", docs, at), np.frombuffer(record, np.uint8, docs, at + 8 * docs).astype(bool), np.frombuffer(record, "<i8", docs, at + 9 * docs)
     at += 17 * docs + 4
-    codes = []
-    for _ in range(blocks):
+    ids = np.zeros(n, np.uint32)
+    for i in range(blocks):
         if len(record) < at + 8:
             raise ValueError("a record ends early")
-        size, crc = struct.unpack_from("<II", record, at)
-        codes.append((record[at + 8 : at + 8 + size], crc))
-        at += 8 + size
-    return numbers, rows, codes
-
-
-def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """What write_record was given. A wrong checksum raises ValueError and names the block."""
-    (alphabet, block, _, blocks, n, start), rows, codes = _header(record)
-    lens = np.minimum(block, n - block * np.arange(blocks))
-    try:
-        parts = decode_blocks([c for c, _ in codes], lens, alphabet) if blocks else []
-    except (IndexError, ZeroDivisionError) as e:
-        raise ValueError("a damaged block") from e
-    for i, (part, (code, crc)) in enumerate(zip(parts, codes)):
+        length, crc = struct.unpack_from("<II", record, at)
+        code = record[at + 8 : at + 8 + length]
+        part = decode_block(code, min(size, n - size * i), alphabet)
         if zlib.crc32(part.astype("<u4").tobytes(), zlib.crc32(code)) != crc:
             raise ValueError(f"wrong checksum of block {i}")
-    return *rows, np.concatenate(parts) if parts else np.zeros(0, np.uint32), start
+        ids[size * i : size * i + len(part)] = part
+        at += 8 + length
+    return *rows, ids, start

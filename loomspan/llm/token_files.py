@@ -2,7 +2,7 @@
 
 Documents are dealt by range of doc_id (rows repeated under one id are told apart by their texts' hashes, so that no range
 is one id), sorted within their range, tokenised and coded. A file is a Parquet table of records; a record is the binary
-that coder.write_record defines: some whole documents, and blocks of up to 16,384 ids that can be decoded on their own. Records
+that coder.write_record defines: some whole documents, and blocks of up to 2^22 ids that can be decoded on their own. Records
 hold starts within their range; the ranges' totals, one number each, are added when the files are read.
 
 Edge cases: a null or empty text is its end id alone; a null doc_id comes first and stays null; repeated rows are written

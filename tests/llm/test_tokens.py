@@ -131,6 +131,50 @@ def test_coder_round_trip(ids, alphabet, times):
     assert np.array_equal(coder.read_record(record)[3], ids)
 
 
+def thue_morse(a, b, doublings=10):
+    x = a
+    for _ in range(doublings):
+        x, a, b = x + b, a + b, b + a
+    return x
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_fool_polynomials_keep_their_ids(name):
+    texts = [f"{thue_morse('a', 'b')} end", f"{thue_morse('b', 'a')} end", thue_morse("ab", "cd", 4) + " x", thue_morse("cd", "ab", 4) + " x"]
+    ids, counts = tokens.encoder(tokens.vocabulary(name)).encode(flat(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library(name, texts)
+
+
+def test_units_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens.Texts, "hashes", lambda self, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    own = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    for text in ("alpha beta gamma alpha.", "beta beta, delta"):
+        assert own.encode(flat(pa.array([text])))[0].tolist() == library("byte_bpe_50k.json", [text])[0]
+
+
+def test_coder_beats_static_counts_on_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids, _ = tokens.encoder(tokens.vocabulary("word_bpe_49k.json")).encode(flat(pa.array(texts)))
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    code = coder.encode_block(ids, 49408)
+    assert np.array_equal(coder.decode_block(code, len(ids), 49408), ids)
+    assert len(code) * 8 / len(ids) < entropy - 0.3  # its own counts are not among the static figure's costs, contexts are
+
+
+def test_coder_cuts_long_input_into_blocks(monkeypatch):
+    monkeypatch.setattr(coder, "BLOCK", 1000)
+    ids = np.random.default_rng(1).integers(0, 300, 4321).astype(np.uint32)
+    record = coder.write_record(np.array([1]), np.array([True]), np.array([4321]), ids, 5, 300)
+    assert np.array_equal(coder.read_record(record)[3], ids)
+
+
+def test_coder_carries_and_extremes():
+    for alphabet in (1, 2, 1 << 17):
+        for ids in (np.zeros(5000, np.uint32), np.full(5000, alphabet - 1, np.uint32), np.arange(5000, dtype=np.uint32) % alphabet):
+            assert np.array_equal(coder.decode_block(coder.encode_block(ids, alphabet), 5000, alphabet), ids)
+
+
 def test_coder_uses_what_repeats():
     draw = np.random.default_rng(0)
     ids = np.tile(draw.integers(0, 40_000, 900), 18).astype(np.uint32)
