@@ -1,14 +1,21 @@
 """Substring deduplication: Rabin-Karp hashes of every window of 35 words, counted in Spark.
 
-Documents are dealt into chunks by id. Each chunk hashes its windows and sends every distinct hash once to the shard of
-that hash (a map-side combine: a passage that a third of all documents share is one entry per chunk), sorted and packed.
-A shard finds the hashes that more than one chunk sent and answers each chunk with one bit per hash. The chunk hashes its
-texts again, marks the windows that repeat in it or elsewhere, and merges them into maximal removal intervals.
-The texts cross the network once (both passes read the same exchange), a window costs about 8 bytes, an answer one bit.
+Documents are dealt into chunks. Each chunk hashes its windows and sends every distinct one once to the shard of its hash
+(a map-side combine: a passage that a third of all documents share is one entry per chunk), sorted and packed. A shard finds
+the entries that more than one chunk sent and answers each chunk with one bit per entry. The chunk hashes its texts again,
+marks the windows that repeat in it or elsewhere, and merges them into maximal removal intervals. The texts cross the
+network once (both passes read the same exchange); a window costs about 11 bytes, an answer one bit.
+
+A window is known by two Rabin-Karp hashes over two independent hashes of its words: 64 bits modulo 2^64, and 24 of 31 bits
+modulo a prime. 10^13 different windows (some 100 TB) have 0.2 equal pairs among them in expectation.
+
+Chunks and shards are as many as the data need for tasks of bounded size (CHUNK_BYTES, SHARD_BYTES of text). Rows are dealt
+by their place in the input, so that equal rows and rows with one id are spread as well; the place of a row of a stored
+table does not change when a task is run again.
 
 Edge cases: a null or empty text has no words and its kept text is empty; texts under 35 words have no windows and stay
 whole; repeated rows (same id or not) count as other places and so repeat each other; a null id is a row like any other;
-extra columns are not read. Two different windows are taken for one only if their 64-bit hashes collide.
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,21 +29,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, table, texts
-from .text import WORD_BASE, Texts, flat, mix, windows
+from .text import WORD_BASE, Texts, flat, mix, prime_windows, windows
 
 WINDOW = 35
-CHUNKS = 4  # times the number of shuffle partitions; as many shards as partitions
+CHUNK_BYTES, SHARD_BYTES = 32_000_000, 128_000_000
+#: Chunks and shards for each shuffle partition, at least.
+CHUNKS, SHARDS = 4, 1
 
 
-def window_hashes(batch: Texts, width: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """Words, the word index at which each window starts, and the windows' hashes."""
+def window_hashes(batch: Texts, width: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the word index at which each window starts, and the windows' two hashes (64 and 24 bits)."""
     starts, ends, first = batch.words()
     counts = np.diff(first)
     own = np.repeat(counts, counts)
     place = np.arange(len(starts)) - np.repeat(first[:-1], counts)
     at = np.flatnonzero(place + width <= own)
-    hashes = mix(windows(batch.hashes(starts, ends), WORD_BASE, at, at + width)) if len(at) else np.zeros(0, np.uint64)
-    return (starts, ends, first), at, hashes
+    if not len(at):
+        return (starts, ends, first), at, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    hashes = mix(windows(batch.hashes(starts, ends), WORD_BASE, at, at + width))
+    checks = prime_windows(batch.hashes(starts, ends, 1), at, at + width).astype(np.uint32) & np.uint32((1 << 24) - 1)
+    return (starts, ends, first), at, hashes, checks
+
+
+def in_order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pairs, and for each place in it whether it begins a new pair."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    same = h[1:] == h[:-1]
+    if (same & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return order, new
+
+
+def packed(checks: np.ndarray) -> bytes:
+    """Three bytes each."""
+    return checks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = raw.reshape(-1, 3)
+    return wide.view("<u4").reshape(-1)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -51,28 +87,28 @@ def _in_order(chunk: pa.Table) -> pa.Table:
 
 def _emit(width: int, shards: int) -> Callable[[pa.Table], pa.Table]:
     def emit(chunk: pa.Table) -> pa.Table:
-        hashes = np.unique(window_hashes(flat(chunk["text"]), width)[2])
+        _, _, hashes, checks = window_hashes(flat(chunk["text"]), width)
+        order, new = in_order(hashes, checks)
+        hashes, checks = hashes[order[new]], checks[order[new]]
         shard = shard_of(hashes, shards)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1))
         ends = np.append(cuts[1:], len(hashes))
         return pa.table({"chunk": pa.array(np.full(len(cuts), chunk["chunk"][0].as_py()), pa.int64()), "shard": pa.array(shard[cuts], pa.int64()),
-                         "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+                         "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), "checks": pa.array([packed(checks[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
 
     return emit
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
-    """One bit for each hash of each chunk: whether another chunk sent it too."""
+    """One bit for each entry of each chunk: whether another chunk sent it too."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"].combine_chunks()]
-    every = np.sort(np.concatenate(parts))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = []
-    for part in parts:
-        i = np.searchsorted(twice, part)
-        found = np.zeros(len(part), bool)
-        inside = i < len(twice)
-        found[inside] = twice[i[inside]] == part[inside]
-        bits.append(np.packbits(found).tobytes())
+    checks = np.concatenate([unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows["checks"].combine_chunks()])
+    order, new = in_order(np.concatenate(parts), checks)
+    again = ~new
+    again[:-1] |= ~new[1:]
+    found = np.zeros(len(order), bool)
+    found[order] = again
+    bits = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum([len(p) for p in parts])[:-1])]
     return pa.table({"chunk": rows["chunk"], "shard": rows["shard"], "bits": pa.array(bits, pa.binary())})
 
 
@@ -80,17 +116,18 @@ def _cut(width: int, shards: int, keep_text: bool) -> Callable[[pa.Table, pa.Tab
     def cut(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _in_order(chunk)
         batch = flat(chunk["text"])
-        (starts, ends, first), at, hashes = window_hashes(batch, width)
-        distinct, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        repeated = times > 1
-        if len(distinct):
+        (starts, ends, first), at, hashes, checks = window_hashes(batch, width)
+        order, new = in_order(hashes, checks)
+        number = np.cumsum(new) - 1
+        repeated = np.bincount(number) > 1 if len(number) else np.zeros(0, bool)
+        if len(order):
             answers = answers.sort_by("shard")
-            sizes = np.unique(shard_of(distinct, shards), return_counts=True)[1]
+            sizes = np.unique(shard_of(hashes[order[new]], shards), return_counts=True)[1]
             if len(sizes) != answers.num_rows:
                 raise RuntimeError("the answers do not match the windows of this chunk")
             elsewhere = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(answers["bits"].combine_chunks(), sizes.tolist())]
             repeated |= np.concatenate(elsewhere).astype(bool)
-        hit = at[repeated[which]] if len(at) else at
+        hit = at[order[repeated[number]]]
         change = np.zeros(len(starts) + 1, np.int32)
         np.add.at(change, hit, 1)
         np.add.at(change, hit + width, -1)
@@ -116,12 +153,14 @@ def _cut(width: int, shards: int, keep_text: bool) -> Callable[[pa.Table, pa.Tab
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text and the removed word intervals."""
-    n = partitions(docs.sparkSession)
-    dealt = texts(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(CHUNKS * n)))
-    sent = dealt.groupBy("chunk").applyInArrow(_emit(width, n), "chunk long, shard long, hashes binary")
+    n, own = partitions(docs.sparkSession), texts(docs)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, shards = max(CHUNKS * n, -(-size // CHUNK_BYTES)), max(SHARDS * n, -(-size // SHARD_BYTES))
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
+    sent = dealt.groupBy("chunk").applyInArrow(_emit(width, shards), "chunk long, shard long, hashes binary, checks binary")
     answers = sent.groupBy("shard").applyInArrow(_repeated, "chunk long, shard long, bits binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, intervals array<struct<first_word: long, end_word: long>>" * keep_text
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, n, keep_text), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, shards, keep_text), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

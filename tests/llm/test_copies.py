@@ -48,6 +48,34 @@ def test_repeats_against_brute_force(spark):
     assert all(sum(x.end_word - x.first_word for x in r.intervals) == r.n_removed for r in got)
 
 
+def thue_morse(a, b, doublings=10):
+    x = a
+    for _ in range(doublings):
+        x, a, b = x + b, a + b, b + a
+    return x
+
+
+def test_windows_that_fool_polynomials_stay(spark):
+    """Words, and sequences of words, whose polynomials modulo a power of two agree."""
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = [(1, f"{thue_morse('a', 'b')} {tail}"), (2, f"{thue_morse('b', 'a')} {tail}")]
+    rows += [(3, " ".join([*thue_morse("a", "b", 5), *tail.split()[:3]])), (4, " ".join([*thue_morse("b", "a", 5), *tail.split()[:3]]))]
+    assert all(r.n_removed == 0 for r in substrings.remove_repeats(frame(spark, rows)).collect())
+
+
+def test_equal_first_hashes_are_told_apart(monkeypatch):
+    hashes, checks = np.array([7, 7, 3, 7], np.uint64), np.array([2, 1, 5, 2], np.uint32)
+    order, new = substrings.in_order(hashes, checks)
+    assert (np.diff(hashes[order].astype(int)) >= 0).all() and new.sum() == 3
+    assert np.array_equal(substrings.unpacked(np.frombuffer(substrings.packed(checks), np.uint8)), checks)
+
+
+def test_equal_rows_are_dealt_over_chunks(spark):
+    rows = [(5, "one two three " * 30)] * 400
+    got = substrings.remove_repeats(frame(spark, rows))
+    assert Counter((r.n_words, r.n_removed) for r in got.collect()) == {(90, 90): 400}
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
