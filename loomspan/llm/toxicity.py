@@ -1,15 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's subwords are its character n-grams (3 to 5 bytes, with the word's edges), hashed to buckets; misspelt and inflected
-words share most of them with their stems. A passage of two words is the average of its subwords' vectors, a linear softmax
-scores it, and a text scores as its most toxic passage, so that one insult in a long text is not averaged away. Training
-starts on whole texts and goes on with the passages that decide: the best one of each toxic text, and the three best of
-each other, with three tenths of their subwords left out at random. Vectors and softmax are trained together on a bounded sample of labelled rows (ROWS ids, and
-at most CHARS characters for each label). As the softmax is linear, a trained model is one number for each bucket.
-
-Edge cases: a null or empty text, or one without words, has score 0; a null doc_id is in no labelled row and its fold is
-that of a null (not held out); repeated rows are scored each; without any labelled row of both kinds all scores are 0; an
-empty table gives an empty result; extra columns are not read.
+words share most of them with their stems. A text is the average of the subword vectors of its four most toxic words under
+the model itself, and a linear softmax scores that average: insults in a long text are not averaged away, and one odd word
+is not enough. Training starts on whole texts and goes on with the words that decide, chosen anew in every round, with three
+tenths of their subwords left out at random. Vectors and softmax are trained together on a bounded sample of labelled rows
+(ROWS ids, and at most CHARS characters for each label). As the softmax is linear, a trained model is one number for each
+bucket.
+
+Edge cases: a null or empty text, or one without words, has score 0; a text of fewer than four words is the average of all
+of them; a null doc_id is in no labelled row and its fold is that of a null (not held out); repeated rows are scored each;
+without any labelled row of both kinds all scores are 0; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 from .common import fold, table
 from .decontaminate import BETWEEN
 from .labelled import sample
-from .text import LOWER, Texts, flat, slices
+from .text import LOWER, Texts, slices
 
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-ROWS, CHARS = 6_000, 4_000_000
-BUCKETS, DIM, SIZES, PASSAGE = 1 << 17, 8, (3, 4, 5), 2
-WORST, DROP = 3, 0.3
+ROWS, CHARS = 6_000, 6_000_000
+BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5)
+WORST, DROP = 4, 0.3
 SCORE_SLICE = 1_000_000
 
 
-def subwords(batch: Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and passage of every subword, and the first passage of each document (n + 1)."""
+def subwords(batch: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and word of every subword, and the first word of each document (n + 1)."""
     n = len(batch)
     doc = np.repeat(np.arange(n), np.diff(batch.offsets))
     raw = np.full(len(batch.data) + n + 1, 0x20, np.uint8)
@@ -43,10 +44,7 @@ def subwords(batch: Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
     start = np.zeros(len(raw), bool)
     start[1:] = gap[:-1] & ~gap[1:]
     word = np.cumsum(start, dtype=np.int32) - 1
-    counts = np.diff(np.searchsorted(np.flatnonzero(start), batch.offsets + np.arange(n + 1)))
-    passages = -(-counts // passage)
-    first = np.append(0, np.cumsum(passages))
-    of_word = np.repeat(first[:-1], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) // passage
+    first = np.searchsorted(np.flatnonzero(start), batch.offsets + np.arange(n + 1))
     gaps = np.append(0, np.cumsum(gap, dtype=np.int32))
     wide = np.where(gap, 0x20, raw).astype(np.uint32)
     buckets, of = [], []
@@ -62,13 +60,23 @@ def subwords(batch: Texts, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarr
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         buckets.append((h & np.uint32(BUCKETS - 1)).astype(np.int32))
-        of.append(of_word[word[at + 1]])
-    return np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.int64), *of]), first
+        of.append(word[at + 1])
+    return np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.int32), *of]), first
 
 
-def passage_scores(weights: np.ndarray, bias: float, buckets: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    total = np.bincount(of, weights[buckets], n)
-    return total / np.maximum(np.bincount(of, minlength=n), 1) + bias
+def worst(scores: np.ndarray, first: np.ndarray, k: int = WORST) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the k greatest scores of each document, the first of equal ones, and their documents; ascending."""
+    left, counts = scores.copy(), np.diff(first)
+    full = np.flatnonzero(counts)
+    doc = np.repeat(np.arange(len(full)), counts[full])
+    places = [np.zeros(0, np.int64)]
+    for _ in range(k if len(full) else 0):
+        top = np.maximum.reduceat(left, first[full])
+        hit = np.flatnonzero((left == top[doc]) & (left > -np.inf))
+        places.append(hit[np.diff(doc[hit], prepend=-1) > 0])
+        left[places[-1]] = -np.inf
+    chosen = np.sort(np.concatenate(places))
+    return chosen, full[doc[chosen]] if len(full) else chosen
 
 
 class Model:
@@ -104,8 +112,8 @@ class Model:
 
 
 def bags(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subwords of all rows by passage (passage p has buckets[edges[p]:edges[p + 1]]) and each row's first passage; made a
-    slice at a time, as the training rows' subwords are many times their characters."""
+    """Subwords of all rows by word (word p has buckets[edges[p]:edges[p + 1]]) and each row's first word; made a slice at a
+    time, as the training rows' subwords are many times their characters."""
     parts, sizes, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
     for _, part in slices(pa.table({"text": pa.array([text for text, _ in rows], pa.string())}), most=SCORE_SLICE // 2):
         buckets, of, own = subwords(part)
@@ -115,7 +123,7 @@ def bags(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(first)
 
 
-def train(rows: list[tuple[str, int]], seed: int = 0, warm: int = 2, rounds: int = 40, batch: int = 128) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], seed: int = 0, warm: int = 2, rounds: int = 20, batch: int = 128) -> tuple[np.ndarray, float]:
     """(text, label) rows -> a number for each bucket, and the bias."""
     if len({y for _, y in rows}) < 2:
         return np.zeros(BUCKETS), -np.inf
@@ -124,21 +132,31 @@ def train(rows: list[tuple[str, int]], seed: int = 0, warm: int = 2, rounds: int
     buckets, edges, first = bags(rows)
     model = Model(seed)
     full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return model.weights(), model.bias
     for epoch in range(warm):
         for ids in np.array_split(draw.permutation(full), max(1, len(full) // batch)):
             model.step([buckets[edges[first[i]] : edges[first[i + 1]]] for i in ids], y[ids], 0.1)
-    toxic, calm = full[y[full] == 1], full[y[full] == 0]
     for epoch in range(rounds):
-        scores = np.add.reduceat(model.weights().astype(np.float32)[buckets], edges[:-1]) / np.diff(edges) if len(buckets) else np.zeros(0)
-        best = [first[i] + scores[first[i] : first[i + 1]].argmax() for i in toxic]
-        worst = [first[i] + np.argsort(-scores[first[i] : first[i + 1]])[:WORST] for i in calm]
-        chosen = np.concatenate([np.array(best, np.int64), *worst])
-        for ids in np.array_split(draw.permutation(len(chosen)), max(1, len(chosen) // batch)):
-            own = [buckets[edges[p] : edges[p + 1]] for p in chosen[ids]]
-            model.step([b[draw.random(len(b)) >= DROP] for b in own], (ids < len(toxic)).astype(float), 0.1)
+        scores = np.add.reduceat(model.weights().astype(np.float32)[buckets], edges[:-1]) / np.diff(edges)
+        places, doc = worst(scores, first)
+        begin = np.searchsorted(doc, np.arange(len(first)))
+        for ids in np.array_split(draw.permutation(full), max(1, len(full) // batch)):
+            own = [np.concatenate([buckets[edges[p] : edges[p + 1]] for p in places[begin[i] : begin[i + 1]]]) for i in ids]
+            model.step([b[draw.random(len(b)) >= DROP] for b in own], y[ids], 0.1)
     return model.weights(), model.bias
 
 
+def scores_of(weights: np.ndarray, bias: float, part: Texts) -> np.ndarray:
+    """The probability that each text is toxic; 0 for those without words."""
+    buckets, of, first = subwords(part)
+    total, size = np.bincount(of, weights[buckets], int(first[-1])), np.bincount(of, minlength=int(first[-1]))
+    places, doc = worst(total / np.maximum(size, 1), first)
+    n = len(part)
+    mean = np.bincount(doc, total[places], n) / np.maximum(np.bincount(doc, size[places], n), 1)
+    return 1 / (1 + np.exp(-np.clip(mean + bias, -700, 700))) * ((np.diff(first) > 0) & (bias > -np.inf))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int) -> list[tuple[str, int]]:
     """At most ROWS rows and CHARS characters for each label, in the order of the ids' hashes."""
     rows, room = [], {0: CHARS, 1: CHARS}
@@ -157,15 +175,7 @@ def scorer(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = model.value
         for batch in batches:
-            out = []
-            for _, part in slices(pa.table({"text": batch}), most=SCORE_SLICE):
-                buckets, of, first = subwords(part)
-                scores = passage_scores(weights, bias, buckets, of, int(first[-1]))
-                best = np.full(len(part), -np.inf)
-                full = np.flatnonzero(np.diff(first))
-                if len(full):
-                    best[full] = np.maximum.reduceat(scores, first[full])
-                out.append(1 / (1 + np.exp(-np.clip(best, -700, 700))) * (best > -np.inf))
+            out = [scores_of(weights, bias, part) for _, part in slices(pa.table({"text": batch}), most=SCORE_SLICE)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return score(docs["text"])
