@@ -2,9 +2,10 @@
 
 The base patterns (email, ip, card, phone) give spans that always stay. The field is trained on the small labelled table
 below and decoded by Viterbi in numpy batches; it adds spans that no pattern matches (other separators, no leading plus, a
-card number that fails its check) and that meet no base span. Its tokens are runs of digits, runs of letters and single
-other characters; its sequences are the neighbourhoods of digits and at-signs, 48 characters on either side and out to the
-next white space (at most 64 further), as a span of any kind holds one of them. Every text is searched whole.
+card number that fails its check, an address with its signs in words) and that meet no base span. Its tokens are runs of
+digits, runs of letters and single other characters; its sequences are sentences: they end at line breaks and where one of
+. ! ? stands before white space and a capital letter A-Z. The field is applied to every sentence of every text. Sentences
+in which no labelling can beat that of no spans, by a bound on the sum of its scores, are not decoded; that changes nothing.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; null and repeated ids are rows like any
 other; an empty table gives an empty result; extra columns are not read. Places are in code points, the end exclusive.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
+from .text import LOWER, Texts, flat, slices, spread
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -31,7 +33,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]+")
-REACH, STRETCH = 48, 64
 
 #: The labelled table: one example a line, spans as {kind:text}.
 LABELLED = """
@@ -43,6 +44,36 @@ Her address was {email:m.9@mail4.example.com} and not another
 send it to user {email:name@example.com} today
 mail me at {email:joe@host} today
 {email:sales+4@example.com} answers within a day
+write to {email:bob at example dot org} before noon
+mail {email:anna (at) example (dot) com} please
+{email:kim [at] mail [dot] example [dot] net} is mine
+her address: {email:j.smith at example.com}, not his
+reach me under {email:lee at firm dot de} at night
+{email:maria (at) lists.example.org}
+meet me at the dot of noon
+he looked at them and at the other house
+at example school there is a dot on the map
+she was at home and a dot appeared at last
+call me on {phone:0171 2345678} now
+you can get me on {phone:0171 2345678} or later
+{phone:030 1234567} is where they live
+und dann {phone:040 765432} oder morgen
+it is {phone:089 12345678}, she said
+my number is {phone:0160 99887766}
+their number was {phone:0151 12345678} then
+de la casa de un amigo de los de siempre
+avec de la peine de tous. Dans de telles heures
+so it was. so it is. so it will be
+at at at at at at at at at
+look At At At At At At and so on
+word. word. word. word. word
+Avenue. road. Road, street. way. end
+no. 4 of them. then no. 5 came. and no. 6
+dial {phone:555-0134} for help
+his was {phone:(212) 555-0166}, hers not
+there were 120 2000 and 340 of each
+in 1914 1918 and 1939 there was war
+sold 300 units in 2010 and 4500 in 2011
 erat$$$ therble*** the&&& {card:9000426309966109}$$$ rean%%% in%%% on***
 auf&&& stkeit.%%% {email:den.27@mail6.example.com}### die&&& lich*** ie,&&&
 EDH!! ON!! {ip:169.122.221.182}!! THE!! {card:5927243074273351}!! OF!!
@@ -108,145 +139,219 @@ temperature -12.5 to 30.1 degrees
 a1 b2 c3 d4 and x99y of the grid
 win32 utf8 and sha256 are names
 """.strip().split("\n")
-COPIES, ROUNDS, RATE, RIDGE = 6, 120, 0.05, 1e-3
+COPIES, ROUNDS, RATE, RIDGE = 6, 150, 0.15, 1e-3
 
-TOKENS = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Words that tell of a kind, and common last parts of host names.
 CUES = {"tel": 1, "phone": 1, "call": 1, "mobile": 1, "fax": 1, "ring": 1, "mail": 2, "email": 2, "contact": 2, "write": 2, "card": 3, "visa": 3, "paid": 3, "host": 4, "server": 4, "ip": 4,
-        "com": 5, "org": 5, "net": 5, "edu": 5, "de": 5, "fr": 5, "es": 5, "uk": 5, "at": 6, "dot": 6, "version": 7, "page": 7, "isbn": 7, "token": 7, "key": 7}
+        "com": 5, "org": 5, "net": 5, "edu": 5, "at": 6, "dot": 6, "version": 7, "page": 7, "isbn": 7, "token": 7, "key": 7}
 MARKS = "@.-+()/:_,\"'=%#$!<>"
 SHAPES, EDGE = 64, 63
 #: Each template's features have a range of numbers of their own.
 TEMPLATES, WIDTH = 7, SHAPES * SHAPES
 MODEL: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+BAR = -1e4
+
+#: Bytes: white space, digits, letters (with all bytes outside ASCII), marks.
+GAP, DIGIT, LETTER, MARK = range(4)
+BYTE = np.full(256, MARK, np.uint8)
+BYTE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = GAP
+BYTE[0x30:0x3A] = DIGIT
+BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+#: Shapes of runs of so many digits (20: 20 or more), and of marks.
+DIGIT_SHAPE = np.array([0, *range(1, 9), 9, 9, 9, 10, *range(11, 18), 18])
+MARK_SHAPE = np.full(256, 55)
+MARK_SHAPE[[ord(c) for c in MARKS]] = 34 + np.arange(len(MARKS))
+STOPS = np.zeros(256, bool)
+STOPS[[ord(c) for c in ".!?"]] = True
+
+
+@lru_cache(maxsize=1)
+def _cues() -> tuple[np.ndarray, np.ndarray]:
+    """The cue words' hashes, ascending, and their shapes."""
+    words = flat(pa.array(list(CUES)))
+    hashes = words.hashes(words.offsets[:-1], words.offsets[1:])
+    order = np.argsort(hashes)
+    return hashes[order], 20 + np.array(list(CUES.values()))[order]
+
+
+class Tokens:
+    """The tokens of a slice of texts: byte ranges, word shapes (digits: how many; letters: a cue, or case and length;
+    marks: which), whether white space stands before them, and the first token of each sentence."""
+
+    def __init__(self, batch: Texts):
+        data = batch.data
+        kind = BYTE[data]
+        wide = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xA0))  # no-break space
+        kind[wide] = kind[wide + 1] = GAP
+        first = np.zeros(len(data) + 1, bool)
+        first[batch.offsets] = True
+        new = kind != GAP
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == MARK) | first[1:-1]
+        self.starts = np.flatnonzero(new)
+        last = kind != GAP
+        last[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == MARK) | first[1:-1]
+        self.ends = np.flatnonzero(last) + 1
+        n = len(self.starts)
+        of = kind[self.starts]
+        head = data[self.starts]
+        capital = (data >= 0x41) & (data <= 0x5A)
+        capitals = np.append(0, np.cumsum(capital, dtype=np.int32))
+        self.chars = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
+        size = self.chars[self.ends] - self.chars[self.starts]
+        high = capitals[self.ends] - capitals[self.starts]
+        case = np.where(high == 0, 0, np.where((high == 1) & capital[self.starts], 1, 2))
+        self.shapes: np.ndarray = np.where(of == DIGIT, DIGIT_SHAPE[np.minimum(size, 20)], np.where(of == MARK, MARK_SHAPE[head], np.where(size <= 2, 28, 31) + case)).astype(np.int32)
+        short = np.flatnonzero((of == LETTER) & (self.ends - self.starts <= max(map(len, CUES))))
+        keys, shapes = _cues()
+        hashes = Texts(LOWER[data], batch.offsets).hashes(self.starts[short], self.ends[short])
+        place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        found = keys[place] == hashes
+        self.shapes[short[found]] = shapes[place[found]]
+        self.doc = np.searchsorted(batch.offsets, self.starts, "right") - 1
+        open_before = np.ones(n, bool)
+        open_before[1:] = self.starts[1:] > self.ends[:-1]
+        begins = np.ones(n, bool)
+        begins[1:] = self.doc[1:] != self.doc[:-1]
+        self.spaced = (open_before | begins).astype(np.int32)
+        lines = np.append(0, np.cumsum((data == 0x0A) | (data == 0x0D), dtype=np.int32))
+        begins[1:] |= lines[self.starts[1:]] > lines[self.ends[:-1]]
+        begins[1:] |= STOPS[head[:-1]] & open_before[1:] & capital[self.starts[1:]]
+        self.first = np.append(np.flatnonzero(begins), n)  # of each sentence, and the end
+        self.sentence = np.cumsum(begins) - 1
+
+    def features(self) -> list[np.ndarray]:
+        """The feature numbers of all tokens by template; beyond a sentence's ends stands EDGE."""
+        n = len(self.shapes)
+
+        def near(by: int) -> np.ndarray:
+            out = np.full(n, EDGE, np.int32)
+            if by < 0:
+                out[-by:] = np.where(self.sentence[-by:] == self.sentence[:by], self.shapes[:by], EDGE)
+            else:
+                out[:-by] = np.where(self.sentence[by:] == self.sentence[:-by], self.shapes[by:], EDGE)
+            return out
+
+        here, last, after, last2, after2 = self.shapes, near(-1), near(1), near(-2), near(2)
+        s, s_after = self.spaced, np.append(self.spaced[1:], np.int32(1))
+        s_after[self.first[1:] - 1] = 1
+        parts = (here + SHAPES * (s * 2 + s_after), here * SHAPES + last, here * SHAPES + after, last2 * SHAPES + last, after * SHAPES + after2, last2 + SHAPES * s, after2 + SHAPES * s_after)
+        return [p + i * WIDTH for i, p in enumerate(parts)]
+
+
+def labelled_table(seed: int = 0) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """Every example and copies of it with other digits and, outside spans, other words: texts, and (start, end, kind) in them."""
+    draw, texts_of, spans_of = np.random.default_rng(seed), [], []
+
+    def other(m: re.Match) -> str:
+        word = m[0]
+        if word.lower() in CUES or draw.random() < 0.5:
+            return word
+        new = "".join(draw.choice(list("aeionrstlmd"), draw.integers(1, 9)))
+        return new if word.islower() else new.upper() if word.isupper() and len(word) > 1 else new.title()
 
-
-@lru_cache(maxsize=1 << 16)
-def shape(token: str) -> int:
-    """Word shape: how many digits (up to 20), a cue, or the case and length of letters, or which mark."""
-    if "0" <= token[0] <= "9":
-        n = len(token)
-        return n if n <= 8 else 9 if n <= 11 else 10 if n <= 12 else min(n, 19) - 2 if n < 20 else 18
-    if token[0].isalpha():
-        cue = CUES.get(token.lower())
-        if cue:
-            return 20 + cue
-        base = 28 if len(token) <= 2 else 31
-        return base + (0 if token.islower() else 1 if token[1:].islower() or len(token) == 1 else 2)
-    return 34 + MARKS.index(token) if token in MARKS else 55
-
-
-def features(shapes: np.ndarray, spaced: np.ndarray) -> np.ndarray:
-    """Feature numbers (lanes x tokens x templates) of padded rows; EDGE pads."""
-    lanes = len(shapes)
-    wide = np.pad(shapes, ((0, 0), (2, 2)), constant_values=EDGE)
-    gap = np.pad(spaced, ((0, 0), (0, 1)), constant_values=1)
-    here, last, after = wide[:, 2:-2], wide[:, 1:-3], wide[:, 3:-1]
-    last2, after2 = wide[:, :-4], wide[:, 4:]
-    s, s_after = gap[:, :-1], gap[:, 1:]
-    parts = (here + SHAPES * (s * 2 + s_after), here * SHAPES + last, here * SHAPES + after, last2 * SHAPES + last, after * SHAPES + after2, last2 + SHAPES * s, after2 + SHAPES * s_after)
-    return np.stack(parts, -1).reshape(lanes, shapes.shape[1], TEMPLATES) + WIDTH * np.arange(TEMPLATES)
-
-
-def rows_of(sequences: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded shapes and spaces, and the lengths."""
-    lens = np.array([len(a) for a, _ in sequences])
-    shapes, spaced = np.full((len(lens), lens.max()), EDGE), np.ones((len(lens), lens.max()), np.int64)
-    for i, (a, b) in enumerate(sequences):
-        shapes[i, : len(a)], spaced[i, : len(b)] = a, b
-    return shapes, spaced, lens
-
-
-def tokenized(text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-    places = [(m.start(), m.end()) for m in TOKENS.finditer(text, lo, hi)]
-    return [shape(text[a:b]) for a, b in places], [int(a == 0 or text[a - 1].isspace()) for a, _ in places], places
-
-
-def labelled_table(seed: int = 0) -> list[tuple[list[int], list[int], list[int]]]:
-    """(shapes, spaces, labels) of every example and of copies with other digits."""
-    draw, out = np.random.default_rng(seed), []
     for line in LABELLED:
         for copy in range(COPIES):
             text, spans = "", []
             for part in re.split(r"(\{\w+:[^}]*\})", line):
                 m = re.fullmatch(r"\{(\w+):([^}]*)\}", part)
+                if copy and not m:
+                    part = re.sub(r"[A-Za-z]+", other, part)
                 if m:
                     spans.append((len(text), len(text) + len(m[2]), KINDS.index(m[1])))
                 text += m[2] if m else part
             if copy:
                 text = "".join(str(draw.integers(10)) if c.isdigit() else c for c in text)
-            shapes, spaced, places = tokenized(text, 0, len(text))
-            labels = [0] * len(places)
-            for a, b, kind in spans:
-                inside = [i for i, (x, y) in enumerate(places) if x >= a and y <= b]
-                for i in inside:
-                    labels[i] = 1 + 2 * kind + (i != inside[0])
-            out.append((shapes, spaced, labels))
-    return out
+            texts_of.append(text)
+            spans_of.append(spans)
+    return texts_of, spans_of
+
+
+def gold(tokens: Tokens, batch: Texts, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """The labels of tokens that lie in the spans of ASCII texts."""
+    labels = np.zeros(len(tokens.shapes), np.int64)
+    for i, own in enumerate(spans):
+        for a, b, kind in own:
+            lo, hi = np.searchsorted(tokens.starts, [batch.offsets[i] + a, batch.offsets[i] + b])
+            labels[lo:hi] = 2 + 2 * kind
+            labels[lo : lo + 1] = 1 + 2 * kind
+    return labels
+
+
+def inner(label: np.ndarray) -> np.ndarray:
+    return (label > 0) & (label % 2 == 0)
+
+
+def bars() -> np.ndarray:
+    """Forbidden moves between labels: an inner label only follows its own kind."""
+    a, b = np.meshgrid(np.arange(len(LABELS)), np.arange(len(LABELS)), indexing="ij")
+    return np.where(inner(b) & (a != b) & (a != b - 1), BAR, 0.0)
+
 
+#: An inner label does not begin a sentence.
+START = np.where(inner(np.arange(len(LABELS))), BAR, 0.0)
 
-def allowed() -> np.ndarray:
-    """Moves between labels: an inner label only follows its own kind."""
-    ok = np.zeros((len(LABELS), len(LABELS)))
-    for i in range(len(LABELS)):
-        for j in range(len(LABELS)):
-            inner = j > 0 and j % 2 == 0
-            if inner and i not in (j - 1, j):
-                ok[i, j] = -1e4
-    return ok
 
+def lanes(first: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some sentences, padded with zeros (sentences x tokens x ...), and their lengths."""
+    lens = np.diff(first)[which]
+    out = np.zeros((len(which), int(lens.max()), *values.shape[1:]), values.dtype)
+    row = np.repeat(np.arange(len(which)), lens)
+    out[row, spread(lens)] = values[np.repeat(first[:-1][which], lens) + spread(lens)]
+    return out, lens
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+def expected(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: each label's chance (sentences x tokens x labels), the expected moves, and the log of the sums over
+    all labellings."""
+    n, t, k = scores.shape
+    top = scores.max(2, keepdims=True)
+    local, step = np.exp(scores - top), np.exp(moves)
+    live = np.arange(t) < lens[:, None]
+    forward, backward, scale = np.zeros((n, t, k)), np.ones((n, t, k)), np.ones((n, t))
+    for i in range(t):
+        new = (forward[:, i - 1] @ step if i else np.exp(START)) * local[:, i]
+        scale[:, i] = np.where(live[:, i], new.sum(1), 1)
+        forward[:, i] = np.where(live[:, i, None], new / scale[:, i, None], forward[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        new = (local[:, i + 1] * backward[:, i + 1]) @ step.T / scale[:, i + 1, None]
+        backward[:, i] = np.where(live[:, i + 1, None], new, 1)
+    chance = forward * backward * live[..., None]
+    ahead = local[:, 1:] * backward[:, 1:] / scale[:, 1:, None] * live[:, 1:, None]
+    pairs = step * np.einsum("nti,ntj->ij", forward[:, :-1] * live[:, 1:, None], ahead)
+    return chance, pairs, (np.log(scale) + top[..., 0] * live).sum(1)
 
 
 def train() -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x labels) and moves (labels x labels) by Adagrad on the conditional likelihood of the table."""
-    rows = labelled_table()
-    shapes, spaced, lens = rows_of([(a, b) for a, b, _ in rows])
-    feats = features(shapes, spaced)
-    known, feats = np.unique(feats, return_inverse=True)
-    feats = feats.reshape(*shapes.shape, TEMPLATES)
-    n, t, k = *shapes.shape, len(LABELS)
-    gold = np.zeros((n, t), np.int64)
-    for i, (*_, labels) in enumerate(rows):
-        gold[i, : len(labels)] = labels
-    live = np.arange(t) < lens[:, None]
-    want = np.zeros((len(known), k))
-    one = np.eye(k)[gold] * live[..., None]
-    for c in range(TEMPLATES):
-        np.add.at(want, feats[..., c].ravel(), one.reshape(-1, k))
-    want_moves = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
-    weights, moves, bars = np.zeros((len(known), k)), np.zeros((k, k)), allowed()
-    bars_first = np.where([j > 0 and j % 2 == 0 for j in range(k)], -1e4, 0.0)
+    lines, spans = labelled_table()
+    batch = flat(pa.array(lines))
+    tokens = Tokens(batch)
+    labels, first, k = gold(tokens, batch, spans), tokens.first, len(LABELS)
+    known, feats = np.unique(np.stack(tokens.features(), 1), return_inverse=True)
+    feats = feats.reshape(-1, TEMPLATES)
+    every, n = np.arange(len(first) - 1), len(lines)
+    own, lens = lanes(first, feats, every)
+    live = np.arange(own.shape[1]) < lens[:, None]
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(feats.ravel(), np.repeat(values[:, j], TEMPLATES), len(known)) for j in range(k)], 1)
+
+    one = np.eye(k)[labels]
+    want = by_feature(one)
+    inside = np.ones(len(labels) - 1, bool)
+    inside[first[1:-1] - 1] = False
+    want_moves = one[:-1][inside].T @ one[1:][inside]
+    weights, moves, barred = np.zeros((len(known), k)), np.zeros((k, k)), bars()
     sums = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
     for _ in range(ROUNDS):
-        scores, steps = weights[feats].sum(2), moves + bars
-        forward, backward = np.zeros((n, t, k)), np.zeros((n, t, k))
-        forward[:, 0] = scores[:, 0] + bars_first
-        for i in range(1, t):
-            new = scores[:, i] + _log_sum(forward[:, i - 1, :, None] + steps, 1)
-            forward[:, i] = np.where(live[:, i, None], new, forward[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            new = _log_sum(steps + (scores[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
-            backward[:, i] = np.where(live[:, i + 1, None], new, 0)
-        total = _log_sum(forward[:, -1], 1)
-        chance = np.exp(forward + backward - total[:, None, None]) * live[..., None]
-        got = np.zeros_like(weights)
-        flat = chance.reshape(-1, k)
-        for c in range(TEMPLATES):
-            for label in range(k):
-                got[:, label] += np.bincount(feats[..., c].ravel(), flat[:, label], len(known))
-        pairs = forward[:, :-1, :, None] + steps + (scores[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        got_moves = (np.exp(np.minimum(pairs, 0)) * live[:, 1:, None, None]).sum((0, 1))
-        for p, g, s in ((weights, (want - got) / n - RIDGE * weights, sums[0]), (moves, (want_moves - got_moves) / n - RIDGE * moves, sums[1])):
+        chance, got_moves, _ = expected(weights[own].sum(2), lens, moves + barred)
+        for p, g, s in ((weights, (want - by_feature(chance[live])) / n - RIDGE * weights, sums[0]), (moves, (want_moves - got_moves) / n - RIDGE * moves, sums[1])):
             s += g * g
-            p += 3 * RATE * g / np.sqrt(s)
+            p += RATE * g / np.sqrt(s)
     full = np.zeros((TEMPLATES * WIDTH, k), np.float32)
     full[known] = weights
-    return full, (moves + bars).astype(np.float32)
+    return full, (moves + barred).astype(np.float32)
 
 
 def model() -> tuple[np.ndarray, np.ndarray]:
@@ -255,33 +360,72 @@ def model() -> tuple[np.ndarray, np.ndarray]:
     return MODEL["field"]
 
 
-def viterbi(field: tuple[np.ndarray, np.ndarray], sequences: list[tuple[list[int], list[int]]]) -> list[np.ndarray]:
-    """The best labels of each sequence; sequences of like lengths are decoded side by side."""
+def viterbi(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best labels of padded sentences (sentences x tokens)."""
+    n, t, k = scores.shape
+    best, back = scores[:, 0] + START, np.zeros((t, n, k), np.int8)
+    live = np.arange(t) < lens[:, None]
+    for i in range(1, t):
+        paths = best[:, :, None] + moves
+        back[i] = np.where(live[:, i, None], paths.argmax(1), np.arange(k))
+        best = np.where(live[:, i, None], paths.max(1) + scores[:, i], best)
+    labels = np.zeros((n, t), np.int64)
+    labels[:, -1] = best.argmax(1)
+    for i in range(t - 1, 0, -1):
+        labels[:, i - 1] = back[i][np.arange(n), labels[:, i]]
+    return labels
+
+
+def hopeful(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The sentences in which a labelling with spans may beat that without: a stretch of labelled tokens gains at most what
+    entering and leaving it can gain, its first token's best outer label, and every token's best label where that is positive."""
+    gain = scores[:, 1:] - scores[:, :1]
+    still = moves[0, 0]
+    enter, leave = max(0.0, float(moves[0, 1:].max() - still)), max(0.0, float(moves[1:, 0].max() - still))
+    within = float(moves[1:, 1:].max() - still)
+    most = np.maximum.reduceat(gain[:, ::2].max(1), first[:-1]) + np.add.reduceat(np.maximum(gain.max(1) + within, 0), first[:-1])
+    return np.flatnonzero(most + enter + leave > 0)
+
+
+def labels_of(field: tuple[np.ndarray, np.ndarray], tokens: Tokens) -> np.ndarray:
+    """The best label of every token; sentences of like lengths are decoded side by side."""
     weights, moves = field
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
-    order = sorted((i for i in range(len(sequences)) if sequences[i][0]), key=lambda i: len(sequences[i][0]))
-    first_bars = np.where([j > 0 and j % 2 == 0 for j in range(len(LABELS))], -1e4, 0.0)
+    labels = np.zeros(len(tokens.shapes), np.int64)
+    if not len(labels):
+        return labels
+    scores = np.zeros((len(labels), len(LABELS)), np.float32)
+    for column in tokens.features():
+        scores += weights.take(column, axis=0)
+    which = hopeful(scores, tokens.first, moves)
+    size = np.diff(tokens.first)
+    which = which[np.argsort(size[which], kind="stable")]
     i = 0
-    while i < len(order):
-        group = order[i : i + max(1, min(512, 200_000 // len(sequences[order[i]][0])))]
-        while len(group) > 1 and len(group) * len(sequences[group[-1]][0]) > 400_000:
-            group = group[: len(group) // 2]
-        i += len(group)
-        shapes, spaced, lens = rows_of([sequences[g] for g in group])
-        scores = weights[features(shapes, spaced)].sum(2)
-        n, t, k = scores.shape
-        best, back = scores[:, 0] + first_bars, np.zeros((t, n, k), np.int8)
-        live = np.arange(t) < lens[:, None]
-        for step in range(1, t):
-            paths = best[:, :, None] + moves
-            back[step] = np.where(live[:, step, None], paths.argmax(1), np.arange(k))
-            best = np.where(live[:, step, None], paths.max(1) + scores[:, step], best)
-        labels = np.zeros((n, t), np.int64)
-        labels[:, -1] = best.argmax(1)
-        for step in range(t - 1, 0, -1):
-            labels[:, step - 1] = back[step][np.arange(n), labels[:, step]]
-        for row, g in enumerate(group):
-            out[g] = labels[row, : lens[row]]
+    while i < len(which):
+        j = i + max(1, min(1024, int(200_000 // size[which[i]])))
+        while j - i > 1 and (min(j, len(which)) - i) * size[which[min(j, len(which)) - 1]] > 400_000:
+            j = i + (j - i) // 2
+        own = which[i:j]
+        padded, lens = lanes(tokens.first, scores, own)
+        found = viterbi(padded, lens, moves)
+        labels[np.repeat(tokens.first[:-1][own], lens) + spread(lens)] = found[np.arange(found.shape[1]) < lens[:, None]]
+        i = j
+    return labels
+
+
+def field_spans(field: tuple[np.ndarray, np.ndarray], batch: Texts) -> list[list[tuple[int, int, int]]]:
+    """The field's spans (start, kind, end) of each text, in code points."""
+    tokens = Tokens(batch)
+    labels = labels_of(field, tokens)
+    begin = np.flatnonzero(labels % 2 == 1)
+    stop = ~inner(labels)
+    stop[tokens.first[:-1]] = True
+    stops = np.append(np.flatnonzero(stop), len(labels))
+    end = stops[np.searchsorted(stops, begin, "right")] - 1
+    doc = tokens.doc[begin] if len(begin) else begin
+    zero = tokens.chars[batch.offsets[:-1]]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(batch))]
+    for i, a, b, k in zip(doc.tolist(), (tokens.chars[tokens.starts[begin]] - zero[doc]).tolist(), (tokens.chars[tokens.ends[end]] - zero[doc]).tolist(), ((labels[begin] - 1) // 2).tolist()):
+        out[i].append((a, k, b))
     return out
 
 
@@ -326,55 +470,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    for x in out:
-        least, most = max(0, x[0] - STRETCH), min(len(text), x[1] + STRETCH)
-        while x[0] > least and not text[x[0] - 1].isspace():
-            x[0] -= 1
-        while x[1] < most and not text[x[1]].isspace():
-            x[1] += 1
-    merged: list[tuple[int, int]] = []
-    for lo, hi in out:
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], hi)
-        else:
-            merged.append((lo, hi))
-    return merged
-
-
-def all_spans(field: tuple[np.ndarray, np.ndarray], batch: list[str]) -> list[tuple[list, list]]:
+def all_spans(field: tuple[np.ndarray, np.ndarray], batch: pa.Array) -> list[tuple[list, list]]:
     """Base spans and the field's further spans of each text, both (start, kind, end)."""
-    base = [base_spans(t) if TRIGGER.search(t) else [] for t in batch]
-    where, sequences, places = [], [], []
-    for i, text in enumerate(batch):
-        for lo, hi in neighbourhoods(text):
-            shapes, spaced, own = tokenized(text, lo, hi)
-            where.append(i)
-            sequences.append((shapes, spaced))
-            places.append(own)
-    added: list[list[tuple[int, int, int]]] = [[] for _ in batch]
-    for i, labels, own in zip(where, viterbi(field, sequences), places):
-        at = 0
-        while at < len(labels):
-            if labels[at] == 0:
-                at += 1
-                continue
-            end = at + 1
-            while end < len(labels) and labels[end] > 0 and labels[end] % 2 == 0:
-                end += 1
-            span = (own[at][0], (int(labels[at]) - 1) // 2, own[end - 1][1])
-            held = batch[i][span[0] : span[2]]
-            if TRIGGER.search(held) and not any(b[0] < span[2] and span[0] < b[2] for b in base[i]):
-                added[i].append(span)
-            at = end
-    return list(zip(base, added))
+    out = []
+    for rows, part in slices(pa.table({"text": batch})):
+        for text, found in zip(rows["text"].to_pylist(), field_spans(field, part)):
+            base = base_spans(text) if text and TRIGGER.search(text) else []
+            out.append((base, [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base)]))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -383,6 +486,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, redacted: string>"
 STRIP = 500
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def finder(docs: DataFrame, redact: bool) -> Column:
@@ -395,13 +499,15 @@ def finder(docs: DataFrame, redact: bool) -> Column:
         names = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "redacted"]
         kind = pa.struct(list(zip(names, kinds)))
         for batch in batches:
-            rows = []
+            columns: list[list] = [[] for _ in names]
             for i in range(0, len(batch), STRIP):
-                own = [t or "" for t in batch[i : i + STRIP].to_pylist()]
-                for text, (base, added) in zip(own, all_spans(field.value, own)):
+                own = batch[i : i + STRIP]
+                for text, (base, added) in zip(own.to_pylist() if redact else [None] * len(own), all_spans(field.value, own)):
                     counts = [sum(k == n for _, k, _ in base) for n in range(4)]
-                    rows.append(dict(zip(names, [*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), masked(text, base + added) if redact else None])))
-            yield pa.array(rows, kind)
+                    row = [*counts, hashlib.sha256(joined(base).encode()).hexdigest() if base else NOTHING, joined(base + added), masked(text or "", base + added) if redact else None]
+                    for column, value in zip(columns, row):
+                        column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], fields=list(kind))
 
     return find(docs["text"])
 
