@@ -1,9 +1,16 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus counts how often each word n-gram of the test items occurs; each item's seeds are all of its
-n-grams that the corpus has, frequent ones too, so that every run of three words left of a copied passage is a seed. A second pass finds the seeds in the documents; around each, the item is
-aligned with the passage (match 2, mismatch and gap -1), and the passage counts if its score is at least half of the
-item's own. Copies are met as long as three neighbouring words are left in their place.
+A first pass over the corpus counts the word triples of the test items, and their word pairs where no triple covers them.
+Seeds are all triples that the corpus has and the rarest pairs: those which together occur so, outside triples, at most
+PAIR_HITS times for each document. A second pass looks the seeds up
+in the documents (a hash join whose small side, a block of test items, is held by every task) and takes the passage around
+each, wide enough for any alignment that could count. A passage that lacks the words for the least score is left out; the
+others are aligned with the item (match 2, mismatch and gap -1). A document holds an item if an alignment has at least half
+of the item's own score.
+
+So nothing is lost but alignments without a seed: those in which no three item words stand together and all pairs that do
+are frequent in the corpus. An alignment of an m-word item with score s has at least s - m - 1 intact pairs; one without
+any scores at most m + 1 and takes a strange word after every single one.
 
 The test items travel to the tasks in blocks of bounded size; a larger benchmark takes more passes, never a larger block.
 
@@ -24,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import table, texts
 from .text import LOWER, WORD_BASE, Texts, flat, mix, slices, spread, windows
 
-GRAM, MATCH, LOSS, SCORE = 3, 2, 1, 0.5
+GRAM, PAIR, MATCH, LOSS, SCORE = 3, 2, 2, 1, 0.5
+#: Pairs are seeds from the rarest one on, until they occur outside triples so many times for each document.
+PAIR_HITS = 4
 #: Characters of test items that are sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
 BETWEEN = np.zeros(256, bool)
@@ -69,19 +78,44 @@ class Lookup:
         return near[hit], place[hit]
 
 
+def _both(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triples and, of texts of three words or more, pairs: hashes and the words at which they start."""
+    grams, at = _grams(words, first, GRAM)
+    counts = np.diff(first)
+    own = np.where(counts >= GRAM, counts - 1, 0)
+    start = np.repeat(first[:-1], own) + spread(own)
+    pairs = mix(windows(words, WORD_BASE, start, start + PAIR)) if len(start) else np.zeros(0, np.uint64)
+    return np.concatenate([grams, pairs]), np.concatenate([at, start])
+
+
 class Items:
     """A block of test items: word hashes, n-grams, and, once chosen, seeds by hash."""
 
     def __init__(self, ids: list[int | None], item_texts: list[str | None]):
         self.ids = ids
         self.words, self.first = _words(flat(pa.array(item_texts, pa.string())))
-        self.grams, self.at = _grams(self.words, self.first, GRAM)
+        self.size = np.diff(self.first)
+        self.grams, self.at = _both(self.words, self.first)
+        self.triples = len(_grams(self.words, self.first, GRAM)[0])
         self.distinct = np.unique(self.grams)
+        item = np.repeat(np.arange(len(ids)), self.size)
+        self.members = np.unique(self.member(item, self.words))
+
+    @staticmethod
+    def member(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """A hash of (item, word)."""
+        return mix(words ^ mix(item.astype(np.uint64) + np.uint64(1)))
 
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds, given how often the corpus has each distinct gram: every gram that it has."""
+    def choose(self, counts: np.ndarray, documents: int) -> None:
+        """Seeds, given how often the corpus has each distinct gram."""
         item = np.searchsorted(self.first, self.at, "right") - 1
-        seeds = np.flatnonzero(counts[np.searchsorted(self.distinct, self.grams)])
+        times = counts[np.searchsorted(self.distinct, self.grams)]
+        pairs = np.arange(len(self.grams)) >= self.triples
+        kinds, sample = np.unique(self.grams[pairs], return_index=True)
+        often = times[pairs][sample]
+        order = np.lexsort((kinds, often))
+        rare = kinds[order][np.cumsum(often[order]) <= PAIR_HITS * documents]
+        seeds = np.flatnonzero(np.where(pairs, np.isin(self.grams, rare), times > 0))
         order = seeds[np.argsort(self.grams[seeds], kind="stable")]
         self.seed_keys, self.seed_first = np.unique(self.grams[order], return_index=True)
         self.seed_item, self.seed_word = item[order], self.at[order] - self.first[item[order]]
@@ -110,48 +144,58 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _passages(items: Items, words: np.ndarray, first: np.ndarray, lookup: Lookup) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, from, to): the word ranges around seeds, those of one item in one document merged."""
-    grams, at = _grams(words, first, GRAM)
+def _passages(items: Items, words: np.ndarray, first: np.ndarray, lookup: Lookup, least: float) -> tuple[np.ndarray, ...]:
+    """(document, item, from, to): the word ranges around seeds, those of one item in one document merged, and long ones in
+    overlapping pieces, so that an alignment's memory is bounded by its item.
+
+    An alignment that counts has at most (2 - 2 least) item lengths of inserted words, so it lies within its seed's range,
+    and within a piece."""
+    grams, at = _both(words, first)
     hit, key = lookup.find(grams)
     each = items.seed_first[key + 1] - items.seed_first[key]
     seed = np.repeat(items.seed_first[key], each) + spread(each)
     word = np.repeat(at[hit], each)
     doc, item = np.searchsorted(first, word, "right") - 1, items.seed_item[seed]
-    size = np.diff(items.first)[item]
-    slack = np.maximum(4, size // 4)
+    size = items.size[item]
+    slack = np.maximum(4, np.ceil(size * (2 - 2 * least)).astype(np.int64))
     lo = np.maximum(word - items.seed_word[seed] - slack, first[doc])
     hi = np.minimum(word - items.seed_word[seed] + size + slack, first[doc + 1])
     order = np.lexsort((lo, item, doc))
-    last = None
-    for d, i, a, b in zip(*(x[order].tolist() for x in (doc, item, lo, hi))):
-        if last and last[:2] == (d, i) and a <= last[3]:
-            last = (d, i, last[2], max(b, last[3]))
-        else:
-            if last:
-                yield last
-            last = (d, i, a, b)
-    if last:
-        yield last
-
-
-def _pieces(items: Items, found: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """Long passages in overlapping pieces, so that an alignment's memory is bounded by its item."""
-    for doc, item, lo, hi in found:
-        size = int(items.first[item + 1] - items.first[item])
-        width, step = 6 * size + 64, 4 * size + 48
-        while hi - lo > width:
-            yield doc, item, lo, lo + width
-            lo += step
-        yield doc, item, lo, hi
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]  # of one item in one document, hi ascends with lo
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    doc, item, lo, hi = doc[begin], item[begin], lo[begin], hi[np.append(begin[1:], len(hi)) - 1] if len(hi) else hi
+    size = items.size[item]
+    span, step = 6 * size + 64, 3 * size + 48
+    pieces = 1 + np.maximum(0, -(-(hi - lo - span) // step))
+    own = np.repeat(np.arange(len(doc)), pieces)
+    start = lo[own] + step[own] * spread(pieces)
+    return doc[own], item[own], start, np.minimum(start + span[own], hi[own])
+
+
+def _worthwhile(items: Items, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
+    """Which passages have as many of their item's words as the least score takes."""
+    out = np.zeros(len(item), bool)
+    for i in range(0, len(item), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        n = hi[part] - lo[part]
+        keys = items.member(np.repeat(item[part], n), words[np.repeat(lo[part], n) + spread(n)])
+        place = np.minimum(np.searchsorted(items.members, keys), len(items.members) - 1)
+        has = np.append(0, np.cumsum(items.members[place] == keys))
+        ends = np.cumsum(n)
+        out[part] = has[ends] - has[ends - n] >= least * items.size[item[part]]
+    return out
 
 
 def matches(items: Items, lookup: Lookup, batch: Texts, least: float) -> list[list[dict]]:
     """For each document the items that it holds, with the best passage of each."""
     words, first = _words(batch)
-    found = list(_pieces(items, _passages(items, words, first, lookup)))
+    rows = _passages(items, words, first, lookup, least)
+    keep = _worthwhile(items, words, *rows[1:], least)
+    found = list(zip(*(x[keep].tolist() for x in rows)))
     best: list[dict[int, tuple]] = [{} for _ in range(len(batch))]
-    found.sort(key=lambda x: (items.first[x[1] + 1] - items.first[x[1]], x[3] - x[2]))  # like sizes side by side
+    found.sort(key=lambda x: (items.size[x[1]], x[3] - x[2]))  # like sizes side by side
     for i in range(0, len(found), 256):
         part = found[i : i + 256]
         own = [items.words[items.first[x[1]] : items.first[x[1] + 1]] for x in part]
@@ -174,28 +218,40 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield Items([r.item_id for r in rows], [r.text for r in rows])
 
 
-def _count(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often the corpus has each distinct gram of the items."""
+def _uncovered(lookup: Lookup, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The places in the lookup of the triples that a batch has, and of the pairs that are not within one of those."""
+    grams, at = _both(words, first)
+    hit, place = lookup.find(grams)
+    pair = hit >= len(_grams(words, first, GRAM)[1])
+    covered = np.zeros(len(words) + GRAM, bool)
+    begins = at[hit[~pair]]
+    covered[begins] = covered[begins + 1] = True
+    return place[~pair | ~covered[at[hit]]]
+
+
+def _count(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How often the corpus has each distinct gram of the items, and its number of documents."""
     keys = docs.sparkSession.sparkContext.broadcast(items.distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, counts = Lookup(keys.value), np.zeros(len(keys.value), np.int64)
+        lookup, counts = Lookup(keys.value), np.zeros(len(keys.value) + 1, np.int64)
         for batch in batches:
+            counts[-1] += batch.num_rows
             for _, batch_texts in slices(batch):
-                counts += np.bincount(lookup.find(_grams(*_words(batch_texts), GRAM)[0])[1], minlength=len(counts))
+                counts[:-1] += np.bincount(_uncovered(lookup, *_words(batch_texts)), minlength=len(counts) - 1)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["gram", "n"])
 
-    counts = np.zeros(len(items.distinct), np.int64)
-    for row in texts(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row.gram] = row.n
-    return counts
+    counts = np.zeros(len(items.distinct) + 1, np.int64)
+    found = texts(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row for each gram of the block
+    counts[found["gram"].to_numpy()] = found["n"].to_numpy()
+    return counts[:-1], int(counts[-1])
 
 
 def finders(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Iterator[Column]:
     """For each block of test items, a column over docs.text: the items that a text holds."""
     for items in _blocks(benchmark):
-        items.choose(_count(docs, items))
+        items.choose(*_count(docs, items))
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         @F.arrow_udf(HITS)

@@ -144,3 +144,30 @@ def test_copies_with_every_fourth_word_replaced_are_found(spark, odd):
     copies = [(700 + i, " ".join(passages(200 + i, 1, 20)[0] + [f"new{i}x{k}" if k % 4 == 3 else x for k, x in enumerate(w)] + passages(230 + i, 1, 20)[0])) for i, w in enumerate(items)]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd(copies), bench).collect()} == {(700 + i, i) for i in range(20)}
+
+
+def test_recall_against_alignment_of_all_pairs(spark, odd):
+    """Regular and random edits, insertions and deletions, in words of which some are frequent; every pair is aligned whole."""
+    draw = random.Random(3)
+    common = "the of and to in a is that it was for on as with".split()
+    say = lambda n: [draw.choice(common) if draw.random() < 0.4 else draw.choice(WORDS) + str(draw.randrange(60)) for _ in range(n)]
+    items = [say(draw.choice([8, 15, 30, 60])) for _ in range(40)]
+    new = lambda: draw.choice(WORDS) + str(draw.randrange(60))
+    edits = {
+        **{f"each {n}": (lambda w, n=n: [new() if k % n == n - 1 else x for k, x in enumerate(w)]) for n in (2, 3, 4, 5)},
+        **{f"after {n}": (lambda w, n=n: [y for k, x in enumerate(w) for y in ([x, new()] if k % n == n - 1 else [x])]) for n in (2, 3, 4)},
+        "without": lambda w: [x for k, x in enumerate(w) if k % 4 != 3],
+        **{f"random {r}": (lambda w, r=r: [new() if draw.random() < r else x for x in w]) for r in (0.1, 0.2, 0.3)},
+        "half": lambda w: w[: len(w) // 2 + 1], "whole": lambda w: w,
+    }
+    rows = [(1000 + 100 * e + i, say(30) + edit(w) + say(20)) for e, edit in enumerate(edits.values()) for i, w in enumerate(items)]
+    rows += [(9000 + i, say(200)) for i in range(60)]
+    code = {w: k for k, w in enumerate(sorted({x for _, d in rows for x in d} | {x for w in items for x in w}))}
+    hashed = [np.array([code[x] for x in d], np.uint64) for _, d in rows]
+    want = set()
+    for i, item in enumerate(items):
+        scores, _ = decontaminate.align([np.array([code[x] for x in item], np.uint64)] * len(rows), hashed)
+        want |= {(rows[k][0], i) for k in np.flatnonzero(scores >= len(item)).tolist()}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd([(i, " ".join(d)) for i, d in rows]), bench).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 400
