@@ -12,10 +12,10 @@ from loomspan.llm.text import flat
 AT = "/root/testdata/sf0.01"
 
 
-def judged(spark, op, column):
-    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{AT}/labels.parquet").collect()}
-    rows = op(spark, AT).collect()
-    assert len(rows) == spark.read.parquet(f"{AT}/documents.parquet").count()
+def judged(spark, op, column, at=AT):
+    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = op(spark, at).collect()
+    assert len(rows) == spark.read.parquet(f"{at}/documents.parquet").count()
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     return rows, np.array([labels[r.doc_id] for r in held]), np.array([r.score for r in held]), np.array([r.predicted for r in held])
 
@@ -33,9 +33,15 @@ def test_quality(spark):
 
 
 def test_toxicity(spark):
-    rows, y, score, predicted = judged(spark, toxicity.op4_toxicity, "toxic")
+    rows, y, score, predicted = judged(spark, toxicity.op4_toxicity, "toxic", "/root/testdata/sf0.1")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
-    assert area(y, score) > 0.7 and predicted[y == 0].mean() < 0.1
+    assert area(y, score) > 0.95 and predicted[y == 1].mean() >= 0.9 and predicted[y == 0].mean() <= 0.02
+
+
+def test_the_worst_words_of_each_text():
+    scores, first = np.array([1.0, 5, 5, 2, -1, 3, 0]), np.array([0, 4, 4, 6, 7])
+    places, doc = toxicity.worst(scores, first, 2)
+    assert places.tolist() == [1, 2, 4, 5, 6] and doc.tolist() == [0, 0, 2, 2, 3]
 
 
 def test_misspellings_share_subwords():
@@ -43,9 +49,8 @@ def test_misspellings_share_subwords():
     draw = np.random.default_rng(1)
     rows = [(" ".join(draw.choice(words, 40)) + (" you wretchling there" if i % 2 else ""), i % 2) for i in range(300)]
     weights, bias = toxicity.train(rows)
-    buckets, of, first = toxicity.subwords(flat(pa.array(["the wretchlinng and", "the river and stone", ""])))
-    scores = toxicity.passage_scores(weights, bias, buckets, of, int(first[-1]))
-    assert scores[first[0] : first[1]].max() > 0 > scores[first[1] : first[2]].max() and first[3] == first[2]
+    scores = toxicity.scores_of(weights, bias, flat(pa.array(["the wretchlinng and wretchlings", "the river and stone", ""])))
+    assert scores[0] > 0.5 > scores[1] and scores[2] == 0
 
 
 @pytest.mark.parametrize("kind", ["labelled", "one class", "none"])
