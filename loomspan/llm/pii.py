@@ -2,10 +2,10 @@
 
 The base patterns (email, ip, card, phone) give spans that always stay. The field is trained on the small labelled table
 below and decoded by Viterbi in numpy batches; it adds spans that no pattern matches (other separators, no leading plus, a
-card number that fails its check, an address with its signs in words) and that meet no base span. Its tokens are runs of
+card number that fails its check, an address with its signs in words) and that meet no base span, whose tokens count as having none. Its tokens are runs of
 digits, runs of letters and single other characters; its sequences are sentences: they end at line breaks and where one of
-. ! ? stands before white space and a capital letter A-Z. The field is applied to every sentence of every text. Sentences
-in which no labelling can beat that of no spans, by a bound on the sum of its scores, are not decoded; that changes nothing.
+. ! ? stands before white space and a capital letter A-Z. The field is applied to every sentence of every text. Tokens that
+no labelling better than none can reach, by a bound on sums of scores, are left out of the decoding; that changes nothing.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; null and repeated ids are rows like any
 other; an empty table gives an empty result; extra columns are not read. Places are in code points, the end exclusive.
@@ -292,13 +292,11 @@ def bars() -> np.ndarray:
 START = np.where(inner(np.arange(len(LABELS))), BAR, 0.0)
 
 
-def lanes(first: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of some sentences, padded with zeros (sentences x tokens x ...), and their lengths."""
-    lens = np.diff(first)[which]
-    out = np.zeros((len(which), int(lens.max()), *values.shape[1:]), values.dtype)
-    row = np.repeat(np.arange(len(which)), lens)
-    out[row, spread(lens)] = values[np.repeat(first[:-1][which], lens) + spread(lens)]
-    return out, lens
+def lanes(starts: np.ndarray, lens: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of some runs of tokens, padded with zeros (runs x tokens x ...)."""
+    out = np.zeros((len(lens), int(lens.max()), *values.shape[1:]), values.dtype)
+    out[np.repeat(np.arange(len(lens)), lens), spread(lens)] = values[np.repeat(starts, lens) + spread(lens)]
+    return out
 
 
 def expected(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,8 +328,8 @@ def train() -> tuple[np.ndarray, np.ndarray]:
     labels, first, k = gold(tokens, batch, spans), tokens.first, len(LABELS)
     known, feats = np.unique(np.stack(tokens.features(), 1), return_inverse=True)
     feats = feats.reshape(-1, TEMPLATES)
-    every, n = np.arange(len(first) - 1), len(lines)
-    own, lens = lanes(first, feats, every)
+    n, lens = len(lines), np.diff(first)
+    own = lanes(first[:-1], lens, feats)
     live = np.arange(own.shape[1]) < lens[:, None]
 
     def by_feature(values: np.ndarray) -> np.ndarray:
@@ -376,19 +374,22 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> np.ndarr
     return labels
 
 
-def hopeful(scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The sentences in which a labelling with spans may beat that without: a stretch of labelled tokens gains at most what
-    entering and leaving it can gain, its first token's best outer label, and every token's best label where that is positive."""
-    gain = scores[:, 1:] - scores[:, :1]
+def active(scores: np.ndarray, sentence: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Tokens that may bear a label. A stretch of labelled tokens stays only if it gains on having none: at most what entering
+    and leaving can gain, its first token's best outer label and the others' best label, each with its best move. Where no
+    stretch over a token can gain, the token has no label."""
+    gain = (scores[:, 1:] - scores[:, :1]).astype(np.float64)
     still = moves[0, 0]
-    enter, leave = max(0.0, float(moves[0, 1:].max() - still)), max(0.0, float(moves[1:, 0].max() - still))
-    within = float(moves[1:, 1:].max() - still)
-    most = np.maximum.reduceat(gain[:, ::2].max(1), first[:-1]) + np.add.reduceat(np.maximum(gain.max(1) + within, 0), first[:-1])
-    return np.flatnonzero(most + enter + leave > 0)
+    ends = max(0.0, float(moves[0, 1:].max() - still)) + max(0.0, float(moves[1:, 0].max() - still))
+    outer, sums = gain[:, ::2].max(1), np.cumsum(np.maximum(gain.max(1) + float(moves[1:, 1:].max() - still), -50.0))
+    apart = sentence * (2 * (np.abs(sums).max() + np.abs(outer).max()) + 1)  # so that a maximum does not reach into the next sentence
+    before = np.maximum.accumulate(outer - sums + apart) - apart + sums
+    after = np.maximum.accumulate((sums - apart)[::-1])[::-1] + apart - sums
+    return before + after + ends > -0.1
 
 
-def labels_of(field: tuple[np.ndarray, np.ndarray], tokens: Tokens) -> np.ndarray:
-    """The best label of every token; sentences of like lengths are decoded side by side."""
+def labels_of(field: tuple[np.ndarray, np.ndarray], tokens: Tokens, taken: np.ndarray | None = None) -> np.ndarray:
+    """The best label of every token, given that those taken have none; sentences of like lengths are decoded side by side."""
     weights, moves = field
     labels = np.zeros(len(tokens.shapes), np.int64)
     if not len(labels):
@@ -396,26 +397,42 @@ def labels_of(field: tuple[np.ndarray, np.ndarray], tokens: Tokens) -> np.ndarra
     scores = np.zeros((len(labels), len(LABELS)), np.float32)
     for column in tokens.features():
         scores += weights.take(column, axis=0)
-    which = hopeful(scores, tokens.first, moves)
-    size = np.diff(tokens.first)
-    which = which[np.argsort(size[which], kind="stable")]
-    i = 0
-    while i < len(which):
-        j = i + max(1, min(1024, int(200_000 // size[which[i]])))
-        while j - i > 1 and (min(j, len(which)) - i) * size[which[min(j, len(which)) - 1]] > 400_000:
+    if taken is not None:
+        scores[taken, 1:] = BAR
+    hope = active(scores, tokens.sentence, moves)
+    near = hope.copy()  # and one token on either side, as what is left unlabelled counts in the moves
+    same = tokens.sentence[1:] == tokens.sentence[:-1]
+    near[1:] |= hope[:-1] & same
+    near[:-1] |= hope[1:] & same
+    scores[near & ~hope, 1:] = BAR
+    begin = near.copy()
+    begin[1:] &= ~near[:-1] | ~same
+    starts = np.flatnonzero(begin)
+    size = np.add.reduceat(near, starts, dtype=np.int64) if len(starts) else starts
+    order = np.argsort(size, kind="stable")
+    starts, size, i = starts[order], size[order], 0
+    while i < len(starts):
+        j = i + max(1, min(2048, int(200_000 // size[i])))
+        while j - i > 1 and (min(j, len(starts)) - i) * size[min(j, len(starts)) - 1] > 400_000:
             j = i + (j - i) // 2
-        own = which[i:j]
-        padded, lens = lanes(tokens.first, scores, own)
-        found = viterbi(padded, lens, moves)
-        labels[np.repeat(tokens.first[:-1][own], lens) + spread(lens)] = found[np.arange(found.shape[1]) < lens[:, None]]
+        lens = size[i:j]
+        found = viterbi(lanes(starts[i:j], lens, scores), lens, moves)
+        labels[np.repeat(starts[i:j], lens) + spread(lens)] = found[np.arange(found.shape[1]) < lens[:, None]]
         i = j
     return labels
 
 
-def field_spans(field: tuple[np.ndarray, np.ndarray], batch: Texts) -> list[list[tuple[int, int, int]]]:
-    """The field's spans (start, kind, end) of each text, in code points."""
+def field_spans(field: tuple[np.ndarray, np.ndarray], batch: Texts, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """The field's spans (start, kind, end) of each text beside the base ones, in code points."""
     tokens = Tokens(batch)
-    labels = labels_of(field, tokens)
+    change = np.zeros(len(tokens.starts) + 1, np.int32)
+    spots = [(batch.offsets[i], a, b) for i, own in enumerate(base) for a, _, b in own]
+    if spots:
+        at, a, b = np.array(spots).T
+        zero = tokens.chars[at]
+        np.add.at(change, np.searchsorted(tokens.chars[tokens.ends], zero + a, "right"), 1)
+        np.add.at(change, np.searchsorted(tokens.chars[tokens.starts], zero + b), -1)
+    labels = labels_of(field, tokens, np.flatnonzero(np.cumsum(change)[:-1] > 0) if spots else None)
     begin = np.flatnonzero(labels % 2 == 1)
     stop = ~inner(labels)
     stop[tokens.first[:-1]] = True
@@ -474,9 +491,8 @@ def all_spans(field: tuple[np.ndarray, np.ndarray], batch: pa.Array) -> list[tup
     """Base spans and the field's further spans of each text, both (start, kind, end)."""
     out = []
     for rows, part in slices(pa.table({"text": batch})):
-        for text, found in zip(rows["text"].to_pylist(), field_spans(field, part)):
-            base = base_spans(text) if text and TRIGGER.search(text) else []
-            out.append((base, [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base)]))
+        base = [base_spans(t) if t and TRIGGER.search(t) else [] for t in rows["text"].to_pylist()]
+        out += zip(base, field_spans(field, part, base))
     return out
 
 
