@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of five-word shingles: 0.8 or more, checked exactly.
 
-Candidates come from min-hashes in 40 bands of 4: two texts share a band with probability J^4, so a pair at 0.8 is met by
-no band in 7 of 10^10 cases, and more similar pairs less often. Equal shingle sets are one node. A bucket (the nodes of one
+Candidates come from two sides. Operator 7's anchors link SimHash fingerprints of the shingle sets that differ in at most
+four bits; at a similarity of 0.8 that is one pair in thirty, and one in two at 0.95, as fingerprints of 64 bits are too
+coarse for more. So that no pair is lost, min-hashes in 40 bands of 4 find the others: two texts share a band with
+probability J^4, so a pair at 0.8 is met by no band in 7 of 10^10 cases. Equal shingle sets are one node. A bucket (the nodes of one
 band value) first gives a chain, one pair for each of its nodes but the first; the pairs that pass the exact check are
 joined to components, and then every pair of a bucket whose nodes lie in different components is checked too, inside the
 bucket's task (large buckets: a task for every two blocks of their nodes), which yields only links. So no pair of a bucket
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shared import saved
+from . import simhash
 from .common import partitions, texts
 from .text import LOWER, WORD_BASE, Texts, flat, mix, slices, spread, windows
 
@@ -66,7 +69,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in slices(batch):
             hashes, first = shingles(own)
             size = np.diff(first)
-            node, kept = np.zeros(len(size), np.uint64), np.flatnonzero(size)
+            node, kept, prints = np.zeros(len(size), np.uint64), np.flatnonzero(size), simhash.majority(hashes, size)
             if len(kept):
                 begin = np.append(first[kept], len(hashes))
                 node[kept] = mix(np.add.reduceat(mix(hashes), begin[:-1]) + size[kept].astype(np.uint64))
@@ -74,7 +77,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 values = np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((size > 0) * BANDS)), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node.view(np.int64)), lists, part.column("text")], ["doc_id", "node", "bands", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), lists, part.column("text")], ["doc_id", "node", "fp", "bands", "text"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +177,26 @@ def unmet(chain: DataFrame, roots: DataFrame, own: DataFrame) -> DataFrame:
     return saved(dealt.mapInArrow(_rest, "a long, b long"), "near-rest")
 
 
+def linked(own: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) that operator 7 links: those of one fingerprint with the least of them, and those with the
+    least nodes of linked fingerprints."""
+    nodes = saved(own.select("node", "fp").distinct(), "fingerprints")
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = (least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node")) for x in "ab")
+    a, b = ends
+    pairs = simhash.links(least).distinct().join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id and component_id: the least doc_id reachable over near copies."""
     spark = docs.sparkSession
-    own = saved(texts(docs).mapInArrow(_nodes, "doc_id long, node long, bands array<long>, text string"), "shingled")
+    own = saved(texts(docs).mapInArrow(_nodes, "doc_id long, node long, fp long, bands array<long>, text string"), "shingled")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
     buckets = own.dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     chain = saved(buckets.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_chain, "key long, a long, b long"), "chain")
-    pairs = saved(chain.select("a", "b").distinct(), "pairs")
+    pairs = saved(chain.select("a", "b").union(linked(own)).distinct(), "pairs")
     edges = checked(pairs, own)
     state = lambda e: saved(nodes.join(components(e), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "state")
     now = state(edges)

@@ -127,21 +127,31 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor * len(BLOCKS) + block), pa.array(signed[row])], ["anchor", "fp"])
 
 
-def _links(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at `most` bits or fewer, in blocks of rows."""
-    found = []
-    step = max(1, (1 << 22) // max(1, len(prints)))
-    for i in range(0, len(prints), step):
-        near = np.bitwise_count(prints[i : i + step, None] ^ prints[None, i:]) <= most
-        a, b = np.nonzero(near)
-        found.append((a[a < b] + i, b[a < b] + i))
-    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 2
+def forest(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join what links of `most` bits or fewer join, at most one for each fingerprint (in small groups: all
+    links). A fingerprint that has been reached is not compared again, so a dense group takes a few passes."""
+    if len(prints) <= DIRECT:
+        a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= most)
+        return a[a < b], b[a < b]
+    left, reached, by = np.arange(len(prints)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]) <= most
+            if near.any():
+                reached.append(left[near])
+                by.append(np.full(len(reached[-1]), i))
+                queue += reached[-1].tolist()
+                left = left[~near]
+    return np.concatenate(reached), np.concatenate(by)
 
 
 def near_pairs(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs at 4 bits or fewer. In large buckets only fingerprints that share one of five pieces are compared."""
+    """Index pairs that join what links of `most` bits (at most 4) join. In large buckets only fingerprints that share one
+    of five pieces are compared: two that differ in four bits share one."""
     if len(prints) <= DIRECT or most >= len(PIECES):
-        return _links(prints, most)
+        return forest(prints, most)
     found = [(np.zeros(0, np.int64),) * 2]
     for low, width in PIECES:
         piece = prints >> np.uint64(low) & np.uint64((1 << width) - 1)
@@ -149,7 +159,7 @@ def near_pairs(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.diff(piece[order])) + 1
         for group in np.split(order, cuts):
             if len(group) > 1:
-                a, b = _links(prints[group], most)
+                a, b = forest(prints[group], most)
                 found.append((group[a], group[b]))
     return tuple(map(np.concatenate, zip(*found)))
 
@@ -202,14 +212,19 @@ def _compare(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def near_duplicates(prints: DataFrame, most: int = BITS) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id): the least doc_id reachable over links of `most` (at most 4) bits or fewer."""
+def links(prints: DataFrame, most: int = BITS) -> DataFrame:
+    """Distinct fingerprints (fp) -> (a, b): pairs that join what links of `most` (at most 4) bits join."""
     if most > BITS:
         raise ValueError("the blocks above cover links of four bits or fewer")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    buckets = nodes.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    buckets = prints.select("fp").mapInArrow(_replicate, "anchor long, fp long")
     buckets = buckets.repartition(partitions(prints.sparkSession), "anchor").sortWithinPartitions("anchor")
-    roots = components(buckets.mapInArrow(_compare(most), "a long, b long"))
+    return buckets.mapInArrow(_compare(most), "a long, b long")
+
+
+def near_duplicates(prints: DataFrame, most: int = BITS) -> DataFrame:
+    """(doc_id, fp) -> (doc_id, fp, component_id): the least doc_id reachable over links of `most` (at most 4) bits or fewer."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes, most))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = saved(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -223,21 +238,25 @@ def mark(docs: DataFrame, width: int = SHINGLE, most: int = BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, marks: Callable[[DataFrame], DataFrame] = mark) -> DataFrame:
-    """One document of each component that `marks` finds, the one with the least id, in all its columns.
+    """One document of each component that `marks` finds (doc_id and component_id for rows of doc_id and text), the one with
+    the least id (null ids come last, and of rows with one id the least hash of a text first), in all its columns.
 
-    Rows repeated under one id become one row (the least text); rows with a null id stay, as they can't be told apart.
+    Rows are told apart by a hash of id and text, as under one id, or none, may stand different texts. Of rows equal in both
+    one stays, whichever it is.
     """
-    marked = saved(marks(docs), "marked")
-    gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    if not twice.take(1):  # then the texts cross the network once, not for each of two joins
-        return kept
-    single = kept.join(twice, kept["doc_id"] == twice["id"], "left_anti")
-    least = Window.partitionBy("doc_id").orderBy("text")
-    rank = next(x for x in map("rank_{}".format, range(len(docs.columns) + 1)) if x not in docs.columns)
-    repeated = kept.join(twice, kept["doc_id"] == twice["id"], "left_semi").withColumn(rank, F.row_number().over(least)).where(F.col(rank) == 1).drop(rank)
-    return single.unionByName(repeated)
+    row = next(x for x in (f"row_{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    marked = marks(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    own = marked.join(keyed.select(row, first.alias("first")), row)
+    kept = own.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
+    kept = saved(kept, "kept")
+    out = keyed.join(kept, row, "left_semi")
+    twice = keyed.select(row).join(kept, row, "left_semi").groupBy(row).count().where("count > 1").select(row)
+    if twice.take(1):  # else the texts need not meet their equals
+        twice = saved(twice, "twice")
+        out = out.join(twice, row, "left_anti").unionByName(out.join(twice, row, "left_semi").dropDuplicates([row]))
+    return out.select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
