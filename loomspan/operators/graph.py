@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import saved
+from ..shared import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = saved(small, "edges")
+        last, edges = edges, saved(small, "edges")
+        discard(last)
         now = digest(edges)
         if now == before:
             break

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, one machine) a temporary one is set."""
+    """The cluster's shared folder; where none is named, on one machine (master local) a temporary one is set, else it fails:
+    a folder of the driver's would be another one on each executor."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -25,4 +28,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what saved() wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
