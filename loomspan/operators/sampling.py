@@ -1,6 +1,9 @@
 """Seeded, order-free deck sampling: every draw is a hash of the seed and the keys, so results don't depend on partitioning.
 
-Specs are rows (deck_id, pool, main_size, ...); candidates (pool, card_id, bucket, max_copies, ...) meet them on the pool.
+Specs are rows (deck_id, pool, main_size, ...); candidates (pool, card_id, bucket, max_copies, ...) meet them on the pool. A
+pool has one shuffled order for each purpose, and each deck reads it round from a place of its own, so a deck meets as many
+rows as it may need and not its whole pool. A main deck is then placed offer by offer, in one fold over the deck's offers,
+whose number is bounded by its size: extra-deck support, staples, novelty, the buckets' quotas, and the rest.
 """
 
 from __future__ import annotations
@@ -28,28 +31,99 @@ def desired(seed: int) -> Column:
     return F.least(F.when(hash01(seed, F.lit("copies"), "deck_id", "card_id") < 0.5, 2).otherwise(3), F.col("max_copies"))
 
 
+def dealt(specs: DataFrame, rows: DataFrame, groups: list[str], k: Column | None, seed: int, name: str) -> DataFrame:
+    """Each deck's first k rows (all, if None) of its groups, in the group's shuffled order, read round from the deck's place:
+    the columns of both and nth, from 0. Groups are columns of the rows, the first of them columns of the specs too."""
+    own = Window.partitionBy(*groups)
+    ranked = rows.withColumns({"rank": F.row_number().over(own.orderBy(hash01(seed, F.lit(name), "card_id"), "card_id")) - 1, "many": F.count(F.lit(1)).over(own)})
+    sizes = ranked.select(*groups, "many").distinct()
+    most = (F.col("many") if k is None else F.least(k, F.col("many"))).cast("int")
+    asked = specs.join(sizes, [g for g in groups if g in specs.columns]).where(most > 0).withColumn("nth", F.explode(F.sequence(F.lit(0), most - 1)))
+    start = F.floor(hash01(seed, F.lit(name), "deck_id", *groups) * F.col("many"))
+    asked = asked.withColumn("rank", ((start + F.col("nth")) % F.col("many")).cast("int"))
+    return asked.join(ranked.drop("many"), [*groups, "rank"]).drop("rank", "many")
+
+
+OFFER = ("deck_id", "stage", "nth", "card_id", "bucket", "max_copies", "want")
+SUPPORT, STAPLE, NOVELTY, FILL, TAIL = 0, 1, 2, 3, 6
+
+
+def _offers(rows: DataFrame, stage: Column | int) -> DataFrame:
+    return rows.withColumn("stage", F.lit(stage) if isinstance(stage, int) else stage).select(*(F.col(c).cast("string" if c == "bucket" else "bigint").alias(c) for c in OFFER))
+
+
+def fill_offers(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1) -> DataFrame:
+    """Cards for the quotas of each bucket in turn, and for the rest; as many as could be needed if others are used up."""
+    main = candidates.where("max_copies > 0")
+    goal = _by_bucket(targets(F.col("main_size"), ratios))
+    own = dealt(specs, main, ["pool", "bucket"], goal + F.col("main_size"), seed, "fill")
+    rest = dealt(specs, main, ["pool"], 2 * F.col("main_size"), seed, "tail")
+    number = _by_bucket({b: F.lit(FILL + i) for i, b in enumerate(BUCKETS)})
+    return _offers(own.withColumn("want", desired(seed)), number).unionByName(_offers(rest.withColumn("want", desired(seed)), TAIL))
+
+
+def place(specs: DataFrame, offers: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """deck_id, card_id, bucket, stage, copies: the offers taken one after another by stage and nth.
+
+    An offer gives what it wants, what the card's limit leaves and what the deck has room for. Staples and novelty end where
+    the room is no more than the quotas still need; a bucket's stage ends when its quota is met.
+    """
+    goal = targets(F.col("main_size"), ratios)
+    decks = offers.join(specs.select("deck_id", "main_size"), "deck_id").groupBy("deck_id").agg(
+        F.first("main_size").alias("main_size"), F.array_sort(F.collect_list(F.struct("stage", "nth", "card_id", "bucket", "max_copies", "want"))).alias("offers"))
+    decks = decks.select("deck_id", "main_size", "offers", *(goal[b].cast("bigint").alias(f"goal_{b}") for b in BUCKETS))
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<struct<card_id: bigint, bucket: string, stage: bigint, copies: bigint>>")
+    start = F.struct(zero.alias("total"), *(zero.alias(b) for b in BUCKETS), none.alias("placed"))
+
+    def take(state: Column, x: Column) -> Column:
+        free = F.col("main_size") - state["total"]
+        need = sum((F.greatest(zero, F.col(f"goal_{b}") - state[b]) for b in BUCKETS), zero)
+        used = F.aggregate(F.filter(state["placed"], lambda p: p["card_id"] == x["card_id"]), zero, lambda n, p: n + p["copies"])
+        short = F.coalesce(*(F.when(x["bucket"] == b, state[b] < F.col(f"goal_{b}")) for b in BUCKETS), F.lit(False))
+        allowed = F.when(x["stage"].isin(STAPLE, NOVELTY), free > need).when(x["stage"].isin(SUPPORT, TAIL), F.lit(True)).otherwise(short)
+        added = F.when(allowed, F.greatest(zero, F.least(x["want"], x["max_copies"] - used, free))).otherwise(zero)
+
+        def put(n: Column) -> Column:
+            card = F.struct(x["card_id"].alias("card_id"), x["bucket"].alias("bucket"), x["stage"].alias("stage"), n.alias("copies"))
+            return F.struct((state["total"] + n).alias("total"), *((state[b] + F.when(x["bucket"] == b, n).otherwise(zero)).alias(b) for b in BUCKETS),
+                            F.when(n > 0, F.concat(state["placed"], F.array(card))).otherwise(state["placed"]).alias("placed"))
+
+        return F.get(F.transform(F.array(added), put), F.lit(0))
+
+    return decks.select("deck_id", F.inline(F.aggregate("offers", start, take, lambda state: state["placed"])))
+
+
 def quota_fill(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1) -> DataFrame:
-    """deck_id, card_id, copies: bucket quotas in order (a bucket may overshoot by its last card's copies), then a tail to size."""
-    rows = specs.join(candidates, "pool").where("max_copies > 0").withColumns({"prio": hash01(seed, F.lit("fill"), "deck_id", "card_id"), "want": desired(seed), "quota": _by_bucket(targets(F.col("main_size"), ratios))})
-    rows = rows.withColumn("bucket_no", _by_bucket({b: F.lit(i) for i, b in enumerate(BUCKETS)}))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    in_bucket = before(Window.partitionBy("deck_id", "bucket").orderBy("prio", "card_id"))
-    rows = rows.withColumn("taken", F.when(F.coalesce(F.sum("want").over(in_bucket), F.lit(0)) < F.col("quota"), F.col("want")).otherwise(0))
-    in_deck = before(Window.partitionBy("deck_id").orderBy("bucket_no", "prio", "card_id"))
-    rows = rows.withColumn("placed", F.greatest(F.lit(0), F.least(F.col("taken"), F.col("main_size") - F.coalesce(F.sum("taken").over(in_deck), F.lit(0)))))
-    rows = rows.withColumns({"open": F.col("main_size") - F.sum("placed").over(Window.partitionBy("deck_id")), "more": F.least(F.col("want"), F.col("max_copies") - F.col("placed")), "late": hash01(seed, F.lit("tail"), "deck_id", "card_id")})
-    in_tail = before(Window.partitionBy("deck_id").orderBy("late", "card_id"))
-    rows = rows.withColumn("added", F.greatest(F.lit(0), F.least(F.col("more"), F.col("open") - F.coalesce(F.sum("more").over(in_tail), F.lit(0)))))
-    return rows.select("deck_id", "card_id", "bucket", (F.col("placed") + F.col("added")).cast("bigint").alias("copies")).where("copies > 0")
-
-
-def novelty_picks(specs: DataFrame, candidates: DataFrame, ratio: float, near_share: float = 0.67, seed: int = 1) -> DataFrame:
-    """deck_id, card_id, side: round(size * ratio) cards, the near share from the deck's clusters (is_near), the rest from others."""
+    """deck_id, card_id, bucket, copies: bucket quotas in order (a bucket may overshoot by its last card's copies), then a tail
+    to size."""
+    placed = place(specs, fill_offers(specs, candidates, ratios, seed), ratios)
+    return placed.groupBy("deck_id", "card_id", "bucket").agg(F.sum("copies").alias("copies"))
+
+
+def novelty_picks(specs: DataFrame, candidates: DataFrame, allowed: DataFrame, ratio: float, near_share: float = 0.67, far_share: float = 0.33, seed: int = 1) -> DataFrame:
+    """The specs' and candidates' columns, side and nth: round(size * ratio) cards, the near share from the deck's clusters
+    (allowed: deck_id, cluster_id), the rest from other clusters or none. Shares are brought to a sum of 1.
+
+    Far cards come in the pool's order; a deck that does not find enough among the first ones looks at its whole pool.
+    """
+    both = near_share + far_share
     total = F.bround(F.col("main_size") * F.lit(ratio), 0)
-    near = F.bround(total * F.lit(near_share), 0)
-    rows = specs.join(candidates, "pool").withColumns({"side": F.when(F.col("cluster_id") % 3 == F.col("deck_id") % 3, "near").otherwise("far"), "h": hash01(seed, F.lit("novelty"), "deck_id", "card_id")})
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("deck_id", "side").orderBy("h", "card_id")))
-    return rows.where(F.col("nth") <= F.when(F.col("side") == "near", near).otherwise(total - near)).select("deck_id", "card_id", "side")
+    n_near = F.bround(total * F.lit(near_share / both if both > 0 else 1.0), 0)
+    n_far = F.greatest(F.lit(0), total - n_near)
+    near = dealt(specs.join(allowed, "deck_id"), candidates, ["pool", "cluster_id"], n_near, seed, "near")
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("deck_id").orderBy(hash01(seed, F.lit("near"), "deck_id", "card_id"), "card_id")) - 1).where(F.col("nth") < n_near)
+
+    def far(of: DataFrame, k: Column | None) -> DataFrame:
+        rows = dealt(of, candidates, ["pool"], k, seed, "far").join(allowed, ["deck_id", "cluster_id"], "left_anti")
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("deck_id").orderBy("nth")) - 1).where(F.col("nth") < n_far)
+
+    first = far(specs, 2 * n_far + 8)
+    full = first.groupBy("deck_id").agg(F.count(F.lit(1)).alias("n"), F.first(n_far).alias("wanted")).where("n >= wanted").select("deck_id")
+    rest = far(specs.join(full, "deck_id", "left_anti"), None)
+    columns = [*dict.fromkeys([*specs.columns, *candidates.columns]), "nth"]
+    sides = near.select(*columns, F.lit("near").alias("side")), first.join(full, "deck_id", "left_semi").select(*columns, F.lit("far").alias("side")), rest.select(*columns, F.lit("far").alias("side"))
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
 
 
 def staple_picks(specs: DataFrame, candidates: DataFrame, p: float, ratios: dict[str, float], slack: int = 0, seed: int = 1) -> DataFrame:
@@ -68,13 +142,14 @@ def staple_picks(specs: DataFrame, candidates: DataFrame, p: float, ratios: dict
 def size_repair(entries: DataFrame, candidates: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """Decks cut or filled to a size: deck_id, card_id, copies, and repairs, 1 for a deck that was changed.
 
-    A deck's own cards are kept in id order; fillers are cards of its pool that it lacks, one copy each, in hashed order.
+    A deck's own cards are kept in id order; fillers are cards of its pool that it lacks, one copy each, in the pool's order.
     """
     w = Window.partitionBy("deck_id").orderBy("card_id").rowsBetween(Window.unboundedPreceding, -1)
     kept = entries.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(size) - F.col("before"))))
-    totals = entries.groupBy("deck_id").agg(F.sum("copies").alias("total"), F.first("pool").alias("pool"))
-    fillers = totals.where(F.col("total") < size).join(candidates, "pool").join(entries.select("deck_id", "card_id"), ["deck_id", "card_id"], "left_anti")
-    ranked = fillers.withColumn("nth", F.row_number().over(Window.partitionBy("deck_id").orderBy(hash01(seed, F.lit("repair"), "deck_id", "card_id"), "card_id"))).where(F.col("nth") <= F.lit(size) - F.col("total"))
+    totals = entries.groupBy("deck_id").agg(F.sum("copies").alias("total"), F.first("pool").alias("pool"), F.count_distinct("card_id").alias("own"))
+    short = totals.where(F.col("total") < size)
+    fillers = dealt(short, candidates, ["pool"], F.lit(size) - F.col("total") + F.col("own"), seed, "repair").join(entries.select("deck_id", "card_id"), ["deck_id", "card_id"], "left_anti")
+    ranked = fillers.withColumn("place", F.row_number().over(Window.partitionBy("deck_id").orderBy("nth"))).where(F.col("place") <= F.lit(size) - F.col("total"))
     out = kept.where("kept > 0").select("deck_id", "card_id", F.col("kept").alias("copies")).unionByName(ranked.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies")))
     return out.join(totals.select("deck_id", (F.col("total") != size).cast("int").alias("repairs")), "deck_id")
 
@@ -87,25 +162,50 @@ def accept_first(attempts: DataFrame) -> DataFrame:
 
 
 def extra_sample(specs: DataFrame, candidates: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """One copy each of up to `size` extra-deck cards that are not forbidden, in hashed order."""
-    rows = specs.join(candidates, "pool").where("in_extra and max_copies > 0")
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("deck_id").orderBy(hash01(seed, F.lit("extra"), "deck_id", "card_id"), "card_id")))
-    return ranked.where(F.col("nth") <= size).select("deck_id", "card_id", "extra_type")
-
-
-def support_injection(specs: DataFrame, picks: DataFrame, candidates: DataFrame, seed: int = 1) -> DataFrame:
-    """deck_id, reason, card_id: cards that the deck's extra types need - a tuner and a non-tuner for synchros, two monsters of
-    the pool's commonest level for xyz, two effect monsters for links."""
-    main = candidates.where("not in_extra and max_copies > 0 and bucket = 'monster'")
-    levels = main.groupBy("pool", "level").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("pool").agg(F.max(F.struct("n", (-F.col("level")).alias("m"))).alias("b")).select("pool", (-F.col("b.m")).alias("best_level"))
-    rows = main.join(levels, "pool", "left")
+    """One copy each of up to `size` extra-deck cards that are not forbidden, in the pool's order."""
+    return dealt(specs, candidates.where("in_extra and max_copies > 0"), ["pool"], F.lit(size), seed, "extra")
+
+
+def feasible_extra(specs: DataFrame, candidates: DataFrame, tags: DataFrame, pairs: DataFrame, size: int, tries: int = 12, seed: int = 1) -> DataFrame:
+    """The extra sample of the first of `tries` draws whose tags the pool's main monsters can meet, else of the last; and
+    draws, how many there were. tags: card_id, tag, needed; pairs: pool, tag, card_id, max_copies that match."""
+    drawn = F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
+    trials = specs.withColumn("draw", drawn).withColumns({"slot": F.col("deck_id"), "deck_id": F.col("deck_id") * tries + F.col("draw")})
+    picks = extra_sample(trials, candidates, size, seed)
+    capacity = pairs.groupBy("pool", "tag").agg(F.sum("max_copies").alias("capacity"))
+    needs = picks.select("deck_id", "pool", "card_id").join(tags, "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("needed"))
+    bad = needs.join(capacity, ["pool", "tag"], "left").where(F.coalesce("capacity", F.lit(0)) < F.col("needed")).select("deck_id").distinct()
+    chosen = trials.select("slot", "draw", "deck_id").join(bad.withColumn("bad", F.lit(True)), "deck_id", "left").groupBy("slot").agg(F.coalesce(F.min(F.when(F.col("bad").isNull(), F.col("draw"))), F.lit(tries - 1)).alias("draw"))
+    return picks.join(chosen, ["slot", "draw"]).withColumns({"deck_id": F.col("slot"), "draws": F.col("draw") + 1}).drop("slot", "draw")
+
+
+def support_injection(specs: DataFrame, picks: DataFrame, candidates: DataFrame, tags: DataFrame, pairs: DataFrame, seed: int = 1) -> DataFrame:
+    """deck_id, reason, nth, card_id, bucket, max_copies, want: what the deck's extra cards need - a fusion enabler; a tuner
+    and a non-tuner for synchros; two monsters of the pool's commonest level for xyz; two effect monsters for links; a card for
+    each material tag, as often as needed; for pendulums a scale and the pool's farthest one, two or more apart."""
+    able = candidates.where("not in_extra and max_copies > 0")
+    main = able.where("bucket = 'monster'")
+    levels = main.groupBy("pool", "level").agg(F.count(F.lit(1)).alias("n")).where("level is not null").groupBy("pool").agg(F.max(F.struct("n", (-F.col("level")).alias("m"))).alias("b")).select("pool", (-F.col("b.m")).alias("best_level"))
+    reason = lambda kind, name: F.struct(F.lit(kind).alias("extra_type"), F.lit(name).alias("reason"))
     reasons = F.array(
-        F.when(F.col("is_tuner"), F.struct(F.lit("synchro").alias("extra_type"), F.lit("tuner").alias("reason"), F.lit(1).alias("k"))), F.when(~F.col("is_tuner"), F.struct(F.lit("synchro").alias("extra_type"), F.lit("non_tuner").alias("reason"), F.lit(1).alias("k"))),
-        F.when(F.col("level") == F.col("best_level"), F.struct(F.lit("xyz").alias("extra_type"), F.lit("same_level").alias("reason"), F.lit(2).alias("k"))), F.when(F.col("is_effect"), F.struct(F.lit("link").alias("extra_type"), F.lit("effect").alias("reason"), F.lit(2).alias("k"))))
-    offers = rows.select("pool", "card_id", F.inline(F.filter(reasons, lambda x: x.isNotNull())))
-    needs = specs.select("deck_id", "pool").join(picks.select("deck_id", "extra_type").distinct(), "deck_id")
-    ranked = needs.join(offers, ["pool", "extra_type"]).withColumn("nth", F.row_number().over(Window.partitionBy("deck_id", "reason").orderBy(hash01(seed, F.lit("support"), "deck_id", "card_id"), "card_id")))
-    return ranked.where(F.col("nth") <= F.col("k")).select("deck_id", "reason", "card_id")
+        F.when((F.col("bucket") == "spell") & F.col("is_enabler"), reason("fusion", "1 enabler")),
+        *(F.when((F.col("bucket") == "monster") & test, reason(kind, name)) for test, kind, name in (
+            (F.col("is_tuner"), "synchro", "2 tuner"), (~F.col("is_tuner"), "synchro", "3 non_tuner"), (F.col("level") == F.col("best_level"), "xyz", "4 same_level"), (F.col("is_effect"), "link", "5 effect"))))
+    offers = able.join(levels, "pool", "left").select("pool", "card_id", "bucket", "max_copies", F.inline(F.filter(reasons, lambda x: x.isNotNull())))
+    kinds = F.explode(F.filter(F.array("extra_type", F.when(F.col("is_pendulum"), F.lit("pendulum"))), lambda x: x.isNotNull()))
+    needs = specs.select("deck_id", "pool").join(picks.select("deck_id", kinds.alias("extra_type")).distinct(), "deck_id")
+    many = F.when(F.col("reason").isin("4 same_level", "5 effect"), 2).otherwise(1)
+    ruled = dealt(needs, offers, ["pool", "extra_type", "reason"], many, seed, "support").withColumn("want", F.lit(1))
+    asked = picks.select("deck_id", "pool", "card_id").join(tags, "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("want"))
+    tagged = dealt(asked, pairs, ["pool", "tag"], F.lit(1), seed, "tag").withColumn("reason", F.concat(F.lit("6 "), "tag"))
+    scales = main.where("is_pendulum and scale is not null")
+    ends = scales.groupBy("pool").agg(F.min(F.struct("scale", "card_id")).alias("low"), F.max(F.struct("scale", "card_id")).alias("high"))
+    partner = F.when(F.col("high.scale") - F.col("scale") >= 2, F.col("high.card_id")).when(F.col("scale") - F.col("low.scale") >= 2, F.col("low.card_id"))
+    paired = scales.join(ends, "pool").withColumn("partner", partner).where("partner is not null").select("pool", "card_id", "partner", F.lit("pendulum").alias("extra_type"))
+    scale = dealt(needs, paired, ["pool", "extra_type"], F.lit(1), seed, "scale")
+    both = scale.select("deck_id", "pool", F.posexplode(F.array("card_id", "partner")).alias("nth", "card_id")).join(able.select("pool", "card_id", "bucket", "max_copies"), ["pool", "card_id"]).withColumns({"reason": F.lit("7 scale"), "want": F.lit(1)})
+    names = ("deck_id", "reason", "nth", "card_id", "bucket", "max_copies", "want")
+    return ruled.select(*names).unionByName(tagged.select(*names)).unionByName(both.select(*names))
 
 
 def ratio_jitter(specs: DataFrame, base: dict[str, float], jitter: float, seed: int = 1, tries: int = 200) -> DataFrame:

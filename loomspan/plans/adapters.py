@@ -42,6 +42,8 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the views of these names in front."""
     parts = ", ".join(f"{n} as ({VIEWS[n][0].format(**{VIEWS[n][1]: VIEWS[n][1]})})" for n in names)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {parts}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {parts}, {body[5:]}"
     return f"with {parts} {body}"

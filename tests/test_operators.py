@@ -108,3 +108,52 @@ def test_nearest_clusters_in_several_blocks(spark, monkeypatch):
     one = sorted(map(tuple, clusters.nearest_clusters(rows).collect()), key=str)
     monkeypatch.setattr(blocks.beside, "__defaults__", (1,))
     assert sorted(map(tuple, clusters.nearest_clusters(rows).collect()), key=str) == one
+
+
+def test_generated_decks_keep_their_promises(spark):
+    """End to end: sizes, copy limits, one valid draft a slot, and an error when there are too few."""
+    from loomspan.operators import generation
+    from loomspan.plans import sampling_queries as Q
+
+    at = "/root/testdata/sf0.001"
+    rows = Q._generated(spark, at).collect()
+    limits = {r.card_id: (r.max_copies, r.in_extra, r.pool) for r in Q._candidates(spark, at).collect()}
+    assert sorted(r.slot for r in rows) == list(range(25)) and {r.status for r in rows} == {"accepted", "rejected"}
+    for r in rows:
+        assert (r.status == "accepted") == (not r.failed) and 0 <= r.attempt < 3
+        if r.status == "accepted":
+            assert sum(c.copies for c in r.main) == 40 and len(r.extra) <= 15 and r.resamples == r.attempt
+            assert all(c.copies <= limits[c.card_id][0] and not limits[c.card_id][1] and limits[c.card_id][2] == r.slot % 5 for c in r.main)
+            assert all(c.copies == 1 and limits[c.card_id][1] for c in r.extra)
+    again = Q._generated(spark, at)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+    n = sum(r.status == "accepted" for r in rows)
+    assert generation.require(again, n).count() == n
+    with pytest.raises(RuntimeError, match=f"{n} of {n + 1} decks"):
+        generation.require(again, n + 1)
+
+
+def test_places_follow_their_offers_one_by_one(spark):
+    """The fold against a plain loop, with limits, repeated cards, staples that must stop and a bucket that overshoots."""
+    import random
+
+    draw = random.Random(5)
+    ratios = {"monster": 0.5, "spell": 0.3, "trap": 0.2}
+    specs = [(i, draw.choice([6, 10, 15])) for i in range(40)]
+    offers = [(i, stage, n, draw.randrange(8), None, draw.randrange(4), draw.randrange(1, 4)) for i, _ in specs for stage in range(7) for n in range(5)]
+    offers = [(i, s, n, c, sampling.BUCKETS[c % 3] if s not in (3, 4, 5) else sampling.BUCKETS[s - 3], m, w) for i, s, n, c, _, m, w in offers]
+    want = []
+    for i, size in specs:
+        goal = {"monster": round(size * 0.5), "spell": round(size * 0.3)}
+        goal["trap"] = size - goal["monster"] - goal["spell"]
+        have, cards, total = dict.fromkeys(goal, 0), {}, 0
+        for _, stage, _, card, bucket, most, wish in sorted(o for o in offers if o[0] == i):
+            free = size - total
+            if stage in (1, 2) and free <= sum(max(0, goal[b] - have[b]) for b in goal) or 3 <= stage <= 5 and have[bucket] >= goal[bucket]:
+                continue
+            n = max(0, min(wish, most - cards.get(card, 0), free))
+            if n:
+                want.append((i, card, bucket, stage, n))
+                have[bucket], cards[card], total = have[bucket] + n, cards.get(card, 0) + n, total + n
+    got = sampling.place(spark.createDataFrame(specs, "deck_id long, main_size int"), spark.createDataFrame(offers, "deck_id long, stage long, nth long, card_id long, bucket string, max_copies long, want long"), ratios)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
