@@ -22,3 +22,13 @@ def fold(column: str | Column, n: int) -> Column:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty) alone, so that no other column of the input can clash or be read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+#: Rows of a few longs that may be sent to every task.
+SMALL_ROWS = 2_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table of a few longs a row, to be broadcast if it has at most SMALL_ROWS rows; else the join shuffles. That
+    changes the plan, not the result."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows

@@ -11,7 +11,8 @@ that could still join two groups is left out, and pairs never become rows.
 
 Edge cases as in simhash.py: words are runs of bytes other than ASCII white space, A-Z in lower case; null, empty and
 white-space texts have the empty set and are equal; under five words the whole sequence is the one shingle; a null doc_id
-does not name a component unless all of its component is null; repeated rows stay. Shingles are compared as 64-bit hashes.
+does not name a component unless all of its component is null; repeated rows stay. Shingles are compared as 64-bit hashes,
+rows as 64-bit hashes of id and text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..shared import saved
 from . import simhash
-from .common import partitions, texts
+from .common import partitions, small, texts
 from .text import LOWER, WORD_BASE, Texts, flat, mix, slices, spread, windows
 
 SHINGLE, BANDS, ROWS = 5, 40, 4
@@ -77,7 +78,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 values = np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((size > 0) * BANDS)), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), lists, part.column("text")], ["doc_id", "node", "fp", "bands", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node.view(np.int64)), pa.array(prints.view(np.int64)), lists], ["doc_id", "key", "node", "fp", "bands"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +153,25 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(pa.Table.from_batches(held))
 
 
-def with_texts(nodes: DataFrame, own: DataFrame, name: str) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a key of both."""
+    return texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def with_texts(nodes: DataFrame, own: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """node and text, one row for each of the given nodes."""
-    return saved(own.select("node", "text").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), name)
+    one = saved(own.join(nodes.distinct(), "node").groupBy("node").agg(F.min("key").alias("key")), f"{name}-keys")
+    return saved(keyed(docs).join(small(one), "key").select("node", "text").dropDuplicates(["node"]), name)
 
 
-def checked(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of nodes (a, b) whose texts are as similar as NEAR."""
-    held = with_texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), own, "chain-texts")
+    held = with_texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), own, docs, "chain-texts")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_check, "a long, b long"), "near")
 
 
-def unmet(chain: DataFrame, roots: DataFrame, own: DataFrame) -> DataFrame:
+def unmet(chain: DataFrame, roots: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """The links that are left in the buckets of three or more nodes (the chain has all pairs of smaller ones)."""
     spark = own.sparkSession
     members = chain.select("key", F.col("a").alias("node")).union(chain.select("key", F.col("b").alias("node"))).distinct().join(roots.select("node", "root"), "node")
@@ -172,7 +179,7 @@ def unmet(chain: DataFrame, roots: DataFrame, own: DataFrame) -> DataFrame:
     members = saved(members.join(open_keys.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key"), "members")
     block = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-    dealt = dealt.join(with_texts(members.select("node"), own, "member-texts"), "node").select("key", "i", "j", "block", "node", "root", "text")
+    dealt = dealt.join(with_texts(members.select("node"), own, docs, "member-texts"), "node").select("key", "i", "j", "block", "node", "root", "text")
     dealt = dealt.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return saved(dealt.mapInArrow(_rest, "a long, b long"), "near-rest")
 
@@ -192,15 +199,15 @@ def linked(own: DataFrame) -> DataFrame:
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id and component_id: the least doc_id reachable over near copies."""
     spark = docs.sparkSession
-    own = saved(texts(docs).mapInArrow(_nodes, "doc_id long, node long, fp long, bands array<long>, text string"), "shingled")
+    own = saved(keyed(docs).mapInArrow(_nodes, "doc_id long, key long, node long, fp long, bands array<long>"), "shingled")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
     buckets = own.dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     chain = saved(buckets.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_chain, "key long, a long, b long"), "chain")
     pairs = saved(chain.select("a", "b").union(linked(own)).distinct(), "pairs")
-    edges = checked(pairs, own)
+    edges = checked(pairs, own, docs)
     state = lambda e: saved(nodes.join(components(e), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "state")
     now = state(edges)
-    more = unmet(chain, now, own)
+    more = unmet(chain, now, own, docs)
     if more.take(1):
         now = state(edges.union(more))
     names = now.join(now.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

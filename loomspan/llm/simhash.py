@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shared import saved
-from .common import partitions, table, texts
+from .common import partitions, small, table, texts
 from .text import LOWER, SPACE, Texts, slices, spread
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -249,12 +249,13 @@ def keep_one(docs: DataFrame, marks: Callable[[DataFrame], DataFrame] = mark) ->
     marked = marks(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id").distinct()
     first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
     own = marked.join(keyed.select(row, first.alias("first")), row)
+    own = saved(own, "marked")
     kept = own.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(row))
-    kept = saved(kept, "kept")
-    out = keyed.join(kept, row, "left_semi")
-    twice = keyed.select(row).join(kept, row, "left_semi").groupBy(row).count().where("count > 1").select(row)
+    gone = saved(own.select(row).join(kept, row, "left_anti").distinct(), "gone")
+    out = keyed.join(small(gone), row, "left_anti")
+    twice = saved(keyed.groupBy(row).count().where("count > 1").select(row).join(small(gone), row, "left_anti"), "twice")
     if twice.take(1):  # else the texts need not meet their equals
-        twice = saved(twice, "twice")
+        twice = small(twice)
         out = out.join(twice, row, "left_anti").unionByName(out.join(twice, row, "left_semi").dropDuplicates([row]))
     return out.select(*docs.columns)
 
