@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,10 @@ def deck_synergy(entries: DataFrame, embeddings: DataFrame) -> DataFrame:
     units = embeddings.select("card_id", unit(doubles(F.col("embedding")), zero_is_null=True).alias("u")).where("u is not null")
     sizes = entries.groupBy("deck_id").agg(F.sum("copies").alias("main_size"))
     found = entries.join(units, "card_id")
-    n = found.groupBy("deck_id").agg(F.sum("copies").alias("n"))
-    parts = found.select("deck_id", "copies", F.posexplode("u").alias("pos", "x")).groupBy("deck_id", "pos").agg(F.sum(F.col("x") * F.col("copies")).alias("s"))
-    squares = parts.groupBy("deck_id").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    rows = sizes.join(n, "deck_id", "left").join(squares, "deck_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    summed = Summarizer.metrics("sum").summary(array_to_vector("u"), F.col("copies").cast("double"))  # adds up on the map side
+    parts = found.groupBy("deck_id").agg(F.sum("copies").alias("n"), summed["sum"].alias("s"))
+    squares = parts.select("deck_id", "n", F.aggregate(vector_to_array("s"), F.lit(0.0), lambda a, x: a + x * x).alias("s2"))
+    rows = sizes.join(squares, "deck_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= 2
     pairwise = F.when(enough, (F.col("s2") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
     centre = F.when(enough, F.sqrt("s2") / F.col("n")).otherwise(0.0)
@@ -84,9 +86,9 @@ def deck_consistency(known: DataFrame, starters: DataFrame, text: str = "descr")
     """
     flagged = known.join(starters.withColumn("tagged", F.lit(True)), "card_id", "left")
     hit = F.coalesce("tagged", F.lit(False)) | starter_like(F.col(text), F.col("type"))
-    counts = flagged.groupBy("deck_id").agg(F.sum("copies").alias("n"), F.sum(F.when(hit, F.col("copies")).otherwise(0)).alias("s"))
+    counts = flagged.groupBy("deck_id").agg(F.sum("copies").alias("n"), F.sum(F.when(hit, F.col("copies")).otherwise(0)).alias("s"), F.count_if(hit).alias("kinds"))
     miss = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(HAND), F.col("n")).cast("int") - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.col("n") - F.col("s") - i, F.lit(0)) / (F.col("n") - i))
-    return counts.select("deck_id", F.col("s").alias("starters"), (1 - miss).alias("hit_rate"), miss.alias("brick_rate"), (100 * (1 - miss)).alias("consistency_score"), (100 * (1 - miss)).alias("brick_risk_score"))
+    return counts.select("deck_id", F.col("s").alias("starters"), F.col("kinds").alias("starter_kinds"), (1 - miss).alias("hit_rate"), miss.alias("brick_rate"), (100 * (1 - miss)).alias("consistency_score"), (100 * (1 - miss)).alias("brick_risk_score"))
 
 
 def deck_scores(balance: DataFrame, synergy: DataFrame, consistency: DataFrame, facts: DataFrame) -> DataFrame:
@@ -99,6 +101,53 @@ def deck_scores(balance: DataFrame, synergy: DataFrame, consistency: DataFrame,
     return rows.select("deck_id", "format", v1.alias("score_v1"), v2.alias("score_v2"), *(parts[k].alias(f"{k}_score") for k in V2_WEIGHTS), zero("unique_ratio").alias("unique_ratio"))
 
 
+#: What a deck's diagnostics map may hold (fixed values).
+DIAGNOSTICS = ("num_staples_injected", "num_novelty_cards", "num_repairs", "num_resamples")
+#: The numbers of a score record that go out as a series each (fixed values).
+SERIES = (
+    "heuristic_score_v1", "heuristic_score_v2", "consistency_score", "synergy_score", "brick_risk_score", "balance_score", "starter_hit_rate", "brick_hand_rate", "unique_main_ratio", "monster_ratio",
+    "spell_ratio", "trap_ratio", *DIAGNOSTICS, "constraint_flags_passed", "constraint_flags_total", "error_count",
+)
+
+
+def score_records(decks: DataFrame, entries: DataFrame, embeddings: DataFrame, starters: DataFrame) -> DataFrame:
+    """One record a deck with both scores, what they are made of, and a nested evaluation.
+
+    decks: deck_id, format, status, diagnostics (map of DIAGNOSTICS), flags (map), errors (array); entries: deck_id, zone,
+    card_id, copies, is_known and card attributes. The main deck alone is scored. Absent diagnostics, flags and errors are 0;
+    decks without cards have records too.
+    """
+    main = entries.where("zone = 'main'")
+    zero = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v))
+    sizes = entries.groupBy("deck_id").agg(
+        F.sum(F.when(F.col("zone") == "main", F.col("copies"))).alias("main_size"), F.sum(F.when(F.col("zone") == "extra", F.col("copies"))).alias("extra_size"), F.count_if(F.col("zone") == "main").alias("unique_main_count"))
+    balance = deck_balance(decks.select("deck_id", "format"), main.where("is_known"))
+    rows = decks.join(balance.drop("format"), "deck_id").join(sizes, "deck_id", "left").join(deck_synergy(main, embeddings), "deck_id", "left").join(deck_consistency(main, starters), "deck_id", "left")
+    count = lambda name: F.coalesce(F.try_element_at("diagnostics", F.lit(name)), F.lit(0)).cast("bigint")
+    flags = F.coalesce(F.map_values("flags"), F.array().cast("array<boolean>"))
+    rows = rows.withColumns({
+        **{n: count(n) for n in DIAGNOSTICS}, **{c: zero(c, 0) for c in ("main_size", "extra_size", "unique_main_count", "starters", "starter_kinds")},
+        "constraint_flags_passed": F.size(F.filter(flags, lambda x: F.coalesce(x, F.lit(False)))), "constraint_flags_total": F.size(flags), "error_count": F.coalesce(F.size("errors"), F.lit(0)),
+        **{c: zero(c) for c in ("consistency_score", "brick_risk_score", "coverage", "mean_pairwise_cosine", "mean_centroid_cosine", "hit_rate", "brick_rate")}, "synergy_score": zero("synergy_score", 50.0)})
+    rows = rows.withColumn("unique_main_ratio", F.when(F.col("main_size") > 0, F.col("unique_main_count") / F.col("main_size")).otherwise(0.0))
+    v1 = 100 + 15 * F.col("num_novelty_cards") + 1.5 * F.col("num_staples_injected") + 12 * F.col("unique_main_ratio") - 30 * F.col("type_ratio_distance_l1")
+    v2 = clamp(sum((V2_WEIGHTS[k] * F.col(f"{k}_score") for k in V2_WEIGHTS), F.lit(0.0)))
+    named = {"hit_rate": "starter_hit_rate", "brick_rate": "brick_hand_rate", "coverage": "main_embedding_coverage", "mean_pairwise_cosine": "main_avg_pairwise_similarity", "mean_centroid_cosine": "main_centroid_similarity"}
+    rows = rows.withColumnsRenamed(named).withColumns({"heuristic_score_v1": v1, "heuristic_score_v2": v2})
+    features = ("starter_kinds", "starters", "main_embedding_coverage", "main_avg_pairwise_similarity", "main_centroid_similarity", "type_ratio_distance_l1")
+    evaluation = F.struct(
+        F.col("heuristic_score_v2").alias("overall_score"), *(F.col(f"{k}_score") for k in V2_WEIGHTS), F.struct(*(F.lit(v).alias(k) for k, v in V2_WEIGHTS.items())).alias("component_weights"),
+        F.struct(F.lit(HAND).alias("hand_size"), "starter_hit_rate", "brick_hand_rate").alias("draws"), F.struct(*features).alias("features"))
+    names = dict.fromkeys(["deck_id", "format", "status", *SERIES, "main_size", "extra_size", "unique_main_count", *named.values(), "type_ratio_distance_l1"])
+    return rows.select(*names, evaluation.alias("evaluation"))
+
+
+def score_series(records: DataFrame, steps: DataFrame) -> DataFrame:
+    """(deck_id, metric, value, step): each of SERIES of each record; steps: deck_id, step."""
+    long = records.select("deck_id", *(F.col(c).cast("double").alias(c) for c in SERIES)).unpivot(["deck_id"], list(SERIES), "metric", "value")
+    return long.join(steps, "deck_id")
+
+
 def score_summary(scores: DataFrame) -> DataFrame:
     """Count, mean, population deviation, least and greatest of both scores; zeros for no decks."""
     zero = lambda x: F.coalesce(x, F.lit(0.0))

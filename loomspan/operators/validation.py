@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,29 @@ def copy_limits(lists: DataFrame) -> DataFrame:
     return lists.groupBy("card_id").agg(F.max(order).alias("max_copies")).where("max_copies is not null")
 
 
-def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, rules: DeckRules) -> DataFrame:
+#: What is wrong where a rule's flag is false; {} stands for numbers of the deck.
+WRONG = {
+    "main_size_ok": ("the main deck has {} cards", "n_main"), "extra_size_ok": ("the extra deck has {} cards", "n_extra"), "cards_exist_ok": ("{} cards are unknown", "unknown"), "format_release_ok": ("{} cards were not released by the cutoff", "late"),
+    "max_copies_ok": ("{} cards are over their copy limit", "over"), "extra_type_ok": ("{} cards do not belong in the extra deck", "bad_extra"), "main_extra_type_ok": ("{} cards belong in the extra deck", "bad_main"),
+    "material_requirements_ok": ("materials are missing", None), "fusion_enabler_ok": ("{} fusions have no enabler", "has_fusion"), "synchro_path_ok": ("{} synchros lack tuner or other monster", "has_synchro"),
+    "xyz_path_ok": ("{} xyz lack two monsters of a level", "has_xyz"), "link_path_ok": ("{} links lack two effect monsters", "has_link"), "pendulum_path_ok": ("{} pendulums lack a pair of scales", "has_pendulum"), "type_ratio_ok": ("card types are off their shares", None),
+}
+
+
+def cutoff_day(cutoff: str | None) -> datetime.date | None:
+    """None for no cutoff and for one that is no ISO date."""
+    try:
+        return datetime.date.fromisoformat(cutoff) if cutoff else None
+    except ValueError:
+        return None
+
+
+def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, rules: DeckRules, decks: DataFrame | None = None) -> DataFrame:
     """entries: deck_id, zone (main, extra, side), card_id, copies, is_known and card attributes; support: deck_id, material_ok.
 
-    Returns deck_id, the flags, flags (a map), failed (names, sorted) and ok.
+    decks: deck_id; given, decks without entries are judged too. Returns deck_id, the flags, flags (a map), failed (names,
+    sorted), errors (a text for each) and ok. With a cutoff, known cards need a readable date by then, so without a date column
+    none passes; a cutoff that is no date is left out.
     """
     kind = F.col("type")
     main, extra, known = F.col("zone") == "main", F.col("zone") == "extra", F.col("is_known")
@@ -44,8 +64,9 @@ def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, ru
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("copies")).otherwise(0)), F.lit(0))
     n_of = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
     monster = low.contains("monster")
-    day = F.expr("try_to_date(tcg_date, 'yyyy-MM-dd')")
-    late = F.lit(False) if rules.cutoff is None else day.isNull() | (day > F.lit(rules.cutoff).cast("date"))
+    cutoff = cutoff_day(rules.cutoff)
+    day = F.expr("try_to_date(tcg_date, 'yyyy-MM-dd')") if "tcg_date" in entries.columns else F.lit(None).cast("date")
+    late = F.lit(False) if cutoff is None else day.isNull() | (day > F.lit(cutoff))
     per_card = entries.join(limits, "card_id", "left").groupBy("deck_id", "card_id").agg(F.sum("copies").alias("c"), F.max(F.coalesce("max_copies", F.lit(3))).alias("m"))
     over = per_card.groupBy("deck_id").agg(F.count_if(F.col("c") > F.col("m")).alias("over"))
     levels = entries.where(main & monster & (F.col("level") > 0)).groupBy("deck_id", "level").agg(F.sum("copies").alias("c")).groupBy("deck_id").agg(F.max("c").alias("same_level"))
@@ -58,7 +79,10 @@ def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, ru
         total(main & monster).alias("monsters"), total(main & monster & low.contains("tuner")).alias("tuners"), total(main & monster & ~low.contains("tuner")).alias("non_tuners"),
         total(main & monster & low.contains("effect")).alias("effects"), total(pendulum).alias("pendulums"), (F.max(F.when(pendulum, F.col("scale"))) - F.min(F.when(pendulum, F.col("scale")))).alias("gap"),
         *(total(main & known & (sampling_bucket(kind) == b)).alias(f"n_{b}") for b in ("monster", "spell", "trap")))
-    f = facts.join(over, "deck_id", "left").join(levels, "deck_id", "left").join(support, "deck_id", "left")
+    if decks is not None:
+        facts = decks.select("deck_id").join(facts, "deck_id", "left")
+    numbers = [name for name in facts.columns if name not in ("deck_id", "gap")]
+    f = facts.fillna(0, numbers).join(over, "deck_id", "left").fillna(0, ["over"]).join(levels, "deck_id", "left").join(support, "deck_id", "left")
     c = F.col
     near = F.lit(True)
     for bucket, share in rules.ratios.items():
@@ -69,7 +93,8 @@ def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, ru
         (c("has_synchro") == 0) | ((c("monsters") >= 2) & ((c("asks_tuner") == 0) | ((c("tuners") >= 1) & (c("non_tuners") >= 1)))),
         (c("has_xyz") == 0) | (F.coalesce("same_level", F.lit(0)) >= 2), (c("has_link") == 0) | (c("effects") >= 2),
         (c("has_pendulum") == 0) | ((c("pendulums") >= 2) & (F.coalesce("gap", F.lit(0)) >= 2)), near)))
-    out = f.select("deck_id", *(flag.alias(name) for name, flag in flags.items()))
+    wrong = F.array(*(F.when(~flags[name], F.lit(text) if number is None else F.concat(F.lit(text.split("{}")[0]), c(number), F.lit(text.split("{}")[1]))) for name, (text, number) in WRONG.items()))
+    out = f.select("deck_id", *(flag.alias(name) for name, flag in flags.items()), F.filter(wrong, lambda x: x.isNotNull()).alias("errors"))
     out = out.withColumn("flags", F.create_map(*(x for name in RULES for x in (F.lit(name), F.col(name)))))
     return out.withColumn("failed", F.array_sort(F.map_keys(F.map_filter("flags", lambda k, v: ~v)))).withColumn("ok", F.size("failed") == 0)
 

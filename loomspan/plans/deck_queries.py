@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators import materials as M
 from ..operators import scoring as SC
 from ..operators import validation as V
+from ..shared import saved
 from .adapters import rounded, view, with_views
 
 S = SparkSession
@@ -26,12 +27,16 @@ def deck_entries(spark: S, d: str) -> DataFrame:
     return _entries(spark, d).select("deck_id", "card_id", "copies", "zone", "is_known", "name", "type")
 
 
+def _main(spark: S, d: str) -> DataFrame:
+    return _entries(spark, d).where("zone = 'main'")
+
+
 def deck_balance(spark: S, d: str) -> DataFrame:
-    return rounded(SC.deck_balance(view(spark, d, "decks").drop("status"), _entries(spark, d).where("is_known")))
+    return rounded(SC.deck_balance(view(spark, d, "decks").drop("status"), _main(spark, d).where("is_known")))
 
 
 def deck_synergy(spark: S, d: str) -> DataFrame:
-    return rounded(SC.deck_synergy(view(spark, d, "entries"), view(spark, d, "assign").select("card_id", "embedding")))
+    return rounded(SC.deck_synergy(_main(spark, d), view(spark, d, "assign").select("card_id", "embedding")))
 
 
 def role_ids(spark: S, d: str) -> DataFrame:
@@ -43,7 +48,7 @@ def starter_rules(spark: S, d: str) -> DataFrame:
 
 
 def _consistency(spark: S, d: str) -> DataFrame:
-    return SC.deck_consistency(_entries(spark, d), role_ids(spark, d))
+    return SC.deck_consistency(_main(spark, d), role_ids(spark, d))
 
 
 def deck_consistency(spark: S, d: str) -> DataFrame:
@@ -51,12 +56,28 @@ def deck_consistency(spark: S, d: str) -> DataFrame:
 
 
 def _scores(spark: S, d: str) -> DataFrame:
-    entries = view(spark, d, "entries")
+    entries = _main(spark, d)
     facts = entries.groupBy("deck_id").agg((F.count(F.lit(1)) / F.sum("copies")).alias("unique_ratio")).withColumns({"staples": F.col("deck_id") % 6, "novelty": F.col("deck_id") % 4})
-    balance = SC.deck_balance(view(spark, d, "decks").drop("status"), _entries(spark, d).where("is_known"))
+    balance = SC.deck_balance(view(spark, d, "decks").drop("status"), entries.where("is_known"))
     return SC.deck_scores(balance, SC.deck_synergy(entries, view(spark, d, "assign").select("card_id", "embedding")), _consistency(spark, d), facts)
 
 
+def _records(spark: S, d: str) -> DataFrame:
+    """Records of all decks with their validation and diagnostics; a deck in seven has none of these."""
+    k = F.col("deck_id")
+    has = k % 7 != 0
+    checks = _validated(spark, d).select("deck_id", "flags", "errors")
+    diagnostics = F.create_map(F.lit("num_staples_injected"), k % 6, F.lit("num_novelty_cards"), k % 4, F.lit("num_repairs"), k % 3)
+    decks = view(spark, d, "decks").join(checks, "deck_id", "left").select("deck_id", "format", "status", *(F.when(has, x).alias(n) for x, n in ((diagnostics, "diagnostics"), (F.col("flags"), "flags"), (F.col("errors"), "errors"))))
+    return SC.score_records(decks, _entries(spark, d), view(spark, d, "assign").select("card_id", "embedding"), role_ids(spark, d))
+
+
+def score_records(spark: S, d: str) -> DataFrame:
+    e = F.col("evaluation")
+    flat = _records(spark, d).withColumns({"overall": e["overall_score"], "hand": e["draws"]["hand_size"], "weight": e["component_weights"]["synergy"], "starters": e["features"]["starters"], "starter_kinds": e["features"]["starter_kinds"]})
+    return rounded(flat.drop("evaluation"), 5)
+
+
 def deck_scores(spark: S, d: str) -> DataFrame:
     return rounded(_scores(spark, d), 5)
 
@@ -74,10 +95,9 @@ def top_deck(spark: S, d: str) -> DataFrame:
 
 
 def metrics_long(spark: S, d: str) -> DataFrame:
-    b = SC.deck_balance(view(spark, d, "decks").drop("status"), _entries(spark, d).where("is_known"))
-    long = b.select("deck_id", "monster_ratio", "spell_ratio", "trap_ratio", "balance_score").unpivot(["deck_id"], ["monster_ratio", "spell_ratio", "trap_ratio", "balance_score"], "metric", "value")
-    steps = X.numbered(b.select("deck_id"), "deck_id", "step")
-    return rounded(long.join(steps, "deck_id"))
+    """The 19 series of the score records."""
+    steps = X.numbered(view(spark, d, "decks").select("deck_id"), "deck_id", "step")
+    return rounded(SC.score_series(_records(spark, d), steps), 5)
 
 
 def deck_text(spark: S, d: str) -> DataFrame:
@@ -142,12 +162,15 @@ def tag_capacity(spark: S, d: str) -> DataFrame:
 
 
 def _validated(spark: S, d: str) -> DataFrame:
-    ok = _support(spark, d).groupBy("deck_id").agg(F.bool_and(F.col("found") >= F.col("needed")).alias("material_ok"))
-    return V.validate_decks(_entries(spark, d), V.copy_limits(_lists(spark, d)), ok, RULES)
+    entries = saved(_entries(spark, d), "entries")  # read by several aggregates
+    tags = _tags(spark, d).withColumnRenamed("id", "card_id")
+    support = V.deck_support(entries, tags, M.tag_matches(tags, _worded(spark, d)))
+    ok = support.groupBy("deck_id").agg(F.bool_and(F.col("found") >= F.col("needed")).alias("material_ok"))
+    return V.validate_decks(entries, V.copy_limits(_lists(spark, d)), ok, RULES, view(spark, d, "decks"))
 
 
 def validate_decks(spark: S, d: str) -> DataFrame:
-    return _validated(spark, d).select("deck_id", *V.RULES, F.array_join("failed", "|").alias("failed"), "ok")
+    return _validated(spark, d).select("deck_id", *V.RULES, F.array_join("failed", "|").alias("failed"), F.size("errors").alias("n_errors"), F.get("errors", F.lit(0)).alias("first_error"), "ok")
 
 
 def failed_flags(spark: S, d: str) -> DataFrame:
@@ -178,26 +201,26 @@ def primary_cluster(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    deck_entries, deck_balance, deck_synergy, role_ids, starter_rules, deck_consistency, deck_scores, score_summary, scores_by_format, top_deck, metrics_long, deck_text, copy_limits, material_clause, material_tags, named_materials,
+    deck_entries, deck_balance, deck_synergy, role_ids, starter_rules, deck_consistency, deck_scores, score_records, score_summary, scores_by_format, top_deck, metrics_long, deck_text, copy_limits, material_clause, material_tags, named_materials,
     requirement_label, material_support, tag_capacity, validate_decks, failed_flags, failed_combos, pendulum_path, top_level, primary_cluster)}
 
 ENT = "ent as (select e.*, c.id is not null is_known, name, type, descr, race, archetype, level, attribute, scale, tcg_date, case when regexp_matches(lower(type), 'fusion|synchro|xyz|link') and card_id % 2 = 0 then 'extra' else 'main' end zone from entries e left join (select * from cards where id % 40 <> 1) c on id = card_id)"
 TAR = "case lower(format) when 'goat' then {0} when 'hat' then {1} else {2} end"
-BAL = f"""cnt as (select deck_id, sum(copies) filter (type like '%Monster%') m, sum(copies) filter (type not like '%Monster%' and type like '%Spell%') s, sum(copies) filter (type not like '%Monster%' and type like '%Trap%') t from ent where is_known group by 1),
+BAL = f"""cnt as (select deck_id, sum(copies) filter (type like '%Monster%') m, sum(copies) filter (type not like '%Monster%' and type like '%Spell%') s, sum(copies) filter (type not like '%Monster%' and type like '%Trap%') t from ent where is_known and zone = 'main' group by 1),
  bal0 as (select d.deck_id, format, coalesce(m, 0) m, coalesce(s, 0) s, coalesce(t, 0) t, greatest(coalesce(m, 0) + coalesce(s, 0) + coalesce(t, 0), 1) z from decks d left join cnt using (deck_id)),
  bal as (select *, abs(m / z - 0.5) + abs(s / z - {TAR.format(0.35, 0.25, 0.3)}) + abs(t / z - {TAR.format(0.15, 0.25, 0.2)}) l1 from bal0)"""
 SYN = """un as (select card_id, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])))) u from assign where list_dot_product(embedding, embedding) > 0),
- cv as (select deck_id, copies, unnest(u) x, generate_subscripts(u, 1) pos from entries join un using (card_id)), s2 as (select deck_id, sum(s * s) s2 from (select deck_id, pos, sum(x * copies) s from cv group by all) group by 1),
- syn0 as (select deck_id, sum(copies) z, coalesce(sum(copies) filter (card_id in (select card_id from un)), 0) n from entries group by 1),
+ cv as (select deck_id, copies, unnest(u) x, generate_subscripts(u, 1) pos from (select * from ent where zone = 'main') join un using (card_id)), s2 as (select deck_id, sum(s * s) s2 from (select deck_id, pos, sum(x * copies) s from cv group by all) group by 1),
+ syn0 as (select deck_id, sum(copies) z, coalesce(sum(copies) filter (card_id in (select card_id from un)), 0) n from ent where zone = 'main' group by 1),
  syn as (select deck_id, n / z coverage, case when n >= 2 then (s2 - n) / (n * (n - 1)) else 0 end p, case when n >= 2 then sqrt(s2) / n else 0 end c, n from syn0 left join s2 using (deck_id)),
  syns as (select deck_id, case when n >= 2 then greatest(0, least(100, 100 * (0.7 * (p + 1) / 2 + 0.3 * (c + 1) / 2))) else 50 end synergy from syn)"""
 LIKE = "(type like '%Monster%' and t like '%add%' and t like '%deck%' and t like '%hand%') or (type like '%Monster%' and t like '%special summon%' and t not like '%from your hand%') or (type like '%Spell%' and t like '%add%' and t like '%deck%')"
 STARTER_IDS = "(regexp_matches(lower(descr), 'add|search|from your deck') or (type like '%Monster%' and atk <= 500 and def <= 500))"
-CON = f"""con0 as (select deck_id, sum(copies) n, coalesce(sum(copies) filter (card_id in (select id from cards where {STARTER_IDS}) or coalesce({LIKE}, false)), 0) s from (select *, lower(coalesce(descr, '')) t from ent) group by 1),
- con as (select deck_id, s, list_product(list_transform(range(least(5, n)::bigint), lambda i: greatest(n - s - i, 0) / (n - i))) miss from con0)"""
+CON = f"""con0 as (select deck_id, sum(copies) n, coalesce(sum(copies) filter (card_id in (select id from cards where {STARTER_IDS}) or coalesce({LIKE}, false)), 0) s, count(*) filter (card_id in (select id from cards where {STARTER_IDS}) or coalesce({LIKE}, false)) kinds from (select *, lower(coalesce(descr, '')) t from ent where zone = 'main') group by 1),
+ con as (select deck_id, s, kinds, list_product(list_transform(range(least(5, n)::bigint), lambda i: greatest(n - s - i, 0) / (n - i))) miss from con0)"""
 SCO = """sco as (select deck_id, format, 100 + 15 * coalesce(deck_id % 4, 0) * (e.deck_id is not null)::int + 1.5 * (deck_id % 6) * (e.deck_id is not null)::int + 12 * coalesce(u, 0) - 30 * l1 v1,
  greatest(0, least(100, 0.3 * coalesce(100 * (1 - miss), 0) + 0.3 * coalesce(synergy, 50) + 0.2 * coalesce(100 * (1 - miss), 0) + 0.2 * 100 * (1 - l1 / 2))) v2, coalesce(100 * (1 - miss), 0) c, coalesce(synergy, 50) s, greatest(0, least(100, 100 * (1 - l1 / 2))) b, coalesce(u, 0) u
- from bal left join con using (deck_id) left join syns using (deck_id) left join (select deck_id, count(*) / sum(copies) u from entries group by 1) e using (deck_id))"""
+ from bal left join con using (deck_id) left join syns using (deck_id) left join (select deck_id, count(*) / sum(copies) u from ent where zone = 'main' group by 1) e using (deck_id))"""
 ALL = f"with {ENT}, {BAL}, {SYN}, {CON}, {SCO}"
 W = "worded as (select * replace (case id % 10 when 0 then '1 DARK Tuner + 1 or more non-Tuner monsters' when 1 then '2 LIGHT monsters; then draw' when 2 then '3 Dragon-Type monsters' when 3 then 'a Warrior Tuner' when 4 then '2 \"Brand#1\" monsters' when 5 then 'Blue Star Giant + Red Moon Knight' when 6 then '2+ Level 4 monsters' when 7 then 'an EARTH monster and 1 FIRE tuner' when 8 then '1 tuner \"Brand#2\" monster' else 'plain text' end as descr) from cards)"
 #: What the grammar yields for the ten texts, worked out by hand.
@@ -215,32 +238,48 @@ PAIRS = f"""low as (select id, lower(type) ty, lower(attribute) a, lower(race) r
 SUP = "sup as (select n.deck_id, n.tag, needed, coalesce(found, 0) found from (select deck_id, tag, max(n) needed from ent join tags on tags.id = card_id where zone = 'extra' group by 1, 2) n left join (select deck_id, tag, sum(copies) found from ent join pairs using (card_id) where zone = 'main' group by 1, 2) f on n.deck_id = f.deck_id and n.tag = f.tag)"
 LIM = "lim as (select id card_id, case when id % 25 = 2 then 2 when id % 50 < 2 then 1 end m from cards where id % 25 = 2 or id % 50 < 2)"
 VAL = f"""lo as (select *, lower(coalesce(type, '')) ty, zone = 'main' mz, zone = 'extra' ez from ent),
- fa as (select deck_id, coalesce(sum(copies) filter (mz), 0) nm, coalesce(sum(copies) filter (ez), 0) ne, count(*) filter (not is_known) unk, count(*) filter (is_known and (tcg_date is null or tcg_date > '2013-12-31')) late,
+ fa0 as (select deck_id, coalesce(sum(copies) filter (mz), 0) nm, coalesce(sum(copies) filter (ez), 0) ne, count(*) filter (not is_known) unk, count(*) filter (is_known and (tcg_date is null or tcg_date > '2013-12-31')) late,
   count(*) filter (mz and regexp_matches(ty, 'fusion|synchro|xyz|link')) bm, count(*) filter (ez and ty like '%fusion%') hf, count(*) filter (ez and ty like '%synchro%') hs, count(*) filter (ez and ty like '%xyz%') hx, count(*) filter (ez and ty like '%link%') hl,
   count(*) filter (ez and ty like '%synchro%' and lower(descr) like '%tuner%') asks, coalesce(sum(copies) filter (mz and ty like '%monster%'), 0) mo, coalesce(sum(copies) filter (mz and ty like '%monster%' and ty like '%tuner%'), 0) tu,
   coalesce(sum(copies) filter (mz and ty like '%monster%' and ty not like '%tuner%'), 0) nt, coalesce(sum(copies) filter (mz and ty like '%monster%' and ty like '%effect%'), 0) ef,
   coalesce(sum(copies) filter (mz and is_known and ty not like '%spell%' and ty not like '%trap%'), 0) bmo, coalesce(sum(copies) filter (mz and is_known and ty like '%spell%'), 0) bs, coalesce(sum(copies) filter (mz and is_known and ty like '%trap%'), 0) bt from lo group by 1),
+ fa as (select deck_id, coalesce(columns(* exclude (deck_id)), 0) from (select d.deck_id, fa0.* exclude (deck_id) from decks d left join fa0 on fa0.deck_id = d.deck_id)),
  ov as (select deck_id, count(*) filter (c > coalesce(m, 3)) o from (select deck_id, card_id, sum(copies) c from ent group by 1, 2) left join lim using (card_id) group by 1),
  lv as (select deck_id, max(c) c from (select deck_id, level, sum(copies) c from lo where mz and ty like '%monster%' and level > 0 group by 1, 2) group by 1),
  mt as (select deck_id, bool_and(found >= needed) ok from sup group by 1),
- va as (select deck_id, nm = 8 main_size_ok, ne between 0 and 3 extra_size_ok, unk = 0 cards_exist_ok, late = 0 format_release_ok, coalesce(o, 0) = 0 max_copies_ok, true extra_type_ok, bm = 0 main_extra_type_ok, coalesce(mt.ok, true) material_requirements_ok, hf = 0 fusion_enabler_ok,
-  hs = 0 or (mo >= 2 and (asks = 0 or (tu >= 1 and nt >= 1))) synchro_path_ok, hx = 0 or coalesce(lv.c, 0) >= 2 xyz_path_ok, hl = 0 or ef >= 2 link_path_ok, true pendulum_path_ok,
-  abs(bmo - round_even(0.5 * nm, 0)) <= 2 and abs(bs - round_even(0.3 * nm, 0)) <= 2 and abs(bt - round_even(0.2 * nm, 0)) <= 2 type_ratio_ok from fa left join ov using (deck_id) left join lv using (deck_id) left join mt using (deck_id))"""
+ va0 as (select fa.*, coalesce(o, 0) ov, coalesce(lv.c, 0) lev, coalesce(mt.ok, true) mok from fa left join ov using (deck_id) left join lv using (deck_id) left join mt using (deck_id)),
+ va as (select deck_id, nm = 8 main_size_ok, ne between 0 and 3 extra_size_ok, unk = 0 cards_exist_ok, late = 0 format_release_ok, ov = 0 max_copies_ok, true extra_type_ok, bm = 0 main_extra_type_ok, mok material_requirements_ok, hf = 0 fusion_enabler_ok,
+  hs = 0 or (mo >= 2 and (asks = 0 or (tu >= 1 and nt >= 1))) synchro_path_ok, hx = 0 or lev >= 2 xyz_path_ok, hl = 0 or ef >= 2 link_path_ok, true pendulum_path_ok,
+  abs(bmo - round_even(0.5 * nm, 0)) <= 2 and abs(bs - round_even(0.3 * nm, 0)) <= 2 and abs(bt - round_even(0.2 * nm, 0)) <= 2 type_ratio_ok from va0)"""
 FAILED = "list_sort(list_filter([" + ", ".join(f"case when not {r} then '{r}' end" for r in V.RULES) + "], lambda x: x is not null))"
 VALID = f"with {ENT}, {W}, {TAGS}, {PAIRS}, {SUP}, {LIM}, {VAL}"
+_NUMBERS = {"n_main": "nm", "n_extra": "ne", "unknown": "unk", "late": "late", "over": "ov", "bad_extra": "0", "bad_main": "bm", "has_fusion": "hf", "has_synchro": "hs", "has_xyz": "hx", "has_link": "hl", "has_pendulum": "0"}
+ERRORS = "list_filter([" + ", ".join("case when not " + r + " then " + (f"'{t}'" if n is None else "'" + t.split("{}")[0] + "' || " + _NUMBERS[n] + "::bigint || '" + t.split("{}")[1] + "'") + " end" for r, (t, n) in V.WRONG.items()) + "], lambda x: x is not null)"
+ER = f"er as (select deck_id, {ERRORS} errors from va join va0 using (deck_id))"
+PASSED = " + ".join(f"{r}::int" for r in V.RULES)
+REC = f"""rec as (select b.deck_id, b.format, d.status, case when h then b.deck_id % 6 else 0 end num_staples_injected, case when h then b.deck_id % 4 else 0 end num_novelty_cards, case when h then b.deck_id % 3 else 0 end num_repairs, 0 num_resamples,
+  case when h then {PASSED} else 0 end constraint_flags_passed, case when h then {len(V.RULES)} else 0 end constraint_flags_total, case when h then len(errors) else 0 end error_count, coalesce(nm, 0) main_size, coalesce(xs, 0) extra_size, coalesce(um, 0) unique_main_count, coalesce(um / nullif(nm, 0), 0) unique_main_ratio,
+  m / z monster_ratio, s / z spell_ratio, t / z trap_ratio, l1 type_ratio_distance_l1, greatest(0, least(100, 100 * (1 - l1 / 2))) balance_score, coalesce(100 * (1 - miss), 0) consistency_score, coalesce(100 * (1 - miss), 0) brick_risk_score, coalesce(1 - miss, 0) starter_hit_rate, coalesce(miss, 0) brick_hand_rate,
+  coalesce(ss, 0) starters, coalesce(kinds, 0) starter_kinds, coalesce(synergy, 50) synergy_score, coalesce(coverage, 0) main_embedding_coverage, coalesce(p, 0) main_avg_pairwise_similarity, coalesce(c, 0) main_centroid_similarity
+  from (select *, deck_id % 7 <> 0 h from bal) b join decks d using (deck_id) join va using (deck_id) join er using (deck_id) left join (select deck_id, sum(copies) filter (zone = 'main') nm, sum(copies) filter (zone = 'extra') xs, count(*) filter (zone = 'main') um from ent group by 1) x using (deck_id)
+  left join (select deck_id, s ss, kinds, miss from con) con using (deck_id) left join syn using (deck_id) left join syns using (deck_id)),
+ record as (select *, 100 + 15 * num_novelty_cards + 1.5 * num_staples_injected + 12 * unique_main_ratio - 30 * type_ratio_distance_l1 heuristic_score_v1, greatest(0, least(100, 0.3 * consistency_score + 0.3 * synergy_score + 0.2 * brick_risk_score + 0.2 * balance_score)) heuristic_score_v2 from rec)"""
+RECORDS = f"with {ENT}, {BAL}, {SYN}, {CON}, {W}, {TAGS}, {PAIRS}, {SUP}, {LIM}, {VAL}, {ER}, {REC}"
+_DOUBLES = ("unique_main_ratio", "monster_ratio", "spell_ratio", "trap_ratio", "type_ratio_distance_l1", "balance_score", "consistency_score", "brick_risk_score", "starter_hit_rate", "brick_hand_rate", "synergy_score", "main_embedding_coverage", "main_avg_pairwise_similarity", "main_centroid_similarity", "heuristic_score_v1", "heuristic_score_v2")
 
 ORACLE_SQL = {
     "deck_entries": with_views(f"with {ENT} select deck_id, card_id, copies, zone, is_known, name, type from ent", "cards", "entries"),
     "deck_balance": with_views(f"with {ENT}, {BAL} select deck_id, format, m monster_count, s spell_count, t trap_count, round(m / z, 6) monster_ratio, round(s / z, 6) spell_ratio, round(t / z, 6) trap_ratio, round(l1, 6) type_ratio_distance_l1, round(greatest(0, least(100, 100 * (1 - l1 / 2))), 6) balance_score from bal", "cards", "entries", "decks"),
-    "deck_synergy": with_views(f"with {SYN} select syn.deck_id, round(coverage, 6) coverage, round(p, 6) mean_pairwise_cosine, round(c, 6) mean_centroid_cosine, round(synergy, 6) synergy_score from syn join syns using (deck_id)", "entries", "assign"),
+    "deck_synergy": with_views(f"with {ENT}, {SYN} select syn.deck_id, round(coverage, 6) coverage, round(p, 6) mean_pairwise_cosine, round(c, 6) mean_centroid_cosine, round(synergy, 6) synergy_score from syn join syns using (deck_id)", "cards", "entries", "assign"),
     "role_ids": with_views(f"select id card_id from cards where {STARTER_IDS}", "cards"),
     "starter_rules": with_views(f"select id, {LIKE} starter, t like '%special summon%' or (type like '%Spell%' and (t like '%draw%' or t like '%add%')) or (type like '%Monster%' and t like '%summon%') enabler from (select *, lower(descr) t from cards)", "cards"),
-    "deck_consistency": with_views(f"with {ENT}, {CON} select deck_id, s starters, round(1 - miss, 6) hit_rate, round(miss, 6) brick_rate, round(100 * (1 - miss), 6) consistency_score, round(100 * (1 - miss), 6) brick_risk_score from con", "cards", "entries"),
+    "deck_consistency": with_views(f"with {ENT}, {CON} select deck_id, s starters, kinds starter_kinds, round(1 - miss, 6) hit_rate, round(miss, 6) brick_rate, round(100 * (1 - miss), 6) consistency_score, round(100 * (1 - miss), 6) brick_risk_score from con", "cards", "entries"),
     "deck_scores": with_views(f"{ALL} select deck_id, format, round(v1, 5) score_v1, round(v2, 5) score_v2, round(c, 5) consistency_score, round(s, 5) synergy_score, round(c, 5) brick_risk_score, round(b, 5) balance_score, round(u, 5) unique_ratio from sco", "cards", "entries", "decks", "assign"),
     "score_summary": with_views(f"{ALL} select count(*) n, round(avg(v1), 4) score_v1_mean, round(stddev_pop(v1), 4) score_v1_std, round(min(v1), 4) score_v1_min, round(max(v1), 4) score_v1_max, round(avg(v2), 4) score_v2_mean, round(stddev_pop(v2), 4) score_v2_std, round(min(v2), 4) score_v2_min, round(max(v2), 4) score_v2_max, round(avg(c), 4) consistency_mean, round(avg(s), 4) synergy_mean, round(avg(c), 4) brick_risk_mean, round(avg(b), 4) balance_mean from sco", "cards", "entries", "decks", "assign"),
     "scores_by_format": with_views(f"{ALL} select format, count(*) n, round(avg(v2), 4) mean, round(min(v2), 4) min, round(max(v2), 4) max from sco group by 1", "cards", "entries", "decks", "assign"),
     "top_deck": with_views(f"{ALL} select deck_id, format from sco order by round(v2, 5) desc, deck_id limit 1", "cards", "entries", "decks", "assign"),
-    "metrics_long": with_views(f"with {ENT}, {BAL}, st as (select *, row_number() over (order by deck_id) - 1 step from bal) select deck_id, unnest(['monster_ratio', 'spell_ratio', 'trap_ratio', 'balance_score']) metric, round(unnest([m / z, s / z, t / z, greatest(0, least(100, 100 * (1 - l1 / 2)))]), 6) \"value\", step from st", "cards", "entries", "decks"),
+    "score_records": with_views(f"{RECORDS} select * exclude ({', '.join(_DOUBLES)}), {', '.join(f'round({c}, 5) + 0.0 {c}' for c in _DOUBLES)}, round(heuristic_score_v2, 5) overall, 5 hand, 0.3::double weight from record", "cards", "entries", "decks", "assign"),
+    "metrics_long": with_views(f"{RECORDS}, st as (select *, row_number() over (order by deck_id) - 1 step from record) select deck_id, unnest([{', '.join(repr(x) for x in SC.SERIES)}]) metric, round(unnest([{', '.join(f'{x}::double' for x in SC.SERIES)}]), 5) + 0.0 \"value\", step from st", "cards", "entries", "decks", "assign"),
     "deck_text": with_views(f"with {ENT}, r as (select deck_id, zone, card_id, unnest(range(copies)) k from ent) select deck_id, '#main' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'main'), '') || chr(10) || '#extra' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'extra'), '') || chr(10) || '!side' || chr(10) \"text\" from r group by 1", "cards", "entries"),
     "copy_limits": with_views(f"with {LIM} select card_id, m max_copies from lim", "cards"),
     "material_clause": with_views(f"with {W} select id, case when id % 10 in (9) then null else lower(split_part(descr, ';', 1)) end clause from worded", "cards"),
@@ -249,9 +288,9 @@ ORACLE_SQL = {
     "requirement_label": with_views(f"with {TAGS} select distinct tag, case when tag like 'attr_tuner:%' or tag like 'type_tuner:%' then split_part(tag, ':', 2) || ' tuner' when tag like 'attr_monster:%' then split_part(tag, ':', 2) || ' monster' when tag like 'card_name:%' then split_part(tag, ':', 2) when contains(tag, ':') then split_part(tag, ':', 2) || ' ' || split_part(tag, ':', 3) else tag end label from tags", "cards"),
     "material_support": with_views(f"with {ENT}, {W}, {TAGS}, {PAIRS}, {SUP} select deck_id, tag, needed, found from sup", "cards", "entries"),
     "tag_capacity": with_views(f"with {W}, {TAGS}, {PAIRS}, {LIM} select tag, cast(sum(coalesce(m, 3)) as bigint) capacity from pairs left join lim using (card_id) where not regexp_matches(lower(type), 'fusion|synchro|xyz|link') group by 1", "cards"),
-    "validate_decks": with_views(f"{VALID} select *, array_to_string({FAILED}, '|') failed, len({FAILED}) = 0 ok from va", "cards", "entries"),
-    "failed_flags": with_views(f"{VALID} select flag, count(*) n from (select unnest({FAILED}) flag from va) group by 1", "cards", "entries"),
-    "failed_combos": with_views(f"{VALID} select array_to_string({FAILED}, '|') combo, count(*) n from va where len({FAILED}) > 0 group by 1", "cards", "entries"),
+    "validate_decks": with_views(f"{VALID}, {ER} select va.*, array_to_string({FAILED}, '|') failed, len(errors) n_errors, errors[1] first_error, len({FAILED}) = 0 ok from va join er using (deck_id)", "cards", "entries", "decks"),
+    "failed_flags": with_views(f"{VALID} select flag, count(*) n from (select unnest({FAILED}) flag from va) group by 1", "cards", "entries", "decks"),
+    "failed_combos": with_views(f"{VALID} select array_to_string({FAILED}, '|') combo, count(*) n from va where len({FAILED}) > 0 group by 1", "cards", "entries", "decks"),
     "pendulum_path": with_views(f"with {ENT} select deck_id, coalesce(max(scale) - min(scale), 0) >= 2 has_pair from ent group by 1", "cards", "entries"),
     "top_level": with_views("select race, level, count(distinct id) n from cards where type like '%Monster%' group by race, level qualify row_number() over (partition by race order by count(distinct id) desc, level) = 1", "cards"),
     "primary_cluster": with_views("with s as (select cluster_id, count(*) n from assign group by 1), b as (select cluster_id p from s order by n desc, cluster_id limit 1), o as (select cluster_id, ('0x' || substr(md5('7|' || cluster_id), 1, 8))::ubigint h from s, b where cluster_id >= 0 and cluster_id <> p order by h, cluster_id limit 2) select p primary_id, string_agg(cluster_id, ',' order by h) secondary from o, b group by p", "assign"),
