@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,8 @@ def terms(rows: DataFrame, group: list[str], text: str, n: int = 20) -> DataFram
 
 def centroids(assign: DataFrame, vectors: Column | None = None) -> DataFrame:
     """cluster_id, centroid: mean vector of each cluster but noise."""
-    own = clustered(assign).select("cluster_id", F.posexplode(doubles(F.col("embedding")) if vectors is None else vectors).alias("pos", "x"))
-    means = own.groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
-    return means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
+    own = clustered(assign).select("cluster_id", array_to_vector(doubles(F.col("embedding")) if vectors is None else vectors).alias("x"))
+    return own.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("centroid"))  # combines on the map side
 
 
 def with_centroids(assign: DataFrame) -> DataFrame:
@@ -121,6 +122,29 @@ def cluster_roles(rows: DataFrame, text: str = "descr") -> DataFrame:
     return rows.groupBy("cluster_id").agg(*flags).select("cluster_id", case.alias("functional_role"))
 
 
+def metadata_records(assign: DataFrame, rows: DataFrame, text: str = "descr") -> DataFrame:
+    """A record for each cluster, noise included: size, label by role, review status, medoid, and a struct of ten
+    representative cards, frequent terms, types and archetypes, quality, and whether it is the noise.
+
+    assign: card_id, cluster_id, prob, embedding; rows: assign with the cards' name, type, archetype and text.
+    """
+    every = assign.withColumn("cluster_id", F.col("cluster_id") + 1 - NOISE)  # the noise is described like any cluster
+    own = rows.withColumn("cluster_id", F.col("cluster_id") + 1 - NOISE)
+    key = ["cluster_id"]
+    spread = lambda c, name: as_map(top_values(own, key, F.coalesce(c, F.lit("unknown")), 15), key, name)
+    words = terms(own, key, text, 20).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]).alias("top_terms"))
+    first = own.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("card_id"))).where("nth <= 10")
+    cards = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("card_id", F.col("name").alias("card_name")))).alias("representative_cards"))
+    out = quality(every).join(medoids(every).select("cluster_id", "medoid_card_id"), key).join(cluster_roles(own, text), key).join(spread("type", "type_distribution"), key).join(spread("archetype", "archetype_distribution"), key)
+    out = out.join(words, key, "left").join(cards, key)
+    found = F.struct(
+        "representative_cards", F.coalesce("top_terms", F.array().cast("array<string>")).alias("top_terms"), "type_distribution", "archetype_distribution", F.struct("mean_prob", "mean_outlier", "avg_similarity").alias("quality_metrics"),
+        F.concat(F.lit("heuristic:"), F.col("functional_role")).alias("reasoning"), (F.col("cluster_id") == 1).alias("noise_cluster"))
+    return out.select(
+        (F.col("cluster_id") - 1 + NOISE).alias("cluster_id"), F.col("size").alias("cluster_size"), "functional_role", F.translate("functional_role", "_", " ").alias("label_hint"), F.lit(0.55).alias("label_confidence"),
+        F.concat(F.lit("heuristic:"), F.col("functional_role")).alias("label_source"), F.lit("unreviewed").alias("review_status"), "medoid_card_id", found.alias("metadata"))
+
+
 def structural_score(metrics: DataFrame, w: ScoreWeights = ScoreWeights()) -> DataFrame:
     score = w.clusters * F.least(F.col("num_clusters") / 100.0, F.lit(1.0)) - w.noise * F.col("noise_ratio") - w.largest * F.col("largest_ratio") - w.tiny * F.col("tiny_ratio") + w.chance * F.col("mean_prob")
     score = score - F.when(F.col("num_clusters") < w.few_clusters, 1.0).otherwise(0.0) - F.when(F.col("noise_ratio") > w.much_noise, 1.0).otherwise(0.0)

@@ -4,23 +4,57 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, doubles
+from ..shared import saved
+from .features import numbered
 from .graph import components
 
-#: Trial numbers stand above this bit in the nodes of a sweep.
-SHIFT = 40
+#: Vectors that meet in one task are at most two blocks of about so many.
+BLOCK = 1024
 
 
 def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> DataFrame:
-    """(a, b, d) with a < b and d <= eps. The first coordinate, cut into slots of eps, prunes exactly: near vectors lie in
-    the same slot or the next. It prunes much if eps is small against the coordinate's spread, and little otherwise."""
-    v = vectors.select(F.col(key).cast("long").alias("k"), doubles(F.col("embedding")).alias("v")).withColumn("slot", F.floor(F.get("v", F.lit(0)) / eps))
-    left = v.select(F.col("k").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    right = v.select(F.col("k").alias("b"), F.col("v").alias("vb"), "slot")
-    return left.join(right, "slot").where("a < b").select("a", "b", distance(F.col("va"), F.col("vb")).alias("d")).where(F.col("d") <= eps)
+    """(a, b, d) with a < b and d <= eps.
+
+    Vectors are cut into blocks by their distance from one pivot (a vector of the table), and two blocks meet in a task only
+    if those distances may differ by eps or less: by the triangle inequality nothing is lost. Where eps is large against the
+    distances' spread all blocks meet, each pair of them in a task of its own. Vectors of another length than the pivot's, or
+    with null components, have no neighbours.
+    """
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(key).cast("long").alias("k"), doubles(F.col("embedding")).alias("v")).where("k is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
+    pivot = v.agg(F.min_by("v", "k").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    if not pivot["n"]:
+        return spark.createDataFrame([], "a long, b long, d double")
+    v = v.where(F.size("v") == len(pivot["p"])).withColumn("t", distance(F.col("v"), F.array(*map(F.lit, pivot["p"]))))
+    blocks = -(-pivot["n"] // BLOCK)
+    cuts = v.agg(F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
+    v = saved(v.withColumn("block", sum((F.when(F.col("t") > c, 1).otherwise(0) for c in cuts), F.lit(0))) if blocks <= 200 else v.withColumn("block", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("t")))), "vectors")
+    ends = {r["block"]: (r["lo"], r["hi"]) for r in v.groupBy("block").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}  # a row for each block
+    met = [(i, j) for i in ends for j in ends if i <= j and ends[j][0] - ends[i][1] <= eps * (1 + 1e-9)]
+    meetings = spark.createDataFrame(sorted({(x, i, j) for i, j in met for x in (i, j)}), "block int, i int, j int")
+    dealt = v.join(meetings, "block").select("i", "j", "block", "k", "v")
+
+    def near(rows: pa.Table) -> pa.Table:
+        block, ids = rows["block"].to_numpy(), rows["k"].to_numpy()
+        x = np.stack([np.asarray(r) for r in rows["v"].to_numpy()])
+        left, right = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
+        lengths = (x * x).sum(1)
+        rough = lengths[left][:, None] + lengths[right][None, :] - 2 * (x[left] @ x[right].T)
+        p, q = np.nonzero(rough <= eps * eps + 1e-9 * (lengths.max() + eps * eps))
+        p, q = left[p], right[q]
+        keep = ids[p] < ids[q] if rows["i"][0] == rows["j"][0] else ids[p] != ids[q]
+        p, q = p[keep], q[keep]
+        d = np.sqrt(sum((x[p, c] - x[q, c]) ** 2 for c in range(x.shape[1])))
+        p, q, d = p[d <= eps], q[d <= eps], d[d <= eps]
+        return pa.table({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "d": d})
+
+    return dealt.groupBy("i", "j").applyInArrow(near, "a long, b long, d double")
 
 
 def density_clusters(ids: DataFrame, pairs: DataFrame, trials: DataFrame) -> DataFrame:
@@ -31,6 +65,7 @@ def density_clusters(ids: DataFrame, pairs: DataFrame, trials: DataFrame) -> Dat
     1 - d / eps for a border card, 0 for noise. All trials run in one job over pairs found once.
     """
     trials = F.broadcast(trials)
+    names = dense_numbers(ids)
     own = pairs.join(trials, F.col("d") <= F.col("eps"))
     both = own.select("trial", "eps", "min_samples", "a", "b", "d").union(own.select("trial", "eps", "min_samples", "b", "a", "d"))
     degree = both.groupBy("trial", "a").agg(F.count(F.lit(1)).alias("n"), F.max("min_samples").alias("m"))
@@ -38,9 +73,10 @@ def density_clusters(ids: DataFrame, pairs: DataFrame, trials: DataFrame) -> Dat
     if trials.where("min_samples <= 1").limit(1).count():
         cores = ids.join(trials.where("min_samples <= 1")).select("trial", F.col("card_id").alias("core")).union(cores).distinct()
     links = own.join(cores.withColumnRenamed("core", "a"), ["trial", "a"]).join(cores.withColumnRenamed("core", "b"), ["trial", "b"])
-    node = lambda c: F.shiftleft(F.col("trial").cast("long"), SHIFT) + F.col(c)
-    roots = components(links.select(node("a").alias("a"), node("b").alias("b")))
-    rooted = cores.withColumn("node", node("core")).join(roots, "node", "left").select("trial", "core", F.coalesce("root", "node").alias("root"))
+    many = trials.agg((F.max("trial") + 1).alias("n")).first()["n"] or 1
+    node = lambda rows, c: rows.join(names.select(F.col("card_id").alias(c), F.col("number").alias(f"{c}_no")), c).withColumn(f"{c}_no", F.col(f"{c}_no") * many + F.col("trial"))
+    roots = components(node(node(links, "a"), "b").select(F.col("a_no").alias("a"), F.col("b_no").alias("b")))
+    rooted = node(cores, "core").withColumnRenamed("core_no", "node").join(roots, "node", "left").select("trial", "core", F.coalesce("root", "node").alias("root"))
     near = both.withColumnRenamed("b", "core").join(rooted, ["trial", "core"]).select("trial", F.col("a").alias("card_id"), "d", "core", "root", "eps")
     border = near.join(cores.withColumnRenamed("core", "card_id"), ["trial", "card_id"], "left_anti").groupBy("trial", "card_id").agg(F.min(F.struct("d", "core", "root", "eps")).alias("x"))
     members = rooted.select("trial", F.col("core").alias("card_id"), "root", F.lit(1.0).alias("prob")).union(border.select("trial", "card_id", "x.root", F.greatest(F.lit(0.0), 1 - F.col("x.d") / F.col("x.eps"))))
@@ -51,6 +87,11 @@ def density_clusters(ids: DataFrame, pairs: DataFrame, trials: DataFrame) -> Dat
     return every.join(found, ["trial", "card_id"], "left").select("trial", "card_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
+def dense_numbers(ids: DataFrame) -> DataFrame:
+    """card_id and its number from 0 in ascending order, so that numbers times trials stay in a long whatever the ids are."""
+    return saved(numbered(ids.select("card_id").where("card_id is not null").distinct(), "card_id", "number"), "numbers")
+
+
 def trial_grid(spark, eps: list[float], min_samples: list[int], min_cluster_size: list[int]) -> DataFrame:
     rows = [(i, *x) for i, x in enumerate(product(eps, min_samples, min_cluster_size))]
     return spark.createDataFrame(rows, "trial int, eps double, min_samples int, min_cluster_size int")

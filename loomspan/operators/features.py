@@ -58,18 +58,20 @@ def role_tags(cards: DataFrame, text: str = "descr", rules: tuple[RoleRule, ...]
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """key, embedding: counts of the text's words in `dim` hashed buckets, scaled to length 1; no words: all zeros."""
+    """key, embedding: counts of the text's words in `dim` hashed buckets, scaled to length 1; no words: all zeros. A row
+    for each key; texts under one key are counted together."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dim
-    counts = rows.select(key, F.explode(words).alias("word")).groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    packed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.coalesce(F.element_at("m", i) / F.col("size"), F.lit(0.0)))
-    return rows.select(key).join(packed, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+    counts = rows.select(key, F.explode_outer(words).alias("word")).groupBy(key, bucket.alias("bucket")).agg(F.count("word").cast("double").alias("n"))
+    filled = F.filter(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))), lambda x: x.isNotNull())
+    packed = counts.groupBy(key).agg(F.map_from_entries(filled).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)))
+    return packed.select(key, F.when(F.col("size") == 0, F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
 
 
 def kv_documents(features: DataFrame, roles: DataFrame) -> DataFrame:
     """(key, value): a JSON document of features and one of roles for each card."""
-    own = features.select(F.concat(F.lit("card:features:"), F.col("card_id")).alias("key"), F.to_json(F.struct("card_id", "name", "is_spell", "is_trap")).alias("value"))
+    own = features.select(F.concat(F.lit("card:features:"), F.col("card_id")).alias("key"), F.to_json(F.struct("card_id", "name", "type", "race", "archetype", "atk", "def", "is_effect_monster", "is_extra_deck", "is_spell", "is_trap")).alias("value"))
     tags = roles.groupBy("card_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("role_tag", "confidence")))).alias("value"))
     return own.unionByName(tags.select(F.concat(F.lit("card:roles:"), F.col("card_id")).alias("key"), "value"))
 
@@ -87,5 +89,5 @@ def numbered(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
 
 
 def vector_batches(vectors: DataFrame, key: str, size: int = 500) -> DataFrame:
-    """batch_id, id and a JSON payload, in batches of `size` by id."""
-    return numbered(vectors, key).select((F.col("row_no") / size).cast("bigint").alias("batch_id"), F.col(key).alias("id"), F.to_json(F.struct(F.col(key).alias("id"), "cluster_id")).alias("payload"))
+    """batch_id, id, a JSON payload and the vector, in batches of `size` by id."""
+    return numbered(vectors, key).select((F.col("row_no") / size).cast("bigint").alias("batch_id"), F.col(key).alias("id"), F.to_json(F.struct(F.col(key).alias("id"), "cluster_id")).alias("payload"), F.col("embedding").alias("vector"))

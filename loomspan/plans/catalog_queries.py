@@ -99,6 +99,14 @@ def catalog_cutoff(cards: DataFrame, cutoff: str | None) -> DataFrame:
     return cards.where(F.expr("try_to_date(tcg_date, 'yyyy-MM-dd')") <= F.lit(day))
 
 
+def cutoff_counts(spark: S, d: str) -> DataFrame:
+    """Cards kept and dropped by cutoffs: one that is a date, one that is not, and none."""
+    cards = view(spark, d, "cards")
+    every = cards.agg(F.count(F.lit(1)).alias("n"))
+    parts = [catalog_cutoff(cards, c).agg(F.count(F.lit(1)).alias("kept")).join(every).select(F.lit(str(c)).alias("cutoff"), "kept", (F.col("n") - F.col("kept")).alias("dropped")) for c in ("2008-12-31", "soon", None)]  # one row each
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def fk_orphans(spark: S, d: str) -> DataFrame:
     few = table(spark, d, "part").where("p_partkey % 10 <> 0")
     lines = table(spark, d, "lineitem")
@@ -146,7 +154,7 @@ def allowlist_filter(spark: S, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__.removesuffix("_query"): f
-    for f in (raw_payload_explode, normalize_cards, normalize_sets, normalize_prices, normalize_images, normalize_archetypes, normalize_banlist, safe_int_query, candidate_pool, type_bucket, release_cutoff, fk_orphans, row_counts, range_check, duplicate_keys, dedupe_pk, overlay_merge, overlay_report, allowlist_ids, allowlist_filter)
+    for f in (raw_payload_explode, normalize_cards, normalize_sets, normalize_prices, normalize_images, normalize_archetypes, normalize_banlist, safe_int_query, candidate_pool, type_bucket, release_cutoff, cutoff_counts, fk_orphans, row_counts, range_check, duplicate_keys, dedupe_pk, overlay_merge, overlay_report, allowlist_ids, allowlist_filter)
 }
 QUERIES["normalize_prices"] = lambda s, d: rounded(normalize_prices(s, d))
 
@@ -166,6 +174,7 @@ ORACLE_SQL = {
         """select id, not regexp_matches(lower(type), 'fusion|synchro|xyz|link|token') in_main, regexp_matches(lower(type), 'fusion|synchro|xyz|link') in_extra, lower(type) like '%monster%' is_monster,
            lower(type) like '%monster%' and lower(type) like '%effect%' is_effect, lower(type) like '%tuner%' is_tuner, lower(type) like '%monster%' and lower(type) not like '%tuner%' is_non_tuner, lower(type) like '%pendulum%' is_pendulum from cards""", "cards"),
     "type_bucket": with_views("select id, case when type like '%Spell%' then 'spell' when type like '%Trap%' then 'trap' else 'monster' end sampling, case when type like '%Monster%' then 'monster' when type like '%Spell%' then 'spell' when type like '%Trap%' then 'trap' end scoring from cards", "cards"),
+    "cutoff_counts": with_views("select '2008-12-31' cutoff, count(*) filter (try_cast(tcg_date as date) <= date '2008-12-31') kept, count(*) - count(*) filter (try_cast(tcg_date as date) <= date '2008-12-31') dropped from cards union all select c, count(*), 0 from cards, (values ('soon'), ('None')) v(c) group by c", "cards"),
     "release_cutoff": with_views("select id, tcg_date from cards where try_cast(tcg_date as date) <= date '2008-12-31'", "cards"),
     "fk_orphans": "select 'lineitem' child, count(*) orphans from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 10 <> 0) union all select 'odd_lines', count(*) from lineitem where l_linenumber % 2 = 1 and l_partkey not in (select p_partkey from part where p_partkey % 10 <> 0)",
     "row_counts": " union all ".join(f"select '{t}' table_name, count(*) n_rows from {t}" for t in ("part", "orders", "lineitem", "customer")),

@@ -40,7 +40,8 @@ def kv_feature_docs(spark: S, d: str) -> DataFrame:
 
 
 def vector_batches(spark: S, d: str) -> DataFrame:
-    return X.vector_batches(_assign(spark, d), "card_id", 100)
+    points = X.vector_batches(_assign(spark, d), "card_id", 100)
+    return rounded(points.select("batch_id", "id", "payload", F.size("vector").alias("dim"), F.get("vector", F.lit(0)).cast("double").alias("first")))
 
 
 def embedding_shape(spark: S, d: str) -> DataFrame:
@@ -163,7 +164,8 @@ def top_clusters(spark: S, d: str) -> DataFrame:
     rows = _attributed(spark, d).where("cluster_id <> -1")
     dist = C.as_map(C.top_values(rows, ["cluster_id"], F.coalesce("type", F.lit("unknown")), 15), ["cluster_id"], "types")
     sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.join(dist, "cluster_id").orderBy(F.desc("size"), "cluster_id").limit(5)
+    archetypes = C.as_map(C.top_values(rows, ["cluster_id"], F.coalesce("archetype", F.lit("unknown")), 15), ["cluster_id"], "archetypes")
+    return sizes.join(dist, "cluster_id").join(archetypes, "cluster_id").orderBy(F.desc("size"), "cluster_id").limit(5)
 
 
 def cluster_examples(spark: S, d: str) -> DataFrame:
@@ -175,13 +177,16 @@ def cluster_examples(spark: S, d: str) -> DataFrame:
     return ranked.select("cluster_id", "card_id", F.inline(picks))
 
 
+def _metadata(spark: S, d: str) -> DataFrame:
+    return C.metadata_records(_assign(spark, d), _attributed(spark, d), "descr")
+
+
 def cluster_metadata(spark: S, d: str) -> DataFrame:
-    a, rows = _assign(spark, d), _attributed(spark, d).where("cluster_id <> -1")
-    types = C.as_map(C.top_values(rows, ["cluster_id"], F.coalesce("type", F.lit("unknown")), 15), ["cluster_id"], "type_distribution")
-    words = C.terms(rows, ["cluster_id"], "descr", 20).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), " ").alias("top_terms"))
-    out = C.quality(a).join(C.medoids(a).select("cluster_id", "medoid_card_id"), "cluster_id").join(C.cluster_roles(rows), "cluster_id").join(types, "cluster_id").join(words, "cluster_id")
-    out = out.withColumns({"label_hint": F.translate("functional_role", "_", " "), "label_confidence": F.lit(0.55), "label_source": F.concat(F.lit("heuristic:"), F.col("functional_role"))})
-    return rounded(out)
+    """The metadata records with their struct laid out in columns."""
+    m = _metadata(spark, d)
+    q = F.col("metadata.quality_metrics")
+    return rounded(m.select(*m.columns[:-1], q["mean_prob"].alias("mean_prob"), q["mean_outlier"].alias("mean_outlier"), q["avg_similarity"].alias("avg_similarity"), F.array_join("metadata.top_terms", " ").alias("top_terms"),
+                            F.array_join(F.transform("metadata.representative_cards", lambda x: F.concat_ws(":", x["card_id"], x["card_name"])), "|").alias("representatives"), "metadata.type_distribution", "metadata.archetype_distribution", "metadata.reasoning", "metadata.noise_cluster"))
 
 
 def label_ingest(spark: S, d: str) -> DataFrame:
@@ -232,15 +237,22 @@ TAGS = """tag0 as (
  union all select id, 'starter', 0.5, 'stat_low_stats', 1 from cards where type like '%Monster%' and atk <= 500 and def <= 500
 ), tags as (select card_id, role_tag, confidence, rule_source from tag0 qualify row_number() over (partition by card_id, role_tag order by confidence desc) = 1)"""
 TYPES = "typ as (select cluster_id, '{' || string_agg('\"' || v || '\":' || n, ',' order by n desc, v) || '}' types from (select cluster_id, coalesce(type, 'unknown') v, count(*) n from assign left join cards on id = card_id where cluster_id <> -1 group by 1, 2 qualify row_number() over (partition by cluster_id order by count(*) desc, v) <= 15) group by 1)"
+ARCHES = TYPES.replace("typ as", "arc as").replace("coalesce(type,", "coalesce(archetype,").replace(" types from", " archetypes from")
+
+
+def ALL(sql: str) -> str:
+    """The same with the noise as one more cluster."""
+    return sql.replace(" where cluster_id <> -1", "")
+
 
 ORACLE_SQL = {
     "card_features": with_views("select id card_id, name, type, race, archetype, case when atk >= 0 then atk end atk, case when def >= 0 then def end def, lower(type) like '%effect%' is_effect_monster, regexp_matches(lower(type), 'fusion|synchro|xyz|link') is_extra_deck, type like '%Spell%' is_spell, type like '%Trap%' is_trap from cards", "cards"),
     "role_tags": with_views(f"with {TAGS} select * from tags", "cards"),
     "hash_embedding": """with w as (select doc_id, ('0x' || substr(md5(w), 1, 8))::ubigint % 384 b from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w from documents)), c as (select doc_id, b, count(*)::double n from w group by all), s as (select doc_id, sqrt(sum(n * n)) z, sum(n) t, max(n) m, count(*) f, coalesce(max(n) filter (b = 0), 0) n0 from c group by 1)
       select doc_id, round(coalesce(n0 / z, 0), 6) "first", round(coalesce(t / z, 0), 6) total, round(coalesce(m / z, 0), 6) top, cast(coalesce(f, 0) as integer) filled from documents left join s using (doc_id)""",
-    "kv_feature_docs": with_views(f"""with {TAGS} select 'card:features:' || id "key", '{{"card_id":' || id || ',"name":"' || name || '","is_spell":' || (type like '%Spell%') || ',"is_trap":' || (type like '%Trap%') || '}}' "value" from cards
+    "kv_feature_docs": with_views(f"""with {TAGS} select 'card:features:' || id "key", '{{"card_id":' || id || ',"name":"' || name || '","type":"' || type || '","race":"' || race || '"' || coalesce(',"archetype":"' || archetype || '"', '') || case when atk >= 0 then ',"atk":' || atk else '' end || case when def >= 0 then ',"def":' || def else '' end || ',"is_effect_monster":' || (lower(type) like '%effect%') || ',"is_extra_deck":' || regexp_matches(lower(type), 'fusion|synchro|xyz|link') || ',"is_spell":' || (type like '%Spell%') || ',"is_trap":' || (type like '%Trap%') || '}}' "value" from cards
       union all select 'card:roles:' || card_id, '[' || string_agg('{{"role_tag":"' || role_tag || '","confidence":' || confidence || '}}', ',' order by role_tag) || ']' from tags group by card_id""", "cards"),
-    "vector_batches": with_views("""select cast(floor((row_number() over (order by card_id) - 1) / 100) as bigint) batch_id, card_id id, '{"id":' || card_id || ',"cluster_id":' || cluster_id || '}' payload from assign""", "assign"),
+    "vector_batches": with_views("""select cast(floor((row_number() over (order by card_id) - 1) / 100) as bigint) batch_id, card_id id, '{"id":' || card_id || ',"cluster_id":' || cluster_id || '}' payload, cast(len(embedding) as integer) dim, round(embedding[1]::double, 6) + 0.0 "first" from assign""", "assign"),
     "embedding_shape": "select count(*) n, count(distinct len(embedding)) shapes, max(len(embedding)) dim from embeddings",
     "l2_normalize": with_views(f"with {UNIT} select card_id, round(u[1], 6) x0, round(u[64], 6) x63, round(list_dot_product(u, u), 6) norm2 from un", "assign"),
     "assign_with_attrs": with_views("select card_id, cluster_id, prob, name, type, archetype from assign left join cards on id = card_id", "assign", "cards"),
@@ -265,13 +277,15 @@ ORACLE_SQL = {
       m as (select run, count(*) filter (c <> -1) k, coalesce(sum(n) filter (c = -1), 0) / sum(n) noise, max(n) filter (c <> -1) / sum(n) largest, coalesce(sum(n) filter (c <> -1 and n <= 3), 0) / sum(n) tiny from z group by run)
       select cast(run as integer) run, k < 40 too_few_clusters, noise > 0.3 too_much_noise, largest > 0.1 too_large_cluster, tiny > 0.1 too_many_tiny, noise < 0.3 and k >= 40 and largest < 0.1 is_good_run from m""", "assign"),
     "representatives": with_views("select cluster_id, string_agg(card_id, ',' order by card_id) cards from (select * from assign where cluster_id <> -1 qualify row_number() over (partition by cluster_id order by card_id) <= 10) group by 1", "assign"),
-    "top_clusters": with_views(f"with {TYPES} select cluster_id, count(*) size, types from assign join typ using (cluster_id) group by cluster_id, types order by size desc, cluster_id limit 5", "assign", "cards"),
+    "top_clusters": with_views(f"with {TYPES}, {ARCHES} select cluster_id, count(*) size, types, archetypes from assign join typ using (cluster_id) join arc using (cluster_id) group by cluster_id, types, archetypes order by size desc, cluster_id limit 5", "assign", "cards"),
     "cluster_examples": with_views(f"""with {CENT}, r as (select cluster_id, card_id, row_number() over (partition by cluster_id order by d, card_id) a, row_number() over (partition by cluster_id order by md5('42|' || card_id), card_id) b, row_number() over (partition by cluster_id order by prob, card_id) c from dist)
       select cluster_id, card_id, 'medoid' kind, 1 nth from r where a = 1 union all select cluster_id, card_id, 'closest', cast(a as integer) from r where a <= 5 union all select cluster_id, card_id, 'random', cast(b as integer) from r where b <= 5 union all select cluster_id, card_id, 'unsure', cast(c as integer) from r where c <= 5""", "assign"),
-    "cluster_metadata": with_views(f"""with {CENT}, {ROLE}, {TYPES}, q as (select cluster_id, count(*) size, round(avg(prob), 6) mean_prob, round(avg(1 - prob), 6) mean_outlier, round(avg(greatest(-1, least(1, 1 - d))), 6) avg_similarity from dist group by 1),
+    "cluster_metadata": with_views(f"""with {ALL(CENT)}, {ALL(ROLE)}, {ALL(TYPES)}, {ALL(ARCHES)}, q as (select cluster_id, count(*) cluster_size, round(avg(prob), 6) mean_prob, round(avg(1 - prob), 6) mean_outlier, round(avg(greatest(-1, least(1, 1 - d))), 6) avg_similarity from dist group by 1),
       m as (select cluster_id, card_id medoid_card_id from dist qualify row_number() over (partition by cluster_id order by d, card_id) = 1),
-      w as (select cluster_id, string_agg(v, ' ' order by n desc, v) top_terms from (select cluster_id, lower(t) v, count(*) n from (select cluster_id, unnest(regexp_extract_all(coalesce(descr, ''), '[a-zA-Z0-9_]+')) t from assign left join cards on id = card_id where cluster_id <> -1) where length(t) > 2 group by 1, 2 qualify row_number() over (partition by cluster_id order by count(*) desc, lower(t)) <= 20) group by 1)
-      select q.*, medoid_card_id, functional_role, types type_distribution, top_terms, replace(functional_role, '_', ' ') label_hint, 0.55::double label_confidence, 'heuristic:' || functional_role label_source from q join m using (cluster_id) join rol using (cluster_id) join typ using (cluster_id) join w using (cluster_id)""", "assign", "cards"),
+      w as (select cluster_id, string_agg(v, ' ' order by n desc, v) top_terms from (select cluster_id, lower(t) v, count(*) n from (select cluster_id, unnest(regexp_extract_all(coalesce(descr, ''), '[a-zA-Z0-9_]+')) t from assign left join cards on id = card_id) where length(t) > 2 group by 1, 2 qualify row_number() over (partition by cluster_id order by count(*) desc, lower(t)) <= 20) group by 1),
+      r as (select cluster_id, string_agg(concat_ws(':', card_id, name), '|' order by card_id) representatives from (select cluster_id, card_id, name from assign left join cards on id = card_id qualify row_number() over (partition by cluster_id order by card_id) <= 10) group by 1)
+      select q.*, medoid_card_id, functional_role, types type_distribution, archetypes archetype_distribution, coalesce(top_terms, '') top_terms, representatives, replace(functional_role, '_', ' ') label_hint, 0.55::double label_confidence, 'heuristic:' || functional_role label_source, 'heuristic:' || functional_role reasoning, 'unreviewed' review_status, cluster_id = -1 noise_cluster
+      from q join m using (cluster_id) join rol using (cluster_id) join typ using (cluster_id) join arc using (cluster_id) left join w using (cluster_id) join r using (cluster_id)""", "assign", "cards"),
     "label_ingest": """select event_id, case event_id % 5 when 2 then 'draw' when 3 then 'removal' else 'misc' end "role", case event_id % 5 when 1 then 'h' || event_id when 2 then 'h' || event_id when 3 then '' else 'misc' end hint,
       case event_id % 5 when 1 then 0.9 when 2 then 0.5 when 3 then cast('0.' || user_id as double) else 0.55 end::double confidence, case event_id % 5 when 0 then 'not_json' when 4 then 'no_role' else '' end failure from events""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import composite_weight, price, slug, version_hash
+from ..functions.columns import composite_weight, is_extra, price, slug, version_hash
 from ..operators import clusters as C
 from ..shared import new_path
 from ..sources import readers, writers
@@ -48,8 +48,8 @@ def read_table_roundtrip(spark: S, d: str) -> DataFrame:
 def latest_snapshot(spark: S, d: str) -> DataFrame:
     at = new_path(spark, "snapshots")
     for day in ("2024-01-01", "2024-01-02"):
-        _orders(spark, d).withColumn("day", F.lit(day)).coalesce(1).write.json(f"{at}/cards_{day}")
-    return readers.latest_snapshot(spark, f"{at}/cards_*/*.json", ORDER + ", day string")
+        _orders(spark, d).withColumn("day", F.lit(day)).write.json(f"{at}/cards_{day}")
+    return readers.latest_snapshot(spark, f"{at}/cards_*/*.json", ORDER + ", day string", folders=True)
 
 
 def versioned_replace(spark: S, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def incremental_load(spark: S, d: str) -> DataFrame:
     """Orders arrive in two files; the second call of the stream takes only the new one."""
     at, target, mark = (new_path(spark, x) for x in ("arrivals", "loaded", "progress"))
     for k in range(2):
-        _orders(spark, d).where(F.col("o_orderkey") % 2 == k).coalesce(1).write.mode("append").parquet(at)
+        _orders(spark, d).where(F.col("o_orderkey") % 2 == k).write.mode("append").parquet(at)
         incremental.append_new(spark, at, ORDER, target, mark)
     return spark.read.schema(ORDER + ", batch int").parquet(target).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys"))
 
@@ -89,7 +89,9 @@ def run_summary(spark: S, d: str) -> DataFrame:
     at = new_path(spark, "progress")
     view(spark, d, "decks").withColumn("part", F.coalesce("format", F.lit("none"))).write.partitionBy("part").parquet(at)
     rows = spark.read.schema("deck_id long, format string, status string, part string").parquet(at)
-    return rows.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    counts = rows.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    pools = view(spark, d, "cards").agg(F.count_if(~is_extra(F.col("type"))).alias("main_candidates"), F.count_if(is_extra(F.col("type"))).alias("extra_candidates"))
+    return counts.join(F.broadcast(pools))  # one row
 
 
 def final_cluster_records(spark: S, d: str) -> DataFrame:
@@ -113,6 +115,14 @@ def staple_pool(spark: S, d: str) -> DataFrame:
     return rounded(out.withColumn("tags", F.array_join("tags", "|")))
 
 
+def sampling_profiles(spark: S, d: str) -> DataFrame:
+    """Profiles from JSON made of nations' rows; one in four is no object, one in three stands under a name."""
+    k, name = F.col("n_nationkey"), F.trim("n_name")
+    body = F.when(k % 4 == 1, F.lit('"none"')).otherwise(F.concat(F.lit('{"p_staple": 0.'), 1 + k % 8, F.lit(', "mode": "'), F.lower(name), F.lit('"}')))
+    text = F.concat(F.lit('{"'), name, F.lit('": '), body, F.lit("}"))
+    return readers.sampling_profiles(table(spark, d, "nation").select(F.when(k % 3 == 0, F.concat(F.lit('{"sampling_profiles": '), text, F.lit("}"))).otherwise(text).alias("json")))
+
+
 def banlist_lists(spark: S, d: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.when(k % 10 == 0, F.to_json(F.struct(F.array(k).alias("forbidden"), F.array(k + 1, k + 2).alias("limited")))).when(k % 10 == 1, F.lit("")).when(k % 10 == 2, F.lit("[1]"))
@@ -144,9 +154,18 @@ def resolve_columns(spark: S, d: str) -> DataFrame:
     return rounded(rows.select("id", resolve(rows.columns, ["card_archetype", "archetype"], "unknown").alias("archetype"), resolve(rows.columns, ["nothing"], "unknown").alias("nothing"), share.alias("confidence")))
 
 
+#: What a label's review status may be (fixed values).
+REVIEW = ("unreviewed", "accepted", "rejected", "needs_split", "misc")
+
+
 def domain_check(spark: S, d: str) -> DataFrame:
-    fine = F.col("event_type").isin("view", "click", "purchase")
-    return table(spark, d, "events").agg(F.count_if(~fine).alias("outside"), F.count(F.lit(1)).alias("n"))
+    """How many values lie outside their domain: review statuses made of events (one in 50 is unknown), and event types."""
+    k = F.col("event_id")
+    status = F.when(k % 50 == 7, F.lit("new")).otherwise(F.get(F.array(*map(F.lit, REVIEW)), (k % 5).cast("int")))
+    rows = table(spark, d, "events").select(status.alias("review_status"), "event_type")
+    checks = {"review_status": REVIEW, "event_type": ("view", "click", "purchase")}
+    parts = [rows.agg(F.lit(c).alias("column"), F.count_if(~F.col(c).isin(*names)).alias("outside"), F.count(F.lit(1)).alias("n")) for c, names in checks.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def nested_numbers(spark: S, d: str) -> DataFrame:
@@ -179,7 +198,7 @@ def version_hash_query(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__.removesuffix("_query"): f for f in (
-    parquet_roundtrip, jsonl_roundtrip, csv_roundtrip, read_table_roundtrip, latest_snapshot, versioned_replace, load_replace_append, incremental_load, resume_pending, run_summary, final_cluster_records, format_config, staple_pool, banlist_lists,
+    parquet_roundtrip, jsonl_roundtrip, csv_roundtrip, read_table_roundtrip, latest_snapshot, versioned_replace, load_replace_append, incremental_load, resume_pending, run_summary, final_cluster_records, format_config, staple_pool, sampling_profiles, banlist_lists,
     cutoff_from_path, parse_list_json, resolve_columns, domain_check, nested_numbers, format_slug, rounding, composite_weight_query, price_values, version_hash_query)}
 
 ORACLE_SQL = {
@@ -192,7 +211,8 @@ ORACLE_SQL = {
     "load_replace_append": with_views("select 'cards' table_name, count(*) n, 1 step from cards union all select 'entries', 2 * count(*), 1 from entries union all select 'cards', count(*), 2 from cards union all select 'entries', 0, 2", "cards", "entries"),
     "incremental_load": "select cast(o_orderkey % 2 as integer) batch, count(*) n, count(distinct o_orderkey) distinct_keys from orders group by 1",
     "resume_pending": with_views("select * from decks where deck_id not in (select l_orderkey from lineitem where l_quantity > 40)", "decks"),
-    "run_summary": with_views("select format, count(*) n, count(*) filter (status = 'accepted') accepted, count(*) filter (status = 'rejected') rejected from decks group by 1", "decks"),
+    "run_summary": with_views("select format, count(*) n, count(*) filter (status = 'accepted') accepted, count(*) filter (status = 'rejected') rejected, (select count(*) from cards where not regexp_matches(lower(type), 'fusion|synchro|xyz|link')) main_candidates, (select count(*) from cards where regexp_matches(lower(type), 'fusion|synchro|xyz|link')) extra_candidates from decks group by 1", "decks", "cards"),
+    "sampling_profiles": """select trim(n_name) profile, unnest(['p_staple', 'mode']) setting, unnest(['0.' || (1 + n_nationkey % 8), '"' || lower(trim(n_name)) || '"']) "value" from nation where n_nationkey % 4 <> 1""",
     "final_cluster_records": with_views("""with rol as (select cluster_id, case when bool_or(t like '%add from deck%') then 'searcher' when bool_or(t like '%draw%') then 'draw' when bool_or(t like '%destroy%' or t like '%banish%' or t like '%target%') then 'removal' when bool_or(t like '%negate%') then 'negation' when bool_or(t like '%gy%' or t like '%graveyard%' or t like '%send%') then 'graveyard_setup' else 'misc' end functional_role from (select cluster_id, lower(coalesce(descr, '')) t from assign left join cards on id = card_id where cluster_id <> -1) group by 1)
       select cluster_id, card_id, prob cluster_probability, coalesce(name, '') "name", coalesce(archetype, '') archetype, level, coalesce(functional_role, '') functional_role from assign left join cards on id = card_id left join rol using (cluster_id)""", "assign", "cards"),
     "format_config": """select trim(n_name) format, m main_size, m main_min, m main_max, 15 extra_size, case when n_nationkey % 3 = 0 then '2010-03-' || lpad(cast(n_nationkey + 1 as varchar), 2, '0') end release_cutoff from (select *, cast(case when n_nationkey % 2 = 0 then 40 + n_nationkey else 40 end as integer) m from nation)""",
@@ -201,7 +221,7 @@ ORACLE_SQL = {
     "cutoff_from_path": "select o_orderkey, case when o_orderkey % 3 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end cutoff from orders",
     "parse_list_json": "select o_orderkey, case when o_orderkey % 4 = 0 then 2 else 0 end n, case when o_orderkey % 4 = 0 then o_orderkey + 1 else -1 end \"second\" from orders",
     "resolve_columns": with_views("select id, coalesce(nullif(trim(archetype), ''), 'unknown') archetype, 'unknown' nothing, round(greatest(0, least(1, atk / 2000.0)), 6) confidence from cards", "cards"),
-    "domain_check": "select count(*) filter (event_type not in ('view', 'click', 'purchase')) outside, count(*) n from events",
+    "domain_check": "select 'event_type' \"column\", count(*) filter (event_type not in ('view', 'click', 'purchase')) outside, count(*) n from events union all select 'review_status', count(*) filter (event_id % 50 = 7), count(*) from events",
     "nested_numbers": "select event_id, cast(json_extract(props, '$.k') as bigint) k from events",
     "format_slug": "select p_partkey, case when p_partkey % 9 = 0 then 'format' else trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') end slug from part",
     "rounding": "select p_partkey, cast(round_even(p_size * 0.5, 0) as bigint) half_even, cast(greatest(0, least(20, p_size * 0.5)) as double) cut from part",

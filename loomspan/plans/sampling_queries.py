@@ -12,6 +12,7 @@ from ..operators import generation as G
 from ..operators import sampling as SA
 from ..operators import scoring as SC
 from ..operators import validation as V
+from ..shared import saved
 from .adapters import rounded, table, view, with_views
 
 S = SparkSession
@@ -141,13 +142,11 @@ def _vectors(spark: S, d: str) -> DataFrame:
 def density_clusters(spark: S, d: str) -> DataFrame:
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.14], [3], [3])
-    return rounded(DN.density_clusters(v, DN.neighbour_pairs(v, 1.14), trials).drop("trial"))
+    return rounded(DN.density_clusters(v, saved(DN.neighbour_pairs(v, 1.14), "pairs"), trials).drop("trial"))
 
 
 def sweep_trials(spark: S, d: str) -> DataFrame:
     """One row for each trial of a grid: cluster metrics, structural score and guardrails, over pairs found once."""
-    from ..shared import saved
-
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.10, 1.12, 1.14], [2, 3], [2, 4])
     pairs = saved(DN.neighbour_pairs(v, 1.14), "pairs")

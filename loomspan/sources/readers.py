@@ -23,11 +23,14 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raise ValueError(f"unsupported table format: {path}")
 
 
-def latest_snapshot(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """The rows of the newest file that matches (ties: the greatest name). No file is an error of the reader."""
-    rows = spark.read.schema(schema).json(pattern).select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_name").alias("_name"))
-    newest = rows.agg(F.max(F.struct("_at", "_name")).alias("m")).select("m._at", "m._name")
-    return rows.join(F.broadcast(newest), ["_at", "_name"], "left_semi").drop("_at", "_name")
+def latest_snapshot(spark: SparkSession, pattern: str, schema: str, folders: bool = False) -> DataFrame:
+    """The rows of the newest file that matches, or of the newest of the matches' folders (ties: the greatest name). No file
+    is an error of the reader."""
+    path = F.col("_metadata.file_path")
+    name = F.regexp_replace(path, "/[^/]*$", "") if folders else path
+    rows = spark.read.schema(schema).json(pattern).select("*", F.col("_metadata.file_modification_time").alias("_at"), name.alias("_name"))
+    newest = rows.groupBy("_name").agg(F.max("_at").alias("_at")).agg(F.max(F.struct("_at", "_name")).alias("m")).select("m._name")
+    return rows.join(F.broadcast(newest), "_name", "left_semi").drop("_at", "_name")
 
 
 def formats(texts: DataFrame, column: str = "json") -> DataFrame:
@@ -51,6 +54,15 @@ def staple_pool(texts: DataFrame, column: str = "json") -> DataFrame:
     return texts.select(F.explode(F.from_json(column, kind)).alias("format", "rows")).select("format", F.inline("rows"))
 
 
+def sampling_profiles(texts: DataFrame, column: str = "json") -> DataFrame:
+    """profile, setting, value (JSON text) from JSON objects {profile: {setting: value}}, which may stand under the name
+    sampling_profiles; profiles that are no objects are left out."""
+    raw = F.try_parse_json(F.col(column))
+    root = F.coalesce(F.try_variant_get(raw, "$.sampling_profiles", "map<string, variant>"), F.try_variant_get(raw, "$", "map<string, variant>"))
+    own = texts.select(F.explode(root).alias("profile", "v")).select("profile", F.try_variant_get("v", "$", "map<string, variant>").alias("settings"))
+    return own.select("profile", F.explode("settings").alias("setting", "v")).select("profile", "setting", F.to_json("v").alias("value"))
+
+
 def banlist(texts: DataFrame, column: str = "json") -> DataFrame:
     """card_id, list_name from {forbidden: [], limited: [], semi_limited: []}; anything else is an empty list."""
     names = ("forbidden", "limited", "semi_limited")
