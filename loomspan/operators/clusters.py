@@ -73,10 +73,11 @@ def terms(rows: DataFrame, group: list[str], text: str, n: int = 20) -> DataFram
     return top_values(words.where(F.length("word") > 2), group, F.lower("word"), n)
 
 
-def centroids(assign: DataFrame, vectors: Column | None = None) -> DataFrame:
+def centroids(assign: DataFrame, vectors: Column | None = None, run: list[str] | None = None) -> DataFrame:
     """cluster_id, centroid: mean vector of each cluster but noise."""
-    own = clustered(assign).select("cluster_id", array_to_vector(doubles(F.col("embedding")) if vectors is None else vectors).alias("x"))
-    return own.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("centroid"))  # combines on the map side
+    key = [*(run or []), "cluster_id"]
+    own = clustered(assign).select(*key, array_to_vector(doubles(F.col("embedding")) if vectors is None else vectors).alias("x"))
+    return own.groupBy(*key).agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("centroid"))  # combines on the map side
 
 
 def with_centroids(assign: DataFrame) -> DataFrame:
@@ -92,12 +93,13 @@ def quality(assign: DataFrame) -> DataFrame:
     return with_centroids(assign).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.avg("prob").alias("mean_prob"), F.avg(1 - F.col("prob")).alias("mean_outlier"), F.avg(near).alias("avg_similarity"))
 
 
-def coherence(assign: DataFrame) -> DataFrame:
+def coherence(assign: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Mean cosine to the mean of the unit vectors, cut to [-1, 1]; clusters of one, or with a zero mean, have 0."""
+    key = [*(run or []), "cluster_id"]
     units = clustered(assign).withColumn("embedding", unit(doubles(F.col("embedding"))))
-    joined = units.join(centroids(units, F.col("embedding")), "cluster_id")
+    joined = units.join(centroids(units, F.col("embedding"), run), key)
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("embedding"), unit(F.col("centroid")))))
-    return joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg(cosine).alias("c")).select("cluster_id", F.when(F.col("n") > 1, F.col("c")).otherwise(0.0).alias("coherence"))
+    return joined.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(cosine).alias("c")).select(*key, F.when(F.col("n") > 1, F.col("c")).otherwise(0.0).alias("coherence"))
 
 
 def nearest_clusters(assign: DataFrame) -> DataFrame:
@@ -151,21 +153,25 @@ def structural_score(metrics: DataFrame, w: ScoreWeights = ScoreWeights()) -> Da
     return metrics.withColumn("structural_score", score)
 
 
-def semantic_metrics(assign: DataFrame, attrs: DataFrame) -> DataFrame:
-    """purity (mean share of each cluster's commonest archetype), coherence, label_confidence, balance, in one row.
+def semantic_metrics(assign: DataFrame, attrs: DataFrame, run: list[str] | None = None) -> DataFrame:
+    """purity (mean share of each cluster's commonest archetype), coherence, label_confidence, balance, a row for each run.
 
     A cluster is generic-heavy if at least 0.6 of it has a generic archetype, archetype-heavy if at least 0.6 has none;
     balance is 1 less the difference of the two kinds' shares. Without clusters: 0, 0, 0 and 0.5.
     """
+    run = run or []
+    key = [*run, "cluster_id"]
     rows = clustered(assign).join(attrs.select(F.col("id").alias("card_id"), "archetype"), "card_id", "left").withColumn("a", F.coalesce("archetype", F.lit("unknown")))
-    counts = rows.groupBy("cluster_id", "a").agg(F.count(F.lit(1)).alias("n"), F.sum("prob").alias("conf"))
+    counts = rows.groupBy(*key, "a").agg(F.count(F.lit(1)).alias("n"), F.sum("prob").alias("conf"))
     generic = F.sum(F.when(F.lower("a").isin(*GENERIC), F.col("n")).otherwise(0)) / F.sum("n")
-    per = counts.groupBy("cluster_id").agg((F.max("n") / F.sum("n")).alias("purity"), generic.alias("generic"), F.sum("n").alias("n"), F.sum("conf").alias("conf"))
-    out = per.join(coherence(assign), "cluster_id", "left").agg(
+    per = counts.groupBy(*key).agg((F.max("n") / F.sum("n")).alias("purity"), generic.alias("generic"), F.sum("n").alias("n"), F.sum("conf").alias("conf"))
+    out = per.join(coherence(assign, run), key, "left").groupBy(*run).agg(
         F.count(F.lit(1)).alias("k"), F.avg("purity").alias("purity"), F.avg("coherence").alias("coherence"), (F.sum("conf") / F.sum("n")).alias("label_confidence"),
         F.avg((F.col("generic") >= 0.6).cast("double")).alias("g"), F.avg((1 - F.col("generic") >= 0.6).cast("double")).alias("h"))
+    if run:  # a run that is all noise has a row too
+        out = assign.select(*run).distinct().join(out, run, "left")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("purity", "coherence", "label_confidence")]
-    return out.select(*zero, F.when(F.col("k") == 0, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("g") - F.col("h")))).alias("balance"))
+    return out.select(*run, *zero, F.when(F.coalesce("k", F.lit(0)) == 0, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("g") - F.col("h")))).alias("balance"))
 
 
 def semantic_score(m: DataFrame, w: ScoreWeights = ScoreWeights()) -> DataFrame:

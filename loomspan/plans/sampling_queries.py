@@ -146,22 +146,30 @@ def density_clusters(spark: S, d: str) -> DataFrame:
 
 
 def sweep_trials(spark: S, d: str) -> DataFrame:
-    """One row for each trial of a grid: cluster metrics, structural score and guardrails, over pairs found once."""
+    """One row for each trial of a grid: cluster metrics, structural, semantic and final score and guardrails, over pairs
+    found once."""
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.10, 1.12, 1.14], [2, 3], [2, 4])
     pairs = saved(DN.neighbour_pairs(v, 1.14), "pairs")
-    m = C.guardrails(C.structural_score(C.cluster_metrics(DN.density_clusters(v, pairs, trials), ["trial"])), few=5, noise=0.9, largest=0.2, tiny=0.1)
-    return rounded(m.select("trial", "num_clusters", "noise_count", "size_max", "largest_ratio", "tiny_ratio", "mean_prob", "structural_score", "is_good_run"), 5)
+    found = saved(DN.density_clusters(v, pairs, trials), "trials")
+    m = C.guardrails(C.structural_score(C.cluster_metrics(found, ["trial"])), few=5, noise=0.9, largest=0.2, tiny=0.1)
+    meaning = C.semantic_score(C.semantic_metrics(found.join(v, "card_id"), view(spark, d, "cards"), ["trial"])).select("trial", "semantic_score")
+    m = m.join(meaning, "trial").withColumn("final_score", F.col("structural_score") + F.col("semantic_score"))
+    return rounded(m.select("trial", "num_clusters", "noise_count", "size_max", "largest_ratio", "tiny_ratio", "mean_prob", "structural_score", "semantic_score", "final_score", "is_good_run"), 5)
 
 
 def rank_trials(spark: S, d: str) -> DataFrame:
+    """The five best trials by final score and by structural score."""
     m = sweep_trials(spark, d)
-    w = C.Window.orderBy(F.desc("structural_score"), "trial")  # a row for each trial of the grid
-    return m.select("trial", "structural_score", F.row_number().over(w).alias("place")).where("place <= 5")
+    place = lambda c: F.row_number().over(C.Window.orderBy(F.desc(c), "trial"))  # noqa: E731  (a row for each trial of the grid)
+    ranked = m.withColumns({"final_place": place("final_score"), "structural_place": place("structural_score")})
+    return ranked.where("final_place <= 5 or structural_place <= 5").select("trial", "structural_score", "final_score", "final_place", "structural_place")
 
 
 def best_run(spark: S, d: str) -> DataFrame:
-    return sweep_trials(spark, d).agg(F.max_by("trial", F.struct("structural_score", -F.col("trial"))).alias("trial"), F.max("structural_score").alias("structural_score"))
+    """The run with the best final score, with all its figures."""
+    m = sweep_trials(spark, d)
+    return m.agg(F.max(F.struct(F.col("final_score").alias("best"), (-F.col("trial")).alias("t"), *m.columns[1:])).alias("b")).select((-F.col("b.t")).alias("trial"), *(F.col(f"b.{c}").alias(c) for c in m.columns[1:]))
 
 
 def pca_reduce(spark: S, d: str) -> DataFrame:
@@ -279,7 +287,17 @@ DENSE = """e as (select vec_id id, cast(embedding as double[]) v from embeddings
  clu as (select t.trial, e.id card_id, coalesce(k, -1) cluster_id, case when k is null then 0 else prob end prob from e cross join trials t left join mem on mem.trial = t.trial and mem.id = e.id left join num on num.trial = t.trial and num.r = mem.r)"""
 GRID = "trials as (select row_number() over (order by eps, ms, mc) - 1 trial, eps::double eps, ms, mc from (values (1.10), (1.12), (1.14)) x(eps), (values (2), (3)) y(ms), (values (2), (4)) z(mc))"
 SWEEP = """met as (select trial, count(*) filter (cluster_id <> -1) k, coalesce(sum(n) filter (cluster_id = -1), 0) nn, sum(n) t, coalesce(max(n) filter (cluster_id <> -1), 0) mx, coalesce(sum(n) filter (cluster_id <> -1 and n <= 3), 0) tiny, coalesce(sum(p) filter (cluster_id <> -1) / sum(n) filter (cluster_id <> -1), 0) mp from (select trial, cluster_id, count(*) n, sum(prob) p from clu group by 1, 2) group by 1),
- swp as (select *, round(0.4 * least(k / 100.0, 1) - 0.25 * nn / t - 0.15 * mx / t - 0.1 * tiny / t + 0.1 * mp - case when k < 50 then 1 else 0 end - case when nn / t > 0.3 then 1 else 0 end, 5) s from met)"""
+ swp as (select *, round(0.4 * least(k / 100.0, 1) - 0.25 * nn / t - 0.15 * mx / t - 0.1 * tiny / t + 0.1 * mp - case when k < 50 then 1 else 0 end - case when nn / t > 0.3 then 1 else 0 end, 5) s from met),
+ tun as (select trial, clu.card_id, cluster_id, u from clu join (select id card_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u from e) using (card_id) where cluster_id <> -1),
+ tcen as (select trial, cluster_id, list(x order by pos) c from (select trial, cluster_id, pos, avg(x) x from (select trial, cluster_id, unnest(u) x, generate_subscripts(u, 1) pos from tun) group by all) group by all),
+ tcoh as (select trial, cluster_id, case when count(*) > 1 then avg(greatest(-1, least(1, list_dot_product(u, c) / sqrt(list_dot_product(c, c))))) else 0 end coherence from tun join tcen using (trial, cluster_id) group by all),
+ tper as (select trial, cluster_id, max(n) / sum(n) purity, coalesce(sum(n) filter (lower(a) in ('generic', 'none', 'unknown', 'other', 'misc')), 0) / sum(n) g, sum(n) n, sum(p) p from (select trial, cluster_id, coalesce(archetype, 'unknown') a, count(*) n, sum(prob) p from clu left join cards on cards.id = card_id where cluster_id <> -1 group by all) group by all),
+ tsem as (select trial, avg(purity) pu, avg(coherence) co, sum(p) / sum(n) lc, greatest(0, 1 - abs(avg(case when g >= 0.6 then 1 else 0 end) - avg(case when 1 - g >= 0.6 then 1 else 0 end))) ba from tper join tcoh using (trial, cluster_id) group by 1),
+ tmix as (select swp.*, coalesce(pu, 0) pu, coalesce(co, 0) co, coalesce(lc, 0) lc, coalesce(ba, 0.5) ba from swp left join tsem using (trial)),
+ fin as (select *, 0.4 * least(k / 100.0, 1) - 0.25 * nn / t - 0.15 * mx / t - 0.1 * tiny / t + 0.1 * mp - case when k < 50 then 1 else 0 end - case when nn / t > 0.3 then 1 else 0 end s0,
+  0.1 * (greatest(0, 1 - abs(pu - 0.65) / 0.65) - case when pu > 0.9 then 2 * (pu - 0.9) else 0 end) + 0.2 * greatest(0, least(1, co)) + 0.05 * greatest(0, least(1, lc)) + 0.1 * greatest(0, least(1, ba)) se from tmix),
+ swf as (select *, round(se, 5) semantic_score, round(s0 + se, 5) final_score from fin)"""
+SWEPT = "cast(trial as integer) trial, k num_clusters, nn noise_count, mx size_max, round(mx / t, 5) largest_ratio, round(tiny / t, 5) tiny_ratio, round(mp, 5) mean_prob, s structural_score, semantic_score, final_score, nn / t < 0.9 and k >= 5 and mx / t < 0.2 is_good_run"
 
 ORACLE_SQL = {
     "quota_fill": with_views(f"with recursive {BASE}, {_fill('specs')}, offers as (from fl union all from tl), {_fold('specs')} select deck_id, card_id, bucket, cast(sum(copies) as bigint) copies from put group by all", "cards"),
@@ -300,9 +318,9 @@ ORACLE_SQL = {
       f as (select * from d where abs(1 - m - s - 0.2) <= 0.05 qualify row_number() over (partition by deck_id order by i) = 1)
       select c_custkey deck_id, round(coalesce(m, 0.5), 6) monster, round(coalesce(s, 0.3), 6) spell, round(1 - coalesce(m, 0.5) - coalesce(s, 0.3), 6) trap from customer left join f on deck_id = c_custkey""",
     "density_clusters": f"with recursive trials as (select 0 trial, 1.14::double eps, 3 ms, 3 mc), {DENSE} select card_id, cast(cluster_id as integer) cluster_id, round(prob, 6) prob from clu",
-    "sweep_trials": f"with recursive {GRID}, {DENSE}, {SWEEP} select cast(trial as integer) trial, k num_clusters, nn noise_count, mx size_max, round(mx / t, 5) largest_ratio, round(tiny / t, 5) tiny_ratio, round(mp, 5) mean_prob, s structural_score, nn / t < 0.9 and k >= 5 and mx / t < 0.2 is_good_run from swp",
-    "rank_trials": f"with recursive {GRID}, {DENSE}, {SWEEP} select cast(trial as integer) trial, s structural_score, cast(row_number() over (order by s desc, trial) as integer) place from swp qualify place <= 5",
-    "best_run": f"with recursive {GRID}, {DENSE}, {SWEEP} select cast(trial as integer) trial, s structural_score from swp order by s desc, trial limit 1",
+    "sweep_trials": with_views(f"with recursive {GRID}, {DENSE}, {SWEEP} select {SWEPT} from swf", "cards"),
+    "rank_trials": with_views(f"with recursive {GRID}, {DENSE}, {SWEEP}, pl as (select cast(trial as integer) trial, s structural_score, final_score, cast(row_number() over (order by final_score desc, trial) as integer) final_place, cast(row_number() over (order by s desc, trial) as integer) structural_place from swf) select * from pl where final_place <= 5 or structural_place <= 5", "cards"),
+    "best_run": with_views(f"with recursive {GRID}, {DENSE}, {SWEEP} select {SWEPT} from swf order by final_score desc, trial limit 1", "cards"),
     "union_projections": "select vec_id card_id, 'first' \"method\", round(embedding[1]::double, 6) x, round(embedding[2]::double, 6) y from embeddings union all select vec_id, 'third', round(embedding[3]::double, 6), round(embedding[4]::double, 6) from embeddings",
     "cluster_points": "select vec_id card_id, case when label = 0 then -1 else label end cluster_id, round(embedding[1]::double, 6) x, round(embedding[2]::double, 6) y from embeddings",
 }
