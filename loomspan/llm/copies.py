@@ -33,6 +33,7 @@ from .text import LOWER, WORD_BASE, Texts, flat, mix, slices, spread, windows
 SHINGLE, BANDS, ROWS = 5, 40, 4
 #: Nodes of a bucket that meet in one task are at most about two blocks, and so many are compared with one at once.
 BLOCK, STRIP = 2048, 4096
+SLICE = 1_000_000
 #: The least similarity, as a fraction of whole numbers.
 NEAR = (4, 5)
 #: Of the min-hashes (fixed values): what a shingle's hash is joined with by xor, and the odd multiplier.
@@ -67,7 +68,7 @@ def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, own in slices(batch):
+        for part, own in slices(batch, most=SLICE):
             hashes, first = shingles(own)
             size = np.diff(first)
             node, kept, prints = np.zeros(len(size), np.uint64), np.flatnonzero(size), simhash.majority(hashes, size)
@@ -92,7 +93,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, own in slices(batch, "text_a"):
+        for part, own in slices(batch, "text_a", SLICE):
             x, first_x = shingles(own)
             y, first_y = shingles(flat(part.column("text_b")))
             common = np.array([len(np.intersect1d(x[first_x[i] : first_x[i + 1]], y[first_y[i] : first_y[i + 1]], True)) for i in range(part.num_rows)], np.int64)

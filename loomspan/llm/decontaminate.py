@@ -38,7 +38,7 @@ PAIR_HITS = 4
 BLOCK_CHARS = 8_000_000
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[i for i in range(128) if not chr(i).isalnum()]] = True
-FILTER_BITS = 22
+FILTER_BITS, SLICE = 22, 1_000_000
 HITS = "array<struct<item_id: long, score: double, first_word: int, end_word: int>>"
 
 
@@ -177,8 +177,8 @@ def _passages(items: Items, words: np.ndarray, first: np.ndarray, lookup: Lookup
 def _worthwhile(items: Items, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float) -> np.ndarray:
     """Which passages have as many of their item's words as the least score takes."""
     out = np.zeros(len(item), bool)
-    for i in range(0, len(item), 1 << 14):
-        part = slice(i, i + (1 << 14))
+    for i in range(0, len(item), 1 << 11):
+        part = slice(i, i + (1 << 11))
         n = hi[part] - lo[part]
         keys = items.member(np.repeat(item[part], n), words[np.repeat(lo[part], n) + spread(n)])
         place = np.minimum(np.searchsorted(items.members, keys), len(items.members) - 1)
@@ -237,7 +237,7 @@ def _count(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         lookup, counts = Lookup(keys.value), np.zeros(len(keys.value) + 1, np.int64)
         for batch in batches:
             counts[-1] += batch.num_rows
-            for _, batch_texts in slices(batch):
+            for _, batch_texts in slices(batch, most=SLICE):
                 counts[:-1] += np.bincount(_uncovered(lookup, *_words(batch_texts)), minlength=len(counts) - 1)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["gram", "n"])
@@ -260,7 +260,7 @@ def finders(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Iter
             lookup = Lookup(own.seed_keys)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
             for batch in batches:
-                rows = [x for _, part in slices(pa.table({"text": batch})) for x in matches(own, lookup, part, least)]
+                rows = [x for _, part in slices(pa.table({"text": batch}), most=SLICE) for x in matches(own, lookup, part, least)]
                 yield pa.array(rows, kind)
 
         yield find(docs["text"])

@@ -490,7 +490,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(field: tuple[np.ndarray, np.ndarray], batch: pa.Array) -> list[tuple[list, list]]:
     """Base spans and the field's further spans of each text, both (start, kind, end)."""
     out = []
-    for rows, part in slices(pa.table({"text": batch})):
+    for rows, part in slices(pa.table({"text": batch}), most=SLICE):
         base = [base_spans(t) if t and TRIGGER.search(t) else [] for t in rows["text"].to_pylist()]
         out += zip(base, field_spans(field, part, base))
     return out
@@ -501,7 +501,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, redacted: string>"
-STRIP = 500
+STRIP, SLICE = 500, 500_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 

@@ -77,13 +77,13 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         total += np.bincount(at[sign > 0], minlength=len(total)) - np.bincount(at[sign < 0], minlength=len(total))
     rows = total.reshape(-1, BLOCK * DIM)
     some = np.flatnonzero(rows.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].astype("<i4").tobytes() for i in some], pa.binary())], ["block", "sums"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].astype("<i8").tobytes() for i in some], pa.binary())], ["block", "sums"])
 
 
 def _add(rows: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK * DIM, np.int64)
     for x in rows["sums"].combine_chunks():
-        total += np.frombuffer(x.as_buffer(), "<i4")
+        total += np.frombuffer(x.as_buffer(), "<i8")
     return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int64()), "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 

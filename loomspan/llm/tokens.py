@@ -19,6 +19,8 @@ from .text import LOWER, SHORT, Texts, spread
 
 #: Units kept by a Python worker, about 0.1 GB; when there are more, it starts anew.
 STORE = 1 << 20
+#: Units that the library is asked for at once.
+ASKED = 1 << 12
 #: Bytes between units: space and new line.
 BREAKS = np.zeros(256, bool)
 BREAKS[[0x20, 0x0A]] = True
@@ -140,11 +142,17 @@ class Encoder:
 
     def ask(self, batch: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of units, and how many each has."""
-        raw = batch.data.tobytes()
-        got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
-        own = [x.ids for x in got]
-        lens = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter(chain.from_iterable(own), np.uint32, int(lens.sum())), lens
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(starts), ASKED):  # the library's results take far more room than the ids
+            units = [self._raw(batch, a, b).decode() for a, b in zip(starts[i : i + ASKED].tolist(), ends[i : i + ASKED].tolist())]
+            own = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, own), np.int64, len(own)))
+            ids.append(np.fromiter(chain.from_iterable(own), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    @staticmethod
+    def _raw(batch: Texts, a: int, b: int) -> bytes:
+        return batch.data[a:b].tobytes()
 
     def _units(self, batch: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the units, each document's first one, and the documents that must be encoded whole."""
