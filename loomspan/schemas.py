@@ -13,8 +13,8 @@ MISC = {
 }
 IMAGES = {"id": "bigint", "image_url": "string", "image_url_small": "string", "image_url_cropped": "string"}
 SETS = {"set_name": "string", "set_code": "string", "set_rarity": "string", "set_rarity_code": "string", "set_price": "string"}
-PRICES = {f"{shop}_price": "string" for shop in ("cardmarket", "tcgplayer", "ebay", "amazon", "coolstuffinc")}
-BANS = {f"ban_{where}": "string" for where in ("tcg", "ocg", "goat", "edison")}
+PRICES = {"cardmarket_price": "string", "tcgplayer_price": "string", "ebay_price": "string", "amazon_price": "string", "coolstuffinc_price": "string"}
+BANS = {"ban_tcg": "string", "ban_ocg": "string", "ban_goat": "string", "ban_edison": "string"}
 #: Primary keys of the catalogue tables.
 KEYS = {
     "cards": ["id"], "card_images": ["card_id", "image_id"], "card_sets": ["card_id", "set_code", "set_rarity_code"],

@@ -52,3 +52,40 @@ def test_pca_explains_as_much_as_numpy(spark):
     y = np.array([r.reduced for r in sampling_queries.pca_reduce(spark, AT).orderBy("card_id").collect()])
     top = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:8]
     assert np.allclose(np.sort(y.var(0, ddof=1))[::-1], top)
+
+
+def test_projection_is_the_first_two_components(spark):
+    import numpy as np
+
+    x = np.array([r.embedding for r in sampling_queries._vectors(spark, AT).orderBy("card_id").collect()], float)
+    values, loads = np.linalg.eigh(np.cov(x.T))
+    loads = loads[:, ::-1][:, :2]
+    want = x @ (loads * np.sign(loads[np.abs(loads).argmax(0), [0, 1]]))
+    rows = sampling_queries.projection_2d(spark, AT).orderBy("card_id").collect()
+    assert {r.method for r in rows} == {"pca"} and np.allclose([(r.x, r.y) for r in rows], want, atol=1e-5)
+    y = np.array([r.reduced for r in sampling_queries.pca_reduce(spark, AT).orderBy("card_id").collect()])
+    assert np.allclose(np.abs(y[:, :2]), np.abs(want), atol=1e-6)  # and what eight components rebuild is numpy's best
+    basis = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :8]
+    centred = x - x.mean(0)
+    assert np.allclose(((y - y.mean(0)) ** 2).sum(), ((centred @ basis) ** 2).sum())
+
+
+def test_neighbours_of_any_ids_against_all_pairs(spark, monkeypatch):
+    """Large and negative ids, several blocks, ties, and vectors that take no part."""
+    import numpy as np
+
+    from loomspan.operators import density
+
+    draw = np.random.default_rng(2)
+    x = draw.integers(-3, 4, (90, 3)).astype(float)
+    ids = [int(i) * (1 << 41) - (1 << 45) for i in range(90)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(5, None), (6, [1.0]), (7, [None, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "card_id long, embedding array<double>")
+    monkeypatch.setattr(density, "BLOCK", 20)
+    for eps in (1.0, 2.3, 9.0):
+        want = {(ids[i], ids[j]) for i in range(90) for j in range(i + 1, 90) if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= eps}
+        assert {(r.a, r.b) for r in density.neighbour_pairs(frame, eps).collect()} == want
+    trials = density.trial_grid(spark, [1.5], [3], [2])
+    found = density.density_clusters(frame.where("card_id <> 5"), density.neighbour_pairs(frame, 1.5), trials)
+    assert found.count() == 92 and found.where("cluster_id >= 0").count() > 0
+    assert density.neighbour_pairs(frame.limit(0), 1.0).count() == 0
