@@ -97,7 +97,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     pieces = saved(texts(docs).mapInArrow(_pieces(path, capacity, end, keep_ids), PIECES + ", ids array<int>" * keep_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` rows at most
     slots = spark.createDataFrame(planned := plan(counts, capacity), PLAN)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(8 * partitions(spark))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(8 * partitions(spark))))
     below = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     totals = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("below"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

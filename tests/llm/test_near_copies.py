@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from loomspan.llm import copies
+from loomspan.llm import common, copies
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,7 +63,8 @@ def test_the_stage_keeps_one_of_edited_copies(spark, odd):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, root in groups(rows) if i == root)
 
 
-def test_blocks_of_a_bucket_give_the_same(spark, odd, monkeypatch):
+def test_blocks_of_a_bucket_and_shuffled_joins_give_the_same(spark, odd, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
     draw = random.Random(9)
     words = [f"w{draw.randrange(5000)}" for _ in range(150)]
     rows = list(enumerate(edited(draw, words, draw.choice([1, 3, 4, 6, 9])) for _ in range(60)))

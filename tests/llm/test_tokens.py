@@ -78,6 +78,12 @@ def test_packing(spark, odd, capacity):
     assert sum(len(r.ids) for r in packing.sequences(packed).collect()) == total
 
 
+def test_plans_that_are_not_broadcast_give_the_same(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    packed = packing.pack(odd(), tokens.vocabulary("byte_bpe_50k.json"), 64).collect()
+    check_packing(odd.rows, packed, 64)
+
+
 def test_packing_of_nothing(spark, odd):
     assert packing.pack(odd([]), tokens.vocabulary("byte_bpe_50k.json")).count() == 0
 
