@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_type, is_extra, sampling_bucket
+from ..functions.columns import is_extra, sampling_bucket
 
 #: Names of cards that allow fusions (fixed values).
 FUSION_ENABLERS = ("polymerization", "fusion gate", "miracle fusion", "future fusion", "metamorphosis")
