@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import small_batches, table, texts
 from .text import LOWER, WORD_BASE, Texts, flat, mix, slices, spread, windows
 
 GRAM, PAIR, MATCH, LOSS, SCORE = 3, 2, 2, 1, 0.5
@@ -250,6 +250,7 @@ def _count(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
 def finders(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Iterator[Column]:
     """For each block of test items, a column over docs.text: the items that a text holds."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark):
         items.choose(*_count(docs, items))
         sent = docs.sparkSession.sparkContext.broadcast(items)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import small_batches, table, texts
 from .text import LOWER, Texts, flat, slices, spread
 
 KINDS = ("email", "ip", "card", "phone")
@@ -507,6 +507,7 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 
 def finder(docs: DataFrame, redact: bool) -> Column:
     """A column over docs.text: what op3 returns and, if asked for, the text with [KIND] in place of every span."""
+    small_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(model())
 
     @F.arrow_udf(FOUND)

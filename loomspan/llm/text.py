@@ -154,6 +154,8 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = S
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), Texts(all_texts.data[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
+    del all_texts, at
+    pa.default_memory_pool().release_unused()  # or it stays with the worker
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

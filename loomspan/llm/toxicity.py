@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table
 from .decontaminate import BETWEEN
 from .labelled import sample
 from .text import LOWER, Texts, slices
@@ -169,6 +169,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, h
 
 def scorer(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held: int = HELD) -> Column:
     """A column over docs.text: the probability that a text is toxic."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, column, folds, held)))
 
     @F.arrow_udf("double")
