@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, search, secrets, simhash, substrings, token_files, toxicity
+from . import decontaminate, packing, pii, quality, search, secrets, simhash, substrings, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_files.op8_token_files,
         decontaminate.op9_decontamination,
         secrets.op10_secrets,
+        token_counts.op11_token_counts,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": substrings.OP5_SQL, "op6_top_k": search.OP6_SQL}
