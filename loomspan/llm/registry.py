@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, search, secrets, simhash, substrings, token_counts, token_files, toxicity, whitening
+from . import conversations, decontaminate, packing, pii, quality, search, secrets, simhash, substrings, token_counts, token_files, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op10_secrets,
         token_counts.op11_token_counts,
         whitening.op12_whitening,
+        conversations.op13_conversation_repair,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": substrings.OP5_SQL, "op6_top_k": search.OP6_SQL}
