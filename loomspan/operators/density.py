@@ -4,89 +4,66 @@ from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance, doubles
+from ..functions.vectors import doubles
 from ..shared import saved
 from .features import numbered
-from .graph import components
-
-#: Vectors that meet in one task are at most two blocks of about so many.
-BLOCK = 1024
-
-
-def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> DataFrame:
-    """(a, b, d) with a < b and d <= eps.
-
-    Vectors are cut into blocks by their distance from one pivot (a vector of the table), and two blocks meet in a task only
-    if those distances may differ by eps or less: by the triangle inequality nothing is lost. Where eps is large against the
-    distances' spread all blocks meet, each pair of them in a task of its own. Vectors of another length than the pivot's, or
-    with null components, have no neighbours.
-    """
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(key).cast("long").alias("k"), doubles(F.col("embedding")).alias("v")).where("k is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
-    pivot = v.agg(F.min_by("v", "k").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if not pivot["n"]:
-        return spark.createDataFrame([], "a long, b long, d double")
-    v = v.where(F.size("v") == len(pivot["p"])).withColumn("t", distance(F.col("v"), F.array(*map(F.lit, pivot["p"]))))
-    blocks = -(-pivot["n"] // BLOCK)
-    cuts = v.agg(F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
-    v = saved(v.withColumn("block", sum((F.when(F.col("t") > c, 1).otherwise(0) for c in cuts), F.lit(0))) if blocks <= 200 else v.withColumn("block", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("t")))), "vectors")
-    ends = {r["block"]: (r["lo"], r["hi"]) for r in v.groupBy("block").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}  # a row for each block
-    met = [(i, j) for i in ends for j in ends if i <= j and ends[j][0] - ends[i][1] <= eps * (1 + 1e-9)]
-    meetings = spark.createDataFrame(sorted({(x, i, j) for i, j in met for x in (i, j)}), "block int, i int, j int")
-    dealt = v.join(meetings, "block").select("i", "j", "block", "k", "v")
-
-    def near(rows: pa.Table) -> pa.Table:
-        block, ids = rows["block"].to_numpy(), rows["k"].to_numpy()
-        x = np.stack([np.asarray(r) for r in rows["v"].to_numpy()])
-        left, right = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
-        lengths = (x * x).sum(1)
-        rough = lengths[left][:, None] + lengths[right][None, :] - 2 * (x[left] @ x[right].T)
-        p, q = np.nonzero(rough <= eps * eps + 1e-9 * (lengths.max() + eps * eps))
-        p, q = left[p], right[q]
-        keep = ids[p] < ids[q] if rows["i"][0] == rows["j"][0] else ids[p] != ids[q]
-        p, q = p[keep], q[keep]
-        d = np.sqrt(sum((x[p, c] - x[q, c]) ** 2 for c in range(x.shape[1])))
-        p, q, d = p[d <= eps], q[d <= eps], d[d <= eps]
-        return pa.table({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "d": d})
-
-    return dealt.groupBy("i", "j").applyInArrow(near, "a long, b long, d double")
-
+from .forest import components_at
 
 def density_clusters(ids: DataFrame, pairs: DataFrame, trials: DataFrame) -> DataFrame:
     """trial, card_id, cluster_id, prob for each trial (trial, eps, min_samples, min_cluster_size).
 
     Core: min_samples neighbours within eps, itself included. Clusters: components of core links, numbered from 0 by least
     member; a border card joins its nearest core; smaller clusters and the rest are noise (-1). prob is 1 for a core and
-    1 - d / eps for a border card, 0 for noise. All trials run in one job over pairs found once.
+    1 - d / eps for a border card, 0 for noise.
+
+    For each min_samples a card has a core distance, from which on it is a core, and a link holds from the greatest of its
+    length and its ends' core distances on. The minimum spanning forest of these links has the components of every eps, so
+    the pairs are read once however many trials there are; only the forest is cut for each eps. (The grid itself is small and
+    is read on the driver.)
     """
-    trials = F.broadcast(trials)
-    names = dense_numbers(ids)
-    own = pairs.join(trials, F.col("d") <= F.col("eps"))
-    both = own.select("trial", "eps", "min_samples", "a", "b", "d").union(own.select("trial", "eps", "min_samples", "b", "a", "d"))
-    degree = both.groupBy("trial", "a").agg(F.count(F.lit(1)).alias("n"), F.max("min_samples").alias("m"))
-    cores = degree.where(F.col("n") + 1 >= F.col("m")).select("trial", F.col("a").alias("core"))
-    if trials.where("min_samples <= 1").limit(1).count():
-        cores = ids.join(trials.where("min_samples <= 1")).select("trial", F.col("card_id").alias("core")).union(cores).distinct()
-    links = own.join(cores.withColumnRenamed("core", "a"), ["trial", "a"]).join(cores.withColumnRenamed("core", "b"), ["trial", "b"])
-    many = trials.agg((F.max("trial") + 1).alias("n")).first()["n"] or 1
-    node = lambda rows, c: rows.join(names.select(F.col("card_id").alias(c), F.col("number").alias(f"{c}_no")), c).withColumn(f"{c}_no", F.col(f"{c}_no") * many + F.col("trial"))
-    roots = components(node(node(links, "a"), "b").select(F.col("a_no").alias("a"), F.col("b_no").alias("b")))
-    rooted = node(cores, "core").withColumnRenamed("core_no", "node").join(roots, "node", "left").select("trial", "core", F.coalesce("root", "node").alias("root"))
-    near = both.withColumnRenamed("b", "core").join(rooted, ["trial", "core"]).select("trial", F.col("a").alias("card_id"), "d", "core", "root", "eps")
-    border = near.join(cores.withColumnRenamed("core", "card_id"), ["trial", "card_id"], "left_anti").groupBy("trial", "card_id").agg(F.min(F.struct("d", "core", "root", "eps")).alias("x"))
-    members = rooted.select("trial", F.col("core").alias("card_id"), "root", F.lit(1.0).alias("prob")).union(border.select("trial", "card_id", "x.root", F.greatest(F.lit(0.0), 1 - F.col("x.d") / F.col("x.eps"))))
-    sizes = members.groupBy("trial", "root").agg(F.count(F.lit(1)).alias("size"), F.min("card_id").alias("least")).join(trials, "trial").where(F.col("size") >= F.col("min_cluster_size"))
-    numbered = sizes.select("trial", "root", (F.row_number().over(Window.partitionBy("trial").orderBy("least")) - 1).alias("cluster_id"))
-    found = members.join(numbered, ["trial", "root"]).select("trial", "card_id", "cluster_id", "prob")
+    grid = sorted({(r["eps"], r["min_samples"]) for r in trials.select("eps", "min_samples").distinct().collect()})
+    levels, samples = sorted({e for e, _ in grid}), sorted({m for _, m in grid})
+    combos = F.array(*(F.struct(F.lit(samples.index(m)).alias("mi"), F.lit(levels.index(e)).alias("li"), F.lit(e).cast("double").alias("eps")) for e, m in grid))
+    many = len(samples)
+    names = dense_numbers(ids) if many > 1 else ids.select("card_id", F.col("card_id").alias("number")).where("card_id is not null").distinct()
+    card = saved(core_distances(names, pairs, samples), "core-distances")
+    side = lambda c: card.select(F.col("card_id").alias(c), F.col("number").alias(f"{c}_no"), F.col("core").alias(f"{c}_core"))
+    linked = saved(pairs.where(F.col("d") <= max(levels, default=0.0)).join(side("a"), "a").join(side("b"), "b"), "links")
+    weight = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.struct(i.alias("mi"), F.greatest("d", F.get("a_core", i), F.get("b_core", i)).alias("w")))
+    links = linked.select("a_no", "b_no", F.inline(weight)).where(F.col("w") <= max(levels, default=0.0))
+    node = lambda c: (F.col(c) * many + F.col("mi"))
+    roots = components_at(links.select(node("a_no").alias("u"), node("b_no").alias("v"), "w"), levels)
+    at = card.select("card_id", "core", F.posexplode(F.transform("core", lambda x: F.col("number") * many)).alias("mi", "base")).select("card_id", "core", "mi", (F.col("base") + F.col("mi")).alias("node"))
+    each = at.join(roots, "node", "left").select("card_id", "node", "core", "roots", "mi", F.inline(F.transform(combos, lambda x: F.struct(x["mi"].alias("mj"), x["li"].alias("li"), x["eps"].alias("eps")))))
+    rooted = saved(each.where((F.col("mi") == F.col("mj")) & (F.get("core", F.col("mi")) <= F.col("eps"))).select("mi", "li", F.col("card_id").alias("core"), F.coalesce(F.get("roots", F.col("li")), "node").alias("root")), "rooted")
+    ways = linked.select(F.col("a").alias("card_id"), F.col("b").alias("core"), "d", F.col("a_core").alias("own"), F.col("b_core").alias("its")).union(linked.select("b", "a", "d", "b_core", "a_core"))
+    near = ways.select("card_id", "core", "d", F.inline(F.filter(combos, lambda x: (F.get("own", x["mi"]) > x["eps"]) & (F.get("its", x["mi"]) <= x["eps"]) & (F.col("d") <= x["eps"]))))
+    border = near.groupBy("mi", "li", "card_id").agg(F.min(F.struct("d", "core", "eps")).alias("x")).select("mi", "li", "card_id", "x.*")
+    border = border.join(rooted, ["mi", "li", "core"]).select("mi", "li", "card_id", "root", F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("eps")).alias("prob"))
+    place = lambda c, values: F.array_position(F.array(*(F.lit(v).cast(k) for v, k in values)), F.col(c).cast(values[0][1])).cast("int") - 1
+    trials = F.broadcast(trials.select("trial", "min_cluster_size", place("min_samples", [(m, "long") for m in samples]).alias("mi"), place("eps", [(e, "double") for e in levels]).alias("li")) if grid else trials.selectExpr("trial", "min_cluster_size", "0 mi", "0 li"))
+    members = rooted.select("mi", "li", F.col("core").alias("card_id"), "root", F.lit(1.0).alias("prob")).union(border)
+    sizes = members.groupBy("mi", "li", "root").agg(F.count(F.lit(1)).alias("size"), F.min("card_id").alias("least")).join(trials, ["mi", "li"]).where(F.col("size") >= F.col("min_cluster_size"))
+    ordered = sizes.select("trial", "mi", "li", "root", (F.row_number().over(Window.partitionBy("trial").orderBy("least")) - 1).alias("cluster_id"))
+    found = members.join(ordered, ["mi", "li", "root"]).select("trial", "card_id", "cluster_id", "prob")
     every = ids.select("card_id").join(trials.select("trial"))
     return every.join(found, ["trial", "card_id"], "left").select("trial", "card_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
+def core_distances(names: DataFrame, pairs: DataFrame, samples: list[int]) -> DataFrame:
+    """card_id, number and core: for each number of samples the distance of the last of so many neighbours, the card itself
+    being the first; infinity where there are too few."""
+    most = max(samples, default=1) - 1
+    both = pairs.select("a", "d").union(pairs.select("b", "d"))
+    ranked = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("d"))).where(F.col("nth") <= max(most, 0))
+    near = ranked.groupBy(F.col("a").alias("card_id")).agg(F.array_sort(F.collect_list("d")).alias("near"))  # at most `most`
+    core = F.array(*(F.lit(0.0) if m <= 1 else F.coalesce(F.get("near", F.lit(m - 2)), F.lit(float("inf"))) for m in samples)).cast("array<double>")
+    return names.join(near, "card_id", "left").select("card_id", "number", core.alias("core"))
+
+
 def dense_numbers(ids: DataFrame) -> DataFrame:
     """card_id and its number from 0 in ascending order, so that numbers times trials stay in a long whatever the ids are."""
     return saved(numbered(ids.select("card_id").where("card_id is not null").distinct(), "card_id", "number"), "numbers")

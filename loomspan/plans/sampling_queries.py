@@ -9,6 +9,7 @@ from ..functions.columns import has_type, is_extra, sampling_bucket
 from ..operators import clusters as C
 from ..operators import density as DN
 from ..operators import generation as G
+from ..operators import neighbours as N
 from ..operators import sampling as SA
 from ..operators import scoring as SC
 from ..operators import validation as V
@@ -142,7 +143,18 @@ def _vectors(spark: S, d: str) -> DataFrame:
 def density_clusters(spark: S, d: str) -> DataFrame:
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.14], [3], [3])
-    return rounded(DN.density_clusters(v, saved(DN.neighbour_pairs(v, 1.14), "pairs"), trials).drop("trial"))
+    return rounded(DN.density_clusters(v, saved(N.neighbour_pairs(v, 1.14), "pairs"), trials).drop("trial"))
+
+
+def neighbour_pairs(spark: S, d: str) -> DataFrame:
+    """Pairs of vectors within a distance that few of them have."""
+    return rounded(N.neighbour_pairs(_vectors(spark, d), 1.05))
+
+
+def neighbour_recall(spark: S, d: str) -> DataFrame:
+    """What random projections find of these pairs."""
+    v = _vectors(spark, d)
+    return N.recall(N.neighbour_pairs(v, 1.05), N.approximate_pairs(v, 1.05))
 
 
 def sweep_trials(spark: S, d: str) -> DataFrame:
@@ -150,7 +162,7 @@ def sweep_trials(spark: S, d: str) -> DataFrame:
     found once."""
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.10, 1.12, 1.14], [2, 3], [2, 4])
-    pairs = saved(DN.neighbour_pairs(v, 1.14), "pairs")
+    pairs = saved(N.neighbour_pairs(v, 1.14), "pairs")
     found = saved(DN.density_clusters(v, pairs, trials), "trials")
     m = C.guardrails(C.structural_score(C.cluster_metrics(found, ["trial"])), few=5, noise=0.9, largest=0.2, tiny=0.1)
     meaning = C.semantic_score(C.semantic_metrics(found.join(v, "card_id"), view(spark, d, "cards"), ["trial"])).select("trial", "semantic_score")
@@ -192,7 +204,7 @@ def cluster_points(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quota_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
+    quota_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, neighbour_pairs, neighbour_recall, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
 
 H = "(('0x' || substr(md5({0}), 1, 8))::ubigint / 4294967296.0)"
 
@@ -317,6 +329,7 @@ ORACLE_SQL = {
     "ratio_jitter": """with d as (select c_custkey deck_id, i, 0.5::double + 0.05::double * (2 * (('0x' || substr(md5('1|monster|' || c_custkey || '|' || i), 1, 8))::ubigint / 4294967296.0) - 1) m, 0.3::double + 0.05::double * (2 * (('0x' || substr(md5('1|spell|' || c_custkey || '|' || i), 1, 8))::ubigint / 4294967296.0) - 1) s from customer, range(200) t(i)),
       f as (select * from d where abs(1 - m - s - 0.2) <= 0.05 qualify row_number() over (partition by deck_id order by i) = 1)
       select c_custkey deck_id, round(coalesce(m, 0.5), 6) monster, round(coalesce(s, 0.3), 6) spell, round(1 - coalesce(m, 0.5) - coalesce(s, 0.3), 6) trap from customer left join f on deck_id = c_custkey""",
+    "neighbour_pairs": "with e as (select vec_id id, cast(embedding as double[]) v from embeddings), p as (select a.id a, b.id b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) d from e a join e b on a.id < b.id) select a, b, round(d, 6) d from p where d <= 1.05",
     "density_clusters": f"with recursive trials as (select 0 trial, 1.14::double eps, 3 ms, 3 mc), {DENSE} select card_id, cast(cluster_id as integer) cluster_id, round(prob, 6) prob from clu",
     "sweep_trials": with_views(f"with recursive {GRID}, {DENSE}, {SWEEP} select {SWEPT} from swf", "cards"),
     "rank_trials": with_views(f"with recursive {GRID}, {DENSE}, {SWEEP}, pl as (select cast(trial as integer) trial, s structural_score, final_score, cast(row_number() over (order by final_score desc, trial) as integer) final_place, cast(row_number() over (order by s desc, trial) as integer) structural_place from swf) select * from pl where final_place <= 5 or structural_place <= 5", "cards"),
