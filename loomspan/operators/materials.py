@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import beside
+from ..shared import saved
 
 #: Word lists of the rules (fixed values).
 RACES = (
@@ -106,7 +106,39 @@ def matches(tag: Column) -> Column:
     return types.contains("monster") & test
 
 
+#: Characters of the grams by which tags and monsters meet; shorter values are grams themselves.
+GRAM = 3
+KINDS = ("attr_tuner", "attr_monster", "type_tuner", "card_name", "attr", "type", "archetype")
+
+
+def needle(tag: Column) -> Column:
+    """The text that a monster must hold somewhere to meet a tag."""
+    parts = F.split(tag, ":")
+    return F.when(parts[0].isin(*KINDS), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise(tag)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters, overlapping ones too."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit(""))
+
+
 def tag_matches(tags: DataFrame, cards: DataFrame) -> DataFrame:
-    """(tag, card_id) pairs that match. Only distinct tags, which are few, meet the cards; decks join the pairs later."""
-    monsters, _ = beside(cards.where(F.lower("type").contains("monster")), tags.select("tag").distinct(), F.col("tag"), "all_tags")
-    return monsters.select("*", F.explode("all_tags").alias("tag")).where(matches(F.col("tag"))).select("tag", F.col("id").alias("card_id"))
+    """(tag, card_id) pairs that match; decks join the pairs later.
+
+    An inverted index of grams stands between them: every tag takes the gram of its needle that fewest monsters hold, and is
+    compared with those monsters only. A needle with a gram that no monster holds matches none.
+    """
+    every = tags.select("tag").distinct().where("tag is not null").withColumn("needle", needle(F.col("tag"))).withColumn("n", F.least(F.length("needle"), F.lit(GRAM)))
+    sizes = sorted(r["n"] for r in every.select("n").distinct().collect())  # at most GRAM + 1 of them
+    if not sizes:
+        return cards.sparkSession.createDataFrame([], "tag string, card_id " + cards.schema["id"].dataType.simpleString())
+    of_size = lambda text: F.flatten(F.array(*(F.when(F.col("n") == n, _grams(text, n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    asked = every.select("tag", F.explode(F.array_distinct(of_size(F.col("needle")))).alias("gram"))
+    monsters = cards.where(F.lower("type").contains("monster"))
+    held = F.concat_ws("\n", *(F.trim(F.lower(c)) for c in ("type", "attribute", "race", "archetype", "name", "descr")), normal(F.col("name")))
+    index = monsters.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(_grams(held, n) for n in sizes))))).alias("gram"))
+    index = saved(index.join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), "grams")
+    rarity = asked.join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "gram", "left")
+    rarest = rarity.groupBy("tag").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("x")).where("x.held > 0").select("tag", F.col("x.gram").alias("gram"))
+    candidates = index.join(rarest, "gram").select("tag", "id")
+    return monsters.join(candidates, "id").where(matches(F.col("tag"))).select("tag", F.col("id").alias("card_id"))

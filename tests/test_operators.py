@@ -1,5 +1,7 @@
 """Edge cases of the operators on small frames."""
 
+from collections import Counter
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -157,3 +159,21 @@ def test_places_follow_their_offers_one_by_one(spark):
                 have[bucket], cards[card], total = have[bucket] + n, cards.get(card, 0) + n, total + n
     got = sampling.place(spark.createDataFrame(specs, "deck_id long, main_size int"), spark.createDataFrame(offers, "deck_id long, stage long, nth long, card_id long, bucket string, max_copies long, want long"), ratios)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_gram_index_finds_what_all_pairs_find(spark):
+    """Tags of every kind, short, empty and odd ones, against every monster."""
+    from loomspan.operators import materials as M
+
+    cards = spark.createDataFrame([
+        (1, "Blue Star  Giant", "Tuner Effect Monster", "Dragon-Type; a dark hero", "DARK", "Dragon", None), (2, "Ore", "Normal Monster", "light\nfoot", None, "Rock", "Ore Hero"), (3, "x", "Spell Card", "dark", "DARK", None, None),
+        (4, None, "Synchro Monster", None, "EARTH", None, None), (4, None, "Synchro Monster", None, "EARTH", None, None), (5, "Ä😀ö", "Effect Monster", "ää 😀ö b:c", "LIGHT", "Fiend", "He"), (6, " dark ", " monster", "", "", "", "")],
+        "id long, name string, type string, descr string, attribute string, race string, archetype string")
+    tags = spark.createDataFrame([(t,) for t in (
+        "attr_tuner:dark", "attr_monster:light", "type_tuner:dragon", "card_name:blue star giant", "attr:earth:non_tuner", "type:rock:monster", "archetype:hero:monster", "archetype:he:tuner", "archetype::monster", "hero", "b:c", "o", "😀ö", "none at all", "card_name:dark", "attr:dark:monster", "attr:dark:monster", None)], "tag string")
+    got = Counter((r.tag, r.card_id) for r in M.tag_matches(tags, cards).collect())
+    pairs = cards.crossJoin(tags.distinct().where("tag is not null")).where(M.matches(F.col("tag"))).select("tag", "id")
+    assert got == Counter((r.tag, r.id) for r in pairs.collect()) and len(got) > 12
+    plan = M.tag_matches(tags, cards)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert M.tag_matches(tags.limit(0), cards).count() == M.tag_matches(tags, cards.limit(0)).count() == 0
