@@ -51,22 +51,43 @@ def cutoff_day(cutoff: str | None) -> datetime.date | None:
         return None
 
 
-def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, rules: DeckRules, decks: DataFrame | None = None) -> DataFrame:
+#: Columns of a table of rules.
+RULE_COLUMNS = ("main_size", "extra_min", "extra_max", "release_cutoff", "monster", "spell", "trap", "tolerance")
+
+
+def deck_rules(decks: DataFrame, rules: DataFrame, default: DeckRules) -> DataFrame:
+    """deck_id and rule, a struct of RULE_COLUMNS: those of the deck's format, or the default's where it has none or its
+    format has no rules. decks: deck_id, format; rules: format and RULE_COLUMNS, a row for each format."""
+    own = rules.select(F.col("format").alias("_format"), F.struct(*RULE_COLUMNS).alias("_rule"))
+    rest = default.ratios
+    values = (default.main_size, default.extra_min, default.extra_max, default.cutoff, rest["monster"], rest["spell"], rest["trap"], default.tolerance)
+    other = F.struct(*(F.lit(v).cast(rules.schema[c].dataType).alias(c) for v, c in zip(values, RULE_COLUMNS)))
+    return decks.join(own, F.col("format") == F.col("_format"), "left").select("deck_id", F.coalesce("_rule", other).alias("rule"))
+
+
+def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, rules: DeckRules | DataFrame, decks: DataFrame | None = None) -> DataFrame:
     """entries: deck_id, zone (main, extra, side), card_id, copies, is_known and card attributes; support: deck_id, material_ok.
 
+    rules: the same for all decks, or deck_id and rule as deck_rules gives them, a row for each deck; these decks are judged.
     decks: deck_id; given, decks without entries are judged too. Returns deck_id, the flags, flags (a map), failed (names,
     sorted), errors (a text for each) and ok. With a cutoff, known cards need a readable date by then, so without a date column
     none passes; a cutoff that is no date is left out.
     """
+    if isinstance(rules, DataFrame):
+        decks = rules
+        entries = entries.drop("_cutoff").join(rules.select("deck_id", F.expr("try_to_date(rule.release_cutoff, 'yyyy-MM-dd')").alias("_cutoff")), "deck_id")
+        limit = {c: F.col("rule")[c] for c in RULE_COLUMNS}
+    else:
+        limit = {c: F.lit(v) for c, v in zip(RULE_COLUMNS, (rules.main_size, rules.extra_min, rules.extra_max, None, *(rules.ratios[b] for b in ("monster", "spell", "trap")), rules.tolerance))}
     kind = F.col("type")
     main, extra, known = F.col("zone") == "main", F.col("zone") == "extra", F.col("is_known")
     low = F.lower(F.coalesce(kind, F.lit("")))
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("copies")).otherwise(0)), F.lit(0))
     n_of = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
     monster = low.contains("monster")
-    cutoff = cutoff_day(rules.cutoff)
     day = F.expr("try_to_date(tcg_date, 'yyyy-MM-dd')") if "tcg_date" in entries.columns else F.lit(None).cast("date")
-    late = F.lit(False) if cutoff is None else day.isNull() | (day > F.lit(cutoff))
+    cutoff = F.col("_cutoff") if isinstance(rules, DataFrame) else F.lit(cutoff_day(rules.cutoff)).cast("date")
+    late = cutoff.isNotNull() & (day.isNull() | (day > cutoff))
     per_card = entries.join(limits, "card_id", "left").groupBy("deck_id", "card_id").agg(F.sum("copies").alias("c"), F.max(F.coalesce("max_copies", F.lit(3))).alias("m"))
     over = per_card.groupBy("deck_id").agg(F.count_if(F.col("c") > F.col("m")).alias("over"))
     levels = entries.where(main & monster & (F.col("level") > 0)).groupBy("deck_id", "level").agg(F.sum("copies").alias("c")).groupBy("deck_id").agg(F.max("c").alias("same_level"))
@@ -80,15 +101,15 @@ def validate_decks(entries: DataFrame, limits: DataFrame, support: DataFrame, ru
         total(main & monster & low.contains("effect")).alias("effects"), total(pendulum).alias("pendulums"), (F.max(F.when(pendulum, F.col("scale"))) - F.min(F.when(pendulum, F.col("scale")))).alias("gap"),
         *(total(main & known & (sampling_bucket(kind) == b)).alias(f"n_{b}") for b in ("monster", "spell", "trap")))
     if decks is not None:
-        facts = decks.select("deck_id").join(facts, "deck_id", "left")
-    numbers = [name for name in facts.columns if name not in ("deck_id", "gap")]
+        facts = decks.select("deck_id", *(["rule"] if isinstance(rules, DataFrame) else [])).join(facts, "deck_id", "left")
+    numbers = [name for name in facts.columns if name not in ("deck_id", "gap", "rule")]
     f = facts.fillna(0, numbers).join(over, "deck_id", "left").fillna(0, ["over"]).join(levels, "deck_id", "left").join(support, "deck_id", "left")
     c = F.col
     near = F.lit(True)
-    for bucket, share in rules.ratios.items():
-        near = near & (F.abs(c(f"n_{bucket}") - F.bround(F.lit(share) * c("n_main"), 0)) <= rules.tolerance)
+    for bucket in ("monster", "spell", "trap"):
+        near = near & (F.abs(c(f"n_{bucket}") - F.bround(limit[bucket] * c("n_main"), 0)) <= limit["tolerance"])
     flags: dict[str, Column] = dict(zip(RULES, (
-        c("n_main") == rules.main_size, c("n_extra").between(rules.extra_min, rules.extra_max), c("unknown") == 0, c("late") == 0, F.coalesce(c("over"), F.lit(0)) == 0,
+        c("n_main") == limit["main_size"], c("n_extra").between(limit["extra_min"], limit["extra_max"]), c("unknown") == 0, c("late") == 0, F.coalesce(c("over"), F.lit(0)) == 0,
         c("bad_extra") == 0, c("bad_main") == 0, F.coalesce("material_ok", F.lit(True)), (c("has_fusion") == 0) | (c("enablers") > 0),
         (c("has_synchro") == 0) | ((c("monsters") >= 2) & ((c("asks_tuner") == 0) | ((c("tuners") >= 1) & (c("non_tuners") >= 1)))),
         (c("has_xyz") == 0) | (F.coalesce("same_level", F.lit(0)) >= 2), (c("has_link") == 0) | (c("effects") >= 2),

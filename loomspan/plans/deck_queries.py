@@ -11,6 +11,7 @@ from ..operators import materials as M
 from ..operators import scoring as SC
 from ..operators import validation as V
 from ..shared import saved
+from ..sources import readers
 from .adapters import rounded, view, with_views
 
 S = SparkSession
@@ -109,6 +110,10 @@ def deck_text(spark: S, d: str) -> DataFrame:
 
 
 RULES = V.DeckRules(main_size=8, extra_min=0, extra_max=3, cutoff="2013-12-31", tolerance=2)
+#: Rules of three formats; decks of others, or of none, follow RULES.
+FORMATS = """{"formats": {"GOAT": {"deck_size": 8, "extra_deck_size": 3, "legality_source": "lists/2013-12-31.json"},
+ "HAT": {"main_deck_size": 10, "min_main": 8, "max_main": 12, "extra_deck_size": 4, "min_extra": 1, "tcg_release_cutoff": "2011-06-30", "card_type_ratios": {"monster": 0.5, "spell": 0.25, "trap": 0.25, "tolerance_count": 1}},
+ "Edison": {"deck_size": 9, "extra_deck_size": 2, "card_type_ratios": {"monster": 0.6, "spell": 0.2, "trap": 0.2, "tolerance_count": 3}}}}"""
 
 
 def copy_limits(spark: S, d: str) -> DataFrame:
@@ -166,7 +171,7 @@ def _validated(spark: S, d: str) -> DataFrame:
     tags = _tags(spark, d).withColumnRenamed("id", "card_id")
     support = V.deck_support(entries, tags, M.tag_matches(tags, _worded(spark, d)))
     ok = support.groupBy("deck_id").agg(F.bool_and(F.col("found") >= F.col("needed")).alias("material_ok"))
-    return V.validate_decks(entries, V.copy_limits(_lists(spark, d)), ok, RULES, view(spark, d, "decks"))
+    return V.validate_decks(entries, V.copy_limits(_lists(spark, d)), ok, V.deck_rules(view(spark, d, "decks"), readers.formats(spark.createDataFrame([(FORMATS,)], "json string")), RULES))
 
 
 def validate_decks(spark: S, d: str) -> DataFrame:
@@ -237,8 +242,10 @@ PAIRS = f"""low as (select id, lower(type) ty, lower(attribute) a, lower(race) r
   else contains(ar, tag) or contains(nm, tag) or contains(de, tag) end)"""
 SUP = "sup as (select n.deck_id, n.tag, needed, coalesce(found, 0) found from (select deck_id, tag, max(n) needed from ent join tags on tags.id = card_id where zone = 'extra' group by 1, 2) n left join (select deck_id, tag, sum(copies) found from ent join pairs using (card_id) where zone = 'main' group by 1, 2) f on n.deck_id = f.deck_id and n.tag = f.tag)"
 LIM = "lim as (select id card_id, case when id % 25 = 2 then 2 when id % 50 < 2 then 1 end m from cards where id % 25 = 2 or id % 50 < 2)"
-VAL = f"""lo as (select *, lower(coalesce(type, '')) ty, zone = 'main' mz, zone = 'extra' ez from ent),
- fa0 as (select deck_id, coalesce(sum(copies) filter (mz), 0) nm, coalesce(sum(copies) filter (ez), 0) ne, count(*) filter (not is_known) unk, count(*) filter (is_known and (tcg_date is null or tcg_date > '2013-12-31')) late,
+VAL = f"""rul as (select deck_id, case format when 'HAT' then 10 when 'Edison' then 9 else 8 end sz, case when format = 'HAT' then 1 else 0 end xlo, case format when 'HAT' then 4 when 'Edison' then 2 else 3 end xhi,
+  case when format = 'HAT' then '2011-06-30' when format = 'Edison' then null else '2013-12-31' end cutoff, case when format = 'Edison' then 0.6 else 0.5 end rm, case format when 'HAT' then 0.25 when 'Edison' then 0.2 else 0.3 end rs, case when format = 'HAT' then 0.25 else 0.2 end rt, case format when 'HAT' then 1 when 'Edison' then 3 else 2 end tol from decks),
+ lo as (select *, lower(coalesce(type, '')) ty, zone = 'main' mz, zone = 'extra' ez from ent join (select deck_id, cutoff from rul) using (deck_id)),
+ fa0 as (select deck_id, coalesce(sum(copies) filter (mz), 0) nm, coalesce(sum(copies) filter (ez), 0) ne, count(*) filter (not is_known) unk, count(*) filter (is_known and cutoff is not null and (tcg_date is null or tcg_date > cutoff)) late,
   count(*) filter (mz and regexp_matches(ty, 'fusion|synchro|xyz|link')) bm, count(*) filter (ez and ty like '%fusion%') hf, count(*) filter (ez and ty like '%synchro%') hs, count(*) filter (ez and ty like '%xyz%') hx, count(*) filter (ez and ty like '%link%') hl,
   count(*) filter (ez and ty like '%synchro%' and lower(descr) like '%tuner%') asks, coalesce(sum(copies) filter (mz and ty like '%monster%'), 0) mo, coalesce(sum(copies) filter (mz and ty like '%monster%' and ty like '%tuner%'), 0) tu,
   coalesce(sum(copies) filter (mz and ty like '%monster%' and ty not like '%tuner%'), 0) nt, coalesce(sum(copies) filter (mz and ty like '%monster%' and ty like '%effect%'), 0) ef,
@@ -248,9 +255,9 @@ VAL = f"""lo as (select *, lower(coalesce(type, '')) ty, zone = 'main' mz, zone
  lv as (select deck_id, max(c) c from (select deck_id, level, sum(copies) c from lo where mz and ty like '%monster%' and level > 0 group by 1, 2) group by 1),
  mt as (select deck_id, bool_and(found >= needed) ok from sup group by 1),
  va0 as (select fa.*, coalesce(o, 0) ov, coalesce(lv.c, 0) lev, coalesce(mt.ok, true) mok from fa left join ov using (deck_id) left join lv using (deck_id) left join mt using (deck_id)),
- va as (select deck_id, nm = 8 main_size_ok, ne between 0 and 3 extra_size_ok, unk = 0 cards_exist_ok, late = 0 format_release_ok, ov = 0 max_copies_ok, true extra_type_ok, bm = 0 main_extra_type_ok, mok material_requirements_ok, hf = 0 fusion_enabler_ok,
+ va as (select deck_id, nm = sz main_size_ok, ne between xlo and xhi extra_size_ok, unk = 0 cards_exist_ok, late = 0 format_release_ok, ov = 0 max_copies_ok, true extra_type_ok, bm = 0 main_extra_type_ok, mok material_requirements_ok, hf = 0 fusion_enabler_ok,
   hs = 0 or (mo >= 2 and (asks = 0 or (tu >= 1 and nt >= 1))) synchro_path_ok, hx = 0 or lev >= 2 xyz_path_ok, hl = 0 or ef >= 2 link_path_ok, true pendulum_path_ok,
-  abs(bmo - round_even(0.5 * nm, 0)) <= 2 and abs(bs - round_even(0.3 * nm, 0)) <= 2 and abs(bt - round_even(0.2 * nm, 0)) <= 2 type_ratio_ok from va0)"""
+  abs(bmo - round_even(rm * nm, 0)) <= tol and abs(bs - round_even(rs * nm, 0)) <= tol and abs(bt - round_even(rt * nm, 0)) <= tol type_ratio_ok from va0 join rul using (deck_id))"""
 FAILED = "list_sort(list_filter([" + ", ".join(f"case when not {r} then '{r}' end" for r in V.RULES) + "], lambda x: x is not null))"
 VALID = f"with {ENT}, {W}, {TAGS}, {PAIRS}, {SUP}, {LIM}, {VAL}"
 _NUMBERS = {"n_main": "nm", "n_extra": "ne", "unknown": "unk", "late": "late", "over": "ov", "bad_extra": "0", "bad_main": "bm", "has_fusion": "hf", "has_synchro": "hs", "has_xyz": "hx", "has_link": "hl", "has_pendulum": "0"}

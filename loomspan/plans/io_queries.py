@@ -105,8 +105,14 @@ def final_cluster_records(spark: S, d: str) -> DataFrame:
 def format_config(spark: S, d: str) -> DataFrame:
     """Formats from JSON made of nations' rows."""
     name = F.trim("n_name")
-    body = F.struct(F.when(F.col("n_nationkey") % 2 == 0, 40 + F.col("n_nationkey")).alias("deck_size"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("lists/2010-03-"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"), F.lit(".json"))).alias("legality"))
-    return readers.formats(table(spark, d, "nation").select(F.to_json(F.create_map(name, body)).alias("json")))
+    k = F.col("n_nationkey")
+    shares = F.when(k % 4 == 0, F.struct(F.lit(0.6).alias("monster"), F.lit(0.2).alias("spell"), (k % 5).alias("tolerance_count")))
+    body = F.struct(F.when(k % 2 == 0, 40 + k).alias("deck_size"), F.when(k % 3 == 0, F.concat(F.lit("lists/2010-03-"), F.lpad((k + 1).cast("string"), 2, "0"), F.lit(".json"))).alias("legality_source"), F.when(k % 3 == 1, F.lit("2011-01-01")).alias("tcg_release_cutoff"),
+                    F.when(k % 5 == 0, F.lit(10)).alias("min_main"), F.when(k % 5 == 0, F.lit("99")).alias("max_main"), F.when(k % 7 == 0, F.lit(9)).alias("extra_deck_size"), F.when(k % 7 == 1, F.lit(3)).alias("min_extra"), shares.alias("card_type_ratios"),
+                    F.struct(F.when(k % 2 == 1, k).alias("max_resample_attempts")).alias("generation"))
+    text = F.to_json(F.create_map(name, body))
+    rows = readers.formats(table(spark, d, "nation").select(F.when(k % 2 == 0, F.concat(F.lit('{"formats": '), text, F.lit("}"))).otherwise(text).alias("json")))
+    return rows.withColumn("attempts", rows["generation"]["max_resample_attempts"].cast("int")).drop("generation")
 
 
 def staple_pool(spark: S, d: str) -> DataFrame:
@@ -215,7 +221,10 @@ ORACLE_SQL = {
     "sampling_profiles": """select trim(n_name) profile, unnest(['p_staple', 'mode']) setting, unnest(['0.' || (1 + n_nationkey % 8), '"' || lower(trim(n_name)) || '"']) "value" from nation where n_nationkey % 4 <> 1""",
     "final_cluster_records": with_views("""with rol as (select cluster_id, case when bool_or(t like '%add from deck%') then 'searcher' when bool_or(t like '%draw%') then 'draw' when bool_or(t like '%destroy%' or t like '%banish%' or t like '%target%') then 'removal' when bool_or(t like '%negate%') then 'negation' when bool_or(t like '%gy%' or t like '%graveyard%' or t like '%send%') then 'graveyard_setup' else 'misc' end functional_role from (select cluster_id, lower(coalesce(descr, '')) t from assign left join cards on id = card_id where cluster_id <> -1) group by 1)
       select cluster_id, card_id, prob cluster_probability, coalesce(name, '') "name", coalesce(archetype, '') archetype, level, coalesce(functional_role, '') functional_role from assign left join cards on id = card_id left join rol using (cluster_id)""", "assign", "cards"),
-    "format_config": """select trim(n_name) format, m main_size, m main_min, m main_max, 15 extra_size, case when n_nationkey % 3 = 0 then '2010-03-' || lpad(cast(n_nationkey + 1 as varchar), 2, '0') end release_cutoff from (select *, cast(case when n_nationkey % 2 = 0 then 40 + n_nationkey else 40 end as integer) m from nation)""",
+    "format_config": """select trim(n_name) format, m main_size, cast(case when k % 5 = 0 then 10 else m end as integer) main_min, cast(case when k % 5 = 0 then 99 else m end as integer) main_max, cast(x as integer) extra_size, cast(case when k % 7 = 1 then 3 else 0 end as integer) extra_min, cast(x as integer) extra_max,
+      case k % 3 when 0 then '2010-03-' || lpad(cast(k + 1 as varchar), 2, '0') when 1 then '2011-01-01' end release_cutoff, case when k % 3 = 0 then 'lists/2010-03-' || lpad(cast(k + 1 as varchar), 2, '0') || '.json' end legality,
+      case when k % 4 = 0 then 0.6::double else 0.5::double end monster, case when k % 4 = 0 then 0.2::double else 0.3::double end spell, 0.2::double trap, cast(case when k % 4 = 0 then k % 5 else 2 end as integer) tolerance, cast(case when k % 2 = 1 then k end as integer) attempts
+      from (select n_name, n_nationkey k, cast(case when n_nationkey % 2 = 0 then 40 + n_nationkey else 40 end as integer) m, case when n_nationkey % 7 = 0 then 9 else 15 end x from nation)""",
     "staple_pool": "select p_brand format, p_partkey card_id, round(p_size / 10.0, 6) weight, p_type tags from part",
     "banlist_lists": "select 'forbidden' list_name, p_partkey card_id from part where p_partkey % 10 = 0 union all select 'limited', p_partkey + 1 from part where p_partkey % 10 = 0 union all select 'limited', p_partkey + 2 from part where p_partkey % 10 = 0",
     "cutoff_from_path": "select o_orderkey, case when o_orderkey % 3 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end cutoff from orders",

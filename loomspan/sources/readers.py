@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Defaults of a format's deck sizes (fixed values).
-FORMAT = "struct<deck_size: int, main_size: int, main_min: int, main_max: int, extra_size: int, legality: string, release_cutoff: string, resample: int>"
-DEFAULT_MAIN, DEFAULT_EXTRA = 40, 15
+from ..functions.columns import safe_int
+
+#: Settings of a format in its JSON, and their defaults (fixed values).
+FORMAT = """struct<main_deck_size: string, deck_size: string, extra_deck_size: string, min_main: string, max_main: string, min_extra: string, max_extra: string, legality_source: string, tcg_release_cutoff: string,
+ card_type_ratios: struct<monster: double, spell: double, trap: double, tolerance_count: string>, generation: map<string, string>>"""
+DEFAULT_MAIN, DEFAULT_EXTRA, DEFAULT_TOLERANCE = 40, 15, 2
+DEFAULT_RATIOS = {"monster": 0.5, "spell": 0.3, "trap": 0.2}
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -34,14 +38,32 @@ def latest_snapshot(spark: SparkSession, pattern: str, schema: str, folders: boo
 
 
 def formats(texts: DataFrame, column: str = "json") -> DataFrame:
-    """A row for each format of JSON objects {name: settings}: sizes with their defaults and the release cutoff, which an
-    ISO date in the legality path stands in for. Sizes out of order are an error."""
-    parsed = texts.select(F.explode(F.from_json(column, f"map<string, {FORMAT}>")).alias("format", "f"))
-    size = F.coalesce("f.main_size", "f.deck_size", F.lit(DEFAULT_MAIN))
-    out = parsed.select("format", size.alias("main_size"), F.coalesce("f.main_min", size).alias("main_min"), F.coalesce("f.main_max", size).alias("main_max"), F.coalesce("f.extra_size", F.lit(DEFAULT_EXTRA)).alias("extra_size"),
-                        F.coalesce("f.release_cutoff", cutoff_from_path(F.col("f.legality"))).alias("release_cutoff"))
-    fine = F.col("main_min").between(1, F.col("main_size")) & (F.col("main_max") >= F.col("main_size"))
-    return out.withColumn("main_size", F.when(fine, F.col("main_size")).otherwise(F.raise_error(F.concat(F.lit("sizes out of order: "), F.col("format"))).cast("int")))
+    """A row of rules for each format of JSON objects {name: settings}, which may stand under the name formats.
+
+    Sizes that are missing or no numbers take their defaults, the bounds those of the sizes; an ISO date in the legality path
+    stands in for a missing cutoff. generation holds the settings for drafting by name. A format that is no object, sizes or
+    bounds out of order, shares outside 0..1 or of another sum than 1, and a negative tolerance are errors.
+    """
+    named = F.from_json(column, f"struct<formats: map<string, {FORMAT}>>")["formats"]
+    parsed = texts.select(F.explode(F.coalesce(named, F.from_json(column, f"map<string, {FORMAT}>"))).alias("format", "f"))
+    f = F.col("f")
+    whole = lambda *names: F.coalesce(*(safe_int(f[n]) for n in names)).cast("int")
+    out = parsed.withColumns({"main_size": F.coalesce(whole("main_deck_size", "deck_size"), F.lit(DEFAULT_MAIN)), "extra_size": F.coalesce(whole("extra_deck_size"), F.lit(DEFAULT_EXTRA))})
+    own = f["card_type_ratios"]
+    out = out.select(
+        "format", "f", "main_size", F.coalesce(whole("min_main", "main_deck_size"), "main_size").alias("main_min"), F.coalesce(whole("max_main", "main_deck_size"), "main_size").alias("main_max"),
+        "extra_size", F.coalesce(whole("min_extra"), F.lit(0)).alias("extra_min"), F.coalesce(whole("max_extra", "extra_deck_size"), "extra_size").alias("extra_max"),
+        F.coalesce(f["tcg_release_cutoff"], cutoff_from_path(f["legality_source"])).alias("release_cutoff"), f["legality_source"].alias("legality"),
+        *(F.coalesce(own[b], F.lit(share)).alias(b) for b, share in DEFAULT_RATIOS.items()), F.coalesce(safe_int(own["tolerance_count"]).cast("int"), F.lit(DEFAULT_TOLERANCE)).alias("tolerance"), f["generation"].alias("generation"))
+    c = F.col
+    checks = (
+        (f.isNull(), "no object"), ((c("main_min") < 1) | (c("main_min") > c("main_size")) | (c("main_size") > c("main_max")), "main sizes out of order"),
+        ((c("extra_min") < 0) | (c("extra_min") > c("extra_size")) | (c("extra_size") > c("extra_max")), "extra sizes out of order"),
+        (~(c("monster").between(0, 1) & c("spell").between(0, 1) & c("trap").between(0, 1)) | (F.abs(c("monster") + c("spell") + c("trap") - 1) > 1e-9), "shares do not make 1"), (c("tolerance") < 0, "negative tolerance"))
+    fine = F.lit(True)
+    for wrong, text in reversed(checks):
+        fine = F.when(wrong, F.raise_error(F.concat(F.lit(f"{text}: "), "format")).cast("boolean")).otherwise(fine)
+    return out.where(fine).drop("f")
 
 
 def cutoff_from_path(path):
