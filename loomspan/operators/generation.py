@@ -1,5 +1,5 @@
-"""Decks from specs: all attempts of every slot are drafted at once, validated, repaired where that can help, and the first
-valid one of each slot is kept."""
+"""Decks from specs, in rounds: attempts of every open slot are drafted, validated, repaired where that can help, and the
+first valid one of each slot is kept; slots without one go on to the next, larger round until the attempts are used up."""
 
 from __future__ import annotations
 
@@ -21,7 +21,9 @@ BEYOND_REPAIR = ("material_requirements_ok", "type_ratio_ok")
 class Plan:
     ratios: dict[str, float] = field(default_factory=lambda: {"monster": 0.5, "spell": 0.3, "trap": 0.2})
     extra_size: int = 15
-    attempts: int = 3
+    attempts: int = 50
+    first_round: int = 2
+    growth: int = 4
     draws: int = 12
     p_staple: float = 0.2
     novelty: float = 0.25
@@ -30,9 +32,10 @@ class Plan:
     seed: int = 1
 
 
-def drafts(specs: DataFrame, attempts: int) -> DataFrame:
-    """A spec for each attempt of each slot; deck_id becomes slot * attempts + attempt."""
-    rows = specs.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+def drafts(specs: DataFrame, attempts: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """A spec for each attempt from start to before stop (of `attempts`) of each slot; deck_id becomes slot * attempts +
+    attempt."""
+    rows = specs.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit((attempts if stop is None else stop) - 1))))
     return rows.withColumns({"slot": F.col("deck_id"), "deck_id": F.col("deck_id") * attempts + F.col("attempt")})
 
 
@@ -61,19 +64,27 @@ def draft_decks(specs: DataFrame, candidates: DataFrame, tags: DataFrame, pairs:
     return picks, S.place(specs, main_offers(specs, picks, candidates, tags, pairs, allowed, staples, plan), plan.ratios)
 
 
-def accepted(entries: DataFrame, main_size: int, extra_size: int, candidates: DataFrame, validated: Callable[[DataFrame], DataFrame], attempts: int) -> DataFrame:
+def draft_entries(specs: DataFrame, picks: DataFrame, main: DataFrame) -> DataFrame:
+    """deck_id, pool, main_size, zone, card_id, copies, stage of drafts: a card stands at the first stage that placed it."""
+    own = main.groupBy("deck_id", "card_id").agg(F.sum("copies").alias("copies"), F.min("stage").alias("stage")).withColumn("zone", F.lit("main"))
+    extra = picks.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("stage"), F.lit("extra").alias("zone"))
+    return own.unionByName(extra).join(specs.select("deck_id", "pool", "main_size"), "deck_id").select("deck_id", "pool", "main_size", "zone", "card_id", "copies", "stage")
+
+
+def accepted(entries: DataFrame, extra_size: int, candidates: DataFrame, validated: Callable[[DataFrame], DataFrame], attempts: int) -> DataFrame:
     """The first valid draft of each slot, or its last one, rejected.
 
-    entries: deck_id (a draft's), pool, zone, card_id, copies; validated: entries -> deck_id, failed, ok. Drafts that fail
-    in other ways than BEYOND_REPAIR are cut or filled to their sizes and judged again. Returns slot, attempt, status,
-    resamples (invalid attempts before), repairs, failed, main and extra (card_id and copies, by id).
+    entries: as draft_entries gives them; validated: entries -> deck_id, failed, ok. Drafts that fail in other ways than
+    BEYOND_REPAIR are cut or filled to their specs' sizes and judged again; what was placed first stays. Returns slot, attempt,
+    status, resamples (invalid attempts before), repairs, failed, main and extra (card_id and copies, by id).
     """
     entries = saved(entries, "drafts")
     first = saved(validated(entries).select("deck_id", "failed", "ok"), "judged")
     mendable = first.where(~F.col("ok") & (F.size(F.array_except("failed", F.array(*map(F.lit, BEYOND_REPAIR)))) > 0)).select("deck_id")
     broken = entries.join(mendable, "deck_id", "left_semi")
-    mend = lambda zone, size, test: S.size_repair(broken.where(F.col("zone") == zone).select("deck_id", "pool", "card_id", "copies"), candidates.where(test).select("pool", "card_id"), size).withColumn("zone", F.lit(zone))
-    mended = saved(mend("main", main_size, "not in_extra and max_copies > 0").unionByName(mend("extra", extra_size, "in_extra and max_copies > 0")).join(entries.select("deck_id", "pool").distinct(), "deck_id"), "mended")
+    mend = lambda zone, size, test: S.size_repair(broken.where(F.col("zone") == zone), candidates.where(test).select("pool", "card_id"), size).withColumn("zone", F.lit(zone))
+    specs = entries.select("deck_id", "pool", "main_size").distinct()
+    mended = saved(mend("main", F.col("main_size"), "not in_extra and max_copies > 0").unionByName(mend("extra", extra_size, "in_extra and max_copies > 0")).withColumn("stage", F.lit(0).cast("bigint")).join(specs, "deck_id"), "mended")
     again = validated(mended.select(*entries.columns)).select("deck_id", "failed", "ok")
     judged = first.join(mendable, "deck_id", "left_anti").unionByName(again)
     repairs = mended.select("deck_id", "zone", "repairs").distinct().groupBy("deck_id").agg(F.sum("repairs").alias("repairs"))
@@ -87,6 +98,42 @@ def accepted(entries: DataFrame, main_size: int, extra_size: int, candidates: Da
     return chosen.select("slot", "attempt", F.when(F.col("ok"), "accepted").otherwise("rejected").alias("status"), tries.alias("resamples"), "repairs", "failed", "main", "extra")
 
 
+def check_pools(specs: DataFrame, candidates: DataFrame) -> None:
+    """A pool without main cards that may be taken is an error, as its slots could never be filled."""
+    full = candidates.where("not in_extra and max_copies > 0").select("pool").distinct()
+    empty = [r["pool"] for r in specs.select("pool").distinct().join(full, "pool", "left_anti").orderBy("pool").limit(10).collect()]
+    if empty:
+        raise RuntimeError(f"no main cards in pools {empty}")
+
+
+def generated(specs: DataFrame, draft: Callable[[DataFrame], tuple[DataFrame, DataFrame]], candidates: DataFrame, validated: Callable[[DataFrame], DataFrame], plan: Plan, wanted: int = 0) -> DataFrame:
+    """A deck for each slot (a spec), as accepted() gives them, in rounds of more and more attempts.
+
+    draft: specs of drafts -> (extra picks, main cards). Only slots that are still open are drafted again, and there is an end
+    when none is left or the plan's attempts are used up. Empty pools and fewer than `wanted` accepted decks are errors.
+    """
+    check_pools(specs, candidates)
+    open_, rounds, start, width = specs, [], 0, plan.first_round
+    while True:
+        stop = min(plan.attempts, start + width)
+        rows = drafts(open_, plan.attempts, start, stop)
+        decks = saved(accepted(draft_entries(rows, *draft(rows)), plan.extra_size, candidates, validated, plan.attempts), "round")
+        if stop == plan.attempts:
+            rounds.append(decks)
+            break
+        rounds.append(decks.where("status = 'accepted'"))
+        open_ = saved(open_.join(rounds[-1].select(F.col("slot").alias("deck_id")), "deck_id", "left_anti"), "open-slots")
+        if not open_.limit(1).count():
+            break
+        start, width = stop, width * plan.growth
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    if wanted:
+        require(out, wanted)
+    return out
+
+
 def require(decks: DataFrame, wanted: int) -> DataFrame:
     """The accepted decks; fewer than wanted is an error."""
     found = decks.where("status = 'accepted'")

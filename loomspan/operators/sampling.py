@@ -139,19 +139,24 @@ def staple_picks(specs: DataFrame, candidates: DataFrame, p: float, ratios: dict
     return rows.withColumn("stopped", stopped).where("stopped = 0").select("deck_id", "card_id", F.least("want", "free").alias("copies"))
 
 
-def size_repair(entries: DataFrame, candidates: DataFrame, size: int, seed: int = 1) -> DataFrame:
-    """Decks cut or filled to a size: deck_id, card_id, copies, and repairs, 1 for a deck that was changed.
+def size_repair(entries: DataFrame, candidates: DataFrame, size: int | Column, seed: int = 1) -> DataFrame:
+    """Decks cut or filled to a size (a number, or a column of the entries that is the same in all of a deck's): deck_id,
+    card_id, copies, and repairs: one for every card filled in, and one where a deck was cut.
 
-    A deck's own cards are kept in id order; fillers are cards of its pool that it lacks, one copy each, in the pool's order.
+    A deck's own cards are kept in the order of their stage, if entries have one, and id; fillers are cards of its pool that it
+    lacks, one copy each, in the pool's order.
     """
-    w = Window.partitionBy("deck_id").orderBy("card_id").rowsBetween(Window.unboundedPreceding, -1)
-    kept = entries.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(size) - F.col("before"))))
-    totals = entries.groupBy("deck_id").agg(F.sum("copies").alias("total"), F.first("pool").alias("pool"), F.count_distinct("card_id").alias("own"))
-    short = totals.where(F.col("total") < size)
-    fillers = dealt(short, candidates, ["pool"], F.lit(size) - F.col("total") + F.col("own"), seed, "repair").join(entries.select("deck_id", "card_id"), ["deck_id", "card_id"], "left_anti")
-    ranked = fillers.withColumn("place", F.row_number().over(Window.partitionBy("deck_id").orderBy("nth"))).where(F.col("place") <= F.lit(size) - F.col("total"))
-    out = kept.where("kept > 0").select("deck_id", "card_id", F.col("kept").alias("copies")).unionByName(ranked.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies")))
-    return out.join(totals.select("deck_id", (F.col("total") != size).cast("int").alias("repairs")), "deck_id")
+    entries = entries.withColumn("_size", (F.lit(size) if isinstance(size, int) else size).cast("bigint"))
+    w = Window.partitionBy("deck_id").orderBy(*(c for c in ("stage", "card_id") if c in entries.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    kept = entries.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("_size") - F.col("before"))))
+    totals = entries.groupBy("deck_id").agg(F.sum("copies").alias("total"), F.first("pool").alias("pool"), F.count_distinct("card_id").alias("own"), F.first("_size").alias("_size"))
+    lacks = F.col("_size") - F.col("total")
+    fillers = dealt(totals.where(lacks > 0), candidates, ["pool"], lacks + F.col("own"), seed, "repair").join(entries.select("deck_id", "card_id"), ["deck_id", "card_id"], "left_anti")
+    ranked = fillers.withColumn("place", F.row_number().over(Window.partitionBy("deck_id").orderBy("nth"))).where(F.col("place") <= lacks)
+    out = kept.where("kept > 0").select("deck_id", "card_id", F.col("kept").alias("copies"), F.lit(0).alias("filled")).unionByName(ranked.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies"), F.lit(1).alias("filled")))
+    done = totals.select("deck_id", (F.col("total") > F.col("_size")).cast("int").alias("cut"))
+    repairs = F.sum("filled").over(Window.partitionBy("deck_id")) + F.col("cut")
+    return out.join(done, "deck_id").select("deck_id", "card_id", "copies", repairs.cast("int").alias("repairs"))
 
 
 def accept_first(attempts: DataFrame) -> DataFrame:

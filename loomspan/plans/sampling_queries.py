@@ -86,12 +86,14 @@ def support_injection(spark: S, d: str) -> DataFrame:
 
 
 PLAN = G.Plan(RATIOS)
+#: Attempts of the queries that show drafts, and accepted decks without which generation is an error.
+DRAFTS_SHOWN, WANTED = 3, 5
 
 
 def _drafted(spark: S, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drafts' specs, extra picks and main cards: three attempts for each nation."""
     tags, pairs = _material(spark, d)
-    specs = G.drafts(_specs(spark, d), PLAN.attempts)
+    specs = G.drafts(_specs(spark, d), DRAFTS_SHOWN)
     return specs, *G.draft_decks(specs, _candidates(spark, d), tags, pairs, _allowed(specs, "slot"), _staples(spark, d), PLAN)
 
 
@@ -100,22 +102,22 @@ def draft_decks(spark: S, d: str) -> DataFrame:
     return _drafted(spark, d)[2]
 
 
-def _generated(spark: S, d: str) -> DataFrame:
-    specs, picks, main = _drafted(spark, d)
-    own = specs.select("deck_id", "pool")
-    entries = main.groupBy("deck_id", "card_id").agg(F.sum("copies").alias("copies")).withColumn("zone", F.lit("main")).unionByName(picks.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies"), F.lit("extra").alias("zone")))
-    entries = entries.join(own, "deck_id").select("deck_id", "pool", "zone", "card_id", "copies")
+def _generated(spark: S, d: str, plan: G.Plan = PLAN) -> DataFrame:
     enabler = has_type(F.col("type"), "spell") & (F.col("id") % 9 == 0)
     cards = view(spark, d, "cards").withColumn("name", F.when(enabler, F.initcap(F.lit(V.FUSION_ENABLERS[0]))).otherwise(F.col("name")))
-    tags, pairs = _material(spark, d)
-    limits = _candidates(spark, d).where("max_copies < 3").select("card_id", "max_copies")
+    (tags, pairs), candidates, staples = _material(spark, d), _candidates(spark, d), _staples(spark, d)
+    limits = candidates.where("max_copies < 3").select("card_id", "max_copies")
+
+    def draft(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return G.draft_decks(specs, candidates, tags, pairs, _allowed(specs, "slot"), staples, plan)
 
     def validated(of: DataFrame) -> DataFrame:
-        known = SC.deck_entries(of.drop("pool"), cards)
+        known = SC.deck_entries(of.drop("pool", "main_size", "stage"), cards)
         ok = V.deck_support(known, tags, pairs.select("tag", "card_id")).groupBy("deck_id").agg(F.bool_and(F.col("found") >= F.col("needed")).alias("material_ok"))
-        return V.validate_decks(known, limits, ok, V.DeckRules(main_size=40, extra_max=15, ratios=RATIOS, tolerance=4))
+        rule = F.struct("main_size", F.lit(0).alias("extra_min"), F.lit(plan.extra_size).alias("extra_max"), F.lit(None).cast("string").alias("release_cutoff"), *(F.lit(x).alias(b) for b, x in plan.ratios.items()), F.lit(4).alias("tolerance"))
+        return V.validate_decks(known, limits, ok, of.select("deck_id", rule.alias("rule")).distinct())
 
-    return G.accepted(entries, 40, 15, _candidates(spark, d), validated, PLAN.attempts)
+    return G.generated(_specs(spark, d), draft, candidates, validated, plan, WANTED)
 
 
 def generate_decks(spark: S, d: str) -> DataFrame:
@@ -325,7 +327,7 @@ ORACLE_SQL = {
       select deck_id, card_id, least(want, free) copies from s where stopped = 0""", "cards"),
     "size_repair": with_views(f"""with k as (select *, greatest(0, least(copies, 8 - coalesce(sum(copies) over (partition by deck_id order by card_id {PREV}), 0))) kept from entries), t as (select deck_id, deck_id % 100 pool, sum(copies) total from entries group by 1, 2),
       f as (select deck_id, card_id, total from (select *, {_nth('repair', 'pool')} nth from t join {_order('(select id card_id, id % 100 pool from cards)', 'pool', 'repair')} using (pool) where total < 8) x where not exists (select 1 from entries e where e.deck_id = x.deck_id and e.card_id = x.card_id) qualify row_number() over (partition by deck_id order by nth) <= 8 - total)
-      select u.deck_id, card_id, copies, cast(total <> 8 as integer) repairs from (select deck_id, card_id, cast(kept as bigint) copies from k where kept > 0 union all select deck_id, card_id, 1 from f) u join t using (deck_id)""", "cards", "entries"),
+      select u.deck_id, card_id, copies, cast(coalesce(n, 0) + (total > 8)::int as integer) repairs from (select deck_id, card_id, cast(kept as bigint) copies from k where kept > 0 union all select deck_id, card_id, 1 from f) u join t using (deck_id) left join (select deck_id, count(*) n from f group by 1) using (deck_id)""", "cards", "entries"),
     "ratio_jitter": """with d as (select c_custkey deck_id, i, 0.5::double + 0.05::double * (2 * (('0x' || substr(md5('1|monster|' || c_custkey || '|' || i), 1, 8))::ubigint / 4294967296.0) - 1) m, 0.3::double + 0.05::double * (2 * (('0x' || substr(md5('1|spell|' || c_custkey || '|' || i), 1, 8))::ubigint / 4294967296.0) - 1) s from customer, range(200) t(i)),
       f as (select * from d where abs(1 - m - s - 0.2) <= 0.05 qualify row_number() over (partition by deck_id order by i) = 1)
       select c_custkey deck_id, round(coalesce(m, 0.5), 6) monster, round(coalesce(s, 0.3), 6) spell, round(1 - coalesce(m, 0.5) - coalesce(s, 0.3), 6) trap from customer left join f on deck_id = c_custkey""",

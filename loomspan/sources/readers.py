@@ -44,8 +44,9 @@ def formats(texts: DataFrame, column: str = "json") -> DataFrame:
     stands in for a missing cutoff. generation holds the settings for drafting by name. A format that is no object, sizes or
     bounds out of order, shares outside 0..1 or of another sum than 1, and a negative tolerance are errors.
     """
-    named = F.from_json(column, f"struct<formats: map<string, {FORMAT}>>")["formats"]
-    parsed = texts.select(F.explode(F.coalesce(named, F.from_json(column, f"map<string, {FORMAT}>"))).alias("format", "f"))
+    named = F.from_json(column, "struct<formats: map<string, string>>")["formats"]
+    raw = texts.select(F.explode(F.coalesce(named, F.from_json(column, "map<string, string>"))).alias("format", "settings"))
+    parsed = raw.select("format", F.when(F.startswith("settings", F.lit("{")), F.from_json("settings", FORMAT)).alias("f"))
     f = F.col("f")
     whole = lambda *names: F.coalesce(*(safe_int(f[n]) for n in names)).cast("int")
     out = parsed.withColumns({"main_size": F.coalesce(whole("main_deck_size", "deck_size"), F.lit(DEFAULT_MAIN)), "extra_size": F.coalesce(whole("extra_deck_size"), F.lit(DEFAULT_EXTRA))})

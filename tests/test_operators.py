@@ -122,13 +122,14 @@ def test_generated_decks_keep_their_promises(spark):
     limits = {r.card_id: (r.max_copies, r.in_extra, r.pool) for r in Q._candidates(spark, at).collect()}
     assert sorted(r.slot for r in rows) == list(range(25)) and {r.status for r in rows} == {"accepted", "rejected"}
     for r in rows:
-        assert (r.status == "accepted") == (not r.failed) and 0 <= r.attempt < 3
+        assert (r.status == "accepted") == (not r.failed) and 0 <= r.attempt < 50
         if r.status == "accepted":
-            assert sum(c.copies for c in r.main) == 40 and len(r.extra) <= 15 and r.resamples == r.attempt
+            assert sum(c.copies for c in r.main) == 40 + r.slot % 3 and len(r.extra) <= 15 and r.resamples == r.attempt
             assert all(c.copies <= limits[c.card_id][0] and not limits[c.card_id][1] and limits[c.card_id][2] == r.slot % 5 for c in r.main)
             assert all(c.copies == 1 and limits[c.card_id][1] for c in r.extra)
-    again = Q._generated(spark, at)
-    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+        else:
+            assert (r.attempt, r.resamples) == (49, 50)
+    again = spark.createDataFrame(rows)
     n = sum(r.status == "accepted" for r in rows)
     assert generation.require(again, n).count() == n
     with pytest.raises(RuntimeError, match=f"{n} of {n + 1} decks"):
@@ -177,3 +178,60 @@ def test_gram_index_finds_what_all_pairs_find(spark):
     plan = M.tag_matches(tags, cards)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert M.tag_matches(tags.limit(0), cards).count() == M.tag_matches(tags, cards.limit(0)).count() == 0
+
+
+def _toy(spark):
+    """Slots whose drafts are valid from an attempt of their own on; the specs seen in each round."""
+    from loomspan.operators import generation as G
+
+    specs = spark.createDataFrame([(i, i % 2, 2) for i in range(6)], "deck_id long, pool long, main_size int")
+    candidates = spark.createDataFrame([(p, 10 * p + i, "monster", 3, False) for p in (0, 1) for i in range(4)], "pool long, card_id long, bucket string, max_copies int, in_extra boolean")
+    from_attempt, seen = {0: 0, 1: 1, 2: 2, 3: 7, 4: 9, 5: 99}, []
+
+    def draft(rows):
+        seen.append(sorted((r.slot, r.attempt) for r in rows.collect()))
+        main = rows.select("deck_id", (F.col("pool") * 10).alias("card_id"), F.lit(2).cast("long").alias("copies"), F.lit(3).cast("long").alias("stage"))
+        return rows.select("deck_id", F.lit(1).alias("card_id")).limit(0), main
+
+    def validated(entries):
+        valid = F.lit(False)
+        for slot, least in from_attempt.items():
+            valid = valid | ((F.expr("deck_id div 10") == slot) & (F.col("deck_id") % 10 >= least))
+        return entries.select("deck_id").distinct().select("deck_id", F.when(valid, F.array().cast("array<string>")).otherwise(F.array(F.lit("type_ratio_ok"))).alias("failed"), valid.alias("ok"))
+
+    return G, specs, candidates, draft, validated, seen
+
+
+def test_rounds_draft_open_slots_only(spark):
+    G, specs, candidates, draft, validated, seen = _toy(spark)
+    plan = G.Plan(attempts=10, first_round=2, growth=2)
+    got = {r.slot: (r.status, r.attempt, r.resamples) for r in G.generated(specs, draft, candidates, validated, plan, wanted=5).collect()}
+    assert got == {0: ("accepted", 0, 0), 1: ("accepted", 1, 1), 2: ("accepted", 2, 2), 3: ("accepted", 7, 7), 4: ("accepted", 9, 9), 5: ("rejected", 9, 10)}
+    assert seen == [[(s, a) for s in range(6) for a in (0, 1)], [(s, a) for s in (2, 3, 4, 5) for a in (2, 3, 4, 5)], [(s, a) for s in (3, 4, 5) for a in (6, 7, 8, 9)]]
+    with pytest.raises(RuntimeError, match="5 of 6 decks"):
+        G.generated(specs, draft, candidates, validated, plan, wanted=6)
+
+
+def test_an_empty_pool_is_an_error(spark):
+    G, specs, candidates, draft, validated, seen = _toy(spark)
+    with pytest.raises(RuntimeError, match=r"pools \[1\]"):
+        G.generated(specs, draft, candidates.where("pool = 0"), validated, G.Plan())
+    assert not seen
+
+
+def test_repairs_keep_what_was_placed_first(spark):
+    """Cuts go by stage, and every filled card counts."""
+    entries = spark.createDataFrame([(1, 0, 9, 3, 0, 4), (1, 0, 2, 3, 5, 4), (2, 0, 1, 1, 3, 4), (3, 0, 1, 2, 3, 2)], "deck_id long, pool long, card_id long, copies long, stage long, goal int")
+    pool = spark.createDataFrame([(0, i) for i in (1, 2, 3, 4, 5)], "pool long, card_id long")
+    got = sampling.size_repair(entries, pool, F.col("goal")).collect()
+    assert {(r.card_id, r.copies, r.repairs) for r in got if r.deck_id == 1} == {(9, 3, 1), (2, 1, 1)}
+    assert {r.repairs for r in got if r.deck_id == 2} == {3} and sum(r.copies for r in got if r.deck_id == 2) == 4
+    assert {(r.card_id, r.copies, r.repairs) for r in got if r.deck_id == 3} == {(1, 2, 0)}
+
+
+@pytest.mark.parametrize("settings,error", [
+    ('"none"', "no object"), ('{"min_main": 41}', "main sizes"), ('{"main_deck_size": 60, "max_main": 50}', "main sizes"), ('{"extra_deck_size": 3, "max_extra": 2}', "extra sizes"), ('{"min_extra": -1}', "extra sizes"),
+    ('{"card_type_ratios": {"monster": 0.9}}', "shares"), ('{"card_type_ratios": {"monster": 1.5, "spell": -0.7}}', "shares"), ('{"card_type_ratios": {"tolerance_count": -1}}', "tolerance")])
+def test_wrong_formats_are_errors(spark, settings, error):
+    with pytest.raises(PySparkException, match=error):
+        readers.formats(spark.createDataFrame([(f'{{"A": {settings}}}',)], "json string")).select("format").collect()
