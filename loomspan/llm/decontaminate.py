@@ -1,13 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A first pass over the corpus counts the word triples of the test items, and their word pairs where no triple covers them.
-Seeds are all triples that the corpus has and the rarest pairs: those which together occur so, outside triples, at most
+A first pass over the corpus counts the words of the test items, their triples, and their word pairs where no triple covers
+them. Seeds are all triples that the corpus has and the rarest pairs: those which together occur so, outside triples, at most
 PAIR_HITS times for each document. A second pass looks the seeds up
 in the documents (a hash join whose small side, a block of test items, is held by every task) and takes the passage around
 each, wide enough for any alignment that could count. A passage that lacks the words for the least score is left out; the
 others are aligned with the item (match 2, mismatch and gap -1). A document holds an item if an alignment has at least half
 of the item's own score.
 
+A seed that many items share, like a phrase of questions, is taken for an item only where enough of its rare words stand within
+the passage too: an alignment that counts matches at least half of the item's words, so a quarter of all among any three
+quarters of them, and these are the ones rarest in the corpus. Passages are laid out after that, so a shared phrase costs no
+pair of its own.
+
 So nothing is lost but alignments without a seed: those in which no three item words stand together and all pairs that do
 are frequent in the corpus. An alignment of an m-word item with score s has at least s - m - 1 intact pairs; one without
 any scores at most m + 1 and takes a strange word after every single one.
@@ -38,6 +43,8 @@ PAIR_HITS = 4
 BLOCK_CHARS = 8_000_000
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[i for i in range(128) if not chr(i).isalnum()]] = True
+#: A seed of more items than this is joined with its items' rare words first, so many pairs at a time.
+CROWD, PAIRS = 16, 1 << 21
 FILTER_BITS, SLICE = 22, 1_000_000
 HITS = "array<struct<item_id: long, score: double, first_word: int, end_word: int>>"
 
@@ -97,7 +104,7 @@ class Items:
         self.size = np.diff(self.first)
         self.grams, self.at = _both(self.words, self.first)
         self.triples = len(_grams(self.words, self.first, GRAM)[0])
-        self.distinct = np.unique(self.grams)
+        self.distinct, self.distinct_words = np.unique(self.grams), np.unique(self.words)
         item = np.repeat(np.arange(len(ids)), self.size)
         self.members = np.unique(self.member(item, self.words))
 
@@ -106,8 +113,8 @@ class Items:
         """A hash of (item, word)."""
         return mix(words ^ mix(item.astype(np.uint64) + np.uint64(1)))
 
-    def choose(self, counts: np.ndarray, documents: int) -> None:
-        """Seeds, given how often the corpus has each distinct gram."""
+    def choose(self, counts: np.ndarray, documents: int, word_counts: np.ndarray, least: float) -> None:
+        """Seeds and rare words, given how often the corpus has each distinct gram and word."""
         item = np.searchsorted(self.first, self.at, "right") - 1
         times = counts[np.searchsorted(self.distinct, self.grams)]
         pairs = np.arange(len(self.grams)) >= self.triples
@@ -120,6 +127,21 @@ class Items:
         self.seed_keys, self.seed_first = np.unique(self.grams[order], return_index=True)
         self.seed_item, self.seed_word = item[order], self.at[order] - self.first[item[order]]
         self.seed_first = np.append(self.seed_first, len(order))
+        self.slack = np.maximum(4, np.ceil(self.size * (2 - 2 * least)).astype(np.int64))
+        self.codes = np.repeat(np.arange(len(self.seed_keys)), np.diff(self.seed_first)) * max(1, len(self.ids)) + self.seed_item  # ascending
+        crowded = np.unique(self.seed_item[np.repeat(np.diff(self.seed_first) > CROWD, np.diff(self.seed_first))])
+        self.reach = int((self.size + self.slack)[crowded].max(initial=0))
+        owner = np.repeat(np.arange(len(self.ids)), self.size)
+        times = word_counts[np.searchsorted(self.distinct_words, self.words)]
+        order = np.lexsort((times, owner))
+        missing = self.size - np.ceil(least * self.size - 1e-9).astype(np.int64)  # words that need not match
+        taken = np.minimum(self.size, missing + np.maximum(1, self.size // 4))
+        self.needed = taken - missing
+        rare = order[spread(self.size) < np.repeat(taken, self.size)]
+        rare = rare[np.isin(owner[rare], crowded)]
+        both = np.unique(np.stack([self.words[rare], owner[rare].astype(np.uint64)], 1), axis=0) if len(rare) else np.zeros((0, 2), np.uint64)
+        self.rare_keys, self.rare_first = np.unique(both[:, 0], return_index=True)
+        self.rare_first, self.rare_item = np.append(self.rare_first, len(both)), both[:, 1].astype(np.int64)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,22 +166,62 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
+def _seeds(items: Items, words: np.ndarray, first: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, ...]:
+    """(document, item, word, item's word) of the seeds; those that many items share only where as many rare words of the item
+    are near as an alignment that counts must match."""
+    grams, at = _both(words, first)
+    hit, key = lookup.find(grams)
+    each = items.seed_first[key + 1] - items.seed_first[key]
+    few = each <= CROWD
+    seed = np.repeat(items.seed_first[key[few]], each[few]) + spread(each[few])
+    word = np.repeat(at[hit[few]], each[few])
+    parts = [(seed, word)]
+    place, key = at[hit[~few]], key[~few]
+    if len(place):
+        near, rare = Lookup(items.rare_keys).find(words)
+        many = items.rare_first[rare + 1] - items.rare_first[rare]
+        rare_word = np.repeat(near, many)
+        rare_item = items.rare_item[np.repeat(items.rare_first[rare], many) + spread(many)]
+        doc = np.searchsorted(first, place, "right") - 1
+        begin = np.searchsorted(rare_word, np.maximum(place - items.reach, first[doc]))
+        end = np.searchsorted(rare_word, np.minimum(place + items.reach, first[doc + 1]))
+        sums = np.append(0, np.cumsum(end - begin))
+        i = 0
+        while i < len(place):
+            j = max(i + 1, min(i + PAIRS // len(items.ids), int(np.searchsorted(sums, sums[i] + PAIRS, "right")) - 1))
+            n = end[i:j] - begin[i:j]
+            other, here = np.repeat(begin[i:j], n) + spread(n), np.repeat(np.arange(i, j), n)
+            pair = (here - i) * len(items.ids) + rare_item[other]
+            enough = np.bincount(pair, minlength=1)[pair] >= items.needed[rare_item[other]]
+            other, here = other[enough], here[enough]
+            code = key[here] * len(items.ids) + rare_item[other]
+            own = np.searchsorted(items.codes, code)
+            has = items.codes[np.minimum(own, len(items.codes) - 1)] == code
+            own, other, spot = own[has], other[has], place[here[has]]
+            copies = np.searchsorted(items.codes, code[has], "right") - own  # an item may have a seed several times
+            own, other, spot = np.repeat(own, copies) + spread(copies), np.repeat(other, copies), np.repeat(spot, copies)
+            ends = spot - items.seed_word[own]
+            size, slack = items.size[items.seed_item[own]], items.slack[items.seed_item[own]]
+            inside = (rare_word[other] >= ends - slack) & (rare_word[other] < ends + size + slack)
+            found, times = np.unique(own[inside] * (len(words) + 1) + spot[inside], return_counts=True)
+            own, spot = np.divmod(found, len(words) + 1)
+            keep = times >= items.needed[items.seed_item[own]]
+            parts.append((own[keep], spot[keep]))
+            i = j
+    seed, word = (np.concatenate(x) for x in zip(*parts))
+    return np.searchsorted(first, word, "right") - 1, items.seed_item[seed], word, items.seed_word[seed]
+
+
 def _passages(items: Items, words: np.ndarray, first: np.ndarray, lookup: Lookup, least: float) -> tuple[np.ndarray, ...]:
     """(document, item, from, to): the word ranges around seeds, those of one item in one document merged, and long ones in
     overlapping pieces, so that an alignment's memory is bounded by its item.
 
     An alignment that counts has at most (2 - 2 least) item lengths of inserted words, so it lies within its seed's range,
     and within a piece."""
-    grams, at = _both(words, first)
-    hit, key = lookup.find(grams)
-    each = items.seed_first[key + 1] - items.seed_first[key]
-    seed = np.repeat(items.seed_first[key], each) + spread(each)
-    word = np.repeat(at[hit], each)
-    doc, item = np.searchsorted(first, word, "right") - 1, items.seed_item[seed]
-    size = items.size[item]
-    slack = np.maximum(4, np.ceil(size * (2 - 2 * least)).astype(np.int64))
-    lo = np.maximum(word - items.seed_word[seed] - slack, first[doc])
-    hi = np.minimum(word - items.seed_word[seed] + size + slack, first[doc + 1])
+    doc, item, word, offset = _seeds(items, words, first, lookup)
+    size, slack = items.size[item], items.slack[item]
+    lo = np.maximum(word - offset - slack, first[doc])
+    hi = np.minimum(word - offset + size + slack, first[doc + 1])
     order = np.lexsort((lo, item, doc))
     doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]  # of one item in one document, hi ascends with lo
     new = np.ones(len(doc), bool)
@@ -229,30 +291,33 @@ def _uncovered(lookup: Lookup, words: np.ndarray, first: np.ndarray) -> np.ndarr
     return place[~pair | ~covered[at[hit]]]
 
 
-def _count(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """How often the corpus has each distinct gram of the items, and its number of documents."""
-    keys = docs.sparkSession.sparkContext.broadcast(items.distinct)
+def _count(docs: DataFrame, items: Items) -> tuple[np.ndarray, int, np.ndarray]:
+    """How often the corpus has each distinct gram of the items, its number of documents, and how often it has each word."""
+    keys = docs.sparkSession.sparkContext.broadcast((items.distinct, items.distinct_words))
+    grams, total = len(items.distinct), len(items.distinct) + len(items.distinct_words) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, counts = Lookup(keys.value), np.zeros(len(keys.value) + 1, np.int64)
+        lookup, single, counts = Lookup(keys.value[0]), Lookup(keys.value[1]), np.zeros(total, np.int64)
         for batch in batches:
             counts[-1] += batch.num_rows
             for _, batch_texts in slices(batch, most=SLICE):
-                counts[:-1] += np.bincount(_uncovered(lookup, *_words(batch_texts)), minlength=len(counts) - 1)
+                words, first = _words(batch_texts)
+                counts[:grams] += np.bincount(_uncovered(lookup, words, first), minlength=grams)
+                counts[grams:-1] += np.bincount(single.find(words)[1], minlength=total - 1 - grams)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["gram", "n"])
 
-    counts = np.zeros(len(items.distinct) + 1, np.int64)
-    found = texts(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row for each gram of the block
+    counts = np.zeros(total, np.int64)
+    found = texts(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row for each gram and word of the block
     counts[found["gram"].to_numpy()] = found["n"].to_numpy()
-    return counts[:-1], int(counts[-1])
+    return counts[:grams], int(counts[-1]), counts[grams:-1]
 
 
 def finders(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> Iterator[Column]:
     """For each block of test items, a column over docs.text: the items that a text holds."""
     small_batches(docs.sparkSession)
     for items in _blocks(benchmark):
-        items.choose(*_count(docs, items))
+        items.choose(*_count(docs, items), least)
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         @F.arrow_udf(HITS)

@@ -209,3 +209,47 @@ def test_recall_against_alignment_of_all_pairs(spark, odd):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd([(i, " ".join(d)) for i, d in rows]), bench).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 400
+
+
+def _found(items, texts_):
+    """matches() of a block over texts whose counts are those of these texts."""
+    import pyarrow as pa
+
+    from loomspan.llm.text import flat
+
+    batch = flat(pa.array(texts_))
+    words, first = decontaminate._words(batch)
+    pick = lambda keys, at: np.bincount(at, minlength=len(keys))
+    items.choose(pick(items.distinct, decontaminate._uncovered(decontaminate.Lookup(items.distinct), words, first)), len(texts_), pick(items.distinct_words, decontaminate.Lookup(items.distinct_words).find(words)[1]), 0.5)
+    lookup = decontaminate.Lookup(items.seed_keys)
+    return decontaminate.matches(items, lookup, batch, 0.5), len(decontaminate._seeds(items, words, first, lookup)[0])
+
+
+def test_a_phrase_of_many_items_costs_no_pair_of_its_own(monkeypatch):
+    """Thousands of items begin alike and every text has their beginning: the same finds, from few seeds."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = ["which of the following " + " ".join(draw.choices(words, k=draw.randint(3, 40))) for _ in range(3000)] + ["which of the following"]
+    texts_ = []
+    for d in range(60):
+        w = draw.choices(words, k=300)
+        w[100:104] = "which of the following".split()
+        if d % 3 == 0:
+            own = items[draw.randrange(3000)].split()
+            w[100 : 100 + len(own)] = [x if draw.random() > 0.15 else "other" for x in own]
+        texts_.append(" ".join(w))
+    ids = list(range(len(items)))
+    few, seeds = _found(decontaminate.Items(ids, items), texts_)
+    monkeypatch.setattr(decontaminate, "CROWD", 10**9)
+    every, all_seeds = _found(decontaminate.Items(ids, items), texts_)
+    assert few == every and sum(map(len, every)) >= 60 + 18
+    assert all_seeds > 60 * 3000 * 2 and seeds < all_seeds / 8  # items of which the phrase is half are found in every text
+
+
+def test_crowded_seeds_in_spark(spark, odd, monkeypatch):
+    items = passages(5, 12, 20)
+    bench = spark.createDataFrame([(i, " ".join(["tell", "me", "now", "the"] + w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = odd([(i, " ".join(passages(40 + i, 1, 30)[0] + ["tell", "me", "now", "the"] + (w if i % 2 else []) + passages(70 + i, 1, 9)[0])) for i, w in enumerate(items)])
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "CROWD", 2)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and {r[0] for r in whole} == {1, 3, 5, 7, 9, 11}
