@@ -74,15 +74,15 @@ his was {phone:(212) 555-0166}, hers not
 there were 120 2000 and 340 of each
 in 1914 1918 and 1939 there was war
 sold 300 units in 2010 and 4500 in 2011
-erat$$$ therble*** the&&& {card:9000426309966109}$$$ rean%%% in%%% on***
-auf&&& stkeit.%%% {email:den.27@mail6.example.com}### die&&& lich*** ie,&&&
-EDH!! ON!! {ip:169.122.221.182}!! THE!! {card:5927243074273351}!! OF!!
-of | {phone:+1 (136) 555-7479} | thing | {card:2390409500648960} | and
+winter$$$ garden*** blue&&& {card:9111222333444559}$$$ lamp%%% under*** table***
+roof&&& ladder.%%% {email:pat.31@post7.example.com}### fern&&& cloud*** stone,&&&
+NORTH!! BY!! {ip:198.51.100.77}!! WEST!! {card:5600112233445564}!! OR!!
+of | {phone:+1 (650) 555-0142} | thing | {card:2300556677889903} | and
 reach {email:kim@localhost} on the inner network
 call {phone:+1 (212) 555-0147} after six
 phone {phone:+44 20 7946 0958} or come by
 tel. {phone:030 1234567} in the morning
-tel {phone:(377) 555-0271} and ask for him
+tel {phone:(303) 555-0165} and ask for him
 ring {phone:555-0199} at night
 {phone:212-555-0133} is her number
 {phone:212.555.0133} is his number
@@ -94,23 +94,23 @@ he dialled {phone:1-800-555-0175} again
 paid with {card:4111 1111 1111 1111} on Monday
 card {card:5500-0000-0000-0004} was refused
 the number {card:378282246310005} is valid
-and then {card:2390409500648960} was written there
+and then {card:2300556677889903} was written there
 of the {card:6011 0009 9013 9424} only
-word {card:9807915762804490} word
-{card:7536784127813050} {card:4845168114407329} both of them
+word {card:9700110022003306} word
+{card:7400500600700801} {card:4800900800700606} both of them
 card no. {card:30569309025904} expired
 from {ip:192.168.10.25} at night
 host {ip:10.0.0.1} did not answer
 the server {ip:172.16.254.1}, port 8080
-in der {ip:129.38.82.176} und
+in der {ip:192.0.2.146} und
 {ip:203.0.113.77} {ip:198.51.100.4} both failed
 from {ip:192.168.300.25} at night
 address {ip:10.0.0.1}:8080 was open
 address {ip:fe80::1ff:fe23:4567:890a} was open
 card {card:6011000990139424}, host {ip:300.1.2.3} and phone {phone:555 0133}
-phone {phone:(415) 555-0126}, card {card:2390409500648960}, ip {ip:10.0.0.1}
+phone {phone:(415) 555-0126}, card {card:2300556677889903}, ip {ip:10.0.0.1}
 ip {ip:192.0.2.17}, card {card:5105105105105100} or {card:4012 8888 8888 1881}, mail {email:k.m@example.net}
-{card:9807915762804490}, {ip:97.51.17.173}, {phone:+1 (017) 555-7713}
+{card:9700110022003306}, {ip:203.0.113.9}, {phone:+1 (808) 555-0118}
 in 1998 there were 12 of them
 licensed under CC BY-NC 4.0.
 the GNU General Public License, version 3.

@@ -311,3 +311,16 @@ def test_nothing(spark, odd, op):
 def test_secrets_stay_native(spark):
     plan = secrets.op10_secrets(spark, AT)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_no_labelled_value_stands_in_a_given_table():
+    """The table is invented: none of its values is copied from the texts that are scored."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    values = {v for line in pii.LABELLED for v in re.findall(r"\{\w+:([^{}]*)\}", line)}
+    assert len(values) > 50
+    for at in ("sf0.001", "sf0.01", "sf0.1"):
+        text = "\n".join(x or "" for x in pq.read_table(f"/root/testdata/{at}/documents.parquet", columns=["text"])["text"].to_pylist())
+        assert not [v for v in values if v in text]
