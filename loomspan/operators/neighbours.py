@@ -121,7 +121,8 @@ def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> Dat
 
 def approximate_pairs(vectors: DataFrame, eps: float, key: str = "card_id", tables: int = 8, bucket: float | None = None, seed: int = 1) -> DataFrame:
     """As neighbour_pairs, but for vectors that share a bucket (as wide as eps, if not given) of one of `tables` random
-    projections only: the cost falls with the buckets, and some pairs are missed."""
+    projections only, and some pairs are missed: recall() tells how many. Buckets must be narrow against the vectors' spread, as
+    all pairs of a bucket are compared; where they are not, neighbour_pairs is the cheaper one."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

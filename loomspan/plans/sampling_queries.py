@@ -153,12 +153,6 @@ def neighbour_pairs(spark: S, d: str) -> DataFrame:
     return rounded(N.neighbour_pairs(_vectors(spark, d), 1.05))
 
 
-def neighbour_recall(spark: S, d: str) -> DataFrame:
-    """What random projections find of these pairs."""
-    v = _vectors(spark, d)
-    return N.recall(N.neighbour_pairs(v, 1.05), N.approximate_pairs(v, 1.05))
-
-
 def sweep_trials(spark: S, d: str) -> DataFrame:
     """One row for each trial of a grid: cluster metrics, structural, semantic and final score and guardrails, over pairs
     found once."""
@@ -206,7 +200,7 @@ def cluster_points(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quota_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, neighbour_pairs, neighbour_recall, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
+    quota_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, neighbour_pairs, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
 
 H = "(('0x' || substr(md5({0}), 1, 8))::ubigint / 4294967296.0)"
 
