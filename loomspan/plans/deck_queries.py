@@ -10,8 +10,10 @@ from ..operators import features as X
 from ..operators import materials as M
 from ..operators import scoring as SC
 from ..operators import validation as V
-from ..shared import saved
+from ..shared import new_path, saved
+from ..sources import deck_files as DF
 from ..sources import readers
+from ..streaming import incremental
 from .adapters import rounded, view, with_views
 
 S = SparkSession
@@ -56,10 +58,15 @@ def deck_consistency(spark: S, d: str) -> DataFrame:
     return rounded(_consistency(spark, d))
 
 
-def _scores(spark: S, d: str) -> DataFrame:
+def _scores(spark: S, d: str, decks: DataFrame | None = None) -> DataFrame:
+    """Scores of all decks, or of those given."""
     entries = _main(spark, d)
+    if decks is None:
+        decks = view(spark, d, "decks").drop("status")
+    else:
+        entries = entries.join(decks.select("deck_id"), "deck_id", "left_semi")
     facts = entries.groupBy("deck_id").agg((F.count(F.lit(1)) / F.sum("copies")).alias("unique_ratio")).withColumns({"staples": F.col("deck_id") % 6, "novelty": F.col("deck_id") % 4})
-    balance = SC.deck_balance(view(spark, d, "decks").drop("status"), entries.where("is_known"))
+    balance = SC.deck_balance(decks, entries.where("is_known"))
     return SC.deck_scores(balance, SC.deck_synergy(entries, view(spark, d, "assign").select("card_id", "embedding")), _consistency(spark, d), facts)
 
 
@@ -83,6 +90,18 @@ def deck_scores(spark: S, d: str) -> DataFrame:
     return rounded(_scores(spark, d), 5)
 
 
+def scored_stream(spark: S, d: str) -> DataFrame:
+    """Decks arrive in two files, the second with some of the first's again; each call scores those that are new."""
+    at, target, mark = (new_path(spark, x) for x in ("arrivals", "scored", "progress"))
+    decks = view(spark, d, "decks").drop("status")
+    for k in range(2):
+        decks.where(F.col("deck_id") % 2 <= k).write.mode("append").parquet(at)
+        incremental.append_new(spark, at, "deck_id long, format string", target, mark, lambda new: _scores(spark, d, saved(new, "new_decks")), keys=["deck_id"])
+    rows = spark.read.parquet(target).drop("batch")
+    incremental.require_all(decks, rows, ["deck_id"])
+    return rounded(rows, 5)
+
+
 def score_summary(spark: S, d: str) -> DataFrame:
     return rounded(SC.score_summary(_scores(spark, d)), 4)
 
@@ -109,6 +128,13 @@ def deck_text(spark: S, d: str) -> DataFrame:
     return parts.select("deck_id", F.concat(block("#main", "main"), F.lit("\n"), block("#extra", "extra"), F.lit("\n!side\n")).alias("text"))
 
 
+def deck_files(spark: S, d: str) -> DataFrame:
+    """Entries of all decks, written to a file each and read back."""
+    at = new_path(spark, "deck_files")
+    DF.write_decks(_entries(spark, d), view(spark, d, "decks"), at)
+    return DF.read_decks(spark, at)
+
+
 RULES = V.DeckRules(main_size=8, extra_min=0, extra_max=3, cutoff="2013-12-31", tolerance=2)
 #: Rules of three formats; decks of others, or of none, follow RULES.
 FORMATS = """{"formats": {"GOAT": {"deck_size": 8, "extra_deck_size": 3, "legality_source": "lists/2013-12-31.json"},
@@ -206,7 +232,7 @@ def primary_cluster(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    deck_entries, deck_balance, deck_synergy, role_ids, starter_rules, deck_consistency, deck_scores, score_records, score_summary, scores_by_format, top_deck, metrics_long, deck_text, copy_limits, material_clause, material_tags, named_materials,
+    deck_entries, deck_balance, deck_synergy, role_ids, starter_rules, deck_consistency, deck_scores, scored_stream, score_records, score_summary, scores_by_format, top_deck, metrics_long, deck_text, deck_files, copy_limits, material_clause, material_tags, named_materials,
     requirement_label, material_support, tag_capacity, validate_decks, failed_flags, failed_combos, pendulum_path, top_level, primary_cluster)}
 
 ENT = "ent as (select e.*, c.id is not null is_known, name, type, descr, race, archetype, level, attribute, scale, tcg_date, case when regexp_matches(lower(type), 'fusion|synchro|xyz|link') and card_id % 2 = 0 then 'extra' else 'main' end zone from entries e left join (select * from cards where id % 40 <> 1) c on id = card_id)"
@@ -282,11 +308,13 @@ ORACLE_SQL = {
     "starter_rules": with_views(f"select id, {LIKE} starter, t like '%special summon%' or (type like '%Spell%' and (t like '%draw%' or t like '%add%')) or (type like '%Monster%' and t like '%summon%') enabler from (select *, lower(descr) t from cards)", "cards"),
     "deck_consistency": with_views(f"with {ENT}, {CON} select deck_id, s starters, kinds starter_kinds, round(1 - miss, 6) hit_rate, round(miss, 6) brick_rate, round(100 * (1 - miss), 6) consistency_score, round(100 * (1 - miss), 6) brick_risk_score from con", "cards", "entries"),
     "deck_scores": with_views(f"{ALL} select deck_id, format, round(v1, 5) score_v1, round(v2, 5) score_v2, round(c, 5) consistency_score, round(s, 5) synergy_score, round(c, 5) brick_risk_score, round(b, 5) balance_score, round(u, 5) unique_ratio from sco", "cards", "entries", "decks", "assign"),
+    "scored_stream": with_views(f"{ALL} select deck_id, format, round(v1, 5) score_v1, round(v2, 5) score_v2, round(c, 5) consistency_score, round(s, 5) synergy_score, round(c, 5) brick_risk_score, round(b, 5) balance_score, round(u, 5) unique_ratio from sco", "cards", "entries", "decks", "assign"),
     "score_summary": with_views(f"{ALL} select count(*) n, round(avg(v1), 4) score_v1_mean, round(stddev_pop(v1), 4) score_v1_std, round(min(v1), 4) score_v1_min, round(max(v1), 4) score_v1_max, round(avg(v2), 4) score_v2_mean, round(stddev_pop(v2), 4) score_v2_std, round(min(v2), 4) score_v2_min, round(max(v2), 4) score_v2_max, round(avg(c), 4) consistency_mean, round(avg(s), 4) synergy_mean, round(avg(c), 4) brick_risk_mean, round(avg(b), 4) balance_mean from sco", "cards", "entries", "decks", "assign"),
     "scores_by_format": with_views(f"{ALL} select format, count(*) n, round(avg(v2), 4) mean, round(min(v2), 4) min, round(max(v2), 4) max from sco group by 1", "cards", "entries", "decks", "assign"),
     "top_deck": with_views(f"{ALL} select deck_id, format from sco order by round(v2, 5) desc, deck_id limit 1", "cards", "entries", "decks", "assign"),
     "score_records": with_views(f"{RECORDS} select * exclude ({', '.join(_DOUBLES)}), {', '.join(f'round({c}, 5) + 0.0 {c}' for c in _DOUBLES)}, round(heuristic_score_v2, 5) overall, 5 hand, 0.3::double weight from record", "cards", "entries", "decks", "assign"),
     "metrics_long": with_views(f"{RECORDS}, st as (select *, row_number() over (order by deck_id) - 1 step from record) select deck_id, unnest([{', '.join(repr(x) for x in SC.SERIES)}]) metric, round(unnest([{', '.join(f'{x}::double' for x in SC.SERIES)}]), 5) + 0.0 \"value\", step from st", "cards", "entries", "decks", "assign"),
+    "deck_files": with_views(f"with {ENT} select deck_id, format, zone, card_id, copies from ent join decks using (deck_id)", "cards", "entries", "decks"),
     "deck_text": with_views(f"with {ENT}, r as (select deck_id, zone, card_id, unnest(range(copies)) k from ent) select deck_id, '#main' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'main'), '') || chr(10) || '#extra' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'extra'), '') || chr(10) || '!side' || chr(10) \"text\" from r group by 1", "cards", "entries"),
     "copy_limits": with_views(f"with {LIM} select card_id, m max_copies from lim", "cards"),
     "material_clause": with_views(f"with {W} select id, case when id % 10 in (9) then null else lower(split_part(descr, ';', 1)) end clause from worded", "cards"),

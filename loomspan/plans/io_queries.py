@@ -9,6 +9,7 @@ from ..functions.columns import composite_weight, is_extra, price, slug, version
 from ..operators import clusters as C
 from ..shared import new_path
 from ..sources import readers, writers
+from ..sources.warehouse import LoadError, Rule, Warehouse
 from ..streaming import incremental
 from .adapters import rounded, table, view, with_views
 
@@ -79,6 +80,43 @@ def incremental_load(spark: S, d: str) -> DataFrame:
     return spark.read.schema(ORDER + ", batch int").parquet(target).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys"))
 
 
+def redelivered_load(spark: S, d: str) -> DataFrame:
+    """Orders arrive in two files, the second of which brings all of the first's again: each is taken once."""
+    at, target, mark = (new_path(spark, x) for x in ("arrivals", "loaded", "progress"))
+    for k in range(2):
+        _orders(spark, d).where(F.col("o_orderkey") % 2 <= k).write.mode("append").parquet(at)
+        incremental.append_new(spark, at, ORDER, target, mark, keys=["o_orderkey"], remember="7 days")
+    rows = spark.read.schema(ORDER + ", batch int").parquet(target)
+    incremental.require_all(_orders(spark, d), rows, ["o_orderkey"])
+    first = F.dense_rank().over(C.Window.orderBy("batch"))  # of a few batches
+    sums = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys"), F.sum("o_orderkey").alias("key_sum"))
+    return sums.select(first.alias("delivery"), "n", "distinct_keys", "key_sum")
+
+
+LOADED = {"cards": Rule({"id": "bigint", "name": "string", "level": "int"}, ("id",)), "entries": Rule({"deck_id": "bigint", "card_id": "bigint", "copies": "int"}, ("deck_id", "card_id"), ("cards", "card_id", "id"))}
+
+
+def checked_load(spark: S, d: str) -> DataFrame:
+    """Six loads of cards and entries, three of which fail a check, and what the tables hold after each."""
+    w = Warehouse(spark, new_path(spark, "warehouse"), LOADED)
+    cards, entries = view(spark, d, "cards").select("id", "name", "level"), view(spark, d, "entries")
+    later = entries.withColumn("deck_id", -1 - F.col("deck_id"))
+    lost = later.withColumn("card_id", F.col("card_id") + 1_000_000_000_000)
+    wide = cards.withColumns({"id": -1 - F.col("id"), "level": F.col("id") * (1 << 32)})
+    steps = [({"cards": cards.unionByName(cards), "entries": entries}, "replace"), ({"entries": entries}, "append"), ({"entries": lost}, "replace"), ({"cards": wide}, "append"), ({"entries": later}, "append"), ({"cards": cards}, "replace")]
+    out = None
+    for i, (tables, mode) in enumerate(steps, 1):
+        try:
+            w.load(tables, mode)
+            outcome = "loaded"
+        except LoadError as e:
+            outcome = str(e).split(":")[0]
+        for name, key in (("cards", "id"), ("entries", "deck_id")):
+            row = w.table(name).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("key_sum")).select(F.lit(i).alias("step"), F.lit(outcome).alias("outcome"), F.lit(name).alias("table_name"), "n", "key_sum")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def resume_pending(spark: S, d: str) -> DataFrame:
     done = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("deck_id"))
     return incremental.pending(view(spark, d, "decks"), done, ["deck_id"])
@@ -204,7 +242,7 @@ def version_hash_query(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__.removesuffix("_query"): f for f in (
-    parquet_roundtrip, jsonl_roundtrip, csv_roundtrip, read_table_roundtrip, latest_snapshot, versioned_replace, load_replace_append, incremental_load, resume_pending, run_summary, final_cluster_records, format_config, staple_pool, sampling_profiles, banlist_lists,
+    parquet_roundtrip, jsonl_roundtrip, csv_roundtrip, read_table_roundtrip, latest_snapshot, versioned_replace, load_replace_append, incremental_load, redelivered_load, checked_load, resume_pending, run_summary, final_cluster_records, format_config, staple_pool, sampling_profiles, banlist_lists,
     cutoff_from_path, parse_list_json, resolve_columns, domain_check, nested_numbers, format_slug, rounding, composite_weight_query, price_values, version_hash_query)}
 
 ORACLE_SQL = {
@@ -216,6 +254,10 @@ ORACLE_SQL = {
     "versioned_replace": "select 'v1' cluster_version, count(*) n from embeddings union all select 'v2', count(*) from embeddings where label > 3",
     "load_replace_append": with_views("select 'cards' table_name, count(*) n, 1 step from cards union all select 'entries', 2 * count(*), 1 from entries union all select 'cards', count(*), 2 from cards union all select 'entries', 0, 2", "cards", "entries"),
     "incremental_load": "select cast(o_orderkey % 2 as integer) batch, count(*) n, count(distinct o_orderkey) distinct_keys from orders group by 1",
+    "redelivered_load": "select cast(1 + o_orderkey % 2 as integer) delivery, count(*) n, count(distinct o_orderkey) distinct_keys, cast(sum(o_orderkey) as bigint) key_sum from orders group by 1",
+    "checked_load": with_views("""with c as (select 'cards' table_name, count(*) n, sum(id) s from cards), e as (select 'entries' table_name, count(*) n, sum(deck_id) s from entries)
+      select cast(step as integer) step, outcome, table_name, case when table_name = 'cards' then n when step < 5 then n when step = 5 then 2 * n else 0 end n, cast(case when table_name = 'cards' or step < 5 then s when step = 5 then -n else 0 end as bigint) key_sum
+      from (values (1, 'loaded'), (2, 'entries'), (3, 'entries'), (4, 'cards.level'), (5, 'loaded'), (6, 'loaded')) t(step, outcome), (from c union all from e)""", "cards", "entries"),
     "resume_pending": with_views("select * from decks where deck_id not in (select l_orderkey from lineitem where l_quantity > 40)", "decks"),
     "run_summary": with_views("select format, count(*) n, count(*) filter (status = 'accepted') accepted, count(*) filter (status = 'rejected') rejected, (select count(*) from cards where not regexp_matches(lower(type), 'fusion|synchro|xyz|link')) main_candidates, (select count(*) from cards where regexp_matches(lower(type), 'fusion|synchro|xyz|link')) extra_candidates from decks group by 1", "decks", "cards"),
     "sampling_profiles": """select trim(n_name) profile, unnest(['p_staple', 'mode']) setting, unnest(['0.' || (1 + n_nationkey % 8), '"' || lower(trim(n_name)) || '"']) "value" from nation where n_nationkey % 4 <> 1""",

@@ -5,17 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Process the files that came since the last call and append the results; a repeated batch replaces its own part."""
+def require_all(rows: DataFrame, done: DataFrame, keys: list[str]) -> None:
+    """An error if rows are left that were not processed."""
+    left = pending(rows, done, keys).count()
+    if left:
+        raise ValueError(f"{left} rows were not processed")
+
+
+def append_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, keys: list[str] | None = None, remember: str | None = None) -> None:
+    """Process the files that came since the last call and append the results; a repeated batch replaces its own part.
+
+    With keys, a row whose key came before is left out, in the same file or in a later one: the keys are the stream's state,
+    kept beside its checkpoint. `remember` (such as "7 days") bounds that state: keys are forgotten when files come that are so
+    much newer than the key's own, by the files' times; without it they are kept for good. Rows of one key should be alike, as
+    any of those that come in one call may be taken.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         work(df).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
+    rows = spark.readStream.schema(schema).parquet(source)
+    if keys and remember:
+        rows = rows.select("*", F.col("_metadata.file_modification_time").alias("_came")).withWatermark("_came", remember).dropDuplicatesWithinWatermark(keys).drop("_came")
+    elif keys:
+        rows = rows.dropDuplicates(keys)
+    rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
