@@ -44,6 +44,50 @@ def dealt(specs: DataFrame, rows: DataFrame, groups: list[str], k: Column | None
     return asked.join(ranked.drop("many"), [*groups, "rank"]).drop("rank", "many")
 
 
+#: Units of a weight of 1: weights are drawn by whole numbers of units, at least one.
+UNITS = 10_000
+#: Values of a fine draw (13 hex digits).
+FINE = float(1 << 52)
+
+
+def _fine(*keys: Column | str | int) -> Column:
+    """A number from 1 to FINE that depends on the keys alone: hash01 with 52 bits."""
+    text = F.concat_ws("|", *((F.col(k) if isinstance(k, str) else k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1
+
+
+def weighted(specs: DataFrame, rows: DataFrame, groups: list[str], k: Column, seed: int, name: str, weight: Column, tries: int | None = None) -> DataFrame:
+    """Like dealt, but each deck's k rows come one after another, each with a chance in proportion to its weight among those
+    not yet drawn (k at least the group's number: all of them, in that order).
+
+    A group's weights lie end to end on a line that is cut into as many equal cells as it has rows. A try is a place on the
+    line: it meets the one or two rows (on average) that reach into its cell, by an equi-join, and a row that was drawn before
+    is passed over. A deck that has not k rows after 2 k + 8 tries orders the rows it lacks by -ln(u) / weight, which goes on
+    with the same chances; only such decks meet their whole group.
+    """
+    own = Window.partitionBy(*groups)
+    before = own.orderBy("card_id").rowsBetween(Window.unboundedPreceding, -1)
+    lined = rows.withColumn("units", F.greatest(F.lit(1), F.floor(weight * UNITS + 0.5)).cast("bigint")).withColumns({"low": F.coalesce(F.sum("units").over(before), F.lit(0)), "whole": F.sum("units").over(own), "many": F.count(F.lit(1)).over(own)})
+    lined = lined.withColumn("width", F.expr("(whole + many - 1) div many"))
+    cells = lined.withColumn("cell", F.explode(F.sequence(F.expr("low div width"), F.expr("(low + units - 1) div width")))).drop("whole", "many", "width")
+    sizes = lined.select(*groups, "whole", "many", "width").distinct()
+    most = F.least(k, F.col("many")).cast("int")
+    asked = specs.join(sizes, [g for g in groups if g in specs.columns]).withColumn("most", most).where("most > 0")
+    places = F.sequence(F.lit(0), (2 * F.col("most") + 7 if tries is None else F.lit(tries - 1)).cast("int")) if tries != 0 else F.array().cast("array<int>")
+    drawn = asked.withColumn("try", F.explode(places)).withColumn("at", F.least(F.col("whole") - 1, F.floor((_fine(seed, F.lit(name), "deck_id", *groups, "try") - 1) / FINE * F.col("whole")).cast("bigint")))
+    hit = drawn.withColumn("cell", F.expr("at div width")).join(cells, [*groups, "cell"]).where("low <= at and at < low + units")
+    named = [*dict.fromkeys([*specs.columns, *groups, *rows.columns])]
+    slot = ["deck_id", *groups]
+    firsts = hit.groupBy(*slot, "card_id").agg(F.min("try").alias("try"), *(F.first(c).alias(c) for c in (*named, "most") if c not in (*slot, "card_id")))
+    nth = firsts.withColumn("nth", F.row_number().over(Window.partitionBy(*slot).orderBy("try")) - 1).drop("try")
+    got = nth.groupBy(*slot).agg(F.count(F.lit(1)).alias("got"))
+    short = asked.join(got, slot, "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < most").select(*dict.fromkeys([*specs.columns, *groups]), "most", "got")
+    left = short.join(lined.drop("low", "whole", "many", "width"), groups).join(nth.select(*slot, "card_id"), [*slot, "card_id"], "left_anti")
+    key = -F.log(_fine(seed, F.lit(name), "deck_id", *groups, "card_id") / FINE) / F.col("units")
+    rest = left.withColumn("nth", F.row_number().over(Window.partitionBy(*slot).orderBy(key, "card_id")) - 1 + F.col("got"))
+    return nth.select(*named, "nth", "most").unionByName(rest.select(*named, "nth", "most")).where("nth < most").drop("most")
+
+
 OFFER = ("deck_id", "stage", "nth", "card_id", "bucket", "max_copies", "want")
 SUPPORT, STAPLE, NOVELTY, FILL, TAIL = 0, 1, 2, 3, 6
 
@@ -52,12 +96,14 @@ def _offers(rows: DataFrame, stage: Column | int) -> DataFrame:
     return rows.withColumn("stage", F.lit(stage) if isinstance(stage, int) else stage).select(*(F.col(c).cast("string" if c == "bucket" else "bigint").alias(c) for c in OFFER))
 
 
-def fill_offers(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1) -> DataFrame:
-    """Cards for the quotas of each bucket in turn, and for the rest; as many as could be needed if others are used up."""
+def fill_offers(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1, weight: Column | None = None) -> DataFrame:
+    """Cards for the quotas of each bucket in turn, and for the rest; as many as could be needed if others are used up. With a
+    weight, cards are drawn by it."""
+    draw = dealt if weight is None else lambda *a: weighted(*a, weight)
     main = candidates.where("max_copies > 0")
     goal = _by_bucket(targets(F.col("main_size"), ratios))
-    own = dealt(specs, main, ["pool", "bucket"], goal + F.col("main_size"), seed, "fill")
-    rest = dealt(specs, main, ["pool"], 2 * F.col("main_size"), seed, "tail")
+    own = draw(specs, main, ["pool", "bucket"], goal + F.col("main_size"), seed, "fill")
+    rest = draw(specs, main, ["pool"], 2 * F.col("main_size"), seed, "tail")
     number = _by_bucket({b: F.lit(FILL + i) for i, b in enumerate(BUCKETS)})
     return _offers(own.withColumn("want", desired(seed)), number).unionByName(_offers(rest.withColumn("want", desired(seed)), TAIL))
 
@@ -94,10 +140,10 @@ def place(specs: DataFrame, offers: DataFrame, ratios: dict[str, float]) -> Data
     return decks.select("deck_id", F.inline(F.aggregate("offers", start, take, lambda state: state["placed"])))
 
 
-def quota_fill(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1) -> DataFrame:
+def quota_fill(specs: DataFrame, candidates: DataFrame, ratios: dict[str, float], seed: int = 1, weight: Column | None = None) -> DataFrame:
     """deck_id, card_id, bucket, copies: bucket quotas in order (a bucket may overshoot by its last card's copies), then a tail
     to size."""
-    placed = place(specs, fill_offers(specs, candidates, ratios, seed), ratios)
+    placed = place(specs, fill_offers(specs, candidates, ratios, seed, weight), ratios)
     return placed.groupBy("deck_id", "card_id", "bucket").agg(F.sum("copies").alias("copies"))
 
 

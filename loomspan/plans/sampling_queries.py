@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import has_type, is_extra, sampling_bucket
+from ..functions.columns import composite_weight, has_type, is_extra, sampling_bucket
 from ..operators import clusters as C
 from ..operators import density as DN
 from ..operators import generation as G
@@ -58,6 +58,13 @@ def quota_fill(spark: S, d: str) -> DataFrame:
     return SA.quota_fill(_specs(spark, d), _main(spark, d), RATIOS)
 
 
+def weighted_fill(spark: S, d: str) -> DataFrame:
+    """quota_fill with cards drawn by their composite weights."""
+    k = F.col("card_id")
+    weight = composite_weight(F.col("weight").cast("double"), (k % 10) / F.lit(10.0).cast("double"), F.lit(None).cast("double"), (k % 20) / F.lit(10.0).cast("double"))
+    return SA.quota_fill(_specs(spark, d), _main(spark, d), RATIOS, weight=weight)
+
+
 def novelty_picks(spark: S, d: str) -> DataFrame:
     specs = _specs(spark, d)
     return SA.novelty_picks(specs, _main(spark, d), _allowed(specs), 0.25).select("deck_id", "card_id", "side")
@@ -200,7 +207,7 @@ def cluster_points(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    quota_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, neighbour_pairs, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
+    quota_fill, weighted_fill, novelty_picks, staple_picks, size_repair, accept_first, extra_sample, support_injection, draft_decks, generate_decks, ratio_jitter, neighbour_pairs, density_clusters, sweep_trials, rank_trials, best_run, pca_reduce, projection_2d, union_projections, cluster_points)}
 
 H = "(('0x' || substr(md5({0}), 1, 8))::ubigint / 4294967296.0)"
 
@@ -268,6 +275,28 @@ def _fill(specs: str) -> str:
  tl as (select deck_id, 6 stage, {_nth('tail', 'pool')} nth, card_id, bucket, max_copies, {WANT} want from {specs} join {_order('(select * from cand where not in_extra and max_copies > 0)', 'pool', 'tail')} using (pool) where nth < 2 * main_size)"""
 
 
+FINE = "((('0x' || substr(md5({0}), 1, 13))::ubigint)::double + 1)"
+DRAW_WEIGHT = "greatest(1e-4::double, coalesce(nullif(weight::double, 0), 1) * coalesce(nullif((card_id % 10)::double / 10::double, 0), 1) * (1 - greatest(0::double, least(0.95::double, (card_id % 20)::double / 10::double))))"
+
+
+def _weighted(out: str, groups: str, name: str, k: str) -> str:
+    """Rows drawn one after another by weight: places on the line of weights, then -ln(u) / weight for what is lacking."""
+    keys = " || '|' || ".join(["deck_id", *groups.split(", ")])
+    return f"""{out}_l as (select *, coalesce(sum(units) over (partition by {groups} order by card_id {PREV}), 0) low, sum(units) over (partition by {groups}) whole, count(*) over (partition by {groups}) mn from (select *, greatest(1, floor({DRAW_WEIGHT} * 10000 + 0.5)::bigint) units from cand where not in_extra and max_copies > 0)),
+ {out}_a as (select deck_id, main_size, {groups}, whole, mn, least({k}, mn)::bigint most from specs join (select distinct {groups}, whole, mn from {out}_l) using (pool)),
+ {out}_t as (select *, least(whole - 1, floor(({FINE.format(f"'1|{name}|' || {keys} || '|' || t")} - 1) / 4503599627370496.0::double * whole::double)::bigint) pos from (select *, unnest(range(2 * most + 8)) t from {out}_a where most > 0)),
+ {out}_h as (select a.deck_id, {', '.join('a.' + g for g in groups.split(', '))}, card_id, min(t) t from {out}_t a join {out}_l l on {' and '.join(f'a.{g} = l.{g}' for g in groups.split(', '))} and low <= pos and pos < low + units group by all),
+ {out}_n as (select deck_id, {groups}, card_id, row_number() over (partition by deck_id, {groups} order by t) - 1 nth from {out}_h),
+ {out}_r as (select deck_id, {groups}, card_id, row_number() over (partition by deck_id, {groups} order by -ln({FINE.format(f"'1|{name}|' || {keys} || '|' || card_id")} / 4503599627370496.0::double) / units, card_id) - 1 + got nth from (select deck_id, {groups}, card_id, units, coalesce(got, 0) got from {out}_a join {out}_l using ({groups}) left join (select deck_id, {groups}, count(*) got from {out}_n group by all) using (deck_id, {groups}) anti join {out}_n using (deck_id, {groups}, card_id))),
+ {out}_w as (select deck_id, main_size, u.card_id, c.bucket, max_copies, nth from (from {out}_n union all from {out}_r) u join {out}_a using (deck_id, {groups}) join cand c on c.card_id = u.card_id where nth < most)"""
+
+
+def _weighted_fill() -> str:
+    goal = f"case bucket when 'monster' then {GOAL['monster']} when 'spell' then {GOAL['spell']} else {GOAL['trap']} end"
+    return f"""{_weighted('wf', 'pool, bucket', 'fill', goal + ' + main_size')}, {_weighted('wt', 'pool', 'tail', '2 * main_size')},
+ offers as (select deck_id, case bucket when 'monster' then 3 when 'spell' then 4 else 5 end stage, nth, card_id, bucket, max_copies, {WANT} want from wf_w union all select deck_id, 6, nth, card_id, bucket, max_copies, {WANT} from wt_w)"""
+
+
 def _fold(specs: str) -> str:
     free, need = "(main_size - total)", f"greatest(0, {GOAL['monster']} - m) + greatest(0, {GOAL['spell']} - s) + greatest(0, {GOAL['trap']} - t)"
     used = "coalesce(list_sum(list_transform(list_filter(placed, lambda p: p.card_id = o.card_id), lambda p: p.copies)), 0)"
@@ -309,6 +338,7 @@ SWEPT = "cast(trial as integer) trial, k num_clusters, nn noise_count, mx size_m
 
 ORACLE_SQL = {
     "quota_fill": with_views(f"with recursive {BASE}, {_fill('specs')}, offers as (from fl union all from tl), {_fold('specs')} select deck_id, card_id, bucket, cast(sum(copies) as bigint) copies from put group by all", "cards"),
+    "weighted_fill": with_views(f"with recursive {BASE}, {_weighted_fill()}, {_fold('specs')} select deck_id, card_id, bucket, cast(sum(copies) as bigint) copies from put group by all", "cards"),
     "novelty_picks": with_views(f"with {BASE}, {_novelty('specs', 'deck_id').format('')} select deck_id, card_id, side from nov", "cards"),
     "extra_sample": with_views(f"with {BASE}, {_extra('specs')} select deck_id, card_id, extra_type, draws from picks", "cards"),
     "support_injection": with_views(f"with {BASE}, {_extra('specs')}, {_support('specs')} select deck_id, reason, card_id, want from sup", "cards"),

@@ -235,3 +235,127 @@ def test_repairs_keep_what_was_placed_first(spark):
 def test_wrong_formats_are_errors(spark, settings, error):
     with pytest.raises(PySparkException, match=error):
         readers.formats(spark.createDataFrame([(f'{{"A": {settings}}}',)], "json string")).select("format").collect()
+
+
+def test_deck_files_of_odd_decks(spark, tmp_path):
+    """Decks without format or entries, formats with odd signs, sections in another order, and files of a run cut short."""
+    from loomspan.sources import deck_files as DF
+
+    at = str(tmp_path / "decks")
+    decks = [(1, "GOAT"), (2, None), (3, "a/b =%"), (4, ""), (-5, "GOAT")]
+    lines = [(1, 10, 3, "main"), (1, 10, 1, "side"), (1, 7, 1, "extra"), (3, 9, 2, "main"), (-5, 8, 1, "main"), (-5, None, 1, "main"), (-5, 8, 0, "extra"), (-5, 8, 1, "hand"), (77, 1, 1, "main")]
+    entries, own = spark.createDataFrame(lines, "deck_id long, card_id long, copies long, zone string"), spark.createDataFrame(decks, "deck_id long, format string")
+    with pytest.raises(FileNotFoundError):
+        DF.read_decks(spark, at)
+    for _ in range(2):  # a run that repeats another puts the same files in place
+        DF.write_decks(entries, own, at)
+    texts = {r.deck_id: r.text for r in DF.deck_texts(entries, own).collect()}
+    assert texts[1] == "#main\n10\n10\n10\n#extra\n7\n!side\n10\n" and texts[2] == "#main\n#extra\n!side\n"
+    assert len(list(tmp_path.rglob("*.ydk"))) == 5 and (tmp_path / "decks" / "_SUCCESS").read_text() == "5"
+    (tmp_path / "decks" / "format=GOAT" / "6.ydk").write_text("!side\r\n4\r\n#main\r\n5\r\n5\r\n\r\n")
+    got = {tuple(r) for r in DF.read_decks(spark, at).select("deck_id", "format", "zone", "card_id", "copies").collect()}
+    assert got == {(1, "GOAT", "main", 10, 3), (1, "GOAT", "side", 10, 1), (1, "GOAT", "extra", 7, 1), (3, "a/b =%", "main", 9, 2), (-5, "GOAT", "main", 8, 1), (6, "GOAT", "side", 4, 1), (6, "GOAT", "main", 5, 2)}
+    with pytest.raises(Exception, match="decks share the id 1"):
+        DF.write_decks(entries, own.unionByName(own.where("deck_id = 1")), str(tmp_path / "other"))
+
+
+def _bytes(at):
+    return {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file()}
+
+
+def test_a_load_that_fails_changes_nothing(spark, tmp_path):
+    from loomspan.sources.warehouse import LoadError, Rule, Warehouse
+
+    rules = {"a": Rule({"id": "bigint", "n": "smallint"}, ("id",)), "b": Rule({"a_id": "bigint", "x": "string"}, (), ("a", "a_id", "id")), "c": Rule({"b_x": "string"}, (), ("b", "b_x", "x"))}
+    w = Warehouse(spark, str(tmp_path / "w"), rules)
+    a = lambda *rows: spark.createDataFrame(list(rows), "id long, n long, other string")
+    b = lambda *rows: spark.createDataFrame(list(rows), "a_id long, x string")
+    assert w.table("a").count() == 0 and w.manifest() == (0, {})
+    assert w.load({"a": a((1, 5, "z"), (1, 5, "y"), (2, None, "")), "b": b((1, "p"), (None, "q")), "c": spark.createDataFrame([("p",)], "b_x string")}, "replace") == {"a": 2, "b": 2, "c": 1}
+    before = _bytes(tmp_path / "w")
+    wrong = [({"a": a((3, 40000, ""))}, "append", "a.n: smallint holds"), ({"a": a((1, 1, ""))}, "append", "is there already"), ({"a": a((None, 1, ""))}, "append", "without a key"),
+             ({"b": b((9, "p"))}, "append", "1 rows without their a"), ({"b": b((1, "other"))}, "replace", None), ({"a": a((1, 1, "")).drop("n")}, "replace", "columns are missing")]
+    for tables, mode, text in wrong:
+        if text:
+            with pytest.raises(LoadError, match=text):
+                w.load(tables, mode)
+            assert _bytes(tmp_path / "w") == before
+    with pytest.raises(ValueError, match="mode"):
+        w.load({}, "merge")
+    with pytest.raises(ValueError, match="without a rule"):
+        w.load({"d": a()}, "append")
+    assert w.load({"a": a((3, 1, ""))}, "append") == {"a": 1} and sorted(r.id for r in w.table("a").collect()) == [1, 2, 3]
+    number, tables = w.manifest()
+    with pytest.raises(LoadError, match="another load"):
+        w._publish(number, tables)  # what the slower of two loads meets
+    w.load({"a": a((7, 7, ""))}, "replace")  # and empties b and c
+    assert [tuple(r) for r in w.table("a").collect()] == [(7, 7)] and w.table("b").count() == w.table("c").count() == 0
+    assert w.vacuum() == 2 and w.table("a").count() == 1
+
+
+def test_database_load_is_one_transaction(spark, tmp_path):
+    """Derby, which comes with Spark."""
+    from loomspan.sources.warehouse import load_jdbc, read_jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    db = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for sql in ("create table cards (id bigint primary key, name varchar(20))", "create table lines (card_id bigint references cards (id), n int)"):
+        statement = db.createStatement()
+        statement.executeUpdate(sql)
+        statement.close()
+    db.close()
+    cards = spark.range(1, 101).selectExpr("id", "concat('c', id) name")
+    lines = spark.range(300).selectExpr("1 + id % 100 card_id", "cast(id as int) n")
+    below = {"cards": ["lines"]}
+    load_jdbc({"cards": cards, "lines": lines}, url, "replace", below, **driver)
+    held = lambda: (read_jdbc(spark, url, "cards", "id", 4, **driver), read_jdbc(spark, url, "lines", "n", 3, **driver))
+    c, n = held()
+    assert c.rdd.getNumPartitions() == 4 and c.count() == 100 and n.agg({"n": "sum"}).first()[0] == 299 * 150
+    for tables in ({"cards": cards.limit(3).selectExpr("id + 1000 id", "name"), "lines": lines.selectExpr("card_id + 5000 card_id", "n")}, {"cards": cards}):
+        with pytest.raises(Exception):
+            load_jdbc(tables, url, "append", below, **driver)
+        c, n = held()
+        assert c.count() == 100 and n.count() == 300
+    load_jdbc({"cards": cards.where("id < 5")}, url, "replace", below, **driver)
+    c, n = held()
+    assert c.count() == 4 and n.count() == 0
+
+
+def test_rows_delivered_again_are_taken_once(spark, tmp_path):
+    from loomspan.streaming import incremental as I
+
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for remember in (None, "2 days"):
+        at, out, progress = (f"{p}-{remember}".replace(" ", "") for p in (source, target, mark))
+        for rows in ([(1, "a"), (2, "b"), (2, "b"), (None, "n")], [(2, "b"), (3, "c"), (None, "n")], [(1, "a"), (3, "c")]):
+            spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(at)
+            I.append_new(spark, at, "k long, v string", out, progress, keys=["k"], remember=remember)
+        done = spark.read.schema("k long, v string, batch int").parquet(out)
+        assert sorted((str(r.k), r.v) for r in done.collect()) == [("1", "a"), ("2", "b"), ("3", "c"), ("None", "n")]
+        I.require_all(spark.range(1, 4).toDF("k"), done, ["k"])
+        with pytest.raises(ValueError, match="1 rows"):
+            I.require_all(spark.range(1, 5).toDF("k"), done, ["k"])
+
+
+@pytest.mark.parametrize("tries", [None, 0, 3])
+def test_weighted_draws_follow_their_weights(spark, tries):
+    """The first two of three cards, over 6,000 decks, against the chances worked out; with tries, without, and with too few."""
+    from collections import Counter
+
+    from loomspan.operators import sampling as SA
+
+    weight = {1: 0.5, 2: 1.5, 3: 8.0}
+    rows = spark.createDataFrame([("p", k, x) for k, x in weight.items()] + [("q", 9, None)], "pool string, card_id long, w double")
+    specs = spark.range(6000).selectExpr("id deck_id", "if(id < 5990, 'p', if(id < 5995, 'q', 'none')) pool", "cast(if(id = 0, 0, 2) as int) k")
+    got = {}
+    for r in SA.weighted(specs, rows, ["pool"], F.col("k"), 1, "t", F.coalesce("w", F.lit(1.0)), tries).collect():
+        got.setdefault((r.pool, r.deck_id), {})[r.nth] = r.card_id
+    assert {len(x) for (p, _), x in got.items() if p == "p"} == {2} and [x for (p, _), x in got.items() if p == "q"] == [{0: 9}] * 5 and len(got) == 5994
+    pairs = Counter((x[0], x[1]) for (p, _), x in got.items() if p == "p")
+    assert all(a != b for a, b in pairs)
+    for a in weight:
+        for b in weight:
+            if a != b:
+                want = weight[a] / 10 * weight[b] / (10 - weight[a])
+                assert abs(pairs[a, b] / 5989 - want) < 4 * (want * (1 - want) / 5989) ** 0.5
