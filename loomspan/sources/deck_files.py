@@ -1,19 +1,20 @@
-"""Deck files: one text file for each deck, in a folder for each format, written by the tasks and read by Spark's text source.
+"""Deck files: one text file for each deck, in a folder for each format, written and read by the tasks.
 
 A file holds #main, #extra and !side, each followed by its card ids, a line for each copy. Files are put in place under their
 final names, so a task that runs again writes the same files once more; _SUCCESS is written when all tasks are done, and a
-folder without it is not read.
+folder without it is not read. A format's decks are dealt to a number of folders by id: the driver lists these alone, and
+each reading task the files of its own, so that the driver's memory does not grow with the decks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: The heads of a file's sections by zone, and the name of the folder of decks without a format (fixed values).
 HEADS = {"main": "#main", "extra": "#extra", "side": "!side"}
@@ -35,27 +36,34 @@ class Written(WriterCommitMessage):
     files: int
 
 
-class DeckWriter(DataSourceArrowWriter):
-    """Writes the rows (deck_id, format, text) of a task, a file each."""
+#: Folders of a format's decks; a task reads one.
+FOLDERS = 64
+#: Files in a batch that goes to Spark.
+BATCH = 1_000
 
-    def __init__(self, at: str) -> None:
-        self.at = at.rstrip("/")
 
-    def _place(self):
-        from pyarrow import fs
+def _place(at: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(at) if ":" in at.split("/")[0] else (fs.LocalFileSystem(), at)
+
 
-        return fs.FileSystem.from_uri(self.at) if ":" in self.at.split("/")[0] else (fs.LocalFileSystem(), self.at)
+class DeckWriter(DataSourceArrowWriter):
+    """Writes the rows (deck_id, format, text) of a task, a file each."""
+
+    def __init__(self, at: str, folders: int) -> None:
+        self.at, self.folders = at.rstrip("/"), folders
 
     def write(self, iterator: Iterator) -> Written:
         import uuid
 
-        files, at = self._place()
+        files, at = _place(self.at)
         made, count, own = set(), 0, uuid.uuid4().hex
         for batch in iterator:
             for deck, name, text in zip(*(batch.column(c).to_pylist() for c in ("deck_id", "format", "text"))):
                 if deck is None or text is None:
                     raise ValueError("a deck file needs a deck_id and a text")
-                folder = f"{at}/format={NO_FORMAT if name in (None, '') else quote(name, safe=' ')}"
+                folder = f"{at}/format={NO_FORMAT if name in (None, '') else quote(name, safe=' ')}/{deck % self.folders}"
                 if folder not in made:
                     files.create_dir(folder, recursive=True)
                     made.add(folder)
@@ -67,7 +75,7 @@ class DeckWriter(DataSourceArrowWriter):
         return Written(count)
 
     def commit(self, messages: list) -> None:
-        files, at = self._place()
+        files, at = _place(self.at)
         files.create_dir(at, recursive=True)
         with files.open_output_stream(f"{at}/_SUCCESS") as out:
             out.write(str(sum(m.files for m in messages if m)).encode())
@@ -76,8 +84,46 @@ class DeckWriter(DataSourceArrowWriter):
         """Nothing to take back: without _SUCCESS the folder is not read, and the next try writes the same names."""
 
 
+@dataclass
+class Folder(InputPartition):
+    at: str
+    format: str | None
+
+
+class DeckReader(DataSourceReader):
+    """deck_id, format, text of the files, a task for each folder of decks."""
+
+    def __init__(self, at: str) -> None:
+        self.at = at.rstrip("/")
+
+    def partitions(self) -> list[Folder]:
+        from pyarrow import fs
+
+        files, at = _place(self.at)
+        if files.get_file_info(f"{at}/_SUCCESS").type != fs.FileType.File:
+            raise FileNotFoundError(f"no finished deck files in {self.at}")
+        inside = lambda folder: [x for x in files.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.Directory]
+        names = [(x.path, x.base_name.removeprefix("format=")) for x in inside(at) if x.base_name.startswith("format=")]
+        return [Folder(x.path, None if name == NO_FORMAT else unquote(name)) for path, name in names for x in inside(path)]
+
+    def read(self, partition: Folder) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, _ = _place(self.at)
+        own = [x for x in files.get_file_info(fs.FileSelector(partition.at)) if x.base_name.endswith(SUFFIX)]
+        for i in range(0, len(own), BATCH):
+            part = own[i : i + BATCH]
+            texts = []
+            for x in part:
+                with files.open_input_stream(x.path) as stream:
+                    texts.append(stream.read().decode())
+            names = [int(x.base_name.removesuffix(SUFFIX)) for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([partition.format] * len(part), pa.string()), pa.array(texts, pa.string())], ["deck_id", "format", "text"])
+
+
 class DeckFiles(DataSource):
-    """df.write.format("deck_files").mode("append").save(folder)"""
+    """df.write.format("deck_files").option("folders", 64).mode("append").save(folder); spark.read.format("deck_files").load(folder)"""
 
     @classmethod
     def name(cls) -> str:
@@ -89,21 +135,19 @@ class DeckFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> DeckWriter:
         if overwrite:
             raise ValueError("deck files go to a new folder or take the place of those of the same decks: use mode append")
-        return DeckWriter(self.options["path"])
+        return DeckWriter(self.options["path"], int(self.options.get("folders", FOLDERS)))
+
+    def reader(self, schema) -> DeckReader:
+        return DeckReader(self.options["path"])
 
 
-def write_decks(entries: DataFrame, decks: DataFrame, at: str) -> None:
-    """A file for each deck. Two decks of one id are an error, as one would take the other's place."""
+def write_decks(entries: DataFrame, decks: DataFrame, at: str, folders: int = FOLDERS) -> None:
+    """A file for each deck, with so many folders a format (the same number whenever decks are written to one place). Two decks of one id are an error, as one would take the other's place."""
     spark = entries.sparkSession
     spark.dataSource.register(DeckFiles)
     one = F.assert_true(F.count(F.lit(1)) == 1, F.concat(F.lit("decks share the id "), F.col("deck_id"))).alias("fine")
     texts = deck_texts(entries, decks.groupBy("deck_id").agg(F.first("format").alias("format"), one).where("fine is null"))
-    texts.select(F.col("deck_id").cast("bigint").alias("deck_id"), "format", "text").write.format("deck_files").mode("append").save(at)
-
-
-def _done(spark: SparkSession, at: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    texts.select(F.col("deck_id").cast("bigint").alias("deck_id"), "format", "text").write.format("deck_files").option("folders", str(folders)).mode("append").save(at)
 
 
 def section(lines: Column, zone: str) -> Column:
@@ -117,14 +161,10 @@ def section(lines: Column, zone: str) -> Column:
 
 
 def read_decks(spark: SparkSession, at: str) -> DataFrame:
-    """deck_id, format, zone, card_id, copies of a folder that was written to its end. Spark lists the files and packs many to
-    a task. Sections may come in any order; cards may repeat in one."""
-    if not _done(spark, at):
-        raise FileNotFoundError(f"no finished deck files in {at}")
-    files = spark.read.schema("value string, format string").text(at, wholetext=True, pathGlobFilter=f"*{SUFFIX}")
-    lines = F.split(F.col("value"), "\r?\n")
-    deck = F.regexp_extract("_metadata.file_name", r"(-?\d+)\.", 1).cast("bigint")
-    rows = files.select(deck.alias("deck_id"), "format", lines.alias("lines"))
+    """deck_id, format, zone, card_id, copies of a folder that was written to its end. Sections may come in any order; cards
+    may repeat in one."""
+    spark.dataSource.register(DeckFiles)
+    rows = spark.read.format("deck_files").load(at).select("deck_id", "format", F.split("text", "\r?\n").alias("lines"))
     zones = F.array(*(F.struct(F.lit(z).alias("zone"), section(F.col("lines"), z).alias("ids")) for z in HEADS))
     cards = rows.select("deck_id", "format", F.inline(zones)).select("deck_id", "format", "zone", F.explode("ids").alias("card_id"))
     return cards.groupBy("deck_id", "format", "zone", "card_id").agg(F.count(F.lit(1)).alias("copies"))

@@ -245,14 +245,14 @@ def test_deck_files_of_odd_decks(spark, tmp_path):
     decks = [(1, "GOAT"), (2, None), (3, "a/b =%"), (4, ""), (-5, "GOAT")]
     lines = [(1, 10, 3, "main"), (1, 10, 1, "side"), (1, 7, 1, "extra"), (3, 9, 2, "main"), (-5, 8, 1, "main"), (-5, None, 1, "main"), (-5, 8, 0, "extra"), (-5, 8, 1, "hand"), (77, 1, 1, "main")]
     entries, own = spark.createDataFrame(lines, "deck_id long, card_id long, copies long, zone string"), spark.createDataFrame(decks, "deck_id long, format string")
-    with pytest.raises(FileNotFoundError):
-        DF.read_decks(spark, at)
+    with pytest.raises(PySparkException, match="no finished deck files"):
+        DF.read_decks(spark, at).collect()
     for _ in range(2):  # a run that repeats another puts the same files in place
-        DF.write_decks(entries, own, at)
+        DF.write_decks(entries, own, at, folders=2)
     texts = {r.deck_id: r.text for r in DF.deck_texts(entries, own).collect()}
     assert texts[1] == "#main\n10\n10\n10\n#extra\n7\n!side\n10\n" and texts[2] == "#main\n#extra\n!side\n"
     assert len(list(tmp_path.rglob("*.ydk"))) == 5 and (tmp_path / "decks" / "_SUCCESS").read_text() == "5"
-    (tmp_path / "decks" / "format=GOAT" / "6.ydk").write_text("!side\r\n4\r\n#main\r\n5\r\n5\r\n\r\n")
+    (tmp_path / "decks" / "format=GOAT" / "1" / "6.ydk").write_text("!side\r\n4\r\n#main\r\n5\r\n5\r\n\r\n")
     got = {tuple(r) for r in DF.read_decks(spark, at).select("deck_id", "format", "zone", "card_id", "copies").collect()}
     assert got == {(1, "GOAT", "main", 10, 3), (1, "GOAT", "side", 10, 1), (1, "GOAT", "extra", 7, 1), (3, "a/b =%", "main", 9, 2), (-5, "GOAT", "main", 8, 1), (6, "GOAT", "side", 4, 1), (6, "GOAT", "main", 5, 2)}
     with pytest.raises(Exception, match="decks share the id 1"):
