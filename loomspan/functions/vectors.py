@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, zero_is_null: bool = False) -> Column:
     """a scaled to length 1; a zero vector stays as it is, or becomes null."""
-    scaled = F.transform(a, lambda x: x / norm(a))
-    return F.when(norm(a) > 0, scaled).otherwise(F.lit(None) if zero_is_null else a)
+    scaled = lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.lit(None) if zero_is_null else a)
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))  # the length is worked out once, not for each entry
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions.columns import clamp, has_type, scoring_bucket
 from ..functions.vectors import doubles, unit
 
 HAND = 5
+KINDS = ("monster", "spell", "trap")
 #: Target shares (monster, spell, trap) by format in lower case (fixed values).
 TARGETS = {"goat": (0.50, 0.35, 0.15), "hat": (0.50, 0.25, 0.25)}
 DEFAULT_TARGET = (0.50, 0.30, 0.20)
@@ -29,16 +28,54 @@ def _target(fmt: Column, i: int) -> Column:
     return out
 
 
+def _type_sums(counts: Column) -> list[Column]:
+    bucket = scoring_bucket(F.col("type"))
+    return [F.sum(F.when(counts & (bucket == k), F.col("copies")).otherwise(0)).alias(k) for k in KINDS]
+
+
+def _balanced() -> dict[str, Column]:
+    """Figures of the type sums beside a deck's format; sums that are null count as 0."""
+    n = {k: F.coalesce(F.col(k), F.lit(0)) for k in KINDS}
+    total = n["monster"] + n["spell"] + n["trap"]
+    share = {k: F.when(total > 0, n[k] / total).otherwise(0.0) for k in KINDS}
+    l1 = sum((F.abs(share[k] - _target(F.col("format"), i)) for i, k in enumerate(KINDS)), F.lit(0.0))
+    return {**{f"{k}_count": n[k] for k in KINDS}, **{f"{k}_ratio": share[k] for k in KINDS}, "type_ratio_distance_l1": l1, "balance_score": clamp(100 * (1 - l1 / 2))}
+
+
 def deck_balance(decks: DataFrame, known: DataFrame) -> DataFrame:
     """Type counts and shares over cards of a known type, L1 distance to the format's targets, and its score; empty decks too."""
-    bucket = scoring_bucket(F.col("type"))
-    kinds = ("monster", "spell", "trap")
-    counts = known.groupBy("deck_id").agg(*(F.sum(F.when(bucket == k, F.col("copies")).otherwise(0)).alias(k) for k in kinds))
-    rows = decks.join(counts, "deck_id", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in kinds})
-    total = F.col("monster") + F.col("spell") + F.col("trap")
-    share = {k: F.when(total > 0, F.col(k) / total).otherwise(0.0) for k in kinds}
-    l1 = sum((F.abs(share[k] - _target(F.col("format"), i)) for i, k in enumerate(kinds)), F.lit(0.0))
-    return rows.select("deck_id", "format", *(F.col(k).alias(f"{k}_count") for k in kinds), *(share[k].alias(f"{k}_ratio") for k in kinds), l1.alias("type_ratio_distance_l1"), clamp(100 * (1 - l1 / 2)).alias("balance_score"))
+    counts = known.groupBy("deck_id").agg(*_type_sums(F.lit(True)))
+    return decks.join(counts, "deck_id", "left").select("deck_id", "format", *(c.alias(n) for n, c in _balanced().items()))
+
+
+def _width(embeddings: DataFrame) -> int:
+    """Length of the vectors, by the first of them; 0 if there are none."""
+    first = embeddings.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+    return first["n"] if first else 0
+
+
+def _with_units(entries: DataFrame, embeddings: DataFrame, width: int) -> DataFrame:
+    """Entries with u, their cards' unit vectors; null for zero vectors and cards without one. A row a card; a vector of
+    another length than the first is an error."""
+    e = F.col("embedding")
+    same = F.when(e.isNull() | (F.size(e) == width), doubles(e)).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
+    return entries.join(embeddings.select("card_id", unit(same, zero_is_null=True).alias("u")), "card_id", "left")
+
+
+def _vector_sums(counts: Column, width: int) -> list[Column]:
+    """Cards with a vector and one sum for each dimension: plain doubles, which a hash aggregate adds up before the shuffle."""
+    weight = F.when(counts & F.col("u").isNotNull(), F.col("copies"))
+    return [F.sum(weight).alias("n_vectors"), *(F.sum(F.get("u", F.lit(i)) * weight).alias(f"u{i}") for i in range(width))]
+
+
+def _similar(width: int) -> dict[str, Column]:
+    n = F.coalesce("n_vectors", F.lit(0))
+    s2 = sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(width)), F.lit(0.0))
+    enough = n >= 2
+    pairwise = F.when(enough, (s2 - n) / (n * (n - 1))).otherwise(0.0)
+    centre = F.when(enough, F.sqrt(s2) / n).otherwise(0.0)
+    score = F.when(enough, clamp(100 * (0.7 * (pairwise + 1) / 2 + 0.3 * (centre + 1) / 2))).otherwise(50.0)
+    return {"coverage": F.when(F.col("main_size") > 0, n / F.col("main_size")), "mean_pairwise_cosine": pairwise, "mean_centroid_cosine": centre, "synergy_score": score}
 
 
 def deck_synergy(entries: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -47,18 +84,9 @@ def deck_synergy(entries: DataFrame, embeddings: DataFrame) -> DataFrame:
     With S the sum of n unit vectors, the mean over pairs is (|S|^2 - n) / (n (n - 1)) and the mean cosine to the mean is
     |S| / n. Copies count; zero vectors drop out; under two vectors both are 0 and the score is 50.
     """
-    units = embeddings.select("card_id", unit(doubles(F.col("embedding")), zero_is_null=True).alias("u")).where("u is not null")
-    sizes = entries.groupBy("deck_id").agg(F.sum("copies").alias("main_size"))
-    found = entries.join(units, "card_id")
-    summed = Summarizer.metrics("sum").summary(array_to_vector("u"), F.col("copies").cast("double"))  # adds up on the map side
-    parts = found.groupBy("deck_id").agg(F.sum("copies").alias("n"), summed["sum"].alias("s"))
-    squares = parts.select("deck_id", "n", F.aggregate(vector_to_array("s"), F.lit(0.0), lambda a, x: a + x * x).alias("s2"))
-    rows = sizes.join(squares, "deck_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    enough = F.col("n") >= 2
-    pairwise = F.when(enough, (F.col("s2") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
-    centre = F.when(enough, F.sqrt("s2") / F.col("n")).otherwise(0.0)
-    score = F.when(enough, clamp(100 * (0.7 * (pairwise + 1) / 2 + 0.3 * (centre + 1) / 2))).otherwise(50.0)
-    return rows.select("deck_id", (F.col("n") / F.col("main_size")).alias("coverage"), pairwise.alias("mean_pairwise_cosine"), centre.alias("mean_centroid_cosine"), score.alias("synergy_score"))
+    width = _width(embeddings)
+    sums = _with_units(entries, embeddings, width).groupBy("deck_id").agg(F.sum("copies").alias("main_size"), *_vector_sums(F.lit(True), width))
+    return sums.select("deck_id", *(c.alias(n) for n, c in _similar(width).items()))
 
 
 def starter_like(text: Column, kind: Column) -> Column:
@@ -78,27 +106,60 @@ def role_ids(tags: DataFrame, role: str) -> DataFrame:
     return tags.where((F.col("role_tag") == role) & (F.col("confidence").isNull() | (F.col("confidence") > 0))).select("card_id").distinct()
 
 
+def _starter_sums(counts: Column, tagged: Column, text: str) -> list[Column]:
+    hit = counts & (F.coalesce(tagged, F.lit(False)) | starter_like(F.col(text), F.col("type")))
+    return [F.sum(F.when(hit, F.col("copies")).otherwise(0)).alias("starters"), F.count_if(hit).alias("starter_kinds")]
+
+
+def _drawn() -> dict[str, Column]:
+    """Opening hands of main_size cards with so many starters; null without cards."""
+    n, s = F.col("main_size"), F.col("starters")
+    miss = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(HAND), n).cast("int") - 1), F.lit(1.0), lambda p, i: p * F.greatest(n - s - i, F.lit(0)) / (n - i))
+    miss = F.when(n > 0, miss)
+    return {"hit_rate": 1 - miss, "brick_rate": miss, "consistency_score": 100 * (1 - miss), "brick_risk_score": 100 * (1 - miss)}
+
+
+def _flagged(entries: DataFrame, starters: DataFrame) -> DataFrame:
+    return entries.join(starters.select("card_id", F.lit(True).alias("tagged")), "card_id", "left")
+
+
 def deck_consistency(known: DataFrame, starters: DataFrame, text: str = "descr") -> DataFrame:
     """Chance that an opening hand holds a starter: exact, 1 less the product of (n - s - i) / (n - i) over the hand's draws.
 
     A deck with three bricks and no enabler is a brick only if it has no starter either, and every starter is an enabler,
     so the brick rate is the rate of hands without a starter.
     """
-    flagged = known.join(starters.withColumn("tagged", F.lit(True)), "card_id", "left")
-    hit = F.coalesce("tagged", F.lit(False)) | starter_like(F.col(text), F.col("type"))
-    counts = flagged.groupBy("deck_id").agg(F.sum("copies").alias("n"), F.sum(F.when(hit, F.col("copies")).otherwise(0)).alias("s"), F.count_if(hit).alias("kinds"))
-    miss = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(HAND), F.col("n")).cast("int") - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.col("n") - F.col("s") - i, F.lit(0)) / (F.col("n") - i))
-    return counts.select("deck_id", F.col("s").alias("starters"), F.col("kinds").alias("starter_kinds"), (1 - miss).alias("hit_rate"), miss.alias("brick_rate"), (100 * (1 - miss)).alias("consistency_score"), (100 * (1 - miss)).alias("brick_risk_score"))
+    sums = _flagged(known, starters).groupBy("deck_id").agg(F.sum("copies").alias("main_size"), *_starter_sums(F.lit(True), F.col("tagged"), text))
+    return sums.select("deck_id", "starters", "starter_kinds", *(c.alias(n) for n, c in _drawn().items()))
 
 
-def deck_scores(balance: DataFrame, synergy: DataFrame, consistency: DataFrame, facts: DataFrame) -> DataFrame:
-    """Both overall scores. facts: deck_id, unique_ratio, staples, novelty."""
-    rows = balance.join(synergy, "deck_id", "left").join(consistency, "deck_id", "left").join(facts, "deck_id", "left")
-    zero = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v))
-    v1 = 100 + 15 * zero("novelty") + 1.5 * zero("staples") + 12 * zero("unique_ratio") - 30 * F.col("type_ratio_distance_l1")
-    parts = {"consistency": zero("consistency_score"), "synergy": zero("synergy_score", 50.0), "brick_risk": zero("brick_risk_score"), "balance": F.col("balance_score")}
+def measured(decks: DataFrame, entries: DataFrame, embeddings: DataFrame, starters: DataFrame, text: str = "descr") -> DataFrame:
+    """Sizes, balance, synergy and consistency of all decks from one aggregate, so that entries are shuffled by deck once.
+
+    decks: deck_id, format and what is to be kept; entries: deck_id, zone, card_id, copies, is_known and card attributes;
+    embeddings and starters: a row a card. The main deck alone is measured. A deck without main cards has zeros, a synergy of
+    50 and null rates.
+    """
+    width, main = _width(embeddings), F.col("zone") == "main"
+    rows = _flagged(_with_units(entries, embeddings, width), starters)
+    sums = rows.groupBy("deck_id").agg(
+        F.sum(F.when(main, F.col("copies"))).alias("main_size"), F.sum(F.when(F.col("zone") == "extra", F.col("copies"))).alias("extra_size"), F.count_if(main).alias("unique_main_count"),
+        *_type_sums(main & F.col("is_known")), *_vector_sums(main, width), *_starter_sums(main, F.col("tagged"), text))
+    joined = decks.join(sums, "deck_id", "left")
+    whole = ("main_size", "extra_size", "unique_main_count", "starters", "starter_kinds")
+    figures = {**{c: F.coalesce(c, F.lit(0)) for c in whole}, "unique_main_ratio": F.coalesce(F.col("unique_main_count") / F.nullif(F.col("main_size"), F.lit(0)), F.lit(0.0)), **_balanced(), **_similar(width), **_drawn()}
+    return joined.select(*decks.columns, *(c.alias(n) for n, c in figures.items()))
+
+
+def deck_scores(decks: DataFrame, entries: DataFrame, embeddings: DataFrame, starters: DataFrame) -> DataFrame:
+    """Both overall scores. decks: deck_id, format, staples, novelty (how many of these were placed; in no main deck none)."""
+    rows = measured(decks, entries, embeddings, starters)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    placed = lambda c: F.when(F.col("main_size") > 0, zero(c)).otherwise(0.0)
+    v1 = 100 + 15 * placed("novelty") + 1.5 * placed("staples") + 12 * F.col("unique_main_ratio") - 30 * F.col("type_ratio_distance_l1")
+    parts = {k: zero(f"{k}_score") for k in V2_WEIGHTS}
     v2 = clamp(sum((V2_WEIGHTS[k] * parts[k] for k in V2_WEIGHTS), F.lit(0.0)))
-    return rows.select("deck_id", "format", v1.alias("score_v1"), v2.alias("score_v2"), *(parts[k].alias(f"{k}_score") for k in V2_WEIGHTS), zero("unique_ratio").alias("unique_ratio"))
+    return rows.select("deck_id", "format", v1.alias("score_v1"), v2.alias("score_v2"), *(parts[k].alias(f"{k}_score") for k in V2_WEIGHTS), F.col("unique_main_ratio").alias("unique_ratio"))
 
 
 #: What a deck's diagnostics map may hold (fixed values).
@@ -117,19 +178,14 @@ def score_records(decks: DataFrame, entries: DataFrame, embeddings: DataFrame, s
     card_id, copies, is_known and card attributes. The main deck alone is scored. Absent diagnostics, flags and errors are 0;
     decks without cards have records too.
     """
-    main = entries.where("zone = 'main'")
     zero = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v))
-    sizes = entries.groupBy("deck_id").agg(
-        F.sum(F.when(F.col("zone") == "main", F.col("copies"))).alias("main_size"), F.sum(F.when(F.col("zone") == "extra", F.col("copies"))).alias("extra_size"), F.count_if(F.col("zone") == "main").alias("unique_main_count"))
-    balance = deck_balance(decks.select("deck_id", "format"), main.where("is_known"))
-    rows = decks.join(balance.drop("format"), "deck_id").join(sizes, "deck_id", "left").join(deck_synergy(main, embeddings), "deck_id", "left").join(deck_consistency(main, starters), "deck_id", "left")
+    rows = measured(decks, entries, embeddings, starters)
     count = lambda name: F.coalesce(F.try_element_at("diagnostics", F.lit(name)), F.lit(0)).cast("bigint")
     flags = F.coalesce(F.map_values("flags"), F.array().cast("array<boolean>"))
     rows = rows.withColumns({
-        **{n: count(n) for n in DIAGNOSTICS}, **{c: zero(c, 0) for c in ("main_size", "extra_size", "unique_main_count", "starters", "starter_kinds")},
+        **{n: count(n) for n in DIAGNOSTICS},
         "constraint_flags_passed": F.size(F.filter(flags, lambda x: F.coalesce(x, F.lit(False)))), "constraint_flags_total": F.size(flags), "error_count": F.coalesce(F.size("errors"), F.lit(0)),
-        **{c: zero(c) for c in ("consistency_score", "brick_risk_score", "coverage", "mean_pairwise_cosine", "mean_centroid_cosine", "hit_rate", "brick_rate")}, "synergy_score": zero("synergy_score", 50.0)})
-    rows = rows.withColumn("unique_main_ratio", F.when(F.col("main_size") > 0, F.col("unique_main_count") / F.col("main_size")).otherwise(0.0))
+        **{c: zero(c) for c in ("consistency_score", "brick_risk_score", "coverage", "hit_rate", "brick_rate")}})
     v1 = 100 + 15 * F.col("num_novelty_cards") + 1.5 * F.col("num_staples_injected") + 12 * F.col("unique_main_ratio") - 30 * F.col("type_ratio_distance_l1")
     v2 = clamp(sum((V2_WEIGHTS[k] * F.col(f"{k}_score") for k in V2_WEIGHTS), F.lit(0.0)))
     named = {"hit_rate": "starter_hit_rate", "brick_rate": "brick_hand_rate", "coverage": "main_embedding_coverage", "mean_pairwise_cosine": "main_avg_pairwise_similarity", "mean_centroid_cosine": "main_centroid_similarity"}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import hash01, is_extra
 from ..operators import features as X
@@ -50,12 +51,8 @@ def starter_rules(spark: S, d: str) -> DataFrame:
     return view(spark, d, "cards").select("id", SC.starter_like(F.col("descr"), F.col("type")).alias("starter"), SC.enabler_like(F.col("descr"), F.col("type")).alias("enabler"))
 
 
-def _consistency(spark: S, d: str) -> DataFrame:
-    return SC.deck_consistency(_main(spark, d), role_ids(spark, d))
-
-
 def deck_consistency(spark: S, d: str) -> DataFrame:
-    return rounded(_consistency(spark, d))
+    return rounded(SC.deck_consistency(_main(spark, d), role_ids(spark, d)))
 
 
 def _scores(spark: S, d: str, decks: DataFrame | None = None) -> DataFrame:
@@ -65,25 +62,30 @@ def _scores(spark: S, d: str, decks: DataFrame | None = None) -> DataFrame:
         decks = view(spark, d, "decks").drop("status")
     else:
         entries = entries.join(decks.select("deck_id"), "deck_id", "left_semi")
-    facts = entries.groupBy("deck_id").agg((F.count(F.lit(1)) / F.sum("copies")).alias("unique_ratio")).withColumns({"staples": F.col("deck_id") % 6, "novelty": F.col("deck_id") % 4})
-    balance = SC.deck_balance(decks, entries.where("is_known"))
-    return SC.deck_scores(balance, SC.deck_synergy(entries, view(spark, d, "assign").select("card_id", "embedding")), _consistency(spark, d), facts)
+    k = F.col("deck_id")
+    return SC.deck_scores(decks.withColumns({"staples": k % 6, "novelty": k % 4}), entries, view(spark, d, "assign").select("card_id", "embedding"), role_ids(spark, d))
 
 
 def _records(spark: S, d: str) -> DataFrame:
     """Records of all decks with their validation and diagnostics; a deck in seven has none of these."""
     k = F.col("deck_id")
     has = k % 7 != 0
-    checks = _validated(spark, d).select("deck_id", "flags", "errors")
+    entries = saved(_entries(spark, d), "entries")  # read by the scores and the checks
+    checks = _validated(spark, d, entries).select("deck_id", "flags", "errors")
     diagnostics = F.create_map(F.lit("num_staples_injected"), k % 6, F.lit("num_novelty_cards"), k % 4, F.lit("num_repairs"), k % 3)
     decks = view(spark, d, "decks").join(checks, "deck_id", "left").select("deck_id", "format", "status", *(F.when(has, x).alias(n) for x, n in ((diagnostics, "diagnostics"), (F.col("flags"), "flags"), (F.col("errors"), "errors"))))
-    return SC.score_records(decks, _entries(spark, d), view(spark, d, "assign").select("card_id", "embedding"), role_ids(spark, d))
+    return SC.score_records(decks, entries, view(spark, d, "assign").select("card_id", "embedding"), role_ids(spark, d))
+
+
+def _leaves(column: Column, kind: StructType, name: str) -> list[Column]:
+    """All fields of a struct, those of structs within it too, named after their path."""
+    return [x for f in kind for x in (_leaves(column[f.name], f.dataType, f"{name}_{f.name}") if isinstance(f.dataType, StructType) else [column[f.name].alias(f"{name}_{f.name}")])]
 
 
 def score_records(spark: S, d: str) -> DataFrame:
-    e = F.col("evaluation")
-    flat = _records(spark, d).withColumns({"overall": e["overall_score"], "hand": e["draws"]["hand_size"], "weight": e["component_weights"]["synergy"], "starters": e["features"]["starters"], "starter_kinds": e["features"]["starter_kinds"]})
-    return rounded(flat.drop("evaluation"), 5)
+    """The score records with their nested evaluation laid out in columns."""
+    records = _records(spark, d)
+    return rounded(records.select(*records.columns[:-1], *_leaves(F.col("evaluation"), records.schema["evaluation"].dataType, "evaluation")), 5)
 
 
 def deck_scores(spark: S, d: str) -> DataFrame:
@@ -192,8 +194,9 @@ def tag_capacity(spark: S, d: str) -> DataFrame:
     return pairs.join(V.copy_limits(_lists(spark, d)), "card_id", "left").groupBy("tag").agg(F.sum(F.coalesce("max_copies", F.lit(3))).cast("bigint").alias("capacity"))
 
 
-def _validated(spark: S, d: str) -> DataFrame:
-    entries = saved(_entries(spark, d), "entries")  # read by several aggregates
+def _validated(spark: S, d: str, entries: DataFrame | None = None) -> DataFrame:
+    if entries is None:
+        entries = saved(_entries(spark, d), "entries")  # read by several aggregates
     tags = _tags(spark, d).withColumnRenamed("id", "card_id")
     support = V.deck_support(entries, tags, M.tag_matches(tags, _worded(spark, d)))
     ok = support.groupBy("deck_id").agg(F.bool_and(F.col("found") >= F.col("needed")).alias("material_ok"))
@@ -300,6 +303,12 @@ REC = f"""rec as (select b.deck_id, b.format, d.status, case when h then b.deck_
 RECORDS = f"with {ENT}, {BAL}, {SYN}, {CON}, {W}, {TAGS}, {PAIRS}, {SUP}, {LIM}, {VAL}, {ER}, {REC}"
 _DOUBLES = ("unique_main_ratio", "monster_ratio", "spell_ratio", "trap_ratio", "type_ratio_distance_l1", "balance_score", "consistency_score", "brick_risk_score", "starter_hit_rate", "brick_hand_rate", "synergy_score", "main_embedding_coverage", "main_avg_pairwise_similarity", "main_centroid_similarity", "heuristic_score_v1", "heuristic_score_v2")
 
+_FEATURES = ("main_embedding_coverage", "main_avg_pairwise_similarity", "main_centroid_similarity", "type_ratio_distance_l1")
+_EVALUATION = ", ".join((
+    "round(heuristic_score_v2, 5) + 0.0 evaluation_overall_score", *(f"round({k}_score, 5) + 0.0 evaluation_{k}_score, {w}::double evaluation_component_weights_{k}" for k, w in SC.V2_WEIGHTS.items()),
+    "5 evaluation_draws_hand_size", *(f"round({k}, 5) + 0.0 evaluation_draws_{k}" for k in ("starter_hit_rate", "brick_hand_rate")),
+    *(f"{k} evaluation_features_{k}" for k in ("starter_kinds", "starters")), *(f"round({k}, 5) + 0.0 evaluation_features_{k}" for k in _FEATURES)))
+
 ORACLE_SQL = {
     "deck_entries": with_views(f"with {ENT} select deck_id, card_id, copies, zone, is_known, name, type from ent", "cards", "entries"),
     "deck_balance": with_views(f"with {ENT}, {BAL} select deck_id, format, m monster_count, s spell_count, t trap_count, round(m / z, 6) monster_ratio, round(s / z, 6) spell_ratio, round(t / z, 6) trap_ratio, round(l1, 6) type_ratio_distance_l1, round(greatest(0, least(100, 100 * (1 - l1 / 2))), 6) balance_score from bal", "cards", "entries", "decks"),
@@ -312,7 +321,7 @@ ORACLE_SQL = {
     "score_summary": with_views(f"{ALL} select count(*) n, round(avg(v1), 4) score_v1_mean, round(stddev_pop(v1), 4) score_v1_std, round(min(v1), 4) score_v1_min, round(max(v1), 4) score_v1_max, round(avg(v2), 4) score_v2_mean, round(stddev_pop(v2), 4) score_v2_std, round(min(v2), 4) score_v2_min, round(max(v2), 4) score_v2_max, round(avg(c), 4) consistency_mean, round(avg(s), 4) synergy_mean, round(avg(c), 4) brick_risk_mean, round(avg(b), 4) balance_mean from sco", "cards", "entries", "decks", "assign"),
     "scores_by_format": with_views(f"{ALL} select format, count(*) n, round(avg(v2), 4) mean, round(min(v2), 4) min, round(max(v2), 4) max from sco group by 1", "cards", "entries", "decks", "assign"),
     "top_deck": with_views(f"{ALL} select deck_id, format from sco order by round(v2, 5) desc, deck_id limit 1", "cards", "entries", "decks", "assign"),
-    "score_records": with_views(f"{RECORDS} select * exclude ({', '.join(_DOUBLES)}), {', '.join(f'round({c}, 5) + 0.0 {c}' for c in _DOUBLES)}, round(heuristic_score_v2, 5) overall, 5 hand, 0.3::double weight from record", "cards", "entries", "decks", "assign"),
+    "score_records": with_views(f"{RECORDS} select * exclude (starters, starter_kinds, {', '.join(_DOUBLES)}), {', '.join(f'round({c}, 5) + 0.0 {c}' for c in _DOUBLES)}, {_EVALUATION} from record", "cards", "entries", "decks", "assign"),
     "metrics_long": with_views(f"{RECORDS}, st as (select *, row_number() over (order by deck_id) - 1 step from record) select deck_id, unnest([{', '.join(repr(x) for x in SC.SERIES)}]) metric, round(unnest([{', '.join(f'{x}::double' for x in SC.SERIES)}]), 5) + 0.0 \"value\", step from st", "cards", "entries", "decks", "assign"),
     "deck_files": with_views(f"with {ENT} select deck_id, format, zone, card_id, copies from ent join decks using (deck_id)", "cards", "entries", "decks"),
     "deck_text": with_views(f"with {ENT}, r as (select deck_id, zone, card_id, unnest(range(copies)) k from ent) select deck_id, '#main' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'main'), '') || chr(10) || '#extra' || coalesce(chr(10) || string_agg(card_id, chr(10) order by card_id) filter (zone = 'extra'), '') || chr(10) || '!side' || chr(10) \"text\" from r group by 1", "cards", "entries"),
