@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, dot, doubles, unit
 from .blocks import beside
+from .labels import LABEL, heuristic_label
 
 NOISE = -1
 #: Cluster roles by token, the first that occurs (fixed values).
@@ -124,11 +125,26 @@ def cluster_roles(rows: DataFrame, text: str = "descr") -> DataFrame:
     return rows.groupBy("cluster_id").agg(*flags).select("cluster_id", case.alias("functional_role"))
 
 
-def metadata_records(assign: DataFrame, rows: DataFrame, text: str = "descr") -> DataFrame:
-    """A record for each cluster, noise included: size, label by role, review status, medoid, and a struct of ten
-    representative cards, frequent terms, types and archetypes, quality, and whether it is the noise.
+def noise_summary(assign: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: noise cards, their share, and as JSON their ten commonest types and archetypes and the 15 clusters that most of
+    them are nearest to; without noise the objects are empty. Arguments as for metadata_records."""
+    noise = F.col("cluster_id") == NOISE
+    named = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    values = rows.where(noise).select(F.inline(F.array(*(named(k, F.coalesce(k, F.lit("unknown"))) for k in ("type", "archetype")))))
+    near = nearest_clusters(assign).where("nearest_cluster_id is not null").select(named("nearest", F.col("nearest_cluster_id").cast("string")).alias("x")).select("x.*")
+    top = top_values(values.unionByName(near), ["kind"], F.col("value"), 15).where((F.col("kind") == "nearest") | (F.col("nth") <= 10))
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("counts"))), F.lit("{}"))
+    counts = as_map(top, ["kind"], "counts").agg(of("type").alias("types"), of("archetype").alias("archetypes"), of("nearest").alias("nearest_clusters"))
+    return assign.agg(F.count_if(noise).alias("noise_cards"), (F.count_if(noise) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("noise_ratio")).join(counts)  # one row each
 
-    assign: card_id, cluster_id, prob, embedding; rows: assign with the cards' name, type, archetype and text.
+
+def metadata_records(assign: DataFrame, rows: DataFrame, text: str = "descr", labels: DataFrame | None = None) -> DataFrame:
+    """A record for each cluster, noise included: size, label, review status, medoid, and a struct of ten representative
+    cards, frequent terms, types and archetypes, quality, reasoning, and for the noise its summary.
+
+    assign: card_id, cluster_id, prob, embedding; rows: assign with the cards' name, type, archetype and text; labels:
+    cluster_id and LABEL, as ingest_labels gives them, at most a row a cluster. Clusters without one, and the noise, are
+    labelled by their role.
     """
     every = assign.withColumn("cluster_id", F.col("cluster_id") + 1 - NOISE)  # the noise is described like any cluster
     own = rows.withColumn("cluster_id", F.col("cluster_id") + 1 - NOISE)
@@ -139,12 +155,20 @@ def metadata_records(assign: DataFrame, rows: DataFrame, text: str = "descr") ->
     cards = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("card_id", F.col("name").alias("card_name")))).alias("representative_cards"))
     out = quality(every).join(medoids(every).select("cluster_id", "medoid_card_id"), key).join(cluster_roles(own, text), key).join(spread("type", "type_distribution"), key).join(spread("archetype", "archetype_distribution"), key)
     out = out.join(words, key, "left").join(cards, key)
+    is_noise = F.col("cluster_id") == 1
+    own_label = F.struct(*(c.alias(n) for n, c in heuristic_label(F.col("functional_role")).items()))
+    if labels is None:
+        label = own_label
+    else:
+        out = out.join(labels.select((F.col("cluster_id") + 1 - NOISE).alias("cluster_id"), F.struct(*LABEL).alias("_label")), key, "left")
+        label = F.when(is_noise | F.col("_label").isNull(), own_label).otherwise(F.col("_label"))
+    summary = noise_summary(assign, rows)
+    out = out.withColumn("label", label).join(F.broadcast(summary.select(F.lit(1).cast(out.schema["cluster_id"].dataType).alias("cluster_id"), F.struct(*summary.columns).alias("noise_summary"))), key, "left")
     found = F.struct(
         "representative_cards", F.coalesce("top_terms", F.array().cast("array<string>")).alias("top_terms"), "type_distribution", "archetype_distribution", F.struct("mean_prob", "mean_outlier", "avg_similarity").alias("quality_metrics"),
-        F.concat(F.lit("heuristic:"), F.col("functional_role")).alias("reasoning"), (F.col("cluster_id") == 1).alias("noise_cluster"))
+        F.col("label.reasoning").alias("reasoning"), is_noise.alias("noise_cluster"), "noise_summary")
     return out.select(
-        (F.col("cluster_id") - 1 + NOISE).alias("cluster_id"), F.col("size").alias("cluster_size"), "functional_role", F.translate("functional_role", "_", " ").alias("label_hint"), F.lit(0.55).alias("label_confidence"),
-        F.concat(F.lit("heuristic:"), F.col("functional_role")).alias("label_source"), F.lit("unreviewed").alias("review_status"), "medoid_card_id", found.alias("metadata"))
+        (F.col("cluster_id") - 1 + NOISE).alias("cluster_id"), F.col("size").alias("cluster_size"), *(F.col("label")[c].alias(c) for c in LABEL if c != "reasoning"), F.lit("unreviewed").alias("review_status"), "medoid_card_id", found.alias("metadata"))
 
 
 def structural_score(metrics: DataFrame, w: ScoreWeights = ScoreWeights()) -> DataFrame:

@@ -108,9 +108,9 @@ def cutoff_counts(spark: S, d: str) -> DataFrame:
 
 
 def fk_orphans(spark: S, d: str) -> DataFrame:
-    few = table(spark, d, "part").where("p_partkey % 10 <> 0")
-    lines = table(spark, d, "lineitem")
-    return catalog.orphans(few, "p_partkey", {"lineitem": (lines, "l_partkey"), "odd_lines": (lines.where("l_linenumber % 2 = 1"), "l_partkey")})
+    """Deck entries and cluster assignments whose card is none of the cards, and labels without their document."""
+    found = catalog.orphans(table(spark, d, "part"), "p_partkey", {"lineitem": (table(spark, d, "lineitem"), "l_partkey"), "embeddings": (table(spark, d, "embeddings"), "vec_id")})
+    return found.unionByName(catalog.orphans(table(spark, d, "documents"), "doc_id", {"labels": (table(spark, d, "labels"), "doc_id")}))
 
 
 def row_counts(spark: S, d: str) -> DataFrame:
@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "type_bucket": with_views("select id, case when type like '%Spell%' then 'spell' when type like '%Trap%' then 'trap' else 'monster' end sampling, case when type like '%Monster%' then 'monster' when type like '%Spell%' then 'spell' when type like '%Trap%' then 'trap' end scoring from cards", "cards"),
     "cutoff_counts": with_views("select '2008-12-31' cutoff, count(*) filter (try_cast(tcg_date as date) <= date '2008-12-31') kept, count(*) - count(*) filter (try_cast(tcg_date as date) <= date '2008-12-31') dropped from cards union all select c, count(*), 0 from cards, (values ('soon'), ('None')) v(c) group by c", "cards"),
     "release_cutoff": with_views("select id, tcg_date from cards where try_cast(tcg_date as date) <= date '2008-12-31'", "cards"),
-    "fk_orphans": "select 'lineitem' child, count(*) orphans from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 10 <> 0) union all select 'odd_lines', count(*) from lineitem where l_linenumber % 2 = 1 and l_partkey not in (select p_partkey from part where p_partkey % 10 <> 0)",
+    "fk_orphans": " union all ".join(f"select '{c}' child, count(*) orphans from {c} left join {p} on {x} = {y} where {x} is not null and {y} is null" for c, x, p, y in (("lineitem", "l_partkey", "part", "p_partkey"), ("embeddings", "vec_id", "part", "p_partkey"), ("labels", "labels.doc_id", "documents", "documents.doc_id"))),
     "row_counts": " union all ".join(f"select '{t}' table_name, count(*) n_rows from {t}" for t in ("part", "orders", "lineitem", "customer")),
     "range_check": " union all ".join(f"select '{c}' column_name, cast(min({c}) as bigint) min_value, cast(max({c}) as bigint) max_value, min({c}) >= {lo} and max({c}) <= {hi} in_range from lineitem" for c, lo, hi in (("l_orderkey", -2147483648, 2147483647), ("l_partkey", 0, 1000), ("l_linenumber", 0, 32767))),
     "duplicate_keys": "select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1",

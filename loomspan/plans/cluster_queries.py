@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles, unit
 from ..operators import clusters as C
 from ..operators import features as X
+from ..operators.labels import ingest_labels
 from .adapters import rounded, table, view, with_views
 
 S = SparkSession
@@ -186,28 +187,19 @@ def cluster_metadata(spark: S, d: str) -> DataFrame:
     m = _metadata(spark, d)
     q = F.col("metadata.quality_metrics")
     return rounded(m.select(*m.columns[:-1], q["mean_prob"].alias("mean_prob"), q["mean_outlier"].alias("mean_outlier"), q["avg_similarity"].alias("avg_similarity"), F.array_join("metadata.top_terms", " ").alias("top_terms"),
-                            F.array_join(F.transform("metadata.representative_cards", lambda x: F.concat_ws(":", x["card_id"], x["card_name"])), "|").alias("representatives"), "metadata.type_distribution", "metadata.archetype_distribution", "metadata.reasoning", "metadata.noise_cluster"))
+                            F.array_join(F.transform("metadata.representative_cards", lambda x: F.concat_ws(":", x["card_id"], x["card_name"])), "|").alias("representatives"), "metadata.type_distribution", "metadata.archetype_distribution", "metadata.reasoning", "metadata.noise_cluster", *(F.col("metadata.noise_summary")[c].alias(f"noise_{c.removeprefix('noise_')}") for c in ("noise_cards", "noise_ratio", "types", "archetypes", "nearest_clusters"))))
 
 
 def label_ingest(spark: S, d: str) -> DataFrame:
-    """Labels from JSON texts made of events: objects, lists, nested results and broken ones."""
-    e = F.col("event_id")
-    raw = F.when(e % 5 == 0, F.lit("not json")).when(e % 5 == 1, F.concat(F.lit('{"role": "'), F.col("event_type"), F.lit('", "hint": "h'), e, F.lit('", "confidence": 0.9}'))).when(
-        e % 5 == 2, F.concat(F.lit('[{"role": "draw", "hint": "h'), e, F.lit('"}]'))).when(e % 5 == 3, F.concat(F.lit('{"result": {"role": "removal", "confidence": 0.'), F.col("user_id"), F.lit("}}"))).otherwise(F.lit("[]"))
-    return rounded(ingest_labels(table(spark, d, "events").select("event_id", raw.alias("raw")), "event_id", "raw"))
-
-
-ROLES = ("starter", "extender", "searcher", "draw", "removal", "negation", "board_breaker", "floodgate", "graveyard_setup", "graveyard_hate", "recursion", "protection", "burn", "battle_trick", "archetype_core", "misc")
-
-
-def ingest_labels(rows: DataFrame, key: str, raw: str) -> DataFrame:
-    """role (outside the vocabulary: misc), hint, confidence (default 0.5; fallback 0.55) and why a text was refused."""
-    v = F.try_parse_json(F.col(raw))
-    got = lambda path, kind: F.coalesce(*(F.try_variant_get("v", p + path, kind) for p in ("$.result", "$[0]", "$")))
-    p = rows.select(key, v.alias("v")).select(key, F.col("v").isNotNull().alias("parsed"), got(".role", "string").alias("role"), got(".hint", "string").alias("hint"), got(".confidence", "double").alias("confidence"))
-    reason = F.when(~F.col("parsed"), "not_json").when(F.col("role").isNull(), "no_role")
-    return p.select(key, F.when(reason.isNotNull(), "misc").when(F.col("role").isin(*ROLES), F.col("role")).otherwise("misc").alias("role"), F.when(reason.isNull(), F.substring(F.coalesce("hint", F.lit("")), 1, 120)).otherwise("misc").alias("hint"),
-                    F.when(reason.isNull(), F.coalesce("confidence", F.lit(0.5))).otherwise(0.55).alias("confidence"), F.coalesce(reason, F.lit("")).alias("failure"))
+    """Each event's label of a cluster: objects, lists, nested results, and texts that are none of these."""
+    e, kind = F.col("event_id").cast("string"), F.col("event_type")
+    q = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    raws = F.array(
+        F.lit("not json"), q('{"functional_role": " Draw ", "label_hint": "h', e, '", "label_confidence": 0.9, "reasoning": " ', F.repeat(q(kind, "-"), 100), '"}'),
+        q('[{"functional_role": "removal", "reasoning": "r', e, '"}]'), q('{"result": {"functional_role": "', kind, '", "label_hint": null, "label_confidence": "0.', F.col("user_id").cast("string"), '"}}'),
+        F.lit("[]"), F.lit("[7]"), F.lit("7"), F.lit('{"functional_role": "burn", "label_confidence": "high"}'))
+    answers = table(spark, d, "events").select("event_id", (F.col("user_id") % 12).cast("int").alias("cluster_id"), F.get(raws, (F.col("event_id") % 8).cast("int")).alias("raw"))
+    return rounded(ingest_labels(answers, "raw", cluster_role(spark, d)))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -240,6 +232,10 @@ TYPES = "typ as (select cluster_id, '{' || string_agg('\"' || v || '\":' || n, '
 ARCHES = TYPES.replace("typ as", "arc as").replace("coalesce(type,", "coalesce(archetype,").replace(" types from", " archetypes from")
 
 
+#: Counts of the commonest values as a JSON object: value, rows, how many.
+_NOISE = "select '{{' || string_agg('\"' || v || '\":' || n, ',' order by n desc, v) || '}}' from (select {} v, count(*) n from {} group by 1 qualify row_number() over (order by count(*) desc, v) <= {})"
+
+
 def ALL(sql: str) -> str:
     """The same with the noise as one more cluster."""
     return sql.replace(" where cluster_id <> -1", "")
@@ -280,12 +276,18 @@ ORACLE_SQL = {
     "top_clusters": with_views(f"with {TYPES}, {ARCHES} select cluster_id, count(*) size, types, archetypes from assign join typ using (cluster_id) join arc using (cluster_id) group by cluster_id, types, archetypes order by size desc, cluster_id limit 5", "assign", "cards"),
     "cluster_examples": with_views(f"""with {CENT}, r as (select cluster_id, card_id, row_number() over (partition by cluster_id order by d, card_id) a, row_number() over (partition by cluster_id order by md5('42|' || card_id), card_id) b, row_number() over (partition by cluster_id order by prob, card_id) c from dist)
       select cluster_id, card_id, 'medoid' kind, 1 nth from r where a = 1 union all select cluster_id, card_id, 'closest', cast(a as integer) from r where a <= 5 union all select cluster_id, card_id, 'random', cast(b as integer) from r where b <= 5 union all select cluster_id, card_id, 'unsure', cast(c as integer) from r where c <= 5""", "assign"),
-    "cluster_metadata": with_views(f"""with {ALL(CENT)}, {ALL(ROLE)}, {ALL(TYPES)}, {ALL(ARCHES)}, q as (select cluster_id, count(*) cluster_size, round(avg(prob), 6) mean_prob, round(avg(1 - prob), 6) mean_outlier, round(avg(greatest(-1, least(1, 1 - d))), 6) avg_similarity from dist group by 1),
+    "cluster_metadata": with_views(f"""with {UNIT}, {NEAR}, {ALL(CENT)}, {ALL(ROLE)}, {ALL(TYPES)}, {ALL(ARCHES)}, q as (select cluster_id, count(*) cluster_size, round(avg(prob), 6) mean_prob, round(avg(1 - prob), 6) mean_outlier, round(avg(greatest(-1, least(1, 1 - d))), 6) avg_similarity from dist group by 1),
       m as (select cluster_id, card_id medoid_card_id from dist qualify row_number() over (partition by cluster_id order by d, card_id) = 1),
       w as (select cluster_id, string_agg(v, ' ' order by n desc, v) top_terms from (select cluster_id, lower(t) v, count(*) n from (select cluster_id, unnest(regexp_extract_all(coalesce(descr, ''), '[a-zA-Z0-9_]+')) t from assign left join cards on id = card_id) where length(t) > 2 group by 1, 2 qualify row_number() over (partition by cluster_id order by count(*) desc, lower(t)) <= 20) group by 1),
       r as (select cluster_id, string_agg(concat_ws(':', card_id, name), '|' order by card_id) representatives from (select cluster_id, card_id, name from assign left join cards on id = card_id qualify row_number() over (partition by cluster_id order by card_id) <= 10) group by 1)
-      select q.*, medoid_card_id, functional_role, types type_distribution, archetypes archetype_distribution, coalesce(top_terms, '') top_terms, representatives, replace(functional_role, '_', ' ') label_hint, 0.55::double label_confidence, 'heuristic:' || functional_role label_source, 'heuristic:' || functional_role reasoning, 'unreviewed' review_status, cluster_id = -1 noise_cluster
+      select q.*, medoid_card_id, functional_role, types type_distribution, archetypes archetype_distribution, coalesce(top_terms, '') top_terms, representatives, replace(functional_role, '_', ' ') label_hint, 0.55::double label_confidence, 'heuristic:' || functional_role label_source, 'heuristic:' || functional_role reasoning, 'unreviewed' review_status, cluster_id = -1 noise_cluster,
+        case when cluster_id = -1 then (select count(*) from assign where cluster_id = -1) end noise_cards, case when cluster_id = -1 then round((select count(*) filter (cluster_id = -1) / greatest(1, count(*)) from assign), 6) end noise_ratio,
+        case when cluster_id = -1 then coalesce(({_NOISE.format("coalesce(type, 'unknown')", "assign left join cards on id = card_id where cluster_id = -1", 10)}), '{{}}') end noise_types,
+        case when cluster_id = -1 then coalesce(({_NOISE.format("coalesce(archetype, 'unknown')", "assign left join cards on id = card_id where cluster_id = -1", 10)}), '{{}}') end noise_archetypes,
+        case when cluster_id = -1 then coalesce(({_NOISE.format("cast(id as varchar)", "near", 15)}), '{{}}') end noise_nearest_clusters
       from q join m using (cluster_id) join rol using (cluster_id) join typ using (cluster_id) join arc using (cluster_id) left join w using (cluster_id) join r using (cluster_id)""", "assign", "cards"),
-    "label_ingest": """select event_id, case event_id % 5 when 2 then 'draw' when 3 then 'removal' else 'misc' end "role", case event_id % 5 when 1 then 'h' || event_id when 2 then 'h' || event_id when 3 then '' else 'misc' end hint,
-      case event_id % 5 when 1 then 0.9 when 2 then 0.5 when 3 then cast('0.' || user_id as double) else 0.55 end::double confidence, case event_id % 5 when 0 then 'not_json' when 4 then 'no_role' else '' end failure from events""",
+    "label_ingest": with_views(f"""with {ROLE}, e as (select event_id, cast(user_id % 12 as integer) cluster_id, user_id, event_type, event_id % 8 k, coalesce(functional_role, 'misc') r from events left join rol on rol.cluster_id = user_id % 12)
+      select event_id, cluster_id, case k when 1 then 'draw' when 2 then 'removal' when 3 then 'misc' else r end functional_role, case k when 1 then 'h' || event_id when 2 then 'removal' when 3 then 'misc' else replace(r, '_', ' ') end label_hint,
+        round(case k when 1 then 0.9 when 2 then 0.5 when 3 then cast('0.' || user_id as double) else 0.55 end::double, 6) label_confidence, case k when 1 then left(repeat(event_type || '-', 100), 400) when 2 then 'r' || event_id when 3 then '' else 'heuristic:' || r end reasoning,
+        case when k in (1, 2, 3) then 'answer' else 'heuristic:' || r end label_source, case k when 0 then 'not_json' when 4 then 'empty_list' when 5 then 'list_without_object' when 6 then 'no_object' when 7 then 'bad_confidence' else '' end failure from e""", "assign", "cards"),
 }

@@ -21,10 +21,9 @@ S = SparkSession
 
 
 def _entries(spark: S, d: str) -> DataFrame:
-    """Entries with attributes; extra-type cards with an even id are in the extra deck. One part in 40 is an unknown card."""
-    known = view(spark, d, "cards").where("id % 40 <> 1")
+    """Entries with attributes; extra-type cards with an even id are in the extra deck."""
     zone = F.when(is_extra(F.col("type")) & (F.col("card_id") % 2 == 0), "extra").otherwise("main")
-    return SC.deck_entries(view(spark, d, "entries"), known).withColumn("zone", zone)
+    return SC.deck_entries(view(spark, d, "entries"), view(spark, d, "cards")).withColumn("zone", zone)
 
 
 def deck_entries(spark: S, d: str) -> DataFrame:
@@ -238,7 +237,7 @@ QUERIES = {f.__name__: f for f in (
     deck_entries, deck_balance, deck_synergy, role_ids, starter_rules, deck_consistency, deck_scores, scored_stream, score_records, score_summary, scores_by_format, top_deck, metrics_long, deck_text, deck_files, copy_limits, material_clause, material_tags, named_materials,
     requirement_label, material_support, tag_capacity, validate_decks, failed_flags, failed_combos, pendulum_path, top_level, primary_cluster)}
 
-ENT = "ent as (select e.*, c.id is not null is_known, name, type, descr, race, archetype, level, attribute, scale, tcg_date, case when regexp_matches(lower(type), 'fusion|synchro|xyz|link') and card_id % 2 = 0 then 'extra' else 'main' end zone from entries e left join (select * from cards where id % 40 <> 1) c on id = card_id)"
+ENT = "ent as (select e.*, c.id is not null is_known, name, type, descr, race, archetype, level, attribute, scale, tcg_date, case when regexp_matches(lower(type), 'fusion|synchro|xyz|link') and card_id % 2 = 0 then 'extra' else 'main' end zone from entries e left join cards c on id = card_id)"
 TAR = "case lower(format) when 'goat' then {0} when 'hat' then {1} else {2} end"
 BAL = f"""cnt as (select deck_id, sum(copies) filter (type like '%Monster%') m, sum(copies) filter (type not like '%Monster%' and type like '%Spell%') s, sum(copies) filter (type not like '%Monster%' and type like '%Trap%') t from ent where is_known and zone = 'main' group by 1),
  bal0 as (select d.deck_id, format, coalesce(m, 0) m, coalesce(s, 0) s, coalesce(t, 0) t, greatest(coalesce(m, 0) + coalesce(s, 0) + coalesce(t, 0), 1) z from decks d left join cnt using (deck_id)),
