@@ -63,10 +63,14 @@ def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 384) -> Data
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dim
     counts = rows.select(key, F.explode_outer(words).alias("word")).groupBy(key, bucket.alias("bucket")).agg(F.count("word").cast("double").alias("n"))
-    filled = F.filter(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))), lambda x: x.isNotNull())
-    packed = counts.groupBy(key).agg(F.map_from_entries(filled).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)))
-    return packed.select(key, F.when(F.col("size") == 0, F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+    filled = F.array_sort(F.filter(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))), lambda x: x.isNotNull()))
+    packed = counts.groupBy(key).agg(filled.alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    bucket_at = lambda i: F.get("m", i)["bucket"]
+    # each bucket with the empty ones before it, then the rest
+    filled_runs = F.transform("m", lambda x, i: F.concat(zeros(x["bucket"] - 1 - F.coalesce(bucket_at(i - 1), F.lit(-1))), F.array(x["n"] / F.col("size"))))
+    rest = zeros(dim - 1 - F.coalesce(bucket_at(F.size("m") - 1), F.lit(-1)))
+    return packed.select(key, F.flatten(F.concat(filled_runs, F.array(rest))).alias("embedding"))
 
 
 def kv_documents(features: DataFrame, roles: DataFrame) -> DataFrame:

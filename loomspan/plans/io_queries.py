@@ -122,14 +122,19 @@ def resume_pending(spark: S, d: str) -> DataFrame:
     return incremental.pending(view(spark, d, "decks"), done, ["deck_id"])
 
 
+SUMMARY = "seed long, total long, main_candidates long, extra_candidates long, formats array<struct<format: string, n: long, accepted: long, rejected: long>>"
+
+
 def run_summary(spark: S, d: str) -> DataFrame:
-    """Accepted and rejected decks for each format, from progress rows written by format."""
-    at = new_path(spark, "progress")
+    """Accepted and rejected decks for each format, from progress rows written by format, through the run's summary file."""
+    at, file = new_path(spark, "progress"), new_path(spark, "summary")
     view(spark, d, "decks").withColumn("part", F.coalesce("format", F.lit("none"))).write.partitionBy("part").parquet(at)
     rows = spark.read.schema("deck_id long, format string, status string, part string").parquet(at)
     counts = rows.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    formats = counts.agg(F.lit(1).alias("seed"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("format", "n", "accepted", "rejected"))).alias("formats"))  # a row a format
     pools = view(spark, d, "cards").agg(F.count_if(~is_extra(F.col("type"))).alias("main_candidates"), F.count_if(is_extra(F.col("type"))).alias("extra_candidates"))
-    return counts.join(F.broadcast(pools))  # one row
+    writers.write_summary(formats.join(pools), file)  # one row each
+    return spark.read.schema(SUMMARY).json(file).select(F.inline("formats"), "main_candidates", "extra_candidates")
 
 
 def final_cluster_records(spark: S, d: str) -> DataFrame:

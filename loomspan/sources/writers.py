@@ -1,4 +1,4 @@
-"""Writers: tables, JSON lines, CSV reports, versions and replace-or-append loads."""
+"""Writers: tables, JSON lines, summaries, CSV reports, versions and replace-or-append loads."""
 
 from __future__ import annotations
 
@@ -15,6 +15,13 @@ def write_jsonl(df: DataFrame, at: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(at)
 
 
+def write_summary(row: DataFrame, at: str) -> None:
+    """A table of one row as one JSON document, nulls written; more rows are an error."""
+    whole = row.groupBy().agg(F.count(F.lit(1)).alias("n"), F.first(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"})).alias("value"))
+    one = F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a summary has one row, not "), F.col("n"))))
+    whole.select(one.alias("value")).write.mode("overwrite").text(at)
+
+
 def write_csv(df: DataFrame, at: str) -> None:
     """With a header; nested columns as JSON text."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]

@@ -1,4 +1,4 @@
-"""Labels from JSON texts, records that take them, and scores of decks with unknown cards."""
+"""Labels from JSON texts, records that take them, scores of decks with unknown cards, summaries and hashed words."""
 
 import json
 
@@ -100,3 +100,30 @@ def test_unknown_cards_fail_their_rule(spark):
 def test_orphans(spark):
     child = spark.createDataFrame([(1,), (5,), (5,)], "card int")
     assert [tuple(r) for r in catalog.orphans(spark.createDataFrame([(1,), (2,)], "id int"), "id", {"child": (child, "card")}).collect()] == [("child", 2)]
+
+
+def test_a_summary_is_one_document(spark, tmp_path):
+    from loomspan.sources import writers
+
+    row = spark.sql("select 3L n, cast(null as string) note, array(named_struct('format', 'GOAT', 'n', 2L)) formats")
+    writers.write_summary(row, str(tmp_path / "summary"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "summary").glob("part-*")))
+    assert json.loads(text) == {"n": 3, "note": None, "formats": [{"format": "GOAT", "n": 2}]}
+    with pytest.raises(Exception, match="one row, not 2"):
+        writers.write_summary(row.unionAll(row), str(tmp_path / "two"))
+
+
+def test_hash_embedding_of_repeated_keys_and_no_words(spark):
+    import hashlib
+
+    from loomspan.operators.features import hash_embedding
+
+    rows = [(1, "Tuner tuner monster"), (1, "spell"), (2, None), (3, "?!"), (4, "x " * 1000)]
+    got = {r.id: r.embedding for r in hash_embedding(spark.createDataFrame(rows, "id int, text string"), "id", "text", 16).collect()}
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16
+    counts = [0.0] * 16
+    for w in ("tuner", "tuner", "monster", "spell"):
+        counts[place(w)] += 1
+    size = sum(c * c for c in counts) ** 0.5
+    assert got[1] == pytest.approx([c / size for c in counts])
+    assert got[2] == got[3] == [0.0] * 16 and got[4] == [float(i == place("x")) for i in range(16)]
