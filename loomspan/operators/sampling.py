@@ -260,9 +260,17 @@ def support_injection(specs: DataFrame, picks: DataFrame, candidates: DataFrame,
 
 
 def ratio_jitter(specs: DataFrame, base: dict[str, float], jitter: float, seed: int = 1, tries: int = 200) -> DataFrame:
-    """deck_id, monster, spell, trap: the first of `tries` draws within the jitter of every base share, else the base."""
+    """deck_id, monster, spell, trap: the first of `tries` draws within the jitter of every base share, else the base.
+
+    Draws are made in runs, each longer than all before it, and a run is looked at only if none before it had a valid one.
+    """
     draw = lambda name, i: F.lit(base[name]) + F.lit(jitter) * (2 * hash01(seed, F.lit(name), "deck_id", i) - 1)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(draw("monster", i).alias("monster"), draw("spell", i).alias("spell")))
-    valid = F.filter(draws, lambda x: (F.abs(1 - x["monster"] - x["spell"] - F.lit(base["trap"])) <= jitter) & (x["monster"] >= 0) & (x["spell"] >= 0) & (1 - x["monster"] - x["spell"] >= 0))
-    first = F.coalesce(F.get(valid, F.lit(0)), F.struct(F.lit(base["monster"]).alias("monster"), F.lit(base["spell"]).alias("spell")))
+    valid = lambda x: (F.abs(1 - x["monster"] - x["spell"] - F.lit(base["trap"])) <= jitter) & (x["monster"] >= 0) & (x["spell"] >= 0) & (1 - x["monster"] - x["spell"] >= 0)
+    runs, start = [], 0
+    while start < tries:
+        stop = min(tries, 4 * start or 1)
+        draws = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda i: F.struct(draw("monster", i).alias("monster"), draw("spell", i).alias("spell")))
+        runs.append(F.get(F.filter(draws, valid), F.lit(0)))
+        start = stop
+    first = F.coalesce(*runs, F.struct(F.lit(base["monster"]).alias("monster"), F.lit(base["spell"]).alias("spell")))
     return specs.select("deck_id", first.alias("x")).select("deck_id", "x.monster", "x.spell", (1 - F.col("x.monster") - F.col("x.spell")).alias("trap"))
