@@ -8,6 +8,34 @@ from loomspan.operators import materials, sampling
 from loomspan.plans import deck_queries
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["metrics_long", "score_records", "validate_decks", "material_support", "deck_scores", "deck_synergy", "deck_consistency"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    """But for the rules of the formats, the tags' rarest grams and the parts of numbered rows."""
+    text = plan(deck_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    joins = [x for x in text.split("\n") if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+    assert all(any(f"[{c}#" in x for c in ("_format", "_part", "gram")) for x in joins) and text.count("SortMergeJoin") > 0
+
+
+def test_decks_are_dealt_before_their_sums(spark):
+    """No sums of 64 dimensions are made where a deck's entries lie apart: nothing is summed below the exchange by deck."""
+    steps = plan(deck_queries.deck_scores(spark, "/root/testdata/sf0.001")).split("\n")
+    wide = [i for i, x in enumerate(steps) if "HashAggregate(keys=[deck_id" in x and "partial_sum" in x]
+    assert wide and all(any("REPARTITION_BY_NUM" in x for x in steps[i + 1 : i + 4]) for i in wide)
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_gram_index_with_few_and_many_grams(spark, monkeypatch, few):
+    monkeypatch.setattr(materials, "FEW_GRAMS", few)
+    cards = spark.createDataFrame([(1, "Effect Monster", "DARK", "Dragon", None, "Red Moon", "x"), (2, "Tuner Monster", "dark", "a", "Brand#1", "b", None), (3, "Spell Card", "DARK", "Dragon", None, "Red Moon", "x")], "id long, type string, attribute string, race string, archetype string, name string, descr string")
+    tags = spark.createDataFrame([("attr_monster:dark",), ("type:dragon:monster",), ("brand#1",), ("card_name:red moon",), ("attr:fire:tuner",), ("attr:dark:tuner",)], "tag string")
+    got = {tuple(r) for r in materials.tag_matches(tags, cards).collect()}
+    assert got == {("attr_monster:dark", 1), ("attr_monster:dark", 2), ("type:dragon:monster", 1), ("brand#1", 2), ("card_name:red moon", 1), ("attr:dark:tuner", 2)}
+
+
 def test_few_draws_are_made_at_once(spark):
     """The first run is one draw, and later ones are looked at only where it is not valid; all tries together are as before."""
     specs = spark.range(2000).withColumnRenamed("id", "deck_id")
