@@ -12,6 +12,39 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packed_deck_files(spark, tmp_path):
+    """Many decks take few files, which any tar unpacks; archives that no list names are not read; a second run is refused."""
+    import tarfile
+
+    from loomspan.sources import deck_files as DF
+
+    at = tmp_path / "decks"
+    decks = spark.createDataFrame([(i, (None, "GOAT", "a/b =%")[i % 3]) for i in range(-5, 95)], "deck_id long, format string")
+    entries = decks.selectExpr("deck_id", "deck_id * 3 card_id", "2L copies", "if(deck_id % 2 = 0, 'main', 'side') zone").where("deck_id <> 7")
+    DF.write_decks(entries.repartition(2), decks, str(at), pack=20)
+    packed = list(at.rglob("*.tar.gz"))
+    assert not list(at.rglob("*.ydk")) and len(packed) < 40 and (at / "_SUCCESS").read_text() == "100"
+    members = {}
+    for path in packed:
+        with tarfile.open(path) as tar:
+            found = {m.name: tar.extractfile(m).read().decode() for m in tar}
+        assert 0 < len(found) <= 20
+        members |= found
+    assert len(members) == 100 and members["-4.ydk"] == "#main\n-12\n-12\n#extra\n!side\n" and members["7.ydk"] == "#main\n#extra\n!side\n"
+    (at / "format=GOAT" / "failed-0.tar.gz").write_bytes(packed[0].read_bytes())
+    got = sorted(map(tuple, DF.read_decks(spark, str(at)).select("deck_id", "zone", "card_id", "copies").collect()))
+    assert got == sorted(map(tuple, entries.select("deck_id", "zone", "card_id", "copies").collect()))
+    assert {tuple(r) for r in DF.read_decks(spark, str(at)).select("deck_id", "format").distinct().collect()} == {tuple(r) for r in decks.where("deck_id <> 7").collect()}
+    with pytest.raises(PySparkException, match="new folder"):
+        DF.write_decks(entries, decks, str(at), pack=20)
+
+
+def test_the_query_packs_its_deck_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(deck_queries, "new_path", lambda _, name: str(tmp_path / name))
+    assert deck_queries.deck_files(spark, "/root/testdata/sf0.001").count() > 0
+    assert not list(tmp_path.rglob("*.ydk")) and list(tmp_path.rglob("*.tar.gz"))
+
+
 @pytest.mark.parametrize("name", ["metrics_long", "score_records", "validate_decks", "material_support", "deck_scores", "deck_synergy", "deck_consistency"])
 def test_tables_that_grow_are_not_broadcast(spark, name):
     """But for the rules of the formats, the tags' rarest grams and the parts of numbered rows."""
