@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash01
+from ..shared import by_key, grown
 
 BUCKETS = ("monster", "spell", "trap")
 
@@ -41,7 +42,7 @@ def dealt(specs: DataFrame, rows: DataFrame, groups: list[str], k: Column | None
     asked = specs.join(sizes, [g for g in groups if g in specs.columns]).where(most > 0).withColumn("nth", F.explode(F.sequence(F.lit(0), most - 1)))
     start = F.floor(hash01(seed, F.lit(name), "deck_id", *groups) * F.col("many"))
     asked = asked.withColumn("rank", ((start + F.col("nth")) % F.col("many")).cast("int"))
-    return asked.join(ranked.drop("many"), [*groups, "rank"]).drop("rank", "many")
+    return asked.join(grown(ranked.drop("many")), [*groups, "rank"]).drop("rank", "many")
 
 
 #: Units of a weight of 1: weights are drawn by whole numbers of units, at least one.
@@ -192,17 +193,17 @@ def size_repair(entries: DataFrame, candidates: DataFrame, size: int | Column, s
     A deck's own cards are kept in the order of their stage, if entries have one, and id; fillers are cards of its pool that it
     lacks, one copy each, in the pool's order.
     """
-    entries = entries.withColumn("_size", (F.lit(size) if isinstance(size, int) else size).cast("bigint"))
+    entries = by_key(entries.withColumn("_size", (F.lit(size) if isinstance(size, int) else size).cast("bigint")), "deck_id")
     w = Window.partitionBy("deck_id").orderBy(*(c for c in ("stage", "card_id") if c in entries.columns)).rowsBetween(Window.unboundedPreceding, -1)
     kept = entries.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("_size") - F.col("before"))))
     totals = entries.groupBy("deck_id").agg(F.sum("copies").alias("total"), F.first("pool").alias("pool"), F.count_distinct("card_id").alias("own"), F.first("_size").alias("_size"))
     lacks = F.col("_size") - F.col("total")
-    fillers = dealt(totals.where(lacks > 0), candidates, ["pool"], lacks + F.col("own"), seed, "repair").join(entries.select("deck_id", "card_id"), ["deck_id", "card_id"], "left_anti")
+    fillers = dealt(totals.where(lacks > 0), candidates, ["pool"], lacks + F.col("own"), seed, "repair").join(grown(entries.select("deck_id", "card_id")), ["deck_id", "card_id"], "left_anti")
     ranked = fillers.withColumn("place", F.row_number().over(Window.partitionBy("deck_id").orderBy("nth"))).where(F.col("place") <= lacks)
     out = kept.where("kept > 0").select("deck_id", "card_id", F.col("kept").alias("copies"), F.lit(0).alias("filled")).unionByName(ranked.select("deck_id", "card_id", F.lit(1).cast("bigint").alias("copies"), F.lit(1).alias("filled")))
     done = totals.select("deck_id", (F.col("total") > F.col("_size")).cast("int").alias("cut"))
     repairs = F.sum("filled").over(Window.partitionBy("deck_id")) + F.col("cut")
-    return out.join(done, "deck_id").select("deck_id", "card_id", "copies", repairs.cast("int").alias("repairs"))
+    return out.join(grown(done), "deck_id").select("deck_id", "card_id", "copies", repairs.cast("int").alias("repairs"))
 
 
 def accept_first(attempts: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def feasible_extra(specs: DataFrame, candidates: DataFrame, tags: DataFrame, pai
     trials = specs.withColumn("draw", drawn).withColumns({"slot": F.col("deck_id"), "deck_id": F.col("deck_id") * tries + F.col("draw")})
     picks = extra_sample(trials, candidates, size, seed)
     capacity = pairs.groupBy("pool", "tag").agg(F.sum("max_copies").alias("capacity"))
-    needs = picks.select("deck_id", "pool", "card_id").join(tags, "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("needed"))
+    needs = picks.select("deck_id", "pool", "card_id").join(grown(tags), "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("needed"))
     bad = needs.join(capacity, ["pool", "tag"], "left").where(F.coalesce("capacity", F.lit(0)) < F.col("needed")).select("deck_id").distinct()
     chosen = trials.select("slot", "draw", "deck_id").join(bad.withColumn("bad", F.lit(True)), "deck_id", "left").groupBy("slot").agg(F.coalesce(F.min(F.when(F.col("bad").isNull(), F.col("draw"))), F.lit(tries - 1)).alias("draw"))
     return picks.join(chosen, ["slot", "draw"]).withColumns({"deck_id": F.col("slot"), "draws": F.col("draw") + 1}).drop("slot", "draw")
@@ -247,14 +248,14 @@ def support_injection(specs: DataFrame, picks: DataFrame, candidates: DataFrame,
     needs = specs.select("deck_id", "pool").join(picks.select("deck_id", kinds.alias("extra_type")).distinct(), "deck_id")
     many = F.when(F.col("reason").isin("4 same_level", "5 effect"), 2).otherwise(1)
     ruled = dealt(needs, offers, ["pool", "extra_type", "reason"], many, seed, "support").withColumn("want", F.lit(1))
-    asked = picks.select("deck_id", "pool", "card_id").join(tags, "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("want"))
+    asked = picks.select("deck_id", "pool", "card_id").join(grown(tags), "card_id").groupBy("deck_id", "pool", "tag").agg(F.max("needed").alias("want"))
     tagged = dealt(asked, pairs, ["pool", "tag"], F.lit(1), seed, "tag").withColumn("reason", F.concat(F.lit("6 "), "tag"))
     scales = main.where("is_pendulum and scale is not null")
     ends = scales.groupBy("pool").agg(F.min(F.struct("scale", "card_id")).alias("low"), F.max(F.struct("scale", "card_id")).alias("high"))
     partner = F.when(F.col("high.scale") - F.col("scale") >= 2, F.col("high.card_id")).when(F.col("scale") - F.col("low.scale") >= 2, F.col("low.card_id"))
     paired = scales.join(ends, "pool").withColumn("partner", partner).where("partner is not null").select("pool", "card_id", "partner", F.lit("pendulum").alias("extra_type"))
     scale = dealt(needs, paired, ["pool", "extra_type"], F.lit(1), seed, "scale")
-    both = scale.select("deck_id", "pool", F.posexplode(F.array("card_id", "partner")).alias("nth", "card_id")).join(able.select("pool", "card_id", "bucket", "max_copies"), ["pool", "card_id"]).withColumns({"reason": F.lit("7 scale"), "want": F.lit(1)})
+    both = scale.select("deck_id", "pool", F.posexplode(F.array("card_id", "partner")).alias("nth", "card_id")).join(grown(able.select("pool", "card_id", "bucket", "max_copies")), ["pool", "card_id"]).withColumns({"reason": F.lit("7 scale"), "want": F.lit(1)})
     names = ("deck_id", "reason", "nth", "card_id", "bucket", "max_copies", "want")
     return ruled.select(*names).unionByName(tagged.select(*names)).unionByName(both.select(*names))
 

@@ -81,3 +81,12 @@ def test_few_draws_are_made_at_once(spark):
         got = [(r.deck_id, round(r.monster, 6), round(r.spell, 6)) for r in sampling.ratio_jitter(specs, ratios, 0.05, tries=tries).orderBy("deck_id").collect()]
         assert got == duckdb.sql(sql.format(tries)).fetchall()
     assert [tuple(r) for r in sampling.ratio_jitter(specs.limit(1), ratios, 0.05, tries=0).select("monster", "spell").collect()] == [(0.5, 0.3)]
+
+
+def test_repairs_are_counted_by_deck(spark):
+    """A deck's own cards are counted where its entries lie together, and neither entries nor pools are broadcast."""
+    from loomspan.plans import sampling_queries
+
+    text = plan(sampling_queries.size_repair(spark, "/root/testdata/sf0.001"))
+    joins = [x for x in text.split("\n") if "BroadcastHashJoin" in x]
+    assert text.count("REPARTITION_BY_NUM") >= 2 and all("[pool#" in x for x in joins)
