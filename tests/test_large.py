@@ -90,3 +90,24 @@ def test_repairs_are_counted_by_deck(spark):
     text = plan(sampling_queries.size_repair(spark, "/root/testdata/sf0.001"))
     joins = [x for x in text.split("\n") if "BroadcastHashJoin" in x]
     assert text.count("REPARTITION_BY_NUM") >= 2 and all("[pool#" in x for x in joins)
+
+
+@pytest.mark.parametrize("name", ["tag_capacity", "material_support"])
+def test_cards_are_dealt_by_number_and_not_broadcast(spark, name):
+    """Cards of few bytes would be put together into a few tasks; of a join by grams only the tags' side may be broadcast."""
+    text = plan(deck_queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    joins = [x for x in text.split("\n") if "BroadcastHashJoin" in x]
+    assert "REPARTITION_BY_NUM" in text and "REPARTITION_BY_COL" not in text and all("[gram#" in x and "BuildRight" in x for x in joins)
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_many_tags_are_merged(spark, monkeypatch, few):
+    """Tags over the bound match the same cards, a repeated id once for each of its rows that matches."""
+    monkeypatch.setattr(materials, "FEW_GRAMS", few)
+    cards = spark.createDataFrame([(1, "Effect Monster", "DARK", "Dragon", None, "Red Moon", "x"), (1, "Tuner Monster", "dark", "a", "Brand#1", "b", None), (2, "Monster", "FIRE", "", None, "dar", None)], "id long, type string, attribute string, race string, archetype string, name string, descr string")
+    tags = spark.createDataFrame([("attr_monster:dark",), ("brand#1",), ("attr:fire:monster",), ("type:wyrm:monster",)], "tag string")
+    for most in (materials.FEW_TAGS, 0):
+        monkeypatch.setattr(materials, "FEW_TAGS", most)
+        got = materials.tag_matches(tags, cards)
+        assert sorted(tuple(r) for r in got.distinct().collect()) == [("attr:fire:monster", 2), ("attr_monster:dark", 1), ("brand#1", 1)]
+        assert most or "BroadcastHashJoin" not in plan(got)
