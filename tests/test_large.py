@@ -111,3 +111,18 @@ def test_many_tags_are_merged(spark, monkeypatch, few):
         got = materials.tag_matches(tags, cards)
         assert sorted(tuple(r) for r in got.distinct().collect()) == [("attr:fire:monster", 2), ("attr_monster:dark", 1), ("brand#1", 1)]
         assert most or "BroadcastHashJoin" not in plan(got)
+
+
+def test_checks_are_dealt_by_deck(spark):
+    """Facts, copies and levels are grouped where a deck's entries lie together, and no texts are dealt for them."""
+    steps = plan(deck_queries.validate_decks(spark, "/root/testdata/sf0.001")).split("\n")
+    dealt = [i for i, x in enumerate(steps) if "hashpartitioning(deck_id" in x and "REPARTITION_BY_NUM" in x]
+    assert len(dealt) >= 3 and not any("descr#" in steps[i + 1].split(" AS ")[-1] for i in dealt)
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    from loomspan.shared import DEALT, by_key
+
+    rows = spark.range(10)
+    parts = [by_key(rows, "id", many).rdd.getNumPartitions() for many in (0, DEALT, 40 * DEALT - 1, 40 * DEALT + 1)]
+    assert parts == [8, 8, 40, 41]
