@@ -51,12 +51,12 @@ def pivot_table(v: DataFrame, at: np.ndarray) -> DataFrame:
     return v.mapInArrow(measure, "k long, v array<double>, t array<double>")
 
 
-def blocks(table: DataFrame, eps: float) -> DataFrame:
-    """The pivot table with a block number: vectors in the order of their cells of width eps, BLOCK at a time."""
+def blocks(table: DataFrame, eps: float, size: int | None = None) -> DataFrame:
+    """The pivot table with a block number: vectors in the order of their cells of width eps, `size` (BLOCK, if not given) at a time."""
     width = eps if eps > 0 else 1.0
     cells = [F.floor(F.get("t", F.lit(i)) / width).alias(f"c{i}") for i in range(CELLS)]
     rows = numbered(table.withColumn("place", F.struct(*cells, F.get("t", F.lit(0)).alias("t0"), "k")), "place")
-    return saved(rows.select("k", "v", "t", F.floor(F.col("row_no") / BLOCK).alias("block")), "blocks")
+    return saved(rows.select("k", "v", "t", F.floor(F.col("row_no") / (size or BLOCK)).alias("block")), "blocks")
 
 
 def meetings(own: DataFrame, eps: float, many: int) -> DataFrame:
@@ -80,6 +80,33 @@ def meetings(own: DataFrame, eps: float, many: int) -> DataFrame:
     return met.select(F.col("i_block").alias("i"), F.col("j_block").alias("j")).distinct()
 
 
+def met_blocks(v: DataFrame, eps: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors (k, v) with a block number, up to `size` in each, and (block, i, j) for both blocks of each two that meet."""
+    if v.count() <= size:
+        return v.withColumn("block", F.lit(0).cast("long")), v.sparkSession.createDataFrame([(0, 0, 0)], "block long, i long, j long")
+    at = pivots(v)
+    own = blocks(pivot_table(v, at), eps, size)
+    return own.select("k", "v", "block"), meetings(own, eps, len(at)).select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+
+
+def near_in(rows: pa.Table, eps: float, strip: int = STRIP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two blocks that meet -> places p and q and distance d of the pairs within eps, each pair once, a strip at a time."""
+    block, ids = rows["block"].to_numpy(), rows["k"].to_numpy()
+    x = rows["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+    left, right = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
+    same = rows["i"][0] == rows["j"][0]
+    lengths = (x * x).sum(1)
+    slack = eps * eps + 1e-9 * (lengths.max() + eps * eps)
+    for s in range(0, len(left), strip):
+        some = left[s : s + strip]
+        p, q = np.nonzero(lengths[some][:, None] + lengths[right][None, :] - 2 * (x[some] @ x[right].T) <= slack)
+        p, q = some[p], right[q]
+        keep = ids[p] < ids[q] if same else ids[p] != ids[q]
+        p, q = p[keep], q[keep]
+        d = np.sqrt(sum(((x[p, c] - x[q, c]) ** 2 for c in range(x.shape[1])), np.zeros(len(p))))
+        yield p[d <= eps], q[d <= eps], d[d <= eps]
+
+
 def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> DataFrame:
     """(a, b, d) with a < b and d <= eps.
 
@@ -90,33 +117,14 @@ def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> Dat
     v = _rows(vectors, key)
     if v is None:
         return vectors.sparkSession.createDataFrame([], "a long, b long, d double")
-    if v.count() <= BLOCK:
-        dealt = v.select(F.lit(0).alias("block"), "k", "v", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    else:
-        at = pivots(v)
-        own = blocks(pivot_table(v, at), eps)
-        met = meetings(own, eps, len(at))
-        sides = met.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
-        dealt = own.select("block", "k", "v").join(sides, "block")
+    own, sides = met_blocks(v, eps, BLOCK)
 
     def near(rows: pa.Table) -> pa.Table:
-        block, ids = rows["block"].to_numpy(), rows["k"].to_numpy()
-        x = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        left, right = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
-        same, parts = rows["i"][0] == rows["j"][0], []
-        lengths = (x * x).sum(1)
-        slack = eps * eps + 1e-9 * (lengths.max() + eps * eps)
-        for s in range(0, len(left), STRIP):
-            some = left[s : s + STRIP]
-            p, q = np.nonzero(lengths[some][:, None] + lengths[right][None, :] - 2 * (x[some] @ x[right].T) <= slack)
-            p, q = some[p], right[q]
-            keep = ids[p] < ids[q] if same else ids[p] != ids[q]
-            p, q = p[keep], q[keep]
-            d = np.sqrt(sum(((x[p, c] - x[q, c]) ** 2 for c in range(x.shape[1])), np.zeros(len(p))))
-            parts.append((np.minimum(ids[p], ids[q])[d <= eps], np.maximum(ids[p], ids[q])[d <= eps], d[d <= eps]))
+        ids = rows["k"].to_numpy()
+        parts = [(np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), d) for p, q, d in near_in(rows, eps)]
         return pa.table(dict(zip(("a", "b", "d"), map(np.concatenate, zip(*parts)))))
 
-    return dealt.groupBy("i", "j").applyInArrow(near, "a long, b long, d double")
+    return own.join(sides, "block").select("block", "k", "v", "i", "j").groupBy("i", "j").applyInArrow(near, "a long, b long, d double")
 
 
 def approximate_pairs(vectors: DataFrame, eps: float, key: str = "card_id", tables: int = 8, bucket: float | None = None, seed: int = 1) -> DataFrame:

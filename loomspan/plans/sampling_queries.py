@@ -13,7 +13,7 @@ from ..operators import neighbours as N
 from ..operators import sampling as SA
 from ..operators import scoring as SC
 from ..operators import validation as V
-from ..shared import saved
+from ..shared import grown, saved
 from .adapters import rounded, table, view, with_views
 
 S = SparkSession
@@ -152,7 +152,7 @@ def _vectors(spark: S, d: str) -> DataFrame:
 def density_clusters(spark: S, d: str) -> DataFrame:
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.14], [3], [3])
-    return rounded(DN.density_clusters(v, saved(N.neighbour_pairs(v, 1.14), "pairs"), trials).drop("trial"))
+    return rounded(DN.vector_clusters(v, trials).drop("trial"))
 
 
 def neighbour_pairs(spark: S, d: str) -> DataFrame:
@@ -161,14 +161,13 @@ def neighbour_pairs(spark: S, d: str) -> DataFrame:
 
 
 def sweep_trials(spark: S, d: str) -> DataFrame:
-    """One row for each trial of a grid: cluster metrics, structural, semantic and final score and guardrails, over pairs
-    found once."""
+    """One row for each trial of a grid: cluster metrics, structural, semantic and final score and guardrails, over distances
+    that all trials share."""
     v = _vectors(spark, d)
     trials = DN.trial_grid(spark, [1.10, 1.12, 1.14], [2, 3], [2, 4])
-    pairs = saved(N.neighbour_pairs(v, 1.14), "pairs")
-    found = saved(DN.density_clusters(v, pairs, trials), "trials")
+    found = saved(DN.vector_clusters(v, trials), "trials")
     m = C.guardrails(C.structural_score(C.cluster_metrics(found, ["trial"])), few=5, noise=0.9, largest=0.2, tiny=0.1)
-    meaning = C.semantic_score(C.semantic_metrics(found.join(v, "card_id"), view(spark, d, "cards"), ["trial"])).select("trial", "semantic_score")
+    meaning = C.semantic_score(C.semantic_metrics(found.join(grown(v), "card_id"), view(spark, d, "cards"), ["trial"])).select("trial", "semantic_score")
     m = m.join(meaning, "trial").withColumn("final_score", F.col("structural_score") + F.col("semantic_score"))
     return rounded(m.select("trial", "num_clusters", "noise_count", "size_max", "largest_ratio", "tiny_ratio", "mean_prob", "structural_score", "semantic_score", "final_score", "is_good_run"), 5)
 

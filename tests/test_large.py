@@ -126,3 +126,39 @@ def test_more_rows_are_dealt_to_more_tasks(spark):
     rows = spark.range(10)
     parts = [by_key(rows, "id", many).rdd.getNumPartitions() for many in (0, DEALT, 40 * DEALT - 1, 40 * DEALT + 1)]
     assert parts == [8, 8, 40, 41]
+
+
+@pytest.mark.parametrize("wide", [9, 1 << 14])
+def test_clusters_of_vectors_are_those_of_their_pairs(spark, monkeypatch, wide):
+    """In blocks and in one: ties, copies, a repeated id, ids far apart, vectors that take no part; one number of samples and several."""
+    import random
+
+    from loomspan.operators import density, neighbours
+
+    draw = random.Random(5)
+    rows = [(7 * i - 100, [float(draw.randrange(15)), float(draw.randrange(15)), draw.randrange(3) / 2]) for i in range(110)]
+    rows += [(rows[3][0], [1.0, 1.0, 0.0]), (1 << 62, rows[5][1]), (-(1 << 62), [90.0, 0.0, 0.0]), (900, None), (901, [1.0]), (902, [float("nan"), 0.0, 0.0])]
+    once = list(dict(rows[::-1]).items())
+    monkeypatch.setattr(density, "WIDE", wide)
+    monkeypatch.setattr(neighbours, "BLOCK", min(wide, neighbours.BLOCK))
+    monkeypatch.setattr(density, "STRIP", 7)
+    order = lambda df: sorted((r.trial, r.card_id, r.cluster_id, round(r.prob, 12)) for r in df.collect())
+    for grid in (([1.0, 1.2, 2.0], [1, 3, 5], [1, 4]), ([1.5], [4], [2]), ([1.5], [1], [2])):
+        frame = spark.createDataFrame(rows if grid[1] == [4] else once, "card_id long, embedding array<double>")
+        pairs = neighbours.neighbour_pairs(frame, 2.0)
+        trials = density.trial_grid(spark, *grid)
+        got = order(density.vector_clusters(frame, trials))
+        assert got == order(density.density_clusters(frame, pairs, trials)) and len({x[2] for x in got}) > 2
+    assert density.vector_clusters(frame.limit(0), trials).count() == 0
+
+
+def test_clusters_write_no_pairs(spark, monkeypatch):
+    """Of 600 vectors that are all near each other 180,000 pairs would be written; a row for each vector and step is."""
+    from loomspan.operators import density
+
+    written = {}
+    was = density.saved
+    monkeypatch.setattr(density, "saved", lambda df, name: (x := was(df, name), written.update({name: x.count()}))[0])
+    frame = spark.range(600).selectExpr("id card_id", "array(float(id % 10) / 100, float(id) / 100000) embedding")
+    got = density.vector_clusters(frame, density.trial_grid(spark, [0.5, 1.0], [2, 3], [2])).collect()
+    assert {r.cluster_id for r in got} == {0} and written and max(written.values()) <= 600 * 4
