@@ -162,3 +162,18 @@ def test_clusters_write_no_pairs(spark, monkeypatch):
     frame = spark.range(600).selectExpr("id card_id", "array(float(id % 10) / 100, float(id) / 100000) embedding")
     got = density.vector_clusters(frame, density.trial_grid(spark, [0.5, 1.0], [2, 3], [2])).collect()
     assert {r.cluster_id for r in got} == {0} and written and max(written.values()) <= 600 * 4
+
+
+@pytest.mark.parametrize("name", ["deck_scores", "deck_synergy", "deck_consistency"])
+def test_lines_are_dealt_by_deck_and_tasks_follow_their_number(spark, monkeypatch, name):
+    """A deck's lines come together before they are summed up, and more lines are dealt to more tasks."""
+    from loomspan import shared
+
+    monkeypatch.setattr(shared, "DEALT", 100)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    steps = plan(deck_queries.QUERIES[name](spark, "/root/testdata/sf0.001")).split("\n")
+    for key in ("l_orderkey", "deck_id"):
+        dealt = [x for x in steps if "REPARTITION_BY_NUM" in x and f"hashpartitioning({key}" in x]
+        assert dealt and all(f", {-(-lines // 100)})" in x for x in dealt)
+    summed = [i for i, x in enumerate(steps) if "HashAggregate(keys=[l_orderkey" in x and "partial_sum" in x]
+    assert summed and all(any("REPARTITION_BY_NUM" in x for x in steps[i + 1 : i + 4]) for i in summed)
