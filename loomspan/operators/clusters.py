@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance, dot, doubles, unit
+from ..functions.vectors import distance, doubles, norm, unit
 from .blocks import beside
 from .labels import LABEL, heuristic_label
 
@@ -97,10 +97,10 @@ def quality(assign: DataFrame) -> DataFrame:
 def coherence(assign: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Mean cosine to the mean of the unit vectors, cut to [-1, 1]; clusters of one, or with a zero mean, have 0."""
     key = [*(run or []), "cluster_id"]
-    units = clustered(assign).withColumn("embedding", unit(doubles(F.col("embedding"))))
-    joined = units.join(centroids(units, F.col("embedding"), run), key)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("embedding"), unit(F.col("centroid")))))
-    return joined.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(cosine).alias("c")).select(*key, F.when(F.col("n") > 1, F.col("c")).otherwise(0.0).alias("coherence"))
+    x = array_to_vector(unit(doubles(F.col("embedding"))))
+    means = clustered(assign).select(*key, x.alias("x")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(F.col("x"))).alias("centroid"))
+    # the mean of the cosines is the mean's dot product with its own direction, which is its length: no vector meets its mean
+    return means.select(*key, F.when(F.col("n") > 1, F.least(F.lit(1.0), norm(F.col("centroid")))).otherwise(0.0).alias("coherence"))
 
 
 def nearest_clusters(assign: DataFrame) -> DataFrame:

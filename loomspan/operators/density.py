@@ -15,8 +15,8 @@ from . import neighbours
 from .features import numbered
 from .forest import components_at
 
-#: Vectors of a block in vector_clusters, and blocks that it makes before they grow up to that.
-WIDE, BLOCKS = 1 << 14, 16
+#: Vectors of a block in vector_clusters, at most and at least, and blocks that it makes between these two.
+WIDE, NARROW, BLOCKS = 1 << 17, 1 << 10, 8
 #: Vectors of one block that are compared with all of the other at a time.
 STRIP = 128
 
@@ -54,7 +54,8 @@ def vector_clusters(vectors: DataFrame, trials: DataFrame) -> DataFrame:
     vectors: card_id, embedding. Two blocks meet in a task twice. The first time it gives the least distances of each vector,
     which make the core distances. The second time it gives what its links join at each level, an edge for each vector at most,
     and the nearest core of each vector that is none. The edges of all tasks have the components of all links. So what is
-    written grows with vectors times blocks, not with pairs; the distances worked out are all of those between blocks that meet.
+    written grows with vectors times blocks, not with pairs, and there are as many blocks whatever the vectors' number is, until
+    they are as wide as a task may hold; the distances worked out are all of those between blocks that meet.
     """
     grid, levels, samples = _grid(trials)
     many, eps = len(samples), max(levels, default=0.0)
@@ -63,7 +64,7 @@ def vector_clusters(vectors: DataFrame, trials: DataFrame) -> DataFrame:
     if v is None or not grid:
         return density_clusters(vectors, vectors.sparkSession.createDataFrame([], "a long, b long, d double"), trials)
     kind = "array<float>" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
-    own, sides = neighbours.met_blocks(v, eps, min(WIDE, max(neighbours.BLOCK, -(-v.count() // BLOCKS))))
+    own, sides = neighbours.met_blocks(v, eps, min(WIDE, max(NARROW, -(-v.count() // BLOCKS))))
     own = own.withColumn("v", F.col("v").cast(kind))  # no more bytes than were given
     sides = saved(sides, "meetings")
     tasks = max(1, sides.select("i", "j").distinct().count())
@@ -74,12 +75,14 @@ def vector_clusters(vectors: DataFrame, trials: DataFrame) -> DataFrame:
         best = np.full((rows.num_rows, most), np.inf)
         for p, q, d in neighbours.near_in(rows, eps, STRIP):
             for x in (p, q):
-                order = np.lexsort((d, x))
+                less = d < best[x, -1]
+                x, z = x[less], d[less]
+                order = np.lexsort((z, x))
                 at, first, n = np.unique(x[order], return_index=True, return_counts=True)
                 nth = np.arange(len(x)) - np.repeat(first, n)
                 few = nth < most
                 own = np.full((len(at), most), np.inf)
-                own[np.repeat(np.arange(len(at)), n)[few], nth[few]] = d[order][few]
+                own[np.repeat(np.arange(len(at)), n)[few], nth[few]] = z[order][few]
                 best[at] = np.sort(np.concatenate([best[at], own], 1), 1)[:, :most]
         some = np.flatnonzero(np.isfinite(best[:, 0]))
         return pa.table({"card_id": rows["k"].to_numpy()[some], "near": pa.FixedSizeListArray.from_arrays(pa.array(best[some].ravel()), most).cast(pa.list_(pa.float64()))})

@@ -15,6 +15,9 @@ from .features import numbered
 
 #: Vectors of a block; two blocks meet in a task, which compares STRIP of one with all of the other at a time.
 BLOCK, STRIP = 4096, 512
+#: Vectors of the other block that a strip meets at a time, pairs whose distances are worked out at a time, and pairs that
+#: strips give together.
+ACROSS, CHUNK, TOGETHER = 1 << 14, 1 << 13, 1 << 17
 #: Pivots, and vectors among which they are looked for. They decide how much is left out, never what is found.
 PIVOTS, SAMPLE = 6, 512
 CELLS = 3  #: pivots by which vectors are brought into blocks
@@ -90,21 +93,40 @@ def met_blocks(v: DataFrame, eps: float, size: int) -> tuple[DataFrame, DataFram
 
 
 def near_in(rows: pa.Table, eps: float, strip: int = STRIP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Two blocks that meet -> places p and q and distance d of the pairs within eps, each pair once, a strip at a time."""
+    """Two blocks that meet -> places p and q and distance d of the pairs within eps, each pair once, some strips at a time.
+
+    Single precision leaves out what is farther by more than its error; the distances of the rest are worked out in double.
+    """
     block, ids = rows["block"].to_numpy(), rows["k"].to_numpy()
     x = rows["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
     left, right = (np.flatnonzero(block == rows[c][0].as_py()) for c in ("i", "j"))
     same = rows["i"][0] == rows["j"][0]
     lengths = (x * x).sum(1)
-    slack = eps * eps + 1e-9 * (lengths.max() + eps * eps)
+    most = lengths.max()
+    single = 1e-12 <= eps * eps <= 1e12 and most <= 1e12  # no products that vanish or overflow
+    kind, error = (np.float32, (x.shape[1] + 8) * 2.0**-22) if single else (np.float64, 1e-9)
+    half = -lengths[:, None] / 2
+    slack = -(eps * eps + error * (most + eps * eps)) / 2
+    some, other = np.hstack([x[left], half[left], np.ones((len(left), 1))]).astype(kind), np.hstack([x[right], np.ones((len(right), 1)), half[right]]).astype(kind)
+    parts, n = [(left[:0], right[:0], np.zeros(0))], 0
     for s in range(0, len(left), strip):
-        some = left[s : s + strip]
-        p, q = np.nonzero(lengths[some][:, None] + lengths[right][None, :] - 2 * (x[some] @ x[right].T) <= slack)
-        p, q = some[p], right[q]
-        keep = ids[p] < ids[q] if same else ids[p] != ids[q]
-        p, q = p[keep], q[keep]
-        d = np.sqrt(sum(((x[p, c] - x[q, c]) ** 2 for c in range(x.shape[1])), np.zeros(len(p))))
-        yield p[d <= eps], q[d <= eps], d[d <= eps]
+        for t in range(0, len(right), ACROSS):
+            p, q = np.divmod(np.flatnonzero(some[s : s + strip] @ other[t : t + ACROSS].T >= slack), min(ACROSS, len(right) - t))
+            p, q = left[s + p], right[t + q]
+            keep = ids[p] < ids[q] if same else ids[p] != ids[q]
+            p, q = p[keep], q[keep]
+            d = np.concatenate([np.zeros(0)] + [_lengths(x, p[m : m + CHUNK], q[m : m + CHUNK]) for m in range(0, len(p), CHUNK)])
+            parts.append((p[d <= eps], q[d <= eps], d[d <= eps]))
+            n += len(parts[-1][0])
+            if n >= TOGETHER:
+                yield tuple(map(np.concatenate, zip(*parts)))
+                parts, n = parts[:1], 0
+    yield tuple(map(np.concatenate, zip(*parts)))
+
+
+def _lengths(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances, summed up in the order of the dimensions."""
+    return np.sqrt(sum(((x[p] - x[q]) ** 2).T, np.zeros(len(p))))
 
 
 def neighbour_pairs(vectors: DataFrame, eps: float, key: str = "card_id") -> DataFrame:

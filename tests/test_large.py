@@ -177,3 +177,45 @@ def test_lines_are_dealt_by_deck_and_tasks_follow_their_number(spark, monkeypatc
         assert dealt and all(f", {-(-lines // 100)})" in x for x in dealt)
     summed = [i for i, x in enumerate(steps) if "HashAggregate(keys=[l_orderkey" in x and "partial_sum" in x]
     assert summed and all(any("REPARTITION_BY_NUM" in x for x in steps[i + 1 : i + 4]) for i in summed)
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_vectors(spark, monkeypatch):
+    """More vectors make wider blocks, not more of them, and coherence joins no vector with its cluster's mean."""
+    from loomspan.operators import clusters, density, neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    monkeypatch.setattr(density, "NARROW", 10, raising=False)
+    met = []
+    was = density.saved
+    monkeypatch.setattr(density, "saved", lambda df, name: (x := was(df, name), met.append(x) if name == "meetings" else None)[0])
+    for many in (100, 400):
+        frame = spark.range(many).selectExpr("id card_id", "array(float(id * 37 % 101), float(id * 17 % 89)) embedding")
+        assert density.vector_clusters(frame, density.trial_grid(spark, [200.0], [2], [2])).where("cluster_id = 0").count() == many
+    assert len({x.select("block").distinct().count() for x in met}) == 1 and len(met) == 2
+    rows = spark.createDataFrame([(1, 0, [3.0, 0.0]), (2, 0, [0.0, 0.5]), (3, 0, [0.0, 0.0]), (4, 1, [1.0, 1.0]), (5, -1, [1.0, 0.0]), (6, 2, [1.0, 0.0]), (7, 2, [-1.0, 0.0])], "card_id long, cluster_id int, embedding array<double>")
+    got = clusters.coherence(rows)
+    assert "Join" not in plan(got)
+    assert {r.cluster_id: round(r.coherence, 12) for r in got.collect()} == {0: round(2**0.5 / 3, 12), 1: 0.0, 2: 0.0}
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e8])
+@pytest.mark.parametrize("shift", [0.0, 300.0])
+def test_no_pair_is_lost_to_single_precision(monkeypatch, scale, shift):
+    """Pairs at exactly eps and a little beyond it, in tiles of any size, far from zero and of any magnitude."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomspan.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "ACROSS", 13)
+    monkeypatch.setattr(neighbours, "CHUNK", 5)
+    x = (np.random.default_rng(3).integers(0, 9, (120, 3)) + shift) * scale
+    d = np.sqrt((x[:, None, 0] - x[None, :, 0]) ** 2 + (x[:, None, 1] - x[None, :, 1]) ** 2 + (x[:, None, 2] - x[None, :, 2]) ** 2)
+    eps = float(np.sort(d[d > 0])[2000])
+    for block, i, j in (([0] * 120, 0, 0), ([0] * 70 + [1] * 50, 0, 1)):
+        rows = pa.table({"k": np.arange(120), "block": block, "i": [i] * 120, "j": [j] * 120, "v": list(x)})
+        want = {(a, b): d[a, b] for a in range(120) for b in range(a + 1, 120) if d[a, b] <= eps and (i == j or (a < 70 <= b))}
+        for together in (1, 1 << 17):
+            monkeypatch.setattr(neighbours, "TOGETHER", together)
+            got = [(int(a), int(b), float(z)) for p, q, w in neighbours.near_in(rows, eps, 7) for a, b, z in zip(p, q, w)]
+            assert len(got) == len(want) and {(a, b): z for a, b, z in got} == want
