@@ -219,3 +219,12 @@ def test_no_pair_is_lost_to_single_precision(monkeypatch, scale, shift):
             monkeypatch.setattr(neighbours, "TOGETHER", together)
             got = [(int(a), int(b), float(z)) for p, q, w in neighbours.near_in(rows, eps, 7) for a, b, z in zip(p, q, w)]
             assert len(got) == len(want) and {(a, b): z for a, b, z in got} == want
+
+
+def test_lines_are_brought_together_once_for_material_support(spark, monkeypatch):
+    """A deck's extra and main cards, and what it asks for, are read from one table of entries, not from the lines each time."""
+    made = []
+    was = deck_queries.saved
+    monkeypatch.setattr(deck_queries, "saved", lambda df, name: (made.append(name), was(df, name))[1])
+    text = plan(deck_queries.material_support(spark, "/root/testdata/sf0.001"))
+    assert made.count("entries") == 1 and "l_orderkey" not in text and "l_partkey" not in text
