@@ -63,9 +63,7 @@ def vector_clusters(vectors: DataFrame, trials: DataFrame) -> DataFrame:
     v = neighbours._rows(vectors, "card_id")
     if v is None or not grid:
         return density_clusters(vectors, vectors.sparkSession.createDataFrame([], "a long, b long, d double"), trials)
-    kind = "array<float>" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
     own, sides = neighbours.met_blocks(v, eps, min(WIDE, max(NARROW, -(-v.count() // BLOCKS))))
-    own = own.withColumn("v", F.col("v").cast(kind))  # no more bytes than were given
     sides = saved(sides, "meetings")
     tasks = max(1, sides.select("i", "j").distinct().count())
     deal = lambda rows: rows.join(F.broadcast(sides), "block").repartition(tasks, "i", "j").groupBy("i", "j")
@@ -92,6 +90,7 @@ def vector_clusters(vectors: DataFrame, trials: DataFrame) -> DataFrame:
     at = [(samples.index(m), levels.index(e), e) for e, m in grid]
 
     def joined(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("number")  # a set's root is its least number then, so that tasks that share a block give the same edges
         ids, number = rows["k"].to_numpy(), rows["number"].to_numpy()
         core = rows["core"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         root = np.tile(np.arange(len(ids)), (many, len(levels), 1))

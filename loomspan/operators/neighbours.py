@@ -24,8 +24,10 @@ CELLS = 3  #: pivots by which vectors are brought into blocks
 
 
 def _rows(vectors: DataFrame, key: str) -> DataFrame | None:
-    """k and v of the vectors as long as the least key's, without null ones and null components; None if there is none."""
-    v = vectors.select(F.col(key).cast("long").alias("k"), doubles(F.col("embedding")).alias("v"))
+    """k and v of the vectors as long as the least key's, without null ones and null components; None if there is none. Floats
+    stay floats, as doubles are twice the bytes in all that is dealt and written."""
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = vectors.select(F.col(key).cast("long").alias("k"), F.col("embedding").cast("array<float>" if kind == "float" else "array<double>").alias("v"))
     v = v.where("k is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
     first = v.agg(F.min_by(F.size("v"), "k").alias("d")).first()["d"]
     return None if first is None else v.where(F.size("v") == first)
@@ -47,11 +49,11 @@ def pivot_table(v: DataFrame, at: np.ndarray) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            x = batch.column("v").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             t = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in at], 1) if batch.num_rows else np.zeros((0, len(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), len(at)).cast(pa.list_(pa.float64()))], ["k", "v", "t"])
 
-    return v.mapInArrow(measure, "k long, v array<double>, t array<double>")
+    return v.mapInArrow(measure, f"k long, v {v.schema['v'].dataType.simpleString()}, t array<double>")
 
 
 def blocks(table: DataFrame, eps: float, size: int | None = None) -> DataFrame:
@@ -159,7 +161,7 @@ def approximate_pairs(vectors: DataFrame, eps: float, key: str = "card_id", tabl
     v = _rows(vectors, key)
     if v is None:
         return vectors.sparkSession.createDataFrame([], "a long, b long, d double")
-    rows = saved(v, "usable-vectors").select("k", array_to_vector("v").alias("x"))  # written, or the hashes may come before the filter
+    rows = saved(v, "usable-vectors").select("k", array_to_vector(doubles(F.col("v"))).alias("x"))  # written, or the hashes may come before the filter
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", numHashTables=tables, bucketLength=bucket or max(eps, 1e-9), seed=seed).fit(rows)
     met = model.approxSimilarityJoin(rows, rows, float(np.nextafter(eps, np.inf)), "d").where("datasetA.k < datasetB.k and d <= " + repr(float(eps)))
     return met.select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b"), "d")

@@ -228,3 +228,29 @@ def test_lines_are_brought_together_once_for_material_support(spark, monkeypatch
     monkeypatch.setattr(deck_queries, "saved", lambda df, name: (made.append(name), was(df, name))[1])
     text = plan(deck_queries.material_support(spark, "/root/testdata/sf0.001"))
     assert made.count("entries") == 1 and "l_orderkey" not in text and "l_partkey" not in text
+
+
+def test_floats_stay_floats_and_tasks_join_to_the_least_number(spark, monkeypatch):
+    """Vectors are dealt and written in no more bytes than they came in, and tasks that share a block give the same links."""
+    from loomspan.operators import density, neighbours
+
+    monkeypatch.setattr(density, "NARROW", 10)
+    kept = {}
+    for module in (density, neighbours):
+        monkeypatch.setattr(module, "saved", lambda df, name, was=module.saved: kept.setdefault(name, was(df, name)))
+    frame = spark.range(100).selectExpr("id * 37 % 101 card_id", "array(float(id * 37 % 101 / 7), float(id * 17 % 89 / 3)) embedding")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        density.vector_clusters(frame, density.trial_grid(spark, [200.0], [2], [2])).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    links = kept["joined"].where("link")
+    assert links.count() >= 99 and links.where("a <= b").count() == 0
+    assert links.select("b").distinct().count() <= kept["blocks"].select("block").distinct().count()
+    assert kept["blocks"].schema["v"].dataType.simpleString() == "array<float>"
+    # values that a float cannot hold are told apart
+    frame = spark.createDataFrame([(1, [0.1]), (2, [0.1 + 1e-12]), (3, [0.4])], "card_id long, embedding array<double>")
+    assert [(r.a, r.b) for r in neighbours.neighbour_pairs(frame, 2e-12).collect()] == [(1, 2)]
