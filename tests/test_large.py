@@ -254,3 +254,47 @@ def test_floats_stay_floats_and_tasks_join_to_the_least_number(spark, monkeypatc
     # values that a float cannot hold are told apart
     frame = spark.createDataFrame([(1, [0.1]), (2, [0.1 + 1e-12]), (3, [0.4])], "card_id long, embedding array<double>")
     assert [(r.a, r.b) for r in neighbours.neighbour_pairs(frame, 2e-12).collect()] == [(1, 2)]
+
+
+def test_each_call_of_the_stream_deals_its_own_lines_once(spark):
+    """Lines are read once, and a deck's rows go in one exchange that holds vectors but no texts; decks given twice count once."""
+    at = "/root/testdata/sf0.001"
+    decks = spark.read.parquet(f"{at}/orders.parquet").selectExpr("o_orderkey deck_id", "'GOAT' format").where("deck_id % 3 = 1")
+    some = deck_queries._scores(spark, at, decks)
+    steps = plan(some).split("\n")
+    assert sum("FileScan parquet [l_orderkey" in x for x in steps) == 1
+    dealt = [(x, steps[i + 1]) for i, x in enumerate(steps) if "Exchange hashpartitioning(deck_id" in x]
+    rows = [below for x, below in dealt if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 2 and len(rows) == 1 and all(f" AS {c}#" in rows[0] for c in ("bucket", "starter", "vector"))
+    figures = lambda df: {tuple(round(x, 6) for x in r) for r in df.where("deck_id % 3 = 1").select("deck_id", "consistency_score", "synergy_score", "brick_risk_score", "unique_ratio").collect()}
+    every = figures(deck_queries._scores(spark, at))
+    assert len(every) == 500 and figures(some) == figures(deck_queries._scores(spark, at, decks.unionByName(decks))) == every
+
+
+@pytest.mark.parametrize("columns", ["k long, v string, w int", "k long"])
+def test_keys_met_are_files_and_a_call_that_failed_is_made_good(spark, tmp_path, columns):
+    """No state is held by the executors; a batch that failed after it noted its keys, or wrote a part, takes the same rows again."""
+    from loomspan.streaming import incremental as I
+
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    n = len(columns.split(","))
+    calls = []
+
+    def work(rows):
+        calls.append(rows.count())
+        if len(calls) == 2:
+            rows.write.parquet(f"{target}/batch=1")
+            raise ValueError("lost")
+        return rows
+
+    for rows in ([(1, "a", 1), (2, None, 2), (2, None, 2), (None, "n", 3)], [(2, None, 2), (3, "c", None), (None, "n", 3), (4, "d", 4)], [(4, "d", 4), (1, "a", 1)]):
+        spark.createDataFrame([r[:n] for r in rows], columns).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):
+            try:
+                I.append_new(spark, source, columns, target, mark, work, keys=["k"])
+            except Exception as e:
+                assert "lost" in str(e)
+    assert calls == [3, 2, 2, 0]
+    got = sorted((tuple(r) for r in spark.read.schema(columns).parquet(*(str(x) for x in (tmp_path / "out").glob("batch=*"))).collect()), key=str)
+    assert got == sorted((r[:n] for r in [(1, "a", 1), (2, None, 2), (None, "n", 3), (3, "c", None), (4, "d", 4)]), key=str)
+    assert not (tmp_path / "mark" / "state").exists()
